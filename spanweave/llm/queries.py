@@ -6,16 +6,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+_OP7 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), sized AS (
+  SELECT *, 24 + length(role) + length(text) + length(role) - length(replace(role, chr(92), '')) + length(text) - length(replace(text, chr(92), ''))
+    + (length(role) - length(replace(role, '<|', ''))) // 2 + (length(text) - length(replace(text, '<|', ''))) // 2
+    + length(role) - length(replace(role, chr(10), '')) AS chars
+  FROM turns
+), placed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples,
+  coalesce(sum(upto) FILTER (role = 'assistant'), 0)::BIGINT AS expanded_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.decontaminate import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.media import media_columns
+
+    found = media_columns(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanweave.llm.substrings import drop_repeats
 
     return drop_repeats(_read(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spanweave.llm.bpe import Codec, read_ranks, round_trip
+
+    codec = Codec(spark, read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    return round_trip(_read(spark, sf_dir, "documents"), codec)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.language import detect_language
+
+    return detect_language(_read(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.chat import read_back, segments
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(segments(turns.unionByName(more)))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spanweave.llm.unigram import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanweave.llm.simhash import simhash_components
 
@@ -23,5 +106,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7}
