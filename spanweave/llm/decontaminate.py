@@ -3,7 +3,9 @@
 Texts are lower-cased and blanks collapsed. An item of m characters gets an error budget of
 ``floor(m * max_error_rate)`` edits and is split into budget-plus-one pieces: wherever the item occurs within
 the budget, one piece occurs unchanged. One automaton finds all pieces of a block of items in one pass over a
-text; the hits of an item give windows, and Myers' bit-parallel distance decides on each.
+text. A hit is verified from the piece upward through a binary tree of its item's pieces: a node of n pieces may
+have n - 1 edits, and an occurrence within the budget passes every node from some unchanged piece to the root.
+Myers' bit-parallel distance decides at each node, so most chance hits end after a few characters.
 
 Scale: the documents are never shuffled. Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text,
 checked before anything is sent; a larger benchmark takes more passes, one for each block.
@@ -69,6 +71,24 @@ class Pattern:
         return best
 
 
+def tree(item: str, budget: int) -> list[list[tuple[int, Pattern]]]:
+    """For each piece, the (offset, pattern) of the nodes above it, smallest first and the whole item last."""
+    cuts = [at for at, _ in pieces(item, budget)] + [len(item)]
+    above: list[list[tuple[int, Pattern]]] = [[] for _ in range(budget + 1)]
+
+    def grow(a: int, b: int) -> None:
+        if b - a > 1:
+            grow(a, (a + b) // 2)
+            grow((a + b) // 2, b)
+        if b - a > 1 or budget == 0:
+            node = (cuts[a], Pattern(item[cuts[a] : cuts[b]], b - a - 1))
+            for k in range(a, b):
+                above[k].append(node)
+
+    grow(0, budget + 1)
+    return above
+
+
 class Matcher:
     """The automaton and patterns of one block of items."""
 
@@ -76,7 +96,7 @@ class Matcher:
         self.patterns: list[Pattern] = []
         self.ids: list[list[int]] = []
         known: dict[str, int] = {}
-        hits: dict[str, list[tuple[int, int]]] = {}
+        hits: dict[str, list[tuple[int, int, list[tuple[int, Pattern]]]]] = {}
         for item_id, raw in items:
             item = normal(raw)
             if not item:
@@ -86,10 +106,11 @@ class Matcher:
                 continue
             budget = int(len(item) * rate)
             number = known[item] = len(self.patterns)
-            self.patterns.append(Pattern(item, budget))
+            above = tree(item, budget)
+            self.patterns.append(above[0][-1][1])
             self.ids.append([item_id])
-            for at, piece in pieces(item, budget):
-                hits.setdefault(piece, []).append((number, at))
+            for (at, piece), nodes in zip(pieces(item, budget), above):
+                hits.setdefault(piece, []).append((number, at, nodes))
         self.automaton = ahocorasick.Automaton()
         for piece, where in hits.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -102,24 +123,23 @@ class Matcher:
         if self.empty:
             return []
         text = normal(text)
-        windows: dict[int, list[list[int]]] = {}
+        best: dict[int, int] = {}
         for end, (size, where) in self.automaton.iter(text):
             begin = end - size + 1
-            for number, at in where:
-                p = self.patterns[number]
-                a, b = max(0, begin - at - p.budget), begin - at + p.size + p.budget
-                spans = windows.setdefault(number, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
+            for number, at, nodes in where:
+                if best.get(number) == 0:
+                    continue
+                if text.startswith(self.patterns[number].item, max(0, begin - at)) and begin >= at:
+                    best[number] = 0
+                    continue
+                for offset, p in nodes:
+                    start = begin - at + offset
+                    found = p.distance(text[max(0, start - p.budget) : start + p.size + p.budget])
+                    if found > p.budget:
+                        break
                 else:
-                    spans.append([a, b])
-        found = []
-        for number in sorted(windows):
-            p = self.patterns[number]
-            best = 0 if p.item in text else min(p.distance(text[a:b]) for a, b in windows[number])
-            if best <= p.budget:
-                found.append((number, best))
-        return found
+                    best[number] = min(best.get(number, found), found)
+        return sorted(best.items())
 
 
 def _matcher(block, rate: float) -> Matcher:
