@@ -12,7 +12,7 @@ from spanweave.functions.text import clean_email, norm_ws
 from spanweave.schema import LATENCY
 
 
-def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines by an explicit schema; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 

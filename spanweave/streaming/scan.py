@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from spanweave.operators.detect import scored
 
 
-def documents(spark: SparkSession, path: str, schema: T.StructType, files: int = 16) -> DataFrame:
+def documents(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 16) -> DataFrame:
     """New JSON-lines files of a folder, a bounded number for each batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
