@@ -64,7 +64,7 @@ def script_counts(text: Column) -> Column:
 def script_lang(counts: Column) -> Column:
     """The language that a script stands for; ``latin`` and ``zh`` need more; null without letters."""
     n = counts["letters"]
-    out = F.when(n == 0, F.lit(None)).when((counts["kana"] >= 2) | ((counts["kana"] > 0) & (counts["kana"] >= 0.05 * n)), "ja")
+    out = F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(None)).when((counts["kana"] >= 2) | ((counts["kana"] > 0) & (counts["kana"] >= 0.05 * n)), "ja")
     for script, lang in (("hangul", "ko"), ("thai", "th"), ("arabic", "ar"), ("devanagari", "hi"), ("han", "zh")):
         out = out.when(counts[script] >= 0.2 * n, lang)
     return out.otherwise("latin")
