@@ -14,6 +14,7 @@ is broadcast only when it has at most ``BROADCAST_GROUPS`` rows and is joined by
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.common import map_slices, picked, stored, struct_of, unused
 
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 5_000
 BROADCAST_GROUPS = 50_000
 #: Words that occur in fewer sampled documents have no weight; at most so many words have one.
 LEAST_DOCS, MOST_WORDS = 5, 2_000
@@ -85,33 +86,44 @@ class Linear:
         return float(np.clip(score - self.base, -_EVIDENCE_BOUND, _EVIDENCE_BOUND))
 
 
-def fit(rows: list[tuple[set[str], list[float]]], labels: np.ndarray, rounds: int = 300, ridge: float = 2e-5) -> Linear:
-    """Logistic regression; words are chosen by the significance of their log-odds, not by frequency."""
-    n, positive = len(rows), labels.astype(float)
+def fit(docs: list[tuple[str, list[float]]], labels: np.ndarray, rounds: int = 300, ridge: float = 2e-5) -> Linear:
+    """Logistic regression over documents given as their words (joined by blanks) and shape features.
+
+    Word features are chosen by the significance of their log-odds, not by frequency. Hashed counts first leave out
+    what is too rare, so the names held are few.
+    """
+    n, positive = len(docs), labels.astype(float)
     share = min(max(positive.mean() if n else 0.5, 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
-    features = np.array([f for _, f in rows]).reshape(n, -1)
-    size = features.shape[1] or len(shape("", []))
+    size = len(shape("", []))
     if n == 0 or positive.min() == positive.max():
         return Linear({}, np.zeros(0), np.zeros(size), np.ones(size), np.zeros(size), base, base)
-    seen, with_label = Counter(), Counter()
-    for (words, _), y in zip(rows, positive):
-        seen.update(words)
-        if y:
-            with_label.update(words)
+    features = np.array([f for _, f in docs])
     least = min(LEAST_DOCS, max(2, n // 40))
-    names = [w for w, c in seen.items() if c >= least]
-    total = np.array([seen[w] for w in names], float)
-    hit = np.array([with_label[w] for w in names], float)
-    z = (hit - total * share) / np.sqrt(total * share * (1 - share))
-    strong = sorted((i for i in range(len(names)) if abs(z[i]) > 3.5), key=lambda i: (-abs(z[i]), names[i]))[:MOST_WORDS]
+    rough = np.zeros(1 << 22, np.int32)
+    slots = [np.fromiter((zlib.crc32(w.encode()) & 0x3FFFFF for w in word_features(words.split())), np.int64) for words, _ in docs]
+    for own in slots:
+        rough[np.unique(own)] += 1
+    number: dict[str, int] = {}
+    held = []
+    for (words, _), own in zip(docs, slots):
+        names = list(word_features(words.split()))
+        held.append(np.array([number.setdefault(w, len(number)) for w, c in zip(names, rough[own]) if c >= least], np.int64))
+    total = np.bincount(np.concatenate(held), minlength=len(number)).astype(float)
+    hit = np.bincount(np.concatenate(held), weights=np.repeat(positive, [len(h) for h in held]), minlength=len(number))
+    z = (hit - total * share) / np.sqrt(np.maximum(total, 1) * share * (1 - share))
+    names = list(number)
+    strong = sorted((i for i in np.flatnonzero((np.abs(z) > 3.5) & (total >= least))), key=lambda i: (-abs(z[i]), names[i]))[:MOST_WORDS]
     words = {names[i]: k for k, i in enumerate(strong)}
-    x = np.zeros((n, len(words)), np.float32)
-    for i, (own, _) in enumerate(rows):
-        x[i, [k for w in own if (k := words.get(w)) is not None]] = 1
+    place = np.full(len(number), -1)
+    place[strong] = np.arange(len(strong))
     centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
-    dense = np.clip((features - centre) / scale, -20, 20).astype(np.float32)
-    both = np.concatenate([x, dense, np.ones((n, 1), np.float32)], axis=1)
+    both = np.zeros((n, len(words) + size + 1), np.float32)
+    for i, own in enumerate(held):
+        at = place[own]
+        both[i, at[at >= 0]] = 1
+    both[:, len(words) : -1] = np.clip((features - centre) / scale, -20, 20)
+    both[:, -1] = 1
     w = np.zeros(both.shape[1], np.float32)
     w[-1] = base
     fast, mean = np.zeros_like(w), np.zeros_like(w)
@@ -126,18 +138,25 @@ def fit(rows: list[tuple[set[str], list[float]]], labels: np.ndarray, rounds: in
     return Linear(words, w[:k].astype(float), centre, scale, w[k:-1].astype(float), float(w[-1]), base)
 
 
-def _parts(text: str | None) -> tuple[set[str], list[float]]:
-    text = text or ""
-    words = _WORD.findall(text.lower())
+def word_features(words: list[str]) -> set[str]:
+    """The distinct words of a text and their beginnings (marked by an asterisk)."""
     known = set(words)
     found = set(known)
     for n in PREFIXES:
         found.update([w + "*" for w in {w[:n] for w in known if len(w) > n}])
-    return found, shape(text, words)
+    return found
+
+
+def _parts(text: str | None) -> tuple[set[str], list[float]]:
+    words = _WORD.findall((text or "").lower())
+    return word_features(words), shape(text or "", words)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, Linear]:
-    """Fit both classifiers on at most ``sample_rows`` labelled documents, first in hash order of the id."""
+    """Fit both classifiers on at most ``sample_rows`` labelled documents, first in hash order of the id.
+
+    Labels with nulls are not used; several labels of one id count as their worst.
+    """
     usable = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -146,18 +165,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make():
         def work(batch: pa.RecordBatch):
-            parts = [_parts(t) for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [sorted(w) for w, _ in parts], [f for _, f in parts], *batch.columns[2:]]
+            words = [_WORD.findall(t.lower()) for t in batch.column(1).to_pylist()]
+            shapes = [shape(t, w) for t, w in zip(batch.column(1).to_pylist(), words)]
+            return [batch.column(0), [" ".join(sorted(set(w))) for w in words], shapes, *batch.columns[2:]]
 
         return work
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words array<string>, features array<double>, quality int, toxic int"
-    got = map_slices(found.select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int")), schema, make).limit(2 * sample_rows).collect()
-    got.sort(key=lambda r: (r.doc_id, r.features))
-    parts = [(set(r.words), r.features) for r in got]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words string, features array<double>, quality int, toxic int"
+    seen = map_slices(found.select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int")), schema, make)
+    got = sorted((r.doc_id, r.words, r.features, r.quality, r.toxic) for r in seen.limit(2 * sample_rows).toLocalIterator())
+    parts = [(r[1], r[2]) for r in got]
     return {
-        "low": fit(parts, np.array([r.quality == 0 for r in got], bool)),
-        "toxic": fit(parts, np.array([r.toxic == 1 for r in got], bool)),
+        "low": fit(parts, np.array([r[3] == 0 for r in got], bool)),
+        "toxic": fit(parts, np.array([r[4] == 1 for r in got], bool)),
     }
 
 

@@ -4,8 +4,8 @@ Tokens are tagged as begin, inside or outside of a secret. A token's emission sc
 shape, of the words before and after it and of its file (document), and tag pairs have transition weights; the
 weights are fitted here by maximising the conditional likelihood (forward-backward, gradient steps) on generated
 lines, never on a rule's own output. Viterbi decodes whole documents: where a token's outside score exceeds the
-others by more than any transitions could repay, every best path is outside, so the path is exactly the one found
-by decoding the stretches between such tokens on their own.
+others by more than three transitions and the next token's turn from inside to begin could repay, every best path
+is outside, so the path is exactly the one found by decoding the stretches between such tokens on their own.
 
 Scale: a map over documents without shuffle or state beyond a bounded cache of word scores.
 """
@@ -104,7 +104,7 @@ class Crf:
         """weights: DIM by 3; moves: 3 by 3, from tag to tag; lexicon: the words that have weights of their own."""
         self.weights, self.moves, self.lexicon = weights, moves, lexicon
         real = moves[moves > _NEVER / 2]
-        self.margin = float(2 * (real.max() - real.min())) + 1e-6
+        self.margin = float(3 * (real.max() - real.min())) + 1e-6
         self.clear()
 
     def __getstate__(self):
@@ -151,7 +151,9 @@ class Crf:
         if not words:
             return []
         scores = self.emissions(words)
-        sure = scores[:, OUT] - scores[:, 1:].max(axis=1) > self.margin
+        sure = scores[:, OUT] - scores[:, 1:].max(axis=1)
+        sure[:-1] -= np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0)
+        sure = sure > self.margin
         doubt = np.flatnonzero(~sure)
         found, at = [], 0
         while at < len(doubt):
