@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,12 @@ _LETTERS[255] = True  # and everything beyond
 _MARKS = np.array([c in "#$%&*!@~^" for c in _LATIN])
 
 
-def shape(text: str, words: list[str]) -> list[float]:
-    """Features of a text's form, none of which grows with its length."""
+def shape(text: str, words: list[str], distinct: int) -> list[float]:
+    """Features of a text's form, none of which grows with its length; ``distinct`` is the number of different words."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     count = np.bincount(np.minimum(points, 255), minlength=256)
     n, many = max(1, len(text)), max(1, len(words))
     letters, lines = int(count[_LETTERS].sum()), text.split("\n")
-    tokens = text.split()
     return [
         count[_UPPER].sum() / max(1, letters),
         (n - letters - count[32]) / n,
@@ -58,32 +57,36 @@ def shape(text: str, words: list[str]) -> list[float]:
         text.count("!!") / many,
         count[_DIGITS].sum() / n,
         min(20.0, letters / many) / 20,
-        len(set(tokens)) / max(1, len(tokens)) ** 0.9,
-        sum(map(str.__eq__, tokens[1:], tokens)) / max(1, len(tokens)),
+        distinct / many**0.9,
+        sum(map(eq, words[1:], words)) / many,
         1 - len(set(lines)) / len(lines),
         count[124] / many,
         1.0 / (1 + len(words)),
-        max(Counter(tokens).values(), default=0) / max(1, len(tokens)),
     ]
 
 
+def kinds(words: set[str]) -> list[set[str]]:
+    """Word features by kind: the distinct words, and their beginnings of each length."""
+    return [words, *({w[:n] for w in words if len(w) > n} for n in PREFIXES)]
+
+
 @dataclass
 class Linear:
     """A logistic model over word presence and shape features."""
 
-    words: dict[str, int]
-    weights: np.ndarray
+    words: list[dict[str, float]]
     centre: np.ndarray
     scale: np.ndarray
     coefficients: np.ndarray
     bias: float
     base: float
 
-    def evidence(self, words: set[str], features: list[float]) -> float:
-        """Log-odds of the class beyond the sample's base rate."""
-        hits = [self.words[w] for w in self.words.keys() & words]
-        score = self.bias + float(self.weights[hits].sum()) + float(((np.array(features) - self.centre) / self.scale) @ self.coefficients)
-        return float(np.clip(score - self.base, -_EVIDENCE_BOUND, _EVIDENCE_BOUND))
+    def evidence(self, found: list[set[str]], features: list[float]) -> float:
+        """Log-odds of the class beyond the sample's base rate, from :func:`kinds` and :func:`shape`."""
+        score = self.bias + float(np.clip((np.array(features) - self.centre) / self.scale, -20, 20) @ self.coefficients)
+        for own, weights in zip(found, self.words):
+            score += sum(map(weights.__getitem__, weights.keys() & own))
+        return float(min(max(score - self.base, -_EVIDENCE_BOUND), _EVIDENCE_BOUND))
 
 
 def fit(docs: list[tuple[str, list[float]]], labels: np.ndarray, rounds: int = 300, ridge: float = 2e-5) -> Linear:
@@ -95,19 +98,19 @@ def fit(docs: list[tuple[str, list[float]]], labels: np.ndarray, rounds: int = 3
     n, positive = len(docs), labels.astype(float)
     share = min(max(positive.mean() if n else 0.5, 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
-    size = len(shape("", []))
+    size = len(shape("", [], 0))
     if n == 0 or positive.min() == positive.max():
-        return Linear({}, np.zeros(0), np.zeros(size), np.ones(size), np.zeros(size), base, base)
+        return Linear([{} for _ in range(len(PREFIXES) + 1)], np.zeros(size), np.ones(size), np.zeros(size), base, base)
     features = np.array([f for _, f in docs])
     least = min(LEAST_DOCS, max(2, n // 40))
     rough = np.zeros(1 << 22, np.int32)
-    slots = [np.fromiter((zlib.crc32(w.encode()) & 0x3FFFFF for w in word_features(words.split())), np.int64) for words, _ in docs]
+    slots = [np.fromiter((zlib.crc32(w.encode()) & 0x3FFFFF for w in word_features(words)), np.int64) for words, _ in docs]
     for own in slots:
         rough[np.unique(own)] += 1
     number: dict[str, int] = {}
     held = []
     for (words, _), own in zip(docs, slots):
-        names = list(word_features(words.split()))
+        names = word_features(words)
         held.append(np.array([number.setdefault(w, len(number)) for w, c in zip(names, rough[own]) if c >= least], np.int64))
     total = np.bincount(np.concatenate(held), minlength=len(number)).astype(float)
     hit = np.bincount(np.concatenate(held), weights=np.repeat(positive, [len(h) for h in held]), minlength=len(number))
@@ -134,22 +137,23 @@ def fit(docs: list[tuple[str, list[float]]], labels: np.ndarray, rounds: int = 3
         mean += 0.1 * (g - mean)
         fast += 0.01 * (g * g - fast)
         w -= 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(fast / (1 - 0.99**step)) + 1e-8)
+    by_kind: list[dict[str, float]] = [{} for _ in range(len(PREFIXES) + 1)]
+    for name, k in words.items():
+        kind, _, word = name.partition(" ")
+        by_kind[int(kind)][word] = float(w[k])
     k = len(words)
-    return Linear(words, w[:k].astype(float), centre, scale, w[k:-1].astype(float), float(w[-1]), base)
+    return Linear(by_kind, centre, scale, w[k:-1].astype(float), float(w[-1]), base)
 
 
-def word_features(words: list[str]) -> set[str]:
-    """The distinct words of a text and their beginnings (marked by an asterisk)."""
-    known = set(words)
-    found = set(known)
-    for n in PREFIXES:
-        found.update([w + "*" for w in {w[:n] for w in known if len(w) > n}])
-    return found
+def word_features(words: str) -> list[str]:
+    """Names of the word features of words joined by blanks: the kind's number and the word."""
+    return [f"{k} {w}" for k, own in enumerate(kinds(set(words.split()))) for w in own]
 
 
-def _parts(text: str | None) -> tuple[set[str], list[float]]:
+def _parts(text: str | None) -> tuple[list[set[str]], list[float]]:
     words = _WORD.findall((text or "").lower())
-    return word_features(words), shape(text or "", words)
+    known = set(words)
+    return kinds(known), shape(text or "", words, len(known))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, Linear]:
@@ -166,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def make():
         def work(batch: pa.RecordBatch):
             words = [_WORD.findall(t.lower()) for t in batch.column(1).to_pylist()]
-            shapes = [shape(t, w) for t, w in zip(batch.column(1).to_pylist(), words)]
+            shapes = [shape(t, w, len(set(w))) for t, w in zip(batch.column(1).to_pylist(), words)]
             return [batch.column(0), [" ".join(sorted(set(w))) for w in words], shapes, *batch.columns[2:]]
 
         return work
