@@ -125,3 +125,28 @@ def weighted_choice(names: list[str], weights: list[float], uniform: Column) ->
         upto += weight
         out = F.when(uniform < upto / total, name) if out is None else out.when(uniform < upto / total, name)
     return out.otherwise(names[-1])
+
+
+#: Shapes that values of a label must have (fixed rules).
+SHAPES = {
+    "PHONE": r"^[+(]?[0-9][0-9 ()./-]{5,18}$",
+    "ACCOUNT": r"^[A-Z0-9][A-Z0-9 -]{5,33}$",
+    "EMAIL": r"^[^ @]+@[^ @]+\.[A-Za-z]{2,}$",
+    "DOB": r"[0-9]",
+    "PERSON": r"^[^0-9@]{2,60}$",
+}
+
+
+def clean_value(value: Column, label: Column) -> Column:
+    """A value without outer blanks if it has its label's shape, else null; labels without a rule only need text."""
+    v = F.trim(F.regexp_replace(value, r"\s+", " "))
+    fits = v != ""
+    for name, shape in SHAPES.items():
+        fits = F.when(label == name, v.rlike(shape)).otherwise(fits)
+    return F.when(fits, v)
+
+
+def name_for(names: Column, nonlatin: Column) -> Column:
+    """The first name in the wanted kind of script, or else the first."""
+    want = F.filter(names, lambda n: n.rlike(r"[\p{L}&&[^\p{IsLatin}]]") == nonlatin)
+    return F.coalesce(F.get(want, F.lit(0)), F.get(names, F.lit(0)))

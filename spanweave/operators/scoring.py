@@ -155,3 +155,13 @@ def near_ties(rows: DataFrame, group: str, value: str, name: str, within: float
     near = near.withColumn("rivals", F.count("*").over(Window.partitionBy(group)))
     order = Window.partitionBy(group).orderBy(F.desc(value), name)
     return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select(group, name, value, "rivals")
+
+
+def outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Gold rows with ``found`` (any overlap), ``exact`` (bounds and label) and ``swapped`` (best overlap of another label)."""
+    best = best_overlap(gold, pred)
+    same = pred.select(KEY, "start", "end", "label").distinct().withColumn("hit", F.lit(True))
+    both = best.join(same, [KEY, "start", "end", "label"], "left")
+    return both.select(
+        *gold.columns, F.col("pred_label").isNotNull().alias("found"), F.coalesce("hit", F.lit(False)).alias("exact"), F.coalesce(F.col("pred_label") != F.col("label"), F.lit(False)).alias("swapped")
+    )

@@ -333,3 +333,30 @@ def voted(votes: DataFrame, keys: list[str], how: str = "max") -> DataFrame:
     depth = F.least(F.col("i") - F.col("lo"), F.col("hi") - F.col("i"))
     key = F.struct("p", -F.col("win")) if how == "max" else F.struct(depth, "p", -F.col("win"))
     return votes.groupBy(*keys).agg(F.max_by(F.struct("tag", "p"), key).alias("b")).select(*keys, "b.tag", "b.p")
+
+
+def edited_offsets(edits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows ``key, start, end, new`` of disjoint edits with ``new_start, new_end`` after all of them: old offsets plus earlier changes of length."""
+    order = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    delta = F.length("new") - (F.col("end") - F.col("start"))
+    before = F.coalesce(F.sum(delta).over(order), F.lit(0))
+    rows = edits.withColumn("new_start", (F.col("start") + before).cast("int"))
+    return rows.withColumn("new_end", F.col("new_start") + F.length("new"))
+
+
+def word_starts(toks: DataFrame, key: str = "doc_id", by_script: bool = False) -> DataFrame:
+    """Token rows ``key, i, s, e, tok`` with ``first``: whether the token begins a word.
+
+    After a gap, at punctuation and after it; with ``by_script`` also at every token of a script without spaces and
+    where the script changes.
+    """
+    from spanweave.functions.text import script_of
+
+    order = Window.partitionBy(key).orderBy("i")
+    head, tail = F.substring("tok", 1, 1), F.substring("tok", -1, 1)
+    rows = toks.withColumn("pe", F.lag("e").over(order)).withColumn("pt", F.lag(tail).over(order))
+    word = r"[\p{L}\p{N}]"
+    new = F.col("pe").isNull() | (F.col("s") > F.col("pe")) | ~head.rlike(word) | ~F.col("pt").rlike(word)
+    if by_script:
+        new = new | script_of(head).isin("han", "kana", "thai") | (script_of(head) != script_of(F.col("pt")))
+    return rows.withColumn("first", F.coalesce(new, F.lit(True))).drop("pe", "pt")
