@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from spanweave.llm.bpe import Codec, read_ranks, round_trip
 from spanweave.llm.common import stored
 from spanweave.llm.decontaminate import drop_contaminated
+from spanweave.llm.near_copies import keep_first
 from spanweave.llm.quality import keep_good
 from spanweave.llm.queries import VOCABULARY
 from spanweave.llm.secrets import redact
-from spanweave.llm.simhash import keep_first
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more), that of the smallest id."""
     return keep_first(docs)
 
 
