@@ -54,11 +54,15 @@ def _slot(name: str) -> int:
 
 
 def _form(word: str) -> str:
-    """What the features of a token's form depend on; words of the same form share it."""
-    if word.isalpha() and len(word) < 16:
+    """All that the features of a token's form depend on; words of the same form share it.
+
+    A word of cased letters only has a shape that follows from its case; any other word is its own form.
+    """
+    n = len(word)
+    if n < 16 and word.isalpha():
         case = "a" if word.islower() else "A" if word.isupper() else "Aa" if word[0].isupper() and word[1:].islower() else ""
-        if case:
-            return f"{case}:{len(word).bit_length()}:{word.isascii()}"
+        if case and (word.isascii() or all(c.isupper() or c.islower() for c in word)):
+            return f"{case}:{n.bit_length()}:{n > 12}:{word.isascii()}"
     return word
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import public_tokenizers
 import regex
@@ -373,6 +374,29 @@ def test_scan_and_redact(spark, docs, rows, nothing):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def plain_emissions(model, words):
+    """The plain sums of weights, without the cache."""
+    slots = [secrets._slots(w, model.lexicon) for w in words]
+    file = secrets._file_slot(sum(map(secrets._odd, words)), len(words))
+    rows = [[*s[0], file] for s in slots]
+    for i, row in enumerate(rows):
+        row += (slots[i - 1][1] if i else ()) + (slots[i - 2][2] if i > 1 else ()) + (slots[i + 1][3] if i + 1 < len(words) else ())
+    return np.array([model.weights[r].sum(axis=0) for r in rows])
+
+
+def test_emissions_are_plain_sums_in_any_order():
+    trained = secrets.trained()
+    weights = np.random.default_rng(3).normal(size=trained.weights.shape)
+    model = secrets.Crf(weights, trained.moves, trained.lexicon)
+    words = [f(c * n) for n in (1, 2, 7, 8, 11, 12, 13, 14, 15, 16, 17) for c in ("ab", "é", "z") for f in (str.lower, str.upper, str.capitalize)]
+    words += ["aª中", "ab中文", "中文ab", "A中", "AB中", "ǅa", "token", "Token", "naïve", "x1", "=", "a_b", "straße", "ÉCOLE"]
+    for seed in range(6):
+        random.Random(seed).shuffle(words)
+        model.clear()
+        for part in (words[:40], words, words[::-1]):
+            assert np.allclose(model.emissions(part), plain_emissions(model, part))
+
+
 # -- language ----------------------------------------------------------------------------------------------------
 
 
