@@ -6,7 +6,7 @@ mean over all its bytes. The network is trained here in numpy by backpropagation
 sample of labelled documents.
 
 Scale: scoring is a map over documents; the weights are a few kilobytes. Training reads at most
-``per_language`` documents of each of at most ``languages`` labels (documented bounds of the sample).
+``per_language`` documents of every label (the documented bound of the sample).
 """
 
 from __future__ import annotations
@@ -163,16 +163,18 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int) -> tuple[list[bytes], list[str]]:
-    """A bounded sample of labelled texts outside the held-out fold: the first ids of each label in hash order."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list[bytes], list[str]]:
+    """A bounded sample of labelled texts outside the held-out fold: the first ids of each label in hash order.
+
+    Of repeated rows of an id and label the text of least hash is taken.
+    """
     rows = picked(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = rows.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = usable.select("doc_id", "lang")
-    names = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.where(F.col("lang").isin(names)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-    found = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    got = sorted((r.lang, r.doc_id, r.text) for r in found.select("lang", "doc_id", "text").limit(2 * per_language * languages).collect() if r.lang in names)
+    chosen = usable.select("lang", "doc_id").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+    found = usable.join(F.broadcast(chosen.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")
+    least = found.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    got = sorted((r.lang, r.doc_id, r.text) for r in least.select("lang", "doc_id", "least.text").collect())
     return [t.encode() for _, _, t in got], [k for k, _, _ in got]
 
 
@@ -199,6 +201,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return map_slices(rows, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double", make)
 
 
-def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, languages: int = 64) -> DataFrame:
-    """Train on a bounded sample of the labelled rows and label every row."""
-    return identify(docs, train(*sample(docs, id_col, text_col, lang_col, per_language, languages)), id_col, text_col)
+def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300) -> DataFrame:
+    """Train on a bounded sample of every label's rows, at least 1,024 windows each, and label every row."""
+    texts, labels = sample(docs, id_col, text_col, lang_col, per_language)
+    return identify(docs, train(texts, labels, windows=1024 * max(4, len(set(labels)))), id_col, text_col)
