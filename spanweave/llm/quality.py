@@ -159,13 +159,15 @@ def _parts(text: str | None) -> tuple[list[set[str]], list[float]]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, Linear]:
     """Fit both classifiers on at most ``sample_rows`` labelled documents, first in hash order of the id.
 
-    Labels with nulls are not used; several labels of one id count as their worst.
+    Labels with nulls are not used; several labels of one id count as their worst, of several texts the one of
+    least hash is used.
     """
     usable = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL")
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = picked(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
-    found = rows.join(F.broadcast(chosen), "doc_id")
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic")
+    found = found.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", "least.text", "quality", "toxic")
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, words string, features array<double>, quality int, toxic int"
     seen = map_slices(found.select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int")), schema, make)
-    got = sorted((r.doc_id, r.words, r.features, r.quality, r.toxic) for r in seen.limit(2 * sample_rows).toLocalIterator())
+    got = sorted((r.doc_id, r.words, r.features, r.quality, r.toxic) for r in seen.toLocalIterator())
     parts = [(r[1], r[2]) for r in got]
     return {
         "low": fit(parts, np.array([r[3] == 0 for r in got], bool)),

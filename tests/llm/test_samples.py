@@ -1,6 +1,6 @@
 """Training samples: every label, and one text for each id whatever repeats."""
 
-from spanweave.llm import language
+from spanweave.llm import language, quality
 
 
 def test_every_language_is_learned(spark, monkeypatch):
@@ -14,3 +14,17 @@ def test_every_language_is_learned(spark, monkeypatch):
     rows = [(k * 10 + i, f"text {k} {i}", f"l{k:03}") for k in range(70) for i in range(8)]
     language.detect_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert seen["labels"] == {f"l{k:03}" for k in range(70)} and seen["windows"] == 70 * 1024
+
+
+def test_copies_do_not_crowd_out(spark, monkeypatch):
+    rows = [(1, f"copy {i % 2} of one document", "en") for i in range(200)] + [(i, f"other text {i}", "en") for i in range(2, 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda parts, target: seen.append(len(parts)))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 22)], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels, sample_rows=21)
+    assert seen == [21, 21]
+    how = {"languages": 64} if "languages" in language.sample.__code__.co_varnames else {}
+    texts, _ = language.sample(docs, "doc_id", "text", "lang", 300, **how)
+    usable = docs.where(~language.held_out("doc_id")).select("doc_id").distinct().count()
+    assert len(texts) == usable == len(set(texts))
