@@ -1,27 +1,26 @@
-"""Byte-level BPE: ranked merges folded by Spark higher-order functions over distinct words.
-
-A task splits its texts into words by the tokenizer's pattern and numbers the distinct ones; each slice of
-documents goes on as one row with the words not seen before in that task and the numbers of its texts' words.
-A word travels as the ids of its UTF-8 bytes. Spark folds every new word: ``aggregate`` over that array merges,
-step by step, the leftmost pair of least rank and looks up the two pairs that the merge makes. The ranks are a
-literal, an array of small maps from a pair of ids to the id of both together (which is its rank), indexed by a hash
-of the pair, because Spark searches a map from its start. Decoding looks ids up in a literal array of byte strings and
-concatenates the pieces. A last step puts the words' ids together in the order of each text.
-
-Scale: one stage without a shuffle, whatever the number of distinct words in the corpus; a word costs one fold a
-task. The words a task remembers are bounded (``CACHE_WORDS``): both ends then start anew. The words that are most
-frequent in a bounded sample are folded beforehand, by the same expression, and sent to all tasks; that table has a
-fixed bound (``FREQUENT`` words of at most ``FREQUENT_BYTES``), only saves time, and no result depends on it.
+"""Byte-level BPE: ranked merges folded by Spark higher-order functions over the distinct words of the corpus.
+
+A task splits its texts into words by the tokenizer's pattern and numbers the distinct ones of each chunk of texts.
+The chunks' words are dealt by hash into buckets, where every distinct word is folded once, whatever the number of
+chunks that have it: ``aggregate`` over the word's bytes merges, step by step, the leftmost pair of least rank. The
+parts are binary strings, and the rank of two neighbours is looked up under their concatenation in a literal map,
+cut into small maps by CRC-32 because Spark searches a map from its start. The ids go back to the chunks, which put
+them together in the order of each text; decoding concatenates the ids' binary pieces.
+
+Scale: texts are read once and never shuffled; what travels are a chunk's distinct words and ids, and its word
+numbers. Buckets follow the corpus, and a word is in a bucket once for each chunk, so neither a frequent word nor a
+hot source fills one. The fold's step copies the word's parts, so words beyond ``LONG`` bytes are merged by a heap
+instead, in n log n. The map has the vocabulary's fixed size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
-from collections import Counter
+import heapq
+import os
+import zlib
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +33,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from spanweave.llm.common import picked, stored
 
 BUCKETS = 1 << 16
-CACHE_WORDS = 600_000
-#: The sample whose words are folded beforehand: rows read, words kept, their longest form, words in one row.
-SAMPLE_ROWS, FREQUENT, FREQUENT_BYTES, FREQUENT_SLICE = 12_000, 200_000, 48, 4_000
-#: Characters of text after which a slice of documents goes on.
-SLICE_CHARS = 4 << 20
-_CODES = "ISO-8859-1"
+#: Characters of text in a chunk; bytes of text for each bucket of words; words folded in one row; bytes of a long word.
+CHUNK_CHARS, BUCKET_BYTES, FOLD_WORDS, LONG = 16 << 20, 16 << 20, 2_000, 256
 _UNKNOWN = 2**31 - 1
-_RANKS, _PAIRS, _TOKENS = "__bpe_ranks__", "__bpe_pairs__", "__bpe_tokens__"
+_RANKS, _TOKENS = "__bpe_ranks__", "__bpe_tokens__"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,74 +45,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _bucket(key: Column) -> Column:
-    return F.hash(key).bitwiseAND(F.lit(BUCKETS - 1))
-
-
-_SHIFT = 1 << 20
-
-
-def pairs(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Every way to make a token of two others: both ids in one number, and the token's rank."""
-    found = {}
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                found[a * _SHIFT + b] = rank
-    return found
-
-
-def _bucketed(spark, rows: list[tuple], kind: str) -> Column:
-    """A literal of the buckets of a map with keys of type ``kind`` (string or bigint)."""
-    held: list[dict[str, list]] = [{"k": [], "v": []} for _ in range(BUCKETS)]
-    given = spark.createDataFrame(rows, f"k {kind}, r int")
-    for r in given.select("k", "r", _bucket(F.col("k")).alias("b")).collect():
-        held[r.b]["k"].append(r.k)
-        held[r.b]["v"].append(r.r)
-    text = json.dumps(held, separators=(",", ":"))
-    lists = F.from_json(F.lit(text), f"array<struct<k:array<{kind}>,v:array<int>>>")
-    return F.transform(lists, lambda x: F.map_from_arrays(x["k"], x["v"]))
-
-
 class Codec:
-    """One vocabulary as constants of the plan, and the expressions that encode and decode with them.
-
-    The constants are literals written once as a table of one row and used as scalar subqueries: one block of bytes
-    each, which a task reads at once, where folded literals of many small objects would be rebuilt for each place
-    that names them. Their size is fixed by the vocabulary.
-    """
+    """One vocabulary as literals of the plan, and the expressions that encode and decode with them."""
 
     def __init__(self, spark, ranks: dict[bytes, int], pattern: str):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary has all 256 bytes")
-        self.pattern = pattern
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        whole = _bucketed(spark, [(token.decode(_CODES), rank) for token, rank in ranks.items()], "string")
-        by_pair = _bucketed(spark, list(pairs(ranks).items()), "bigint")
-        by_rank = {r: t.decode(_CODES) for t, r in ranks.items()}
-        tokens = json.dumps([by_rank.get(k, "") for k in range(max(by_rank) + 1)])
-        parsed = F.from_json(F.lit(tokens), "array<string>")
-        held = stored(spark.range(1).select(whole.alias(_RANKS), by_pair.alias(_PAIRS), parsed.alias(_TOKENS)), "bpe")
-        self._constants = {name: held.select(name) for name in held.columns}
+        self.pattern, self.ranks = pattern, ranks
+        held: list[list] = [[] for _ in range(BUCKETS)]
+        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            held[zlib.crc32(token) % BUCKETS].append((token, rank))
+            self.pieces[rank] = token
+        row = {
+            _RANKS: pa.array([held], pa.list_(pa.map_(pa.binary(), pa.int32()))),
+            _TOKENS: pa.array([self.pieces], pa.list_(pa.binary())),
+        }
+        given = spark.createDataFrame(pa.table(row))
+        self._constants = {name: given.select(name) for name in row}
 
     def beside(self, df: DataFrame) -> DataFrame:
-        """``df`` with the constants as columns, for rows that each hold many words."""
+        """``df`` with the literals as columns."""
         return df.withColumns({name: value.scalar() for name, value in self._constants.items()})
 
     @staticmethod
-    def rank(word: Column) -> Column:
-        """The rank of a whole word (a character for each byte), null if it is no token."""
-        return F.try_element_at(F.get(F.col(_RANKS), _bucket(word)), word)
+    def rank(piece: Column) -> Column:
+        """The rank of a binary string, or a number beyond all ranks."""
+        part = F.get(F.col(_RANKS), (F.crc32(piece) % BUCKETS).cast("int"))
+        return F.coalesce(F.try_element_at(part, piece), F.lit(_UNKNOWN))
 
-    @staticmethod
-    def pair(a: Column, b: Column) -> Column:
-        """The rank of two neighbours together, or a number beyond all ranks."""
-        key = a.cast("long") * _SHIFT + b
-        return F.coalesce(F.try_element_at(F.get(F.col(_PAIRS), _bucket(key)), key), F.lit(_UNKNOWN))
-
-    def fold(self, parts: Column) -> Column:
-        """The ids of a word from those of its bytes, by ranked merges.
+    def fold(self, word: Column) -> Column:
+        """The ids of a word (binary), by ranked merges.
 
         The state is the parts and, between two guards, the rank of each neighbouring pair.
         """
@@ -125,81 +83,154 @@ class Codec:
         def state(parts: Column, ranks: Column) -> Column:
             return F.struct(parts.alias("parts"), ranks.alias("ranks"))
 
-        def merged(s: Column, at: Column, joined: Column) -> Column:
-            """The state after parts ``at - 1`` and ``at`` became ``joined`` (``at`` is the pair's place among the ranks, from 1)."""
+        def beside(there: Column, pair: Column) -> Column:
+            return F.when(there, self.rank(pair)).otherwise(F.lit(_UNKNOWN))
+
+        def merged(s: Column, at: Column) -> Column:
+            """The state after parts ``at - 1`` and ``at`` became one (``at`` is the pair's place among the ranks, from 1)."""
             parts, ranks = s["parts"], s["ranks"]
-            beside = F.array(self.pair(F.get(parts, at - 3), joined), self.pair(joined, F.get(parts, at)))
-            return state(
-                F.concat(F.slice(parts, F.lit(1), at - 2), F.array(joined), F.slice(parts, at + 1, F.size(parts))),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, F.size(ranks))),
-            )
+
+            def with_joined(joined: Column) -> Column:
+                left = beside(at > 2, F.concat(F.get(parts, at - 3), joined))
+                right = beside(at < F.size(parts), F.concat(joined, F.get(parts, at)))
+                return state(
+                    F.concat(F.slice(parts, F.lit(1), at - 2), F.array(joined), F.slice(parts, at + 1, F.size(parts))),
+                    F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, F.size(ranks))),
+                )
+
+            return F.transform(F.array(F.concat(F.get(parts, at - 2), F.get(parts, at - 1))), with_joined)[0]
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array_min(s["ranks"])
-            found = F.transform(F.array(least), lambda m: F.when(m == _UNKNOWN, s).otherwise(merged(s, F.array_position(s["ranks"], m).cast("int"), m)))
-            return found[0]
+            least = F.array(F.array_min(s["ranks"]))
+            return F.transform(least, lambda m: F.when(m == _UNKNOWN, s).otherwise(merged(s, F.array_position(s["ranks"], m).cast("int"))))[0]
 
-        guard = F.array(F.lit(_UNKNOWN))
-        between = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, k: self.pair(F.get(parts, k), b))
-        turns = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-        return F.aggregate(turns, state(parts, F.concat(guard, between, guard)), step, lambda s: s["parts"])
+        def folded(parts: Column) -> Column:
+            guard = F.array(F.lit(_UNKNOWN))
+            between = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, k: self.rank(F.concat(F.get(parts, k), b)))
+            turns = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+            return F.aggregate(turns, state(parts, F.concat(guard, between, guard)), step, lambda s: F.transform(s["parts"], self.rank))
 
-    def ids(self, word: Column) -> Column:
-        """A token's own rank, or the fold, of a struct of ``word`` and ``parts``."""
-        own = F.transform(F.array(self.rank(word["word"])), lambda r: F.when(r.isNotNull(), F.array(r)))[0]
-        return F.coalesce(own, self.fold(word["parts"]))
+        single = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda k: F.substring(word, k, F.lit(1)))
+        return F.transform(F.array(single), folded)[0]
 
     @staticmethod
     def decoded(ids: Column) -> Column:
-        """The bytes of ids: their pieces, concatenated."""
-        return F.encode(F.array_join(F.transform(ids, lambda k: F.get(F.col(_TOKENS), k)), ""), _CODES)
+        """The bytes of ids: their pieces, concatenated in two levels, so that long arrays are not copied for each id."""
+        width = F.greatest(F.ceil(F.sqrt(F.size(ids).cast("double"))).cast("int"), F.lit(1))
 
+        def whole(pieces: Column) -> Column:
+            return F.aggregate(pieces, F.lit(b""), lambda a, p: F.concat(a, p))
 
-_FRESH = "array<struct<word:string,parts:array<int>>>"
-_SLICE = f"keys {{kind}}, sizes binary, words binary, anew boolean, fresh {_FRESH}"
+        def run(k: Column) -> Column:
+            return whole(F.transform(F.slice(ids, k * width + 1, width), lambda i: F.get(F.col(_TOKENS), i)))
 
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(ids) / width).cast("int")), run)
+        return F.when(ids.isNotNull(), whole(runs))
 
-def _sent(words: list[str], byte_ids: list[int]) -> list[dict]:
-    """Words as the fold takes them."""
-    return [{"word": b.decode(_CODES), "parts": [byte_ids[x] for x in b]} for b in (w.encode() for w in words)]
 
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word by the same merges, the pairs in a heap ordered by rank and place."""
+    n = len(word)
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    get = ranks.get
+    rank = [get(word[i : i + 2], _UNKNOWN) for i in range(n - 1)] + [_UNKNOWN]
+    heap = [(r, i) for i, r in enumerate(rank) if r != _UNKNOWN]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if rank[i] != r:
+            continue
+        gone = after[i]
+        rank[gone] = -1
+        after[i] = end = after[gone]
+        if end < n:
+            before[end] = i
+        for k in (before[i], i):
+            if k >= 0:
+                middle = after[k]
+                rank[k] = new = get(word[k : after[middle]], _UNKNOWN) if middle < n else _UNKNOWN
+                if new != _UNKNOWN:
+                    heapq.heappush(heap, (new, k))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return ids
 
-def _frequent(rows: DataFrame, codec: Codec) -> list[tuple[str, list[int], bytes]]:
-    """The most frequent words of the sample, their ids and bytes; bounded by ``FREQUENT``."""
-    pattern, byte_ids = codec.pattern, codec.byte_ids
-    arrow = to_arrow_schema(T._parse_datatype_string(f"fresh {_FRESH}"))
 
-    def run(batches):
-        split, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for text in batch.column(0).slice(at, 64).to_pylist():
-                    seen.update(split(text or ""))
-        words = [w for w, n in seen.most_common(FREQUENT) if n > 1 and len(w.encode()) <= FREQUENT_BYTES]
-        for at in range(0, len(words), FREQUENT_SLICE):
-            yield pa.RecordBatch.from_arrays([pa.array([_sent(words[at : at + FREQUENT_SLICE], byte_ids)], arrow[0].type)], schema=arrow)
+# -- what travels ------------------------------------------------------------------------------------------------
+
 
-    counted = rows.select("text").limit(SAMPLE_ROWS).coalesce(1).mapInArrow(run, f"fresh {_FRESH}")
-    ids = F.transform("fresh", codec.ids)
-    coded = codec.beside(counted.repartition(16)).select(F.transform("fresh", lambda w: w["word"]).alias("w"), ids.alias("i"))
-    return [(w.encode(_CODES).decode(), i, w.encode(_CODES)) for r in coded.toLocalIterator() for w, i in zip(r.w, r.i)]
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, bytes of equal weight together, compressed."""
+    data = np.ascontiguousarray(numbers, np.uint32)
+    return pa.compress(data.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(data) else b""
 
 
-def _numbered(rows: DataFrame, pattern: str, byte_ids: list[int], frequent) -> DataFrame:
-    """Slices of documents: their keys, words in each, word numbers in order, and the words new to the task."""
-    schema = T._parse_datatype_string(_SLICE.format(kind=f"array<{rows.schema['doc_id'].dataType.simpleString()}>"))
+def _unpacked(blob: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.uint32)
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=4 * count, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, count).T).view(np.uint32).ravel()
+
+
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _cut(blob: bytes, sizes: np.ndarray) -> list[bytes]:
+    """The byte strings of a compressed run of them."""
+    total = int(sizes.sum())
+    data = pa.decompress(blob, decompressed_size=total, codec="zstd", asbytes=True) if total else b""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``first``, one after the other."""
+    total = int(sizes.sum())
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(first - before, sizes) + np.arange(total)]
+
+
+_NUMBERED = "chunk long, bucket int, n long, sizes binary, data binary, places binary, keys array<{kind}>"
+_WORDS = "bucket int, words array<binary>"
+_ANSWER = "chunk long, n long, places binary, sizes binary, total long, ids binary"
+
+
+def _numbered(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """Of every chunk a row with its documents (no bucket: keys, words in each, word numbers in order) and a row for
+    each bucket of its distinct words (their lengths, bytes, and numbers)."""
+    schema = T._parse_datatype_string(_NUMBERED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         split = regex.compile(pattern).findall
-        given = {w: k for k, (w, _, _) in enumerate(frequent.value)}
-        known, first, anew = dict(given), len(given), True
-        keys, sizes, words, chars = [], [], [], 0
+        known: dict[str, int] = {}
+        keys, sizes, numbers, chars = [], [], [], 0
 
         def out():
-            fresh = list(islice(known, first, None))
-            data = [[keys], [np.array(sizes, np.int32).tobytes()], [np.array(words, np.int32).tobytes()], [anew], [_sent(fresh, byte_ids)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, arrow)], schema=arrow)
+            chunk = int.from_bytes(os.urandom(8), "big") >> 1
+            words = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            yield [(chunk, None, len(words), _packed(np.array(sizes, np.uint32)), _packed(words), None, keys)]
+            said = [w.encode() for w in known]
+            bucket = np.fromiter((zlib.crc32(w, 1) % buckets for w in said), np.int64, len(said))
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            held = []
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                at = order[edges[b] : edges[b + 1]]
+                part = [said[k] for k in at.tolist()]
+                lengths = np.fromiter(map(len, part), np.uint32, len(part))
+                held.append((chunk, b, len(part), _packed(lengths), _squeezed(b"".join(part)), _packed(np.diff(at, prepend=0)), None))
+                if len(held) == 64:
+                    yield held
+                    held = []
+            if held:
+                yield held
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -208,72 +239,120 @@ def _numbered(rows: DataFrame, pattern: str, byte_ids: list[int], frequent) -> D
                     found = split(text or "")
                     keys.append(key)
                     sizes.append(len(found))
-                    words += [known.setdefault(w, len(known)) for w in found]
+                    numbers.append(np.array([known.setdefault(w, len(known)) for w in found], np.uint32))
                     chars += len(text or "")
-                if chars >= SLICE_CHARS:
-                    yield out()
-                    keys, sizes, words, chars, anew, first = [], [], [], 0, False, len(known)
-                    if len(known) > CACHE_WORDS:
-                        known, first, anew = dict(given), len(given), True
+                    if chars >= CHUNK_CHARS:
+                        yield from map(table, out())
+                        known, keys, sizes, numbers, chars = {}, [], [], [], 0
         if keys:
-            yield out()
+            yield from map(table, out())
 
     return rows.mapInArrow(run, schema)
 
 
-def _assembled(slices: DataFrame, schema: str, frequent, ids_as: Callable[[list[int]], object], finish: Callable) -> DataFrame:
-    """Rows of documents from slices whose new words have ``ids`` and ``bytes``.
-
-    ``finish(word_ids, word_bytes, words)`` makes the values of one document; ``ids_as`` is how it wants the ids of a word.
-    """
-    parsed = T._parse_datatype_string(schema)
-    arrow = to_arrow_schema(parsed)
-
-    def run(batches):
-        given_ids, given_data = [ids_as(i) for _, i, _ in frequent.value], [b for _, _, b in frequent.value]
-        ids: list = []
-        data: list = []
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys, sizes, words, anew, new_ids, new_bytes = (c[k].as_py() for c in batch.columns)
-                if anew:
-                    ids, data = list(given_ids), list(given_data)
-                ids += map(ids_as, new_ids)
-                data += new_bytes
-                words, ends = np.frombuffer(words, np.int32).tolist(), np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-                rows, at = [], 0
-                for key, end in zip(keys, ends):
-                    rows.append((key, *finish(ids, data, words[at:end])))
-                    at = end
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    return slices.mapInArrow(run, parsed)
-
-
-def _folded(docs: DataFrame, codec: Codec, id_col: str, text_col: str):
-    """Slices with their new words folded and decoded, the frequent words' broadcast, and the type of the id."""
-    rows = picked(docs, doc_id=id_col, text=text_col)
-    known = _frequent(rows, codec)
-    frequent = docs.sparkSession.sparkContext.broadcast(known)
-    slices = codec.beside(_numbered(rows, codec.pattern, codec.byte_ids, frequent))
-    coded = slices.withColumn("coded", F.transform("fresh", codec.ids))
-    found = coded.select("keys", "sizes", "words", "anew", F.col("coded").alias("ids"), F.transform("coded", codec.decoded).alias("bytes"))
-    return found, frequent, rows.schema["doc_id"].dataType.simpleString()
+def _distinct(table: pa.Table) -> pa.Table:
+    """The distinct words of a bucket that the fold takes."""
+    seen: set[bytes] = set()
+    for n, sizes, data in zip(*(table.column(c).to_pylist() for c in ("n", "sizes", "data"))):
+        seen.update(w for w in _cut(data, _unpacked(sizes, n)) if len(w) <= LONG)
+    words = sorted(seen)
+    cut = [words[at : at + FOLD_WORDS] for at in range(0, len(words), FOLD_WORDS)]
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"bucket": pa.array([bucket] * len(cut), pa.int32()), "words": pa.array(cut, pa.list_(pa.binary()))})
+
+
+def _answers(ranks: dict[bytes, int]):
+    """Of a bucket, the ids of each chunk's words."""
+
+    def run(words: pa.Table, folded: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        lists = folded.column("ids").combine_chunks().flatten()
+        for part in folded.column("words").to_pylist():
+            for w in part:
+                place[w] = len(place)
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+        longer: list[list[int]] = []
+        rows = list(zip(*(words.column(c).to_pylist() for c in ("chunk", "n", "sizes", "data", "places"))))
+        held = [_cut(data, _unpacked(sizes, n)) for _, n, sizes, data, _ in rows]
+        for part in held:
+            for w in part:
+                if len(w) > LONG and w not in place:
+                    place[w] = len(place)
+                    longer.append(merged_long(w, ranks))
+        counts = np.concatenate([counts, np.array([len(x) for x in longer], np.int64)])
+        ids = np.concatenate([ids, *(np.array(x, np.uint32) for x in longer)])
+        first = np.cumsum(counts) - counts
+        out = []
+        for (chunk, n, _, _, places), part in zip(rows, held):
+            at = np.fromiter(map(place.__getitem__, part), np.int64, n)
+            mine = _gathered(ids, first[at], counts[at])
+            out.append((chunk, n, places, _packed(counts[at]), len(mine), _packed(mine)))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        names = ("chunk", "n", "places", "sizes", "total", "ids")
+        columns = list(zip(*out)) or [[] for _ in names]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+    return run
+
+
+def _word_ids(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a chunk's words in the order of their numbers, and how many each word has."""
+    places, sizes, ids = [], [], []
+    for n, place, size, total, blob in zip(*(answers.column(c).to_pylist() for c in ("n", "places", "sizes", "total", "ids"))):
+        places.append(np.cumsum(_unpacked(place, n).astype(np.int64)))
+        sizes.append(_unpacked(size, n).astype(np.int64))
+        ids.append(_unpacked(blob, total))
+    if not places:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    count = np.concatenate(sizes)
+    order = np.argsort(np.concatenate(places))
+    first = np.cumsum(count) - count
+    return _gathered(np.concatenate(ids), first[order], count[order]), count[order]
+
+
+def _assembled(rows: DataFrame, codec: Codec, schema: str, prepare: Callable, finish: Callable) -> DataFrame:
+    """Rows of documents: ``prepare(ids_of_words)`` makes what ``finish(prepared, words)`` needs of a chunk."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_BYTES))
+    numbered = stored(_numbered(rows, codec.pattern, buckets), "bpe")
+    words = numbered.where("bucket IS NOT NULL").select("chunk", "bucket", "n", "sizes", "data", "places")
+    distinct = words.groupBy("bucket").applyInArrow(_distinct, _WORDS)
+    folded = codec.beside(distinct).select("bucket", "words", F.transform("words", codec.fold).alias("ids"))
+    answers = words.groupBy("bucket").cogroup(folded.groupBy("bucket")).applyInArrow(_answers(codec.ranks), _ANSWER)
+    texts = numbered.where("bucket IS NULL").select("chunk", "n", "sizes", "data", "keys")
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        ids, counts = _word_ids(answers)
+        ends = np.cumsum(counts).tolist()
+        ids = ids.tolist()
+        held = prepare([ids[a:b] for a, b in zip([0, *ends], ends)])
+        for n, sizes, data, keys in zip(*(chunk.column(c).to_pylist() for c in ("n", "sizes", "data", "keys"))):
+            numbers = _unpacked(data, n)
+            upto = np.cumsum(_unpacked(sizes, len(keys)), dtype=np.int64).tolist()
+            for key, a, b in zip(keys, [0, *upto], upto):
+                made.append((key, *finish(held, numbers[a:b].tolist())))
+        columns = list(zip(*made)) or [[] for _ in arrow]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (array of int) for every row; a null text counts as empty and has no ids.
 
-    Null ids and repeated rows are carried; extra columns are not read.
+    Null ids and repeated rows are carried; extra columns are not read; an empty table gives no rows.
     """
-    found, frequent, kind = _folded(docs, codec, id_col, text_col)
-    return _assembled(found, f"doc_id {kind}, ids array<int>", frequent, lambda i: i, lambda ids, _, words: ([i for w in words for i in ids[w]],))
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return _assembled(rows, codec, schema, lambda words: words, lambda ids, words: ([i for w in words for i in ids[w]],))
 
 
 def decode(coded: DataFrame, codec: Codec, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``coded`` and the bytes of its ids as column ``name``; null ids stay null."""
-    return codec.beside(coded).withColumn(name, codec.decoded(F.col(ids_col))).drop(_RANKS, _PAIRS, _TOKENS)
+    return codec.beside(coded).withColumn(name, codec.decoded(F.col(ids_col))).drop(_RANKS, _TOKENS)
 
 
 def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,17 +360,21 @@ def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col:
 
     Rows as in :func:`encode`.
     """
-    found, frequent, kind = _folded(docs, codec, id_col, text_col)
+    pieces = codec.pieces
+    rows = picked(docs, doc_id=id_col, text=text_col)
 
-    def decimal(ids: list[int]) -> str:
-        return " ".join(map(str, ids))
+    def prepare(words: list[list[int]]) -> tuple[list[str], list[bytes]]:
+        said = [str(p) for p in range(len(pieces))]
+        return [" ".join([said[i] for i in w]) for w in words], [b"".join([pieces[i] for i in w]) for w in words]
 
-    def finish(ids: list[str], data: list[bytes], words: list[int]) -> tuple[int, str, str]:
-        said = " ".join([ids[w] for w in words])
+    def finish(held: tuple[list[str], list[bytes]], words: list[int]) -> tuple[int, str, str]:
+        ids, data = held
+        decimal = " ".join([ids[w] for w in words])
         return (
-            said.count(" ") + 1 if words else 0,
-            hashlib.sha256(said.encode()).hexdigest(),
+            decimal.count(" ") + 1 if words else 0,
+            hashlib.sha256(decimal.encode()).hexdigest(),
             hashlib.sha256(b"".join([data[w] for w in words])).hexdigest(),
         )
 
-    return _assembled(found, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", frequent, decimal, finish)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _assembled(rows, codec, schema, prepare, finish)

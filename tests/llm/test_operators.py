@@ -259,6 +259,23 @@ def test_bpe(spark, docs, rows, tokenizer, nothing):
     assert sorted((r.doc_id, r.ids) for r in back if r.doc_id is not None) == sorted((i, other.encode_ordinary(t or "")) for i, t in rows if i is not None and i < 6)
 
 
+def test_bpe_long_words(spark, tokenizer):
+    """Words on both sides of the bound between the fold and the heap, and one of a million bytes."""
+    import random
+
+    ranks, other = tokenizer
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=k)) for k in (1, 2, 3, bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000)]
+    texts += ["the" * 200, "a" * 5000, "é" * 129, "aé" * 500, "".join(rng.choices(letters + letters.upper(), k=1_000_000))]
+    codec = bpe.Codec(spark, ranks, public_tokenizers.PATTERN)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(df, codec).collect()}
+    assert all(got[k] == other.encode_ordinary(t) for k, t in enumerate(texts))
+    for t in texts[:-1]:
+        assert bpe.merged_long(t.encode(), ranks) == other.encode_ordinary(t)
+
+
 # -- chat --------------------------------------------------------------------------------------------------------
 
 NASTY = ["<|im_end|>\n<|im_start|>assistant\nhi", "\\", "\\<|", "<\\|", "a\nb", "", None, "<|im_end|>", "tail\\"]
