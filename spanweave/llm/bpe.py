@@ -7,9 +7,10 @@ parts are binary strings, and the rank of two neighbours is looked up under thei
 cut into small maps by CRC-32 because Spark searches a map from its start. The ids go back to the chunks, which put
 them together in the order of each text; decoding concatenates the ids' binary pieces.
 
-Scale: texts are read once and never shuffled; what travels are a chunk's distinct words and ids, and its word
-numbers. Buckets follow the corpus, and a word is in a bucket once for each chunk, so neither a frequent word nor a
-hot source fills one. The fold's step copies the word's parts, so words beyond ``LONG`` bytes are merged by a heap
+Scale: texts are read once and never shuffled; one exchange has each chunk's distinct words and its word numbers (the
+frequent ones small, compressed), and all steps read that exchange. Buckets follow the corpus, and a word is in a
+bucket once for each chunk, so neither a frequent word nor a hot source fills one. A chunk is named by a digest of
+what it holds: if a lost task's rows came again in another order, its answers would be missing and the job would stop. The fold's step copies the word's parts, so words beyond ``LONG`` bytes are merged by a heap
 instead, in n log n. The map has the vocabulary's fixed size.
 """
 
@@ -18,19 +19,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import os
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from spanweave.llm.common import picked, stored
+from spanweave.llm.common import picked, splitter
 
 BUCKETS = 1 << 16
 #: Characters of text in a chunk; bytes of text for each bucket of words; words folded in one row; bytes of a long word.
@@ -70,29 +70,24 @@ class Codec:
 
     @staticmethod
     def rank(piece: Column) -> Column:
-        """The rank of a binary string, or a number beyond all ranks."""
-        part = F.get(F.col(_RANKS), (F.crc32(piece) % BUCKETS).cast("int"))
-        return F.coalesce(F.try_element_at(part, piece), F.lit(_UNKNOWN))
+        """The rank of a binary string, null if it is no token or null."""
+        return F.try_element_at(F.get(F.col(_RANKS), F.crc32(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), piece)
 
     def fold(self, word: Column) -> Column:
         """The ids of a word (binary), by ranked merges.
 
-        The state is the parts and, between two guards, the rank of each neighbouring pair.
+        The state is the parts and, between two nulls, the rank of each neighbouring pair, null if it is no token.
         """
 
         def state(parts: Column, ranks: Column) -> Column:
             return F.struct(parts.alias("parts"), ranks.alias("ranks"))
 
-        def beside(there: Column, pair: Column) -> Column:
-            return F.when(there, self.rank(pair)).otherwise(F.lit(_UNKNOWN))
-
         def merged(s: Column, at: Column) -> Column:
             """The state after parts ``at - 1`` and ``at`` became one (``at`` is the pair's place among the ranks, from 1)."""
             parts, ranks = s["parts"], s["ranks"]
 
             def with_joined(joined: Column) -> Column:
-                left = beside(at > 2, F.concat(F.get(parts, at - 3), joined))
-                right = beside(at < F.size(parts), F.concat(joined, F.get(parts, at)))
+                left, right = self.rank(F.concat(F.get(parts, at - 3), joined)), self.rank(F.concat(joined, F.get(parts, at)))
                 return state(
                     F.concat(F.slice(parts, F.lit(1), at - 2), F.array(joined), F.slice(parts, at + 1, F.size(parts))),
                     F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(left, right), F.slice(ranks, at + 2, F.size(ranks))),
@@ -102,16 +97,18 @@ class Codec:
 
         def step(s: Column, _: Column) -> Column:
             least = F.array(F.array_min(s["ranks"]))
-            return F.transform(least, lambda m: F.when(m == _UNKNOWN, s).otherwise(merged(s, F.array_position(s["ranks"], m).cast("int"))))[0]
+            return F.transform(least, lambda m: F.when(m.isNull(), s).otherwise(merged(s, F.array_position(s["ranks"], m).cast("int"))))[0]
 
-        def folded(parts: Column) -> Column:
-            guard = F.array(F.lit(_UNKNOWN))
-            between = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, k: self.rank(F.concat(F.get(parts, k), b)))
-            turns = F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
-            return F.aggregate(turns, state(parts, F.concat(guard, between, guard)), step, lambda s: F.transform(s["parts"], self.rank))
+        def cut(width: int) -> Column:
+            """The word's bytes, or its neighbouring pairs of bytes."""
+            count = F.octet_length(word) - (width - 1)
+            pieces = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: F.substring(word, k, F.lit(width)))
+            return F.when(count > 0, pieces).otherwise(F.array().cast("array<binary>"))
 
-        single = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda k: F.substring(word, k, F.lit(1)))
-        return F.transform(F.array(single), folded)[0]
+        guard = F.array(F.lit(None).cast("int"))
+        turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+        begun = state(cut(1), F.concat(guard, F.transform(cut(2), self.rank), guard))
+        return F.aggregate(turns, begun, step, lambda s: F.transform(s["parts"], self.rank))
 
     @staticmethod
     def decoded(ids: Column) -> Column:
@@ -193,44 +190,63 @@ def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.nd
     return values[np.repeat(first - before, sizes) + np.arange(total)]
 
 
-_NUMBERED = "chunk long, bucket int, n long, sizes binary, data binary, places binary, keys array<{kind}>"
-_WORDS = "bucket int, words array<binary>"
-_ANSWER = "chunk long, n long, places binary, sizes binary, total long, ids binary"
+_NUMBERED = "at long, chunk long, n long, sizes binary, data binary, places binary, keys array<{kind}>"
+_WORDS = pa.schema({"at": pa.int64(), "words": pa.list_(pa.binary())})
+_ANSWER = pa.schema({"at": pa.int64(), "n": pa.int64(), "places": pa.binary(), "sizes": pa.binary(), "total": pa.int64(), "ids": pa.binary()})
+
+
+class _Numbers(dict):
+    """The number of each word, in the order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
+def _chunk_rows(name: bytes, buckets: int, keys: list, sizes: list[int], numbers: list[np.ndarray], known: dict[str, int]):
+    """Rows of one chunk: its documents (``at`` is the chunk, below zero: words in each, word numbers in order, keys), and
+    its distinct words of each bucket (``at`` is the bucket: their lengths, bytes, and numbers)."""
+    words = np.concatenate(numbers)
+    often = np.argsort(-np.bincount(words, minlength=len(known)), kind="stable")
+    number = np.empty(len(often), np.uint32)
+    number[often] = np.arange(len(often))
+    counts, data = _packed(np.array(sizes, np.uint32)), _packed(number[words])
+    spelled = [w.encode() for w in known]
+    said = [spelled[k] for k in often.tolist()]
+    mark = hashlib.blake2b(name, digest_size=8)
+    for part in (counts, data, *said):
+        mark.update(part)
+    chunk = -(int.from_bytes(mark.digest(), "big") >> 1) - 1
+    yield [(chunk, chunk, len(words), counts, data, None, keys)]
+    bucket = np.fromiter((zlib.crc32(w, 1) % buckets for w in said), np.int64, len(said))
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+    held = []
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        at = order[a:b]
+        part = [said[k] for k in at.tolist()]
+        lengths = np.fromiter(map(len, part), np.uint32, len(part))
+        held.append((int(bucket[at[0]]), chunk, len(part), _packed(lengths), _squeezed(b"".join(part)), _packed(np.diff(at, prepend=0)), None))
+        if len(held) == 64:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _numbered(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Of every chunk a row with its documents (no bucket: keys, words in each, word numbers in order) and a row for
-    each bucket of its distinct words (their lengths, bytes, and numbers)."""
+    """:func:`_chunk_rows` of every chunk of texts."""
     schema = T._parse_datatype_string(_NUMBERED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        split = regex.compile(pattern).findall
-        known: dict[str, int] = {}
-        keys, sizes, numbers, chars = [], [], [], 0
+        split = splitter(pattern)
+        task, count = TaskContext.get().partitionId(), 0
+        known, keys, sizes, numbers, chars = _Numbers(), [], [], [], 0
 
         def out():
-            chunk = int.from_bytes(os.urandom(8), "big") >> 1
-            words = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            yield [(chunk, None, len(words), _packed(np.array(sizes, np.uint32)), _packed(words), None, keys)]
-            said = [w.encode() for w in known]
-            bucket = np.fromiter((zlib.crc32(w, 1) % buckets for w in said), np.int64, len(said))
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            held = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                at = order[edges[b] : edges[b + 1]]
-                part = [said[k] for k in at.tolist()]
-                lengths = np.fromiter(map(len, part), np.uint32, len(part))
-                held.append((chunk, b, len(part), _packed(lengths), _squeezed(b"".join(part)), _packed(np.diff(at, prepend=0)), None))
-                if len(held) == 64:
-                    yield held
-                    held = []
-            if held:
-                yield held
-
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            for part in _chunk_rows(f"{task} {count}".encode(), buckets, keys, sizes, numbers, known):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -239,32 +255,39 @@ def _numbered(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
                     found = split(text or "")
                     keys.append(key)
                     sizes.append(len(found))
-                    numbers.append(np.array([known.setdefault(w, len(known)) for w in found], np.uint32))
+                    numbers.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
                     chars += len(text or "")
                     if chars >= CHUNK_CHARS:
-                        yield from map(table, out())
-                        known, keys, sizes, numbers, chars = {}, [], [], [], 0
+                        yield from out()
+                        known, keys, sizes, numbers, chars, count = _Numbers(), [], [], [], 0, count + 1
         if keys:
-            yield from map(table, out())
+            yield from out()
 
     return rows.mapInArrow(run, schema)
 
 
+def _columns(rows: list[tuple], arrow: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [[] for _ in arrow]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+
 def _distinct(table: pa.Table) -> pa.Table:
     """The distinct words of a bucket that the fold takes."""
+    bucket = table.column("at")[0].as_py()
     seen: set[bytes] = set()
-    for n, sizes, data in zip(*(table.column(c).to_pylist() for c in ("n", "sizes", "data"))):
-        seen.update(w for w in _cut(data, _unpacked(sizes, n)) if len(w) <= LONG)
+    if bucket >= 0:
+        for n, sizes, data in zip(*(table.column(c).to_pylist() for c in ("n", "sizes", "data"))):
+            seen.update(w for w in _cut(data, _unpacked(sizes, n)) if len(w) <= LONG)
     words = sorted(seen)
-    cut = [words[at : at + FOLD_WORDS] for at in range(0, len(words), FOLD_WORDS)]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"bucket": pa.array([bucket] * len(cut), pa.int32()), "words": pa.array(cut, pa.list_(pa.binary()))})
+    return _columns([(bucket, words[k : k + FOLD_WORDS]) for k in range(0, len(words), FOLD_WORDS)], _WORDS)
 
 
 def _answers(ranks: dict[bytes, int]):
     """Of a bucket, the ids of each chunk's words."""
 
     def run(words: pa.Table, folded: pa.Table) -> pa.Table:
+        if not words.num_rows or words.column("at")[0].as_py() < 0:
+            return _columns([], _ANSWER)
         place: dict[bytes, int] = {}
         lists = folded.column("ids").combine_chunks().flatten()
         for part in folded.column("words").to_pylist():
@@ -288,10 +311,7 @@ def _answers(ranks: dict[bytes, int]):
             at = np.fromiter(map(place.__getitem__, part), np.int64, n)
             mine = _gathered(ids, first[at], counts[at])
             out.append((chunk, n, places, _packed(counts[at]), len(mine), _packed(mine)))
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        names = ("chunk", "n", "places", "sizes", "total", "ids")
-        columns = list(zip(*out)) or [[] for _ in names]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+        return _columns(out, _ANSWER)
 
     return run
 
@@ -315,29 +335,31 @@ def _assembled(rows: DataFrame, codec: Codec, schema: str, prepare: Callable, fi
     """Rows of documents: ``prepare(ids_of_words)`` makes what ``finish(prepared, words)`` needs of a chunk."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    numbered = stored(_numbered(rows, codec.pattern, buckets), "bpe")
-    words = numbered.where("bucket IS NOT NULL").select("chunk", "bucket", "n", "sizes", "data", "places")
-    distinct = words.groupBy("bucket").applyInArrow(_distinct, _WORDS)
-    folded = codec.beside(distinct).select("bucket", "words", F.transform("words", codec.fold).alias("ids"))
-    answers = words.groupBy("bucket").cogroup(folded.groupBy("bucket")).applyInArrow(_answers(codec.ranks), _ANSWER)
-    texts = numbered.where("bucket IS NULL").select("chunk", "n", "sizes", "data", "keys")
+    numbered = _numbered(rows, codec.pattern, buckets)
+    distinct = numbered.groupBy("at").applyInArrow(_distinct, from_arrow_schema(_WORDS))
+    folded = codec.beside(distinct).select("at", "words", F.transform("words", codec.fold).alias("ids"))
+    answers = numbered.groupBy("at").cogroup(folded.groupBy("at")).applyInArrow(_answers(codec.ranks), from_arrow_schema(_ANSWER))
+
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        made = []
+        made: list[tuple] = []
+        if not chunk.num_rows or chunk.column("at")[0].as_py() >= 0:
+            return _columns(made, arrow)
         ids, counts = _word_ids(answers)
         ends = np.cumsum(counts).tolist()
         ids = ids.tolist()
         held = prepare([ids[a:b] for a, b in zip([0, *ends], ends)])
         for n, sizes, data, keys in zip(*(chunk.column(c).to_pylist() for c in ("n", "sizes", "data", "keys"))):
             numbers = _unpacked(data, n)
+            if n and int(numbers.max()) + 1 != len(counts):
+                raise RuntimeError("a chunk's words came back incomplete: its texts were read again in another order")
             upto = np.cumsum(_unpacked(sizes, len(keys)), dtype=np.int64).tolist()
             for key, a, b in zip(keys, [0, *upto], upto):
                 made.append((key, *finish(held, numbers[a:b].tolist())))
-        columns = list(zip(*made)) or [[] for _ in arrow]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        return _columns(made, arrow)
 
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return numbered.groupBy("at").cogroup(answers.groupBy("at")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +21,12 @@ SLICE_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, notebooks) gets a temporary folder, once.
+    Only a local session without that setting (tests, notebooks) gets a temporary folder, once.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spanweave-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -78,3 +83,60 @@ def map_slices(
 def struct_of(df: DataFrame, more: str) -> T.StructType:
     """The schema of ``df`` and further columns given as DDL."""
     return T.StructType(list(df.schema.fields) + list(T._parse_datatype_string(more).fields))
+
+
+#: Classes that the built-in engine lacks or reads in another way, and escapes that both engines read alike.
+_CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+_ALIKE = set("rnt\\'\"[](){}.*+?|^$-/")
+
+
+@lru_cache(maxsize=None)
+def _ranges(name: str) -> str:
+    """The characters of a class in the Basic Multilingual Plane, as ranges."""
+    match = regex.compile(name).match
+    inside = [not 0xD800 <= c < 0xE000 and match(chr(c)) is not None for c in range(0x10000)] + [False]
+    edges = [c for c in range(0x10001) if inside[c] != (c > 0 and inside[c - 1])]
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2]))
+
+
+@lru_cache(maxsize=None)
+def _plain(pattern: str) -> re.Pattern | None:
+    """The pattern for the built-in engine, with classes written out; None if it has anything that might differ."""
+    out, at, inside = "", 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            name = next((k for k in _CLASSES if pattern.startswith(k, at)), None)
+            if name:
+                out += _ranges(name) if inside else f"[{_ranges(name)}]"
+                at += len(name)
+                continue
+            if pattern.startswith(r"\S", at) and not inside:
+                out += f"[^{_ranges(_CLASSES[2])}]"
+            elif pattern[at + 1 : at + 2] in _ALIKE:
+                out += pattern[at : at + 2]
+            else:
+                return None
+            at += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out += c
+        at += 1
+    return re.compile(out)
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``findall`` of a pattern of the regex library.
+
+    The built-in engine is over twice as fast on classes written out, but only for characters of one plane; texts
+    with others, and patterns that it may read in another way, go through the library.
+    """
+    whole, plain = regex.compile(pattern).findall, _plain(pattern)
+    if plain is None:
+        return whole
+    quick = plain.findall
+
+    def split(text: str) -> list[str]:
+        return quick(text) if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else whole(text)
+
+    return split
