@@ -3,8 +3,10 @@
 The corpus is dealt once into chunks of whole documents. Pass one: each chunk is a partition whose windows
 fill a sparse count-min sketch of ``DEPTH`` rows; the rows are cut into slices and each slice's partition
 sketches are merged. The merged counters only overestimate, so a window whose least counter is below two
-occurs once in the whole corpus and is dropped; each chunk gets back one bit per cell. Pass two: the windows
-estimated as repeated, and no others, are grouped exactly by 96 bits of hash over 64-bit word hashes.
+occurs once in the whole corpus and is dropped; each chunk gets back one bit per cell. The sketch uses a fast
+linear hash of the words: windows that share it are only overestimated. Pass two: the windows estimated as
+repeated, and no others, are grouped by the 128-bit BLAKE2b digest of their words, joined by one space, so equal
+means equal words (no two texts of one digest are known, and none can be made on purpose).
 
 Scale: sketch width follows the corpus (cells per window are fixed), and no task or broadcast holds more
 than one slice. A chunk sends one entry for each distinct window, so a passage that a third of the corpus
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.llm.common import picked
 
@@ -106,22 +109,45 @@ def _rolled(words: np.ndarray, base: int, size: int) -> np.ndarray:
     return _mix(out)
 
 
-def _windows(table: pa.Table, size: int):
-    """Of a chunk: first hash, second hash, start word and document of every window, and the word offsets."""
+def _data(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a chunk's texts end to end, and the offsets of the texts."""
     text = table.column("text").combine_chunks().fill_null("").cast(pa.large_string())
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    words, first = _word_hashes(data, offsets - offsets[0])
+    return data, offsets - offsets[0]
+
+
+def _windows(table: pa.Table, size: int):
+    """Of a chunk: the sketch's hash, start word and document of every window, and the word offsets."""
+    words, first = _word_hashes(*_data(table))
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
     if len(words) < size:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64), first
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), first
     start = np.flatnonzero(doc[: len(words) - size + 1] == doc[size - 1 :])
-    one = _rolled(words, 0x9FB21C651E98DF25, size)[start]
-    two = _rolled(words, 0xD1342543DE82EF95, size)[start]
-    return one, two, start, doc[start], first
+    return _rolled(words, 0x9FB21C651E98DF25, size)[start], start, doc[start], first
+
+
+def _digests(table: pa.Table, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digests of the windows' words that begin at some words of a chunk."""
+    data, offsets = _data(table)
+    gap = _SEPARATOR[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    last = ~gap
+    last[:-1] &= gap[1:] | edge[1:-1]
+    # Each word's bytes and one space: the place of a byte follows from the words before it.
+    kept = np.flatnonzero(~gap)
+    before = np.cumsum(last[kept]) - last[kept]
+    joined = np.full(len(kept) + int(last.sum()), 0x20, np.uint8)
+    joined[np.arange(len(kept)) + before] = data[kept]
+    ends = np.flatnonzero(last[kept]) + np.arange(int(last.sum())) + 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    view, digest = memoryview(joined.tobytes()), hashlib.blake2b
+    spans = zip(begins[start].tolist(), ends[start + size - 1].tolist())
+    raw = np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in spans]), ">u8").reshape(-1, 2)
+    return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -224,11 +250,13 @@ def _ids(table: pa.Table) -> np.ndarray:
 def _candidates(table: pa.Table, size: int, slices: int, answers: pa.Table):
     """The chunk's windows that the sketch leaves, grouped: first entry of each distinct window is its least document.
 
-    Returns order (indices of windows sorted by hashes and document), new (where a distinct window begins), all of _windows.
+    Returns, sorted by digest and document, both halves of the digests, ids, starts, documents, where a distinct window
+    begins, and the word offsets.
     """
-    one, two, start, doc, first = _windows(table, size)
-    at = np.flatnonzero(_repeated(one, slices, answers)) if len(one) else np.zeros(0, np.int64)
-    one, two, start, doc = one[at], (two[at] >> np.uint64(32)).astype(np.uint32), start[at], doc[at]
+    rolled, start, doc, first = _windows(table, size)
+    at = np.flatnonzero(_repeated(rolled, slices, answers)) if len(rolled) else np.zeros(0, np.int64)
+    start, doc = start[at], doc[at]
+    one, two = _digests(table, start, size) if len(start) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     ids = _ids(table)[doc]
     order = np.lexsort((ids, two, one))
     new = np.ones(len(order), bool)
@@ -268,7 +296,7 @@ def _grouped(table: pa.Table) -> pa.Table:
     part = table.column("slice")[0].as_py()
     sizes = np.array(table.column("n").to_pylist(), np.int64)
     one = np.concatenate([_unpacked(b.as_py(), n, np.uint64) for b, n in zip(table.column("one"), sizes)])
-    two = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("two")])
+    two = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("two")])
     ids = []
     for b, n in zip(table.column("doc"), sizes):
         raw = b.as_py()
@@ -331,8 +359,11 @@ def drop_repeats(
     Words are runs of anything but blanks 0x20 and 0x09 to 0x0D. A word goes if a window of ``window`` words
     that covers it also starts in a document with a smaller id. Null texts have no words; a null id counts as
     larger than any other; rows that share an id do not remove each other's words; extra columns are not read;
-    an empty table gives no rows. ``keep_text=False`` leaves ``kept_text`` null.
+    an empty table gives no rows; ids are whole numbers, others raise ``ValueError``. Rows that repeat both id and
+    text are dealt to one chunk. ``keep_text=False`` leaves ``kept_text`` null.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError("ids are compared, so they must be whole numbers")
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))

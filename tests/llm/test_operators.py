@@ -233,6 +233,20 @@ def test_png_is_read_by_others():
         media.from_png(png[:60] + b"?" + png[61:])
 
 
+def test_windows_of_equal_linear_hash(spark):
+    """Words that any polynomial hash modulo a power of two takes for equal are told apart."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    lead = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([one, *lead])), (2, " ".join([other, *lead])), (3, " ".join([other, *lead])), (4, "  \t".join([one, *lead]) + "\n")]
+    got = {r.doc_id: r.n_removed for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 13}
+    with pytest.raises(ValueError):
+        substrings.drop_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # -- byte-level BPE ----------------------------------------------------------------------------------------------
 
 
