@@ -80,11 +80,12 @@ class Codec:
         """
 
         def state(parts: Column, ranks: Column) -> Column:
-            return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+            """Parts, ranks, and the place of the leftmost pair of least rank among the ranks, from 1."""
+            return F.transform(F.array(ranks), lambda r: F.struct(parts.alias("parts"), r.alias("ranks"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))[0]
 
-        def merged(s: Column, at: Column) -> Column:
-            """The state after parts ``at - 1`` and ``at`` became one (``at`` is the pair's place among the ranks, from 1)."""
-            parts, ranks = s["parts"], s["ranks"]
+        def merged(s: Column) -> Column:
+            """The state after parts ``at - 1`` and ``at`` became one."""
+            parts, ranks, at = s["parts"], s["ranks"], s["at"]
 
             def with_joined(joined: Column) -> Column:
                 left, right = self.rank(F.concat(F.get(parts, at - 3), joined)), self.rank(F.concat(joined, F.get(parts, at)))
@@ -95,10 +96,6 @@ class Codec:
 
             return F.transform(F.array(F.concat(F.get(parts, at - 2), F.get(parts, at - 1))), with_joined)[0]
 
-        def step(s: Column, _: Column) -> Column:
-            least = F.array(F.array_min(s["ranks"]))
-            return F.transform(least, lambda m: F.when(m.isNull(), s).otherwise(merged(s, F.array_position(s["ranks"], m).cast("int"))))[0]
-
         def cut(width: int) -> Column:
             """The word's bytes, or its neighbouring pairs of bytes."""
             count = F.octet_length(word) - (width - 1)
@@ -108,7 +105,7 @@ class Codec:
         guard = F.array(F.lit(None).cast("int"))
         turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
         begun = state(cut(1), F.concat(guard, F.transform(cut(2), self.rank), guard))
-        return F.aggregate(turns, begun, step, lambda s: F.transform(s["parts"], self.rank))
+        return F.aggregate(turns, begun, lambda s, _: F.when(s["at"].isNull(), s).otherwise(merged(s)), lambda s: F.transform(s["parts"], self.rank))
 
     @staticmethod
     def decoded(ids: Column) -> Column:
