@@ -1,23 +1,21 @@
 """Chat formatting by prefix-target expansion, in DataFrame operations only.
 
-Every assistant turn becomes an example of its own: all earlier turns are context, and only that reply is
-trainable. An example is stored as what it adds to the one before it in its conversation: the turns since the
-last reply, then the reply with the span of its text. The context of an example is therefore the segments of the
-examples before it, in order, plus its own up to the span; ``expanded`` writes them out. Storing whole contexts
-would repeat a conversation of n turns n / 2 times over. A last segment without a span holds the turns after the
-last reply.
+Every assistant turn becomes an example of its own: all earlier turns of its conversation are its context, and only
+that reply is trainable. A row holds the whole example in template form and the place of its loss mask. Turns after
+the last reply, which no example has, make a last row without a mask.
 
 Template: ``<|im_start|>role`` newline, text, ``<|im_end|>`` newline. Control strings inside texts and roles are
 escaped with a backslash (``<|`` as ``<`` backslash ``|``, a backslash doubled), so no text can end its turn, and
 :func:`read_back` recovers every turn exactly.
 
-Scale: one shuffle by conversation; the running numbers, segments and digests share it. A conversation is the
-unit of output (its digest needs all its text), so the longest one bounds a task's memory.
+Scale: one shuffle by conversation; examples are exploded after it and read back without another. A conversation is
+the unit of output (its digest needs all its text), so the longest one bounds a task's memory; its examples repeat
+their contexts, by the method's nature, one row at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -38,53 +36,32 @@ def escaped_role(role: Column) -> Column:
     return F.replace(escaped(role), F.lit("\n"), F.lit("\\\n"))
 
 
-def segments(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id, example, segment, mask_start, mask_end, context_chars``, one row for each example and rest.
+def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``conv_id, upto, example, mask_start, mask_end``, one row for each reply, and one for turns after the last.
 
-    ``example`` counts from 0; the mask is in code points of ``segment``, end exclusive, null in a rest without
-    reply; ``context_chars`` is the length of all earlier segments. Turns are ordered by number, then role, then
-    text (nulls first); null roles and texts count as empty; rows with a null conversation form one conversation;
-    repeated rows stay; extra columns are not read.
+    ``example`` is the template text of the first ``upto`` turns of the conversation: the context, then the reply.
+    The mask is in code points of it, end exclusive, and covers the reply's text; it is null in a row without
+    reply. Turns are ordered by number, then role, then text (nulls first); null roles and texts count as empty;
+    rows with a null conversation form one conversation; repeated rows stay; extra columns are not read; an empty
+    table has no examples.
     """
     rows = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    head = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"))
-    rows = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escaped(F.col("text")).alias("body"))
-    size = F.length("head") + F.length("body") + len(END)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    is_reply = F.col("role") == ASSISTANT
-    placed = rows.select(
-        "conv_id", "head", "body", is_reply.alias("reply"),
-        F.row_number().over(order).alias("at"),
-        F.coalesce(F.sum(is_reply.cast("long")).over(before), F.lit(0)).alias("example"),
-        F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)).alias("offset"),
-        size.cast("long").alias("size"),
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    head = lambda t: F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
+    piece = F.transform("turns", lambda t: F.struct((t["role"] == ASSISTANT).alias("reply"), F.length(head(t)).alias("head"), F.concat(head(t), escaped(t["text"]), F.lit(END)).alias("piece")))
+    whole = whole.select("conv_id", piece.alias("pieces"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda k: F.get("pieces", k - 1)["reply"] | (k == F.size("pieces")))
+    placed = whole.select("conv_id", "pieces", F.explode(ends).alias("upto"))
+    last = F.get("pieces", F.col("upto") - 1)
+    context = F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("upto") - 1), lambda p: p["piece"]), "")
+    rows = placed.select("conv_id", "upto", context.alias("context"), last.alias("last"))
+    start = F.when(F.col("last.reply"), F.length("context") + F.col("last.head"))
+    return rows.select(
+        "conv_id", "upto", F.concat("context", "last.piece").alias("example"),
+        start.alias("mask_start"), (start + F.length("last.piece") - F.col("last.head") - len(END)).alias("mask_end"),
     )
-    piece = F.struct("at", F.concat("head", "body", F.lit(END)).alias("piece"))
-    begin = F.min("offset")
-    start = F.max(F.when(F.col("reply"), F.col("offset") + F.length("head")))
-    end = F.max(F.when(F.col("reply"), F.col("offset") + F.length("head") + F.length("body")))
-    return placed.groupBy("conv_id", "example").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["piece"]), "").alias("segment"),
-        (start - begin).alias("mask_start"),
-        (end - begin).alias("mask_end"),
-        begin.alias("context_chars"),
-    )
-
-
-def expanded(found: DataFrame) -> DataFrame:
-    """Training rows written out: ``conv_id, example, context, target`` (both in template form) of every reply.
-
-    This repeats contexts, by its nature, so it grows with the square of a conversation's length.
-    """
-    order = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.array_join(F.collect_list("segment").over(order), "")
-    own = F.substring(F.col("segment"), F.lit(1), F.col("mask_start").cast("int"))
-    target = F.substring(F.col("segment"), (F.col("mask_start") + 1).cast("int"), (F.length("segment") - F.col("mask_start")).cast("int"))
-    rows = found.select("conv_id", "example", "mask_start", F.concat(earlier, own).alias("context"), target.alias("target"))
-    return rows.where("mask_start IS NOT NULL").drop("mask_start")
 
 
 def parsed(segment: Column) -> Column:
@@ -100,29 +77,25 @@ def parsed(segment: Column) -> Column:
 
 
 def read_back(found: DataFrame) -> DataFrame:
-    """What the formatted output holds: per conversation its turns' and loss mask's counts and digests."""
-    loss = unescaped(F.substring(F.col("segment"), (F.col("mask_start") + 1).cast("int"), (F.col("mask_end") - F.col("mask_start")).cast("int")))
-    rows = found.select(
-        "conv_id", "example",
-        parsed(F.col("segment")).alias("turns"),
-        F.coalesce(loss, F.lit("")).alias("loss"),
-        F.length("segment").cast("long").alias("chars"),
-        F.col("mask_start").isNotNull().cast("long").alias("reply"),
-        F.when(F.col("mask_start").isNotNull(), F.col("context_chars") + F.col("mask_end") + len(END)).alias("expanded_chars"),
-    )
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = rows.select("conv_id", F.struct("example", said.alias("said"), "loss").alias("part"), F.size("turns").alias("n"), "chars", "reply", "expanded_chars")
+    """What the examples hold: per conversation its turns' and loss masks' counts and digests.
+
+    Turns are parsed from the longest example, losses are cut from every example by its mask; ``formatted_chars`` is
+    the length of the longest, ``expanded_chars`` that of all with a mask.
+    """
+    loss = unescaped(F.substring(F.col("example"), (F.col("mask_start") + 1).cast("int"), (F.col("mask_end") - F.col("mask_start")).cast("int")))
+    size = F.length("example").cast("long")
+    rows = found.select("conv_id", "upto", "example", size.alias("size"), F.col("mask_start").isNotNull().alias("reply"), F.when(F.col("mask_start").isNotNull(), loss).alias("loss"))
     whole = rows.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("part")).alias("parts"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
-        F.sum("reply").alias("n_examples"), F.coalesce(F.sum("expanded_chars"), F.lit(0)).alias("expanded_chars"),
+        F.max_by("example", "upto").alias("example"),
+        F.array_sort(F.collect_list(F.when(F.col("reply"), F.struct("upto", "loss")))).alias("losses"),
+        F.count_if("reply").alias("n_examples"), F.coalesce(F.sum(F.when(F.col("reply"), F.col("size"))), F.lit(0)).alias("expanded_chars"),
     )
-    turns = F.array_join(F.transform("parts", lambda p: p["said"]), "")
-    lost = F.array_join(F.transform("parts", lambda p: p["loss"]), "")
-    whole = whole.select("conv_id", "n_turns", turns.alias("turns"), lost.alias("lost"), "formatted_chars", "n_examples", "expanded_chars")
+    whole = whole.withColumn("turns", parsed(F.col("example"))).withColumn("lost", F.array_join(F.transform("losses", lambda p: p["loss"]), ""))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return whole.select(
-        "conv_id", "n_turns",
-        F.sha2(F.encode("turns", "UTF-8"), 256).alias("turns_sha256"),
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
         F.length("lost").cast("long").alias("loss_chars"),
         F.sha2(F.encode("lost", "UTF-8"), 256).alias("loss_sha256"),
-        "formatted_chars", "n_examples", "expanded_chars",
+        F.length("example").cast("long").alias("formatted_chars"), "n_examples", "expanded_chars",
     )
