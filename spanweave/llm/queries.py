@@ -37,12 +37,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, within a tenth of the item's length in edits."""
     from spanweave.llm.decontaminate import contamination
 
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of all texts in tar shards of PNG files, and the columns read back from them."""
     from spanweave.llm.media import media_columns
 
     found = media_columns(_read(spark, sf_dir, "documents"))
@@ -50,18 +52,21 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from its classifier's evidence and the rates of its host and path."""
     from spanweave.llm.quality import classify
 
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that an earlier document starts."""
     from spanweave.llm.substrings import drop_repeats
 
     return drop_repeats(_read(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids, and of the bytes decoded from them, of every document."""
     import public_tokenizers
 
     from spanweave.llm.bpe import Codec, read_ranks, round_trip
@@ -71,21 +76,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network trained on the documents outside the held-out fold."""
     from spanweave.llm.language import detect_language
 
     return detect_language(_read(spark, sf_dir, "documents"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanweave.llm.chat import read_back, segments
+    """All conversations, and one of control strings, as examples; the counts and digests read back from these."""
+    from spanweave.llm.chat import examples, read_back
 
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(segments(turns.unionByName(more)))
+    return read_back(examples(turns.unionByName(more)))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
     import public_tokenizers
 
     from spanweave.llm.unigram import token_counts
@@ -94,12 +102,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: by the fixed rules, and those that the field adds."""
     from spanweave.llm.secrets import scan
 
     return scan(_read(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     from spanweave.llm.simhash import simhash_components
 
     found = simhash_components(_read(spark, sf_dir, "documents"))

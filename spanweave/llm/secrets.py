@@ -16,7 +16,9 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _LEAST_ASSIGN, _LEAST_ACCESS = 8, 16
 
 OUT, BEGIN, INSIDE = 0, 1, 2
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+|[^\sA-Za-z0-9+/_=.-]")
+#: Runs of letters, digits and joining marks, with ``=`` only where it pads their end; any other mark alone.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?|[^\sA-Za-z0-9+/_.-]")
 DIM = 1 << 14
 CACHE_WORDS = 100_000
 #: No valid path goes from outside to inside.
@@ -67,12 +70,12 @@ def _form(word: str) -> str:
 
 
 def _shape(word: str) -> list[str]:
-    """Features of one token's form."""
+    """Features of one token's form: the whole token decides each, and ``shape`` names at most eight runs of a kind."""
     n = len(word)
     digits, upper, lower = (sum(map(f, word)) for f in (str.isdigit, str.isupper, str.islower))
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:]))
-    squeezed = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in word[:64]))
+    squeezed = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in word))
     return [
         "bias",
         f"len={min(n.bit_length(), 7)}",
@@ -325,7 +328,13 @@ def crf_spans(model: Crf, text: str) -> list[tuple[int, int, str]]:
 def all_spans(model: Crf, text: str) -> tuple[list, list]:
     """Base spans, and base plus field spans; a field span inside a base span is left out."""
     base = base_spans(text)
-    more = [s for s in crf_spans(model, text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    begins, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+
+    def inside(s: tuple[int, int, str]) -> bool:
+        k = bisect_right(begins, s[0])
+        return k > 0 and s[1] <= reach[k - 1]
+
+    more = [s for s in crf_spans(model, text) if not inside(s)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -17,10 +17,9 @@ import math
 from collections.abc import Iterable
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from spanweave.llm.common import map_slices, picked
+from spanweave.llm.common import map_slices, picked, splitter
 
 CACHE_WORDS = 200_000
 
@@ -77,14 +76,16 @@ def token_counts(
 
     Pre-tokens are the matches of ``pattern`` over the whole text; each is segmented as UTF-8 bytes. Of equally
     good segmentations the one with fewest pieces counts. Null texts have no tokens; a text without matches has
-    none; repeated rows and null ids are carried; extra columns are not read.
+    none; repeated rows and null ids are carried; extra columns are not read. The vocabulary is read by the driver,
+    and must have all 256 bytes, so that every word has a segmentation.
     """
     rows = picked(docs, doc_id=id_col, text=text_col)
 
+    pieces = scores(vocabulary)
+    longest = max(map(len, pieces))
+
     def make():
-        pieces = scores(vocabulary)
-        longest = max(map(len, pieces), default=1)
-        split = regex.compile(pattern).findall
+        split = splitter(pattern)
         known: dict[str, int] = {}
 
         def learn(words: Iterable[str]) -> None:

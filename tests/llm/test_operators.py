@@ -125,7 +125,7 @@ def test_simhash(docs, rows):
     assert got == sorted(((i, p, least.get(roots[p])) for i, p in prints), key=repr)
 
 
-@pytest.mark.parametrize("projections", [3, 5])
+@pytest.mark.parametrize("projections", [2, 3, 5, 1])
 def test_links_lose_none(spark, projections):
     """Clusters, chains and single points: the components of spanning links are those of all pairs."""
     rng = random.Random(projections)
@@ -299,7 +299,7 @@ def test_chat(spark):
     turns = [(c, k, r, t) for c, (k, r, t) in enumerate([(0, "user", "q")] * 2)]
     turns += [(7, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(NASTY)] + [(8, 0, "assistant", "first"), (8, 0, "assistant", "first"), (8, None, None, None), (None, 1, "assistant", "x"), (9, 1, "ro\nle<|", "t")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("example", chat.F.lit(1)).withColumn("segment", chat.F.lit("s"))
-    made = chat.segments(df)
+    made = chat.examples(df)
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
     by = {}
     for c, k, r, t in turns:
@@ -312,11 +312,17 @@ def test_chat(spark):
         assert got[c].n_turns == len(parts)
         assert got[c].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(lost), hashlib.sha256(lost.encode()).hexdigest())
-    whole = {(r.conv_id, r.example): r for r in chat.expanded(made).collect()}
-    assert len(whole) == sum(p[2] == "assistant" for v in by.values() for p in v)
-    last = whole[8, 1]
-    assert last.context.count("assistant") == 2 and last.target == "first<|im_end|>\n"
-    assert chat.read_back(chat.segments(df.limit(0))).collect() == []
+    rows = [r for r in made.collect() if r.mask_start is not None]
+    assert len(rows) == sum(p[2] == "assistant" for v in by.values() for p in v)
+    for r in rows:
+        turns_ = by[r.conv_id][: r.upto]
+        assert r.example.count("<|im_start|>") == r.example.count("<|im_end|>\n") == len(turns_)
+        assert turns_[-1][2] == "assistant"
+        assert r.example[r.mask_end :] == "<|im_end|>\n"
+        assert r.example[r.mask_start : r.mask_end].replace("<\\|", "<|").replace("\\\\", "\\") == turns_[-1][3]
+        for _, _, role, said in turns_[:-1]:
+            assert said.replace("\\", "\\\\").replace("<|", "<\\|") in r.example[: r.mask_start]
+    assert chat.read_back(chat.examples(df.limit(0))).collect() == []
 
 
 # -- unigram counts ----------------------------------------------------------------------------------------------
@@ -377,6 +383,63 @@ def test_crf_finds_held_out_secrets():
     assert found / wanted > 0.85 and found / (found + extra) > 0.85
 
 
+def planted(seed: int, texts: list[str]):
+    """Texts with one line each that names and spells a secret unlike the field's own training lines, and its place."""
+    import random
+
+    rng = random.Random(seed)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = ["0123456789ABCDEF", low + low.upper() + digits + "+/", low.upper() + "234567", low + low.upper() + digits, low + digits]
+    frames = [
+        'client_secret_v2 = "{}"', "Authorization: Bearer {}", "private_key={}", "the credential is {}", "encryption_key = {}", "session_key: {}", "db_pwd={}",
+        "the passphrase is {}", 'webhook_key: "{}"', "my credentials are {}", "signing_key: '{}'",
+    ]
+    for text in texts:
+        secret = "".join(rng.choices(rng.choice(alphabets), k=rng.choice([18, 22, 28, 36, 44, 50])))
+        frame = rng.choice(frames)
+        words = text.split(" ")
+        at = rng.randint(0, len(words))
+        head = " ".join([*words[:at], frame[: frame.index("{}")]]).lstrip()
+        yield head + secret + frame[frame.index("{}") + 2 :] + " " + " ".join(words[at:]), len(head), len(head) + len(secret)
+
+
+def test_crf_finds_what_the_rules_miss(spark, sf_dir):
+    """Secrets of other names and alphabets in whole documents: found with their bounds, and nothing in untouched ones."""
+    model = secrets.trained()
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]
+    found = wanted = extra = 0
+    for text, a, b in planted(17, texts):
+        base, spans = secrets.all_spans(model, text)
+        assert all(s in spans for s in base)
+        if any(s[0] <= a and b <= s[1] for s in base):
+            continue
+        wanted += 1
+        found += (a, b, "crf") in spans
+        extra += sum(s[2] == "crf" and s[:2] != (a, b) for s in spans)
+    assert wanted > 100 and found / wanted > 0.9 and found / (found + extra) > 0.9
+    untouched = sum(s[2] == "crf" for t in texts for s in secrets.all_spans(model, t)[1])
+    assert untouched <= len(texts) // 100
+
+
+def test_scan_rows(spark, rows, docs, nothing):
+    """Every column of every row, from the spans of its text; a text of very many spans ends soon."""
+    model = secrets.trained()
+    many = " ".join(f"token={k:040x}" for k in range(20_000))
+    given = [*rows, (900, many), (901, LEAKS), (901, LEAKS), (902, "session_key = q8Zr2LmX0pTvW4yB7nK1 end")]
+    got = sorted((tuple(r) for r in secrets.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()), key=repr)
+    want = []
+    for key, text in given:
+        base = secrets.base_spans(text or "")
+        more = [s for s in secrets.crf_spans(model, text or "") if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)] if key != 900 else []
+        spans = sorted(base + more, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+        said = [",".join(f"{k}:{a}:{b}" for a, b, k in part) for part in (base, spans)]
+        counts = [sum(s[2] == k for s in spans) for k in secrets.KINDS]
+        want.append((key, *counts, hashlib.sha256(said[0].encode()).hexdigest(), said[1]))
+    assert got == sorted(want, key=repr)
+    assert any(r[0] == 902 and r[4] == 1 for r in got)
+    assert secrets.scan(nothing).collect() == []
+
+
 def test_viterbi_is_exact():
     """Decoding between sure outside tokens gives a best path over the whole line."""
     import numpy as np
