@@ -1,39 +1,74 @@
 """Regular-expression matches with code-point offsets, as columns.
 
 Spark has no such function (``regexp_instr`` counts UTF-16 units). The text between matches and the matches
-themselves alternate, so a match starts after all earlier pieces and matches.
+themselves alternate, so a match starts after all earlier pieces and matches: one fold with a running offset.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Elements that one inner fold of :func:`scanned` appends to.
+BLOCK = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once in a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(state before, item)`` of every item, while ``step(state, item)`` carries the state on; ``kind`` is the type of an output.
+
+    Appending copies an array, so items are folded in blocks and only the blocks' outputs are joined.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x).cast(kind))).alias("out"))
 
-def _total(strings: Column) -> Column:
-    return F.aggregate(strings, F.lit(0), lambda a, s: a + F.length(s))
+    def block(acc: Column, k: Column) -> Column:
+        part = F.slice(items, k * BLOCK + 1, F.lit(BLOCK))
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return bound(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(BLOCK)).cast("int"))
+    begun = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, begun, block, lambda acc: acc["out"]))).otherwise(none)
+
+
+_SPAN = "struct<start:int,end:int,label:string,value:string>"
 
 
 def matches(text: Column, pattern: str, label: str | None = None) -> Column:
-    """Array of ``start, end, label, value`` of every match. The pattern has no capturing group and no empty match."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Array of ``start, end, label, value`` of every match. The pattern has no capturing group and no empty match.
+
+    Time grows with the text and its matches, not with their square; a text without a match is read once.
+    """
+
+    def located(hits: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("value")))
+
+        def emit(at: Column, p: Column) -> Column:
+            start = at + p["gap"]
+            return F.struct(start.alias("start"), (start + p["size"]).alias("end"), F.lit(label).alias("label"), p["value"].alias("value"))
 
-    def span(hit: Column, k: Column) -> Column:
-        start = _total(F.slice(pieces, F.lit(1), k + 1)) + _total(F.slice(hits, F.lit(1), k))
-        return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), F.lit(label).alias("label"), hit.alias("value"))
+        found = bound(pairs, lambda p: scanned(p, F.lit(0), lambda at, x: at + x["gap"] + x["size"], emit, _SPAN))
+        return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return F.transform(hits, span)
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
 
 def find(docs: DataFrame, patterns: dict[str, str], text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each match of each labelled pattern: the kept columns, ``label, start, end, value``.
 
-    Null and empty texts have no matches. Only texts that some pattern matches reach the offset arithmetic.
+    Null and empty texts have no matches.
     """
-    any_of = "|".join(f"(?:{p})" for p in patterns.values())
-    hit = docs.where(F.col(text_col).rlike(any_of))
-    spans = F.flatten(F.array(*(matches(F.col(text_col), p, label) for label, p in patterns.items())))
-    rows = hit.select(*keep, F.explode(spans).alias("s"))
+    spans = F.flatten(F.array(*(F.coalesce(matches(F.col(text_col), p, label), F.array().cast(f"array<{_SPAN}>")) for label, p in patterns.items())))
+    rows = docs.select(*keep, F.explode(spans).alias("s"))
     return rows.select(*keep, F.col("s.label").alias("label"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanweave.functions.offsets import bound, scanned
+
+#: White space of every script, inside a character class.
+SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
+
 #: Fixed ranges: letters of each script, in the order in which a letter is tested.
 SCRIPTS = {
     "hangul": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}",
@@ -113,15 +118,72 @@ def skeleton(template: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(typed, "[0-9]+", "#"), r"\s+", " ")))
 
 
-def detokenized(tokens: Column, joiner: str = " ") -> Column:
-    """Tokens as text: no joiner before closing punctuation or after opening brackets."""
-    closers, openers = r"^[,.;:!?)\]}%»”’]", r"[(\[{«“‘]$"
+#: Marks that take no joiner before them, and marks that take none after.
+_CLOSERS, _OPENERS = ".,!?;:%)]}」』）、。，！？；：", "([{「『（"
+
+
+def detokenized(tokens: Column, tags: Column | None = None, joiner: str = " ") -> Column:
+    """Struct ``text, spans`` of tokens with tags: the text joined, and the spans ``start, end, label`` of the tags.
+
+    Empty tokens are skipped. No joiner stands before closing marks or after opening ones. An inside tag goes on with
+    an open span of its label, any other begins one; a blank token with an inside tag keeps the span open.
+    """
+    tags = F.transform(tokens, lambda t: F.lit("O")) if tags is None else tags
+    pairs = F.filter(F.arrays_zip(tokens.alias("tok"), tags.alias("tag")), lambda p: p["tok"] != "")
+    step_kind = "struct<sep:string,tok:string,start:int,end:int,label:string,goes_on:boolean>"
+    start = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("open"))
+
+    def sep(s: Column, p: Column) -> Column:
+        glued = s["prev"].isNull() | (F.instr(F.lit(_CLOSERS), F.substring(p["tok"], 1, 1)) > 0) | (F.instr(F.lit(_OPENERS), F.substring(s["prev"], -1, 1)) > 0)
+        return F.when(glued, F.lit("")).otherwise(F.lit(joiner))
+
+    blank = lambda p: ~p["tok"].rlike(rf"[^{SPACE}]")
+    kind = lambda p: F.when(p["tag"].rlike("^[BI]-") & ~blank(p), F.substring(p["tag"], 3, 1 << 30))
+
+    def step(s: Column, p: Column) -> Column:
+        kept = blank(p) & p["tag"].startswith("I-")
+        return F.struct(p["tok"].alias("prev"), (s["at"] + F.length(sep(s, p)) + F.length(p["tok"])).alias("at"), F.when(kept, s["open"]).otherwise(kind(p)).alias("open"))
+
+    def emit(s: Column, p: Column) -> Column:
+        begin = s["at"] + F.length(sep(s, p))
+        on = F.coalesce(p["tag"].startswith("I-") & (s["open"] == kind(p)), F.lit(False))
+        return F.struct(sep(s, p).alias("sep"), p["tok"].alias("tok"), begin.alias("start"), (begin + F.length(p["tok"])).alias("end"), kind(p).alias("label"), on.alias("goes_on"))
+
+    def whole(parts: Column) -> Column:
+        said = F.array_join(F.transform(parts, lambda x: F.concat(x["sep"], x["tok"])), "")
+        return F.struct(said.alias("text"), _joined(F.filter(parts, lambda x: x["label"].isNotNull())).alias("spans"))
+
+    return bound(pairs, lambda p: bound(scanned(p, start, step, emit, step_kind), whole))
 
-    def step(acc: Column, tok: Column) -> Column:
-        glued = (acc == "") | tok.rlike(closers) | acc.rlike(openers)
-        return F.concat(acc, F.when(glued, F.lit("")).otherwise(F.lit(joiner)), tok)
 
-    return F.aggregate(tokens, F.lit(""), step)
+def _joined(parts: Column) -> Column:
+    """Spans from labelled pieces: one begins where a piece does not go on."""
+    kind = "struct<start:int,end:int,label:string>"
+    last = F.lit(None).cast("struct<sep:string,tok:string,start:int,end:int,label:string,goes_on:boolean>")
+
+    def step(s: Column, p: Column) -> Column:
+        begin = F.when(p["goes_on"], s["start"]).otherwise(p["start"])
+        return F.struct(begin.alias("start"), p["end"].alias("end"), p["label"].alias("label")).cast(kind)
+
+    def emit(s: Column, p: Column) -> Column:
+        return F.when(s.isNotNull() & (p.isNull() | ~p["goes_on"]), s)
+
+    closed = F.concat(parts, F.array(last))
+    out = bound(closed, lambda c: scanned(c, F.lit(None).cast(kind), lambda s, p: F.when(p.isNull(), s).otherwise(step(s, p)), emit, kind))
+    return F.filter(out, lambda s: s.isNotNull())
+
+
+def zh_variant(text: Column, simple: str, traditional: str) -> Column:
+    """``zh-Hant`` if more characters are traditional forms than simple ones, else ``zh-Hans``.
+
+    The table of forms is not public offline, so it is given: two strings of the same length, character by character.
+    """
+    if len(simple) != len(traditional):
+        raise ValueError("both strings need a character for each form")
+    size = F.length(text)
+    old = size - F.length(F.translate(text, F.lit(traditional), F.lit("")))
+    new = size - F.length(F.translate(text, F.lit(simple), F.lit("")))
+    return F.when(old > new, "zh-Hant").otherwise("zh-Hans")
 
 
 def native_digits(text: Column, digits: str) -> Column:
@@ -158,3 +220,17 @@ def parsed_spans(raw: Column) -> Column:
     kind = "array<struct<start:int,end:int,label:string>>"
     found = F.from_json(raw, kind, {"allowSingleQuotes": "true"})
     return F.coalesce(found, F.array().cast(kind))
+
+
+def in_sentence(cue: Column) -> Column:
+    """A form's cue as it stands inside a sentence: its first letter small, unless the first word is in capitals."""
+    first = F.regexp_extract(cue, rf"^[{SPACE}]*([^{SPACE}]+)", 1)
+    short = (F.length(first) > 1) & (first == F.upper(first)) & (first != F.lower(first))
+    return F.when(short, cue).otherwise(F.concat(F.lower(F.substring(cue, 1, 1)), F.substring(cue, 2, 1 << 30)))
+
+
+def capitalised(text: Column, spans: Column) -> Column:
+    """``text`` with a capital first letter, unless a span begins there; the length must not change."""
+    big = F.upper(F.substring(text, 1, 1))
+    keep = F.exists(spans, lambda s: s["start"] == 0) | (F.length(big) != 1)
+    return F.when(keep, text).otherwise(F.concat(big, F.substring(text, 2, 1 << 30)))

@@ -26,7 +26,7 @@ def parse_date(value: Column) -> Column:
     With slashes or dashes and the year last, the month comes first unless the first number exceeds 12. Dates
     that do not exist are null.
     """
-    v = F.trim(value)
+    v = F.regexp_replace(value, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")
 
     def group(pattern: str, k: int) -> Column:
         return F.regexp_extract(v, pattern, k)
@@ -71,7 +71,7 @@ def rendered_date(d: Column, pick: Column) -> Column:
 
 
 #: Birth words at the end of a line's text, with filler but no digit or break before the date.
-BIRTH_CUE = r"(?i)(?:^|[^A-Za-z0-9_])(?:birth|born|dob|d\.o\.b)\.?[^.;|\t\n0-9]{0,25}$"
+BIRTH_CUE = r"(?iu)(?:^|[^\p{L}\p{N}_])(?:birth|born|dob|d\.o\.b)\.?[^.;|\t\n\p{Nd}]{0,25}$"
 
 
 def mod97_ok(value: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.functions.offsets import scanned
 from spanweave.functions.values import hash_digit
 
 
@@ -25,69 +26,114 @@ def deduplicated(docs: DataFrame, text: str = "text", order: str = "doc_id", wit
 
 
 def without_texts(docs: DataFrame, held: DataFrame, text: str = "text") -> DataFrame:
-    """Documents whose exact text is not among the held-out ones; repeated documents stay."""
-    key = "__text_hash__"
-    known = held.select(F.xxhash64(text).alias(key), F.col(text).alias("__held__")).distinct()
-    return docs.join(known, (F.xxhash64(docs[text]) == known[key]) & (docs[text] == known["__held__"]), "left_anti")
+    """Documents whose exact text is not among the held-out ones; repeated documents stay, null texts too.
 
+    Joined by a hash and compared in full.
+    """
+    known = held.select(F.xxhash64(text).alias("__hash"), F.col(text).alias("__held")).distinct()
+    return docs.join(known, (F.xxhash64(docs[text]) == known["__hash"]) & (docs[text] == known["__held"]), "left_anti")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` is called so (Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-#: Passages are sent to every task in blocks of at most so many bytes.
-PASSAGE_BYTES = 8 << 20
+
+_BLANK = r"[ \t\n\x0B\f\r]+"
+#: Passages without an inner word go to the tasks as literals, at most so many bytes in one pass.
+PASSAGE_BYTES = 1 << 20
 
 
 def containing(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", key: str = "item_id", text: str = "text") -> DataFrame:
-    """``doc_key, key`` of every document that contains a passage as it stands.
+    """``doc_key, key`` of every document that contains a passage as it stands. ``doc_key`` is unique; empty passages are in none.
 
-    Passages go to the tasks as literals in blocks of checked size; the documents are scanned once for each block
-    and never shuffled.
+    A passage of three words or more has words inside it that any text with it has as whole words. The longest of
+    them is its anchor: an equi-join on anchors leaves few candidates, which are then compared as they stand. Only
+    passages of one or two words have no anchor; they are looked for in blocks of checked size, a scan for each.
     """
-    size = passages.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-2 * size // PASSAGE_BYTES))
-    dealt = passages.where(F.length(text) > 0).select(key, text, F.pmod(F.xxhash64(text), F.lit(blocks)).alias("b"))
-    out = None
+    given = passages.where(F.length(text) > 0).select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.split(F.col(text), _BLANK).alias("w"))
+    inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.array().cast("array<string>"))
+    longest = F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    given = given.select("__k", "__t", F.try_element_at(longest, F.lit(1))["w"].alias("anchor"))
+    words = docs.select(F.col(doc_key).alias("__d"), F.explode(F.array_distinct(F.split(F.col(text), _BLANK))).alias("anchor"))
+    pairs = words.join(given.where("anchor IS NOT NULL"), "anchor").select("__d", "__k", "__t")
+    held = docs.select(F.col(doc_key).alias("__d"), F.col(text).alias("__text"))
+    found = pairs.join(held, "__d").where(F.contains("__text", F.col("__t"))).select(F.col("__d").alias(doc_key), F.col("__k").alias(key))
+    short = given.where("anchor IS NULL")
+    size = short.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+    blocks = -(-2 * size // PASSAGE_BYTES)
     for k in range(blocks):
-        rows = dealt.where(F.col("b") == k).orderBy(key).select(key, text).collect()
-        spark = docs.sparkSession
-        given = spark.createDataFrame([([tuple(r) for r in rows],)], f"p array<struct<k:{passages.schema[key].dataType.simpleString()},t:string>>").select("p")
-        found = docs.select(doc_key, text).withColumn("p", given.scalar())
-        found = found.select(doc_key, F.explode(F.filter("p", lambda p: F.contains(F.col(text), p["t"]))).alias("hit"))
-        part = found.select(doc_key, F.col("hit.k").alias(key))
-        out = part if out is None else out.unionByName(part)
-    return out
+        some = short.where(F.pmod(F.xxhash64("__t"), F.lit(blocks)) == k).agg(F.collect_list(F.struct(F.col("__k").alias("k"), F.col("__t").alias("t"))).alias("p"))
+        near = docs.select(F.col(doc_key).alias("__d"), F.col(text).alias("__text")).withColumn("p", some.scalar())
+        near = near.select("__d", F.explode(F.filter("p", lambda p: F.contains(F.col("__text"), p["t"]))).alias("hit"))
+        found = found.unionByName(near.select(F.col("__d").alias(doc_key), F.col("hit.k").alias(key)))
+    return found
 
 
-def budgeted(docs: DataFrame, size: str, order: str, group: str, cap: int, budget: int) -> DataFrame:
+def budgeted(docs: DataFrame, size: str, order: str, group: str, cap: int | dict[str, int], budget: int) -> DataFrame:
     """Rows that a reader admits who stops a group at ``cap`` and everything at ``budget``.
 
+    ``cap`` is one for all groups, or one for each that has any.
+
     Two running sums: a row passes if earlier rows of its group stay below the cap, and then if earlier rows that
     passed stay below the budget.
     """
-    own = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    capped = docs.withColumn("__own__", F.coalesce(F.sum(size).over(own), F.lit(0))).where(F.col("__own__") < cap)
-    return prefix_sum(capped, size, order, "__all__").where(F.col("__all__") < budget).drop("__own__", "__all__")
+    own, whole = fresh(docs, "own", "all")
+    most = F.lit(cap)
+    if isinstance(cap, dict):
+        most = F.coalesce(*(F.when(F.col(group) == k, F.lit(v)) for k, v in cap.items()), F.lit(2**63 - 1))
+    capped = prefix(docs, size, order, own, [group]).where(F.col(own) < most).drop(own)
+    return prefix(capped, size, order, whole).where(F.col(whole) < budget).drop(whole)
 
 
-def prefix_sum(rows: DataFrame, size: str, order: str, name: str, parts: int = 64) -> DataFrame:
-    """``rows`` and the sum of ``size`` over all rows before them in ``order``, without one task for all rows.
+#: Rows of a range that one task orders; ranges at most.
+RANGE_ROWS, RANGES = 500_000, 2_048
 
-    Rows are ranged into parts; sums of parts are small and give each part its offset.
+
+def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list[str] | None = None, how: str = "sum") -> DataFrame:
+    """``rows`` and ``name``: the sum (or ``max``) of ``value`` over all rows before them in ``order``, within ``by`` or over all.
+
+    No task orders a whole group: rows are dealt by ranges of ``order`` (a number) at its approximate quantiles, so
+    neither an outlier nor a hot group fills one task; totals of ranges are few and give each its start. Rows of
+    equal ``order`` are in one range and follow each other in no set order. Null orders come first. Sums begin at 0,
+    maxima at null.
     """
-    spark = rows.sparkSession
-    probe = rows.agg(F.min(order), F.max(order)).first()
-    lo, hi = probe
-    if lo is None:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    part = F.least(F.floor((F.col(order) - F.lit(lo)) * parts / F.lit(float(hi - lo + 1))), F.lit(parts - 1)).cast("int")
-    dealt = rows.withColumn("__part__", part)
-    totals = {r[0]: r[1] for r in dealt.groupBy("__part__").agg(F.sum(size)).collect()}
-    base, offsets = 0, []
-    for k in range(parts):
-        offsets.append((k, base))
-        base += totals.get(k) or 0
-    known = F.broadcast(spark.createDataFrame(offsets, "__part__ int, __base__ long"))
-    inside = Window.partitionBy("__part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    return out.join(known, "__part__").withColumn(name, (F.col(name) + F.col("__base__")).cast("long")).drop("__part__", "__base__")
+    by = by or []
+    at, own, base, part = fresh(rows, "at", "own", "base", "part")
+    count = rows.count()
+    parts = min(RANGES, max(1, -(-count // RANGE_ROWS)))
+    place = F.lit(0)
+    if parts > 1:
+        steps = [k / parts for k in range(1, parts)]
+        bounds = sorted(set(rows.agg(F.percentile_approx(order, steps, 100 * parts)).first()[0] or []))
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order)))
+    dealt = rows.withColumn(own, value if isinstance(value, Column) else F.col(value)).withColumn(part, F.when(F.col(order).isNull(), 0).otherwise(place).cast("int"))
+    fold = F.sum if how == "sum" else F.max
+    inside = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn(name, fold(own).over(inside))
+    if parts > 1:
+        totals = dealt.groupBy(*by, part).agg(fold(own).alias(at))
+        before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select(*(F.col(c).alias(f"{at}_{k}") for k, c in enumerate(by)), F.col(part).alias(at), fold(at).over(before).alias(base))
+        same = F.col(part) == F.col(at)
+        for k, c in enumerate(by):
+            same = same & out[c].eqNullSafe(F.col(f"{at}_{k}"))
+        both = F.greatest(name, base) if how == "max" else F.coalesce(name, F.lit(0)) + F.coalesce(base, F.lit(0))
+        out = out.join(starts, same).withColumn(name, both)
+    elif how == "sum":
+        out = out.withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(name).cast("long") if how == "sum" else F.col(name))
+
+
+def prefix_sum(rows: DataFrame, size: str, order: str, name: str) -> DataFrame:
+    """:func:`prefix` of sums over all rows."""
+    return prefix(rows, size, order, name)
 
 
 def packed(docs: DataFrame, size: str, order: str, domain: str, body: int) -> DataFrame:
@@ -95,33 +141,36 @@ def packed(docs: DataFrame, size: str, order: str, domain: str, body: int) -> Da
 
     Each document ends with one separator, which counts. The incomplete last sequence is dropped.
     """
-    placed = prefix_sum(docs.withColumn("__size__", F.col(size) + 1), "__size__", order, "__at__")
-    end = F.col("__at__") + F.col("__size__")
-    seqs = F.sequence(F.floor(F.col("__at__") / body), F.floor((end - 1) / body))
-    rows = placed.select(domain, "__at__", end.alias("__end__"), F.explode(seqs).alias("seq_id"))
-    share = F.least(F.col("__end__"), (F.col("seq_id") + 1) * body) - F.greatest(F.col("__at__"), F.col("seq_id") * body)
-    whole = docs.agg(F.sum(F.col(size) + 1)).first()[0] or 0
-    return rows.where(F.col("seq_id") < whole // body).groupBy("seq_id", F.col(domain).alias("domain")).agg(F.sum(share).alias("tokens"))
+    rows = docs.select(F.col(domain).alias("domain"), F.col(order).alias("order"), (F.col(size) + 1).alias("size"))
+    placed = prefix(rows, "size", "order", "at")
+    end = F.col("at") + F.col("size")
+    seqs = F.sequence(F.floor(F.col("at") / body), F.floor((end - 1) / body))
+    pieces = placed.select("domain", "at", end.alias("end"), F.explode(seqs).alias("seq_id"))
+    share = F.least(F.col("end"), (F.col("seq_id") + 1) * body) - F.greatest(F.col("at"), F.col("seq_id") * body)
+    whole = rows.agg(F.sum("size")).first()[0] or 0
+    return pieces.where(F.col("seq_id") < whole // body).groupBy("seq_id", "domain").agg(F.sum(share).alias("tokens"))
 
 
 def interleaved(rows: DataFrame, source: str, order: str) -> DataFrame:
     """``rows`` with ``turn`` and ``place``: sources take turns in the order of their names."""
-    own = Window.partitionBy(source).orderBy(order)
-    return rows.withColumn("turn", F.row_number().over(own)).withColumn("place", F.struct("turn", source))
+    turns = prefix(rows, F.lit(1), order, "turn", [source]).withColumn("turn", (F.col("turn") + 1).cast("int"))
+    return turns.withColumn("place", F.struct("turn", source))
 
 
 def round_robin(rows: DataFrame, group: str, source: str, order: str, quota: int) -> DataFrame:
-    """At most ``quota`` rows of each group, its sources taking turns."""
+    """At most ``quota`` rows of each group, its sources taking turns. Ranks are cut at the quota before the shuffle."""
+    (own,) = fresh(rows, "turn")
     turn = F.row_number().over(Window.partitionBy(group, source).orderBy(order))
-    rows = rows.withColumn("__turn__", turn).where(F.col("__turn__") <= quota)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("__turn__", source))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= quota).drop("__turn__")
+    rows = rows.withColumn(own, turn).where(F.col(own) <= quota)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(own, source))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= quota).drop(own)
 
 
 def capped(rows: DataFrame, groups: list[str], order: list[Column | str], most: int) -> DataFrame:
-    """The first ``most`` rows of each group."""
+    """The first ``most`` rows of each group. Ranks are cut before the shuffle, so a hot group sends ``most`` rows a task."""
+    (own,) = fresh(rows, "rank")
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return rows.withColumn("__rank__", rank).where(F.col("__rank__") <= most).drop("__rank__")
+    return rows.withColumn(own, rank).where(F.col(own) <= most).drop(own)
 
 
 def seeded(seed: str, *keys: str) -> Column:
@@ -161,13 +210,18 @@ def gaps(matrix: DataFrame, rows: str, labels: list[str], least: int) -> DataFra
 
 
 def pair_coverage(rows: DataFrame, factors: list[str]) -> DataFrame:
-    """For each pair of factors: combinations seen, the least count and the upper median of counts."""
+    """For each pair of factors: combinations seen, the least count and the upper median of counts.
+
+    Cells are counted by their count, so the ordered window has one row for each distinct count.
+    """
     out = None
     for i, a in enumerate(factors):
         for b in factors[i + 1 :]:
-            cells = rows.groupBy(a, b).agg(F.count("*").alias("n"))
-            ordered = F.array_sort(F.collect_list("n"))
-            part = cells.agg(F.count("*").alias("cells"), F.min("n").alias("least"), F.element_at(ordered, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"))
+            cells = rows.groupBy(a, b).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+            upto = F.sum("c").over(Window.orderBy("n"))
+            cells = cells.select("n", "c", upto.alias("upto"), F.sum("c").over(Window.partitionBy()).alias("all"))
+            median = F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("n")))
+            part = cells.agg(F.sum("c").alias("cells"), F.min("n").alias("least"), median.alias("median"))
             part = part.select(F.lit(f"{a}*{b}").alias("pair"), "cells", "least", "median")
             out = part if out is None else out.unionByName(part)
     return out
@@ -179,13 +233,18 @@ def reassembled(chunks: DataFrame, key: str, number: str, text: str = "text") ->
     return chunks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "\n").alias(text))
 
 
-def mixed(first: DataFrame, second: DataFrame, on: str, gap: str = "\n\n") -> DataFrame:
-    """Pairs of documents as one, the second's spans moved. Both have ``on, text, spans``."""
+def mixed(first: DataFrame, second: DataFrame, on: str, gap: str = "\n\n", moved: tuple[str, ...] = ("spans",)) -> DataFrame:
+    """Pairs of documents as one. Both have ``on, text`` and the ``moved`` columns, arrays of structs with ``start, end``
+    (spans, look-alikes, language segments); the second's are shifted."""
     a, b = first.alias("a"), second.alias("b")
     both = a.join(b, F.col(f"a.{on}") == F.col(f"b.{on}"))
     by = F.length("a.text") + len(gap)
-    moved = F.transform("b.spans", lambda s: s.withField("start", s["start"] + by).withField("end", s["end"] + by))
-    return both.select(F.col(f"a.{on}").alias(on), F.concat("a.text", F.lit(gap), "b.text").alias("text"), F.concat("a.spans", moved).alias("spans"))
+
+    def together(c: str) -> Column:
+        later = F.transform(f"b.{c}", lambda s: s.withField("start", s["start"] + by).withField("end", s["end"] + by))
+        return F.concat(f"a.{c}", later).alias(c)
+
+    return both.select(F.col(f"a.{on}").alias(on), F.concat("a.text", F.lit(gap), "b.text").alias("text"), *map(together, moved))
 
 
 def address_capped(rows: DataFrame, low: int, high: int, late: str = "india") -> DataFrame:
@@ -194,10 +253,72 @@ def address_capped(rows: DataFrame, low: int, high: int, late: str = "india") ->
     The cap is met before a key is noted, so a country that a second source may raise to ``high`` is read in two
     stages: other sources to ``low``, then ``late`` rows whose keys were not admitted.
     """
-    keyed = rows.withColumn("__key__", F.lower(F.concat_ws(" ", "lines")))
-    early = capped(first_per(keyed.where(F.col("source") != late), ["country", "__key__"], ["pos"]), ["country"], ["pos"], low)
-    fresh = first_per(keyed.where(F.col("source") == late).join(early.select("country", "__key__"), ["country", "__key__"], "left_anti"), ["country", "__key__"], ["pos"])
-    had = early.groupBy("country").agg(F.count("*").alias("__had__"))
+    key, n, rank_ = fresh(rows, "key", "had", "rank")
+    keyed = rows.withColumn(key, F.lower(F.concat_ws(" ", "lines")))
+    early = capped(first_per(keyed.where(F.col("source") != late), ["country", key], ["pos"]), ["country"], ["pos"], low)
+    later = first_per(keyed.where(F.col("source") == late).join(early.select("country", key), ["country", key], "left_anti"), ["country", key], ["pos"])
+    had = early.groupBy("country").agg(F.count("*").alias(n))
     rank = F.row_number().over(Window.partitionBy("country").orderBy("pos"))
-    extra = fresh.join(F.broadcast(had), "country", "left").withColumn("__rank__", rank + F.coalesce("__had__", F.lit(0))).where(F.col("__rank__") <= high)
-    return early.unionByName(extra.select(*early.columns)).drop("__key__")
+    extra = later.withColumn(rank_, rank).where(F.col(rank_) <= high).join(had, "country", "left").where(F.col(rank_) + F.coalesce(n, F.lit(0)) <= high)
+    return early.unionByName(extra.select(*early.columns)).drop(key)
+
+
+def packed_ids(docs: DataFrame, ids: str, order: str, body: int, first: int, sep: int) -> DataFrame:
+    """``seq_id, ids``: sequences of ``body`` token ids, documents end to end, between a ``first`` and a ``sep`` id.
+
+    Each document ends with ``sep``. The incomplete last sequence is dropped. Only the pieces of a sequence meet.
+    """
+    rows = docs.select(F.col(order).alias("order"), F.concat(F.col(ids), F.array(F.lit(sep))).alias("ids")).withColumn("size", F.size("ids"))
+    placed = prefix(rows, "size", "order", "at")
+    end = F.col("at") + F.col("size")
+    pieces = placed.select("at", "size", "ids", F.explode(F.sequence(F.floor(F.col("at") / body), F.floor((end - 1) / body))).alias("seq_id"))
+    low = F.greatest(F.col("seq_id") * body - F.col("at"), F.lit(0))
+    high = F.least((F.col("seq_id") + 1) * body - F.col("at"), F.col("size"))
+    part = F.slice("ids", (low + 1).cast("int"), (high - low).cast("int"))
+    whole = rows.agg(F.sum("size")).first()[0] or 0
+    kept = pieces.where(F.col("seq_id") < whole // body).select("seq_id", F.struct("at", part.alias("p")).alias("p"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["p"]))
+    return kept.groupBy("seq_id").agg(F.concat(F.array(F.lit(first)), joined, F.array(F.lit(sep))).alias("ids"))
+
+
+def allocated(sources: DataFrame, name: str = "source", cap: str = "cap", available: str = "available", order: str = "pos") -> DataFrame:
+    """``name, n``: each source's share; what small sources lack of their caps is spread over the others, in rounds.
+
+    A round gives every source with room an equal share of what is missing, at least one, in order. Each round but
+    the last fills a source or ends it, so rounds are no more than sources and two. The table has a row a source.
+    """
+    cell = F.struct(F.col(order).alias("pos"), F.col(name).alias("name"), F.col(cap).cast("long").alias("cap"), F.col(available).cast("long").alias("room"))
+    all_ = sources.agg(F.array_sort(F.collect_list(cell)).alias("s"))
+    kind = "array<struct<name:string,n:bigint,room:bigint>>"
+    start = F.transform("s", lambda x: F.struct(x["name"].cast("string").alias("name"), F.least(x["cap"], x["room"]).alias("n"), (x["room"] - F.least(x["cap"], x["room"])).alias("room"))).cast(kind)
+    short = F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x["cap"] - F.least(x["cap"], x["room"]))
+
+    def round_(acc: Column, _: Column) -> Column:
+        open_ = F.size(F.filter(acc["s"], lambda x: x["room"] > 0))
+        share = F.greatest(F.floor(acc["short"] / F.greatest(open_, F.lit(1))), F.lit(1)).cast("long")
+
+        def give(a: Column, x: Column) -> Column:
+            add = F.least(share, x["room"], a["short"])
+            one = F.struct(x["name"].alias("name"), (x["n"] + add).alias("n"), (x["room"] - add).alias("room"))
+            return F.struct(F.concat(a["s"], F.array(one)).cast(kind).alias("s"), (a["short"] - add).alias("short"))
+
+        empty = F.struct(F.array().cast(kind).alias("s"), acc["short"].alias("short"))
+        return F.aggregate(acc["s"], empty, give)
+
+    rounds = F.sequence(F.lit(1), F.size("s") + 2)
+    done = F.aggregate(rounds, F.struct(start.alias("s"), short.alias("short")), round_, lambda a: a["s"])
+    return all_.select(F.explode(done).alias("x")).select(F.col("x.name").alias(name), F.col("x.n").alias("n"))
+
+
+def fragments_packed(rows: DataFrame, group: str, order: str, gap: str = "\n\n") -> DataFrame:
+    """``group, text, spans``: the fragments of each group as one text in order, their spans moved by what is before them."""
+    one = F.struct(F.col(order).alias("k"), F.col("text").alias("text"), F.col("spans").alias("spans"))
+    grouped = rows.groupBy(group).agg(F.array_sort(F.collect_list(one)).alias("f"))
+    start = F.struct(F.lit(0).alias("at"))
+    kind = "array<struct<start:int,end:int,label:string>>"
+
+    def emit(s: Column, f: Column) -> Column:
+        return F.transform(f["spans"], lambda x: F.struct((x["start"] + s["at"]).cast("int").alias("start"), (x["end"] + s["at"]).cast("int").alias("end"), x["label"].alias("label")))
+
+    moved = F.flatten(scanned(F.col("f"), start, lambda s, f: F.struct((s["at"] + F.length(f["text"]) + len(gap)).alias("at")), emit, kind))
+    return grouped.select(group, F.array_join(F.transform("f", lambda f: f["text"]), gap).alias("text"), moved.alias("spans"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.values import pvi
@@ -11,11 +11,12 @@ from spanweave.functions.values import pvi
 def difficulty(mentions: DataFrame) -> DataFrame:
     """Mentions with the class prior, information of entity and context alone, and the mean of both.
 
-    Rows have ``label, p_e, p_c``: the true label's probability from the entity and from its context.
+    Rows have ``label, p_e, p_c``: the true label's probability from the entity and from its context. The total is
+    taken over the labels' counts, so the window has one row a label.
     """
-    total = mentions.count()
-    prior = mentions.groupBy("label").agg((F.count("*") / F.lit(max(1, total))).alias("prior"))
-    rows = mentions.join(F.broadcast(prior), "label")
+    counts = mentions.groupBy("label").agg(F.count("*").alias("n"))
+    prior = counts.select("label", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("prior"))
+    rows = mentions.join(prior, "label")
     rows = rows.withColumn("pvi_e", pvi(F.col("prior"), F.col("p_e"))).withColumn("pvi_c", pvi(F.col("prior"), F.col("p_c")))
     return rows.withColumn("ceim", (F.col("pvi_e") + F.col("pvi_c")) / 2)
 
@@ -41,26 +42,29 @@ def timing(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def group_of(name: Column) -> Column:
-    """The folder that a result file belongs to, by its name; the first rule that fits decides (fixed rules)."""
-    stem = F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")
+    """The folder that a result file or latency folder belongs to; the first rule that fits decides, else ``misc``."""
+    head = F.substring_index(name, "_", 1)
 
-    def folder(path: str, pattern: str) -> tuple[Column, Column]:
-        return stem.rlike(pattern), F.concat(F.lit(path), F.regexp_extract(stem, pattern, 1))
+    def named(folder: str, pattern: str) -> tuple[Column, Column]:
+        return name.rlike(pattern), F.concat(F.lit(folder), F.regexp_extract(name, pattern, 1))
 
+    # Fixed rules of names, in order.
     rules = [
-        (stem == "ml_train_coverage", F.lit("v4/train_set")),
-        folder("v5/runs/", r"^(?:cpu_|gpu_)(.+?)_(?:int8|fp16|fp32)_.*$"),
-        folder("v5/pilots/", r"^(pilot[0-9]+_f[0-9]+)_.*$"),
-        folder("v5/sweeps/", r"^(sweep_.+?)_(?:val|dev|test)$"),
-        (stem.rlike(r"^v5_(?:postproc|summary|leaderboard)$"), F.lit("v5/summary")),
-        folder("v5/runs/", r"^(.+?-v5data)_.*$"),
-        folder("english/", r"^(v[123](?:\.[0-9]+)?)_.*$"),
-        folder("v4/", r"^(.+?)_(?:ml|en)_.*$"),
+        named("v5/latency/", r"^([gc]pu_latency)$"),
+        (head.isin("v1", "v2", "v2.1", "v3"), F.concat(F.lit("english/"), head)),
+        (name.startswith("test_metrics"), F.lit("english/misc")),
+        (head.isin("A", "B64", "A-minilm", "A-pilot"), F.concat(F.lit("v4/"), head)),
+        (name.startswith("latency_"), F.lit("v4/latency")),
+        (name.startswith("router_"), F.lit("v4/router")),
+        (name.startswith("ml_train_v5") | (head == "difficulty"), F.lit("v5/train_set")),
+        (name.startswith("ml_train"), F.lit("v4/train_set")),
+        named("v5/pilots/", r"^(pilot2?_f\d+)"),
+        named("v5/sweeps/", r"^(sweep(?:_[^_]+){2}|dhsweep(?:_[^_]+){3})_"),
+        named("v5/runs/", r"^cpu_(.+?-v5data)_(?:fp32|int8)"),
+        (head == "v5", F.lit("v5/summary")),
+        (head.endswith("-v5data") | head.contains("-v5data-") | head.startswith("v5."), F.concat(F.lit("v5/runs/"), head)),
     ]
-    out = F.when(*rules[0])
-    for when, then in rules[1:]:
-        out = out.when(when, then)
-    return out.otherwise(F.lit("other"))
+    return F.coalesce(*(F.when(fits, folder) for fits, folder in rules), F.lit("misc"))
 
 
 def last_json_line(text: Column, schema: str) -> Column:

@@ -107,18 +107,19 @@ def confusion(gold: DataFrame, pred: DataFrame, levels: list[str]) -> DataFrame:
 def tuned(gold: DataFrame, pred: DataFrame, grid: list[float]) -> DataFrame:
     """``label, threshold, f1``: the threshold of greatest strict F1 for each label, the lowest on ties.
 
-    A prediction without score counts as 1. Exact matches are settled once; a threshold only filters them.
+    A prediction without score counts as 1. One join settles the exact matches and the support; a threshold only filters.
     """
     keys = [KEY, "start", "end", "label"]
-    marked = pred.join(gold.select(*keys).distinct().withColumn("hit", F.lit(1)), keys, "left")
-    marked = marked.select("label", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("hit", F.lit(0)).alias("hit"))
-    per = marked.groupBy("label", "score", "hit").agg(F.count("*").alias("n"))
-    steps = F.explode(F.array(*map(F.lit, grid))).alias("threshold")
-    at = per.select("label", "score", "hit", "n", steps).where("score >= threshold")
-    counts = at.groupBy("label", "threshold").agg(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit") == 0, F.col("n")).otherwise(0)).alias("fp"))
-    wanted = gold.groupBy("label").agg(F.count("*").alias("support"))
-    every = wanted.select("label", "support", steps)
-    both = every.join(counts, ["label", "threshold"], "left").na.fill(0, ["tp", "fp"])
+    wanted = gold.groupBy(*keys).agg(F.count("*").alias("g"))
+    given = pred.groupBy(*keys, F.coalesce("score", F.lit(1.0)).alias("score")).agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("score"))
+    both = given.join(wanted, keys, "full").withColumn("g_", F.when(first == 1, F.col("g")))
+    per = both.groupBy("label", "score", F.col("g").isNotNull().alias("hit")).agg(F.sum("n").alias("n"), F.sum("g_").alias("support"))
+    per = per.withColumn("support", F.sum("support").over(Window.partitionBy("label"))).where("support > 0")
+    at = per.select("label", "support", "hit", "score", "n", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
+    kept = F.when(F.col("score") >= F.col("threshold"), F.col("n")).otherwise(0)
+    counts = at.groupBy("label", "threshold").agg(F.first("support").alias("support"), F.sum(F.when(F.col("hit"), kept).otherwise(0)).alias("tp"), F.sum(F.when(F.col("hit"), 0).otherwise(kept)).alias("fp"))
+    both = counts
     both = both.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("support") - F.col("tp"))["f1"])
     best = Window.partitionBy("label").orderBy(F.desc("f1"), "threshold")
     return both.withColumn("k", F.row_number().over(best)).where("k = 1").select("label", "threshold", "f1")
@@ -126,8 +127,8 @@ def tuned(gold: DataFrame, pred: DataFrame, grid: list[float]) -> DataFrame:
 
 def above(pred: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Predictions at or above their label's threshold; no threshold keeps all, no score counts as 1."""
-    limits = F.broadcast(thresholds.select(F.col("label").alias("l"), F.col("threshold")))
-    return pred.join(limits, pred.label == F.col("l"), "left").where(F.coalesce("score", F.lit(1.0)) >= F.coalesce("threshold", F.lit(0.0))).drop("l", "threshold")
+    limits = thresholds.select(F.col("label").alias("__l"), F.col("threshold").alias("__t"))
+    return pred.join(limits, pred.label == F.col("__l"), "left").where(F.coalesce("score", F.lit(1.0)) >= F.coalesce("__t", F.lit(0.0))).drop("__l", "__t")
 
 
 def without_ignored(spans: DataFrame, also_outside: bool = False) -> DataFrame:
@@ -139,13 +140,13 @@ def without_ignored(spans: DataFrame, also_outside: bool = False) -> DataFrame:
 def pareto(rows: DataFrame, gain: str, cost: str) -> DataFrame:
     """Rows that no other beats: none has at least the gain at a strictly lower cost. Ties of cost survive.
 
-    A running maximum over costs; costs are first reduced to their best gain, which is what the single ordered
-    window sees.
+    A running maximum over costs, by ranges of them; costs are first reduced to their best gain.
     """
-    best = rows.groupBy(cost).agg(F.max(gain).alias("best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("bar", F.max("best").over(cheaper)).drop("best").withColumnRenamed(cost, "at")
-    return rows.join(F.broadcast(best), F.col(cost) == F.col("at")).where(f"bar IS NULL OR bar < {gain}").select(*rows.columns)
+    from spanweave.operators.corpus import prefix
+
+    best = rows.groupBy(F.col(cost).alias("__at")).agg(F.max(gain).alias("__best"))
+    best = prefix(best, "__best", "__at", "__bar", how="max").select("__at", "__bar")
+    return rows.join(best, F.col(cost) == F.col("__at")).where(F.col("__bar").isNull() | (F.col("__bar") < F.col(gain))).select(*rows.columns)
 
 
 def near_ties(rows: DataFrame, group: str, value: str, name: str, within: float = 0.005, top: int = 3) -> DataFrame:

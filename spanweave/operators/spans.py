@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.functions.offsets import part
+from spanweave.functions.offsets import bound, matches, part, scanned
+from spanweave.functions.text import SPACE, script_of
 from spanweave.labels import IGNORE, NUMERIC, OUTSIDE, PLACE_ONLY
 
 
+_SPAN = "struct<start:int,end:int,label:string>"
+
 # -- arrays of spans ---------------------------------------------------------------------------------------------
 
 
@@ -24,16 +27,24 @@ def resolved(spans: Column) -> Column:
     longer and is dropped otherwise; so a chain keeps its ends. Element type: ``start, end, label``.
     """
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["label"].alias("label"))))
-    ordered = F.transform(keyed, lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["label"].alias("label")))
+    ordered = F.transform(keyed, lambda s: F.struct(s["start"].cast("int").alias("start"), (-s["back"]).cast("int").alias("end"), s["label"].alias("label")).cast(_SPAN))
+    return kept_longer(ordered, _SPAN)
+
+
+def kept_longer(ordered: Column, kind: str) -> Column:
+    """The fold of :func:`resolved` over spans in order; ``kind`` is their type, with ``start`` and ``end``."""
+    none = F.lit(None).cast(kind)
 
-    def keep(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        clash = F.coalesce(s["start"] < last["end"], F.lit(False))
-        longer = s["end"] - s["start"] > last["end"] - last["start"]
-        swapped = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(s))
-        return F.when(~clash, F.concat(kept, F.array(s))).when(longer, swapped).otherwise(kept)
+    def clear(kept: Column, s: Column) -> Column:
+        return kept.isNotNull() & (s.isNull() | (s["start"] >= kept["end"]))
 
-    return F.aggregate(ordered, F.slice(ordered, F.lit(1), F.lit(0)), keep)
+    def step(kept: Column, s: Column) -> Column:
+        longer = s["end"] - s["start"] > kept["end"] - kept["start"]
+        return F.when(kept.isNull() | clear(kept, s) | longer, s).otherwise(kept)
+
+    # The span kept last goes out when one begins after it; a closing null sends out the last.
+    out = bound(F.concat(ordered, F.array(none)), lambda o: scanned(o, none, step, lambda kept, s: F.when(clear(kept, s), kept), kind))
+    return F.coalesce(F.filter(out, lambda s: s.isNotNull()), F.array().cast(f"array<{kind}>"))
 
 
 def greedy(spans: Column) -> Column:
@@ -50,12 +61,13 @@ def greedy(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its label in square brackets; spans are disjoint."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.concat(acc["out"], part(text, acc["at"], s["start"]), F.lit("["), s["label"], F.lit("]")).alias("out"), s["end"].alias("at"))
+    def joined(found: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+        pieces = F.transform(found, lambda s, i: F.concat(part(text, until(i), s["start"]), F.lit("["), s["label"], F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), part(text, until(F.size(found)), F.length(text)))
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], part(text, acc["at"], F.length(text))))
+    return bound(ordered, lambda found: F.when(F.size(found) > 0, joined(found)).otherwise(text))
 
 
 def spliced_text(text: Column, start: Column, end: Column, new: Column) -> Column:
@@ -169,8 +181,8 @@ JOINERS = [
 ]
 MAX_GAP = 25
 #: A postcode on its own (fixed formats), and what may stand between the parts of an address beside joiners.
-POSTCODE = r"^(?:[0-9]{3}-[0-9]{4}|[0-9]{4,6}|[A-Z]{1,2}[0-9][A-Z0-9]? ?[0-9][A-Z]{2})$"
-FILLER = r"^[\s0-9,，、.。:：;；#\-–/()（）\[\]'\"「」]*$"
+POSTCODE = r"^(?:\p{Nd}{3}-\p{Nd}{4}|\p{Nd}{4,6}|[A-Z]{1,2}\p{Nd}[A-Z\p{Nd}]? ?\p{Nd}[A-Z]{2})$"
+FILLER = rf"^[{SPACE}\p{{Nd}},，、.。:：;；#\-–/()（）\[\]'\"「」]*$"
 
 
 def joiner_pattern() -> str:
@@ -182,26 +194,33 @@ def joiner_pattern() -> str:
 def merged_addresses(spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fragments of an address become one span; a postcode left alone becomes IGNORE. Adds ``parts``.
 
-    A gap joins if it has at most ``MAX_GAP`` characters, no blank line and no spaced slash, holds only filler
-    once joiner words are gone, and no span of another label lies across it.
+    A fragment joins the address before it if the gap has at most ``MAX_GAP`` characters, no blank line and no spaced
+    slash, holds only filler once joiner words are gone, and no span of another label lies across it. One fold over
+    the spans of a text.
     """
-    address = spans.where("label = 'ADDRESS'")
-    others = spans.where("label <> 'ADDRESS'")
-    order = Window.partitionBy(key).orderBy("start", "end")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = address.withColumn("until", F.max("end").over(before))
-    around = others.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("others"))
-    rows = rows.join(around, key, "left")
-    blocked = F.coalesce(F.exists("others", lambda o: (o["start"] < F.col("start")) & (o["end"] > F.col("until"))), F.lit(False))
-    gap = part(F.col(text), F.col("until"), F.col("start"))
-    clean = F.regexp_replace(gap, f"(?iu){joiner_pattern()}", "").rlike(FILLER)
-    fits = (F.col("start") >= F.col("until")) & (F.length(gap) <= MAX_GAP) & ~gap.contains("\n\n") & ~gap.contains(" / ") & clean & ~blocked
-    rows = rows.withColumn("break", F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = rows.groupBy(key, "island").agg(F.first(text).alias(text), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("parts"))
-    lone = (F.col("parts") == 1) & F.trim(part(F.col(text), F.col("start"), F.col("end"))).rlike(POSTCODE)
-    whole = whole.select(key, "start", "end", F.when(lone, IGNORE).otherwise("ADDRESS").alias("label"), "parts")
-    return whole.unionByName(others.select(key, "start", "end", "label", F.lit(1).cast("long").alias("parts")))
+    grouped = spans.groupBy(key).agg(F.first(text).alias(text), F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("s"))
+    kind = "struct<start:int,end:int,parts:bigint>"
+    beyond = 2**31 - 1
+    end = F.struct(F.lit(beyond).alias("start"), F.lit(beyond).alias("end"), F.lit("ADDRESS").alias("label"))
+    said, others = F.col(text), F.filter("s", lambda o: o["label"] != "ADDRESS")
+
+    def joins(p: Column, s: Column) -> Column:
+        gap = part(said, p["end"], s["start"])
+        filled = F.regexp_replace(gap, f"(?iu){joiner_pattern()}", "").rlike(FILLER)
+        across = F.exists(others, lambda o: (o["start"] < s["start"]) & (o["end"] > p["end"]))
+        near = (s["start"] < beyond) & (s["start"] >= p["end"]) & (s["start"] - p["end"] <= MAX_GAP)
+        return F.coalesce(near & ~gap.contains("\n\n") & ~gap.contains(" / ") & filled & ~across, F.lit(False))
+
+    def step(p: Column, s: Column) -> Column:
+        grown = F.struct(p["start"].alias("start"), F.greatest(p["end"], s["end"]).alias("end"), (p["parts"] + 1).alias("parts")).cast(kind)
+        return F.when(joins(p, s), grown).otherwise(F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(1).alias("parts")).cast(kind))
+
+    items = F.concat(F.filter("s", lambda o: o["label"] == "ADDRESS"), F.array(end))
+    found = bound(items, lambda i: scanned(i, F.lit(None).cast(kind), step, lambda p, s: F.when(p.isNotNull() & ~joins(p, s), p), kind))
+    lone = lambda p: (p["parts"] == 1) & F.regexp_replace(part(said, p["start"], p["end"]), rf"^[{SPACE}]+|[{SPACE}]+$", "").rlike(POSTCODE)
+    whole = F.transform(F.filter(found, lambda p: p.isNotNull()), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.when(lone(p), IGNORE).otherwise("ADDRESS").alias("label"), p["parts"].alias("parts")))
+    rest = F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), o["label"].alias("label"), F.lit(1).cast("long").alias("parts")))
+    return grouped.select(key, F.explode(F.concat(whole, rest)).alias("x")).select(key, "x.start", "x.end", "x.label", "x.parts")
 
 
 #: An address field named just before a span, on its line (fixed words).
@@ -247,13 +266,32 @@ def violations(spans: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 # -- tokens ------------------------------------------------------------------------------------------------------
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = r"[^ \t\r\n]+") -> DataFrame:
-    """``key, i, s, e, tok``: matches of ``pattern`` with offsets, numbered from 0. Running sums keep it linear."""
-    pieces, hits = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    rows = docs.select(key, F.posexplode(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"), hits.alias("tok"))).alias("i", "z"))
-    upto = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("z.gap") + F.length("z.tok")).over(upto).cast("int")
-    return rows.select(key, "i", (end - F.length("z.tok")).alias("s"), end.alias("e"), F.col("z.tok").alias("tok"))
+TOKEN = r"[^ \t\r\n]+"
+
+
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN) -> DataFrame:
+    """``key, i, s, e, tok``: matches of ``pattern`` with offsets, numbered from 0; found within the row, without a shuffle."""
+    rows = docs.select(key, F.posexplode(matches(F.col(text), pattern)).alias("i", "t"))
+    return rows.select(key, "i", F.col("t.start").alias("s"), F.col("t.end").alias("e"), F.col("t.value").alias("tok"))
+
+
+def bio_tags(toks: Column, spans: Column) -> Column:
+    """The tag of every token of a text, by the rule of :func:`bio_encoded`; both arrays have ``start, end``, spans a ``label``.
+
+    Without spans all tokens are outside; otherwise each token looks through the text's spans.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+
+    def tag(hit: Column, before: Column) -> Column:
+        prefix = F.when(F.coalesce(before == hit, F.lit(False)), F.lit("I-")).otherwise(F.lit("B-"))
+        return F.when(hit.isNull() | (hit["label"] == OUTSIDE), F.lit(OUTSIDE)).when(hit["label"] == IGNORE, F.lit(None)).otherwise(F.concat(prefix, hit["label"]))
+
+    def tagged(found: Column) -> Column:
+        hits = F.transform(toks, lambda t: F.get(F.filter(found, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), F.lit(0)))
+        some = bound(hits, lambda h: F.transform(h, lambda hit, i: tag(hit, F.get(h, i - 1))))
+        return F.when(F.size(found) > 0, some).otherwise(F.transform(toks, lambda t: F.lit(OUTSIDE)))
+
+    return bound(ordered, tagged)
 
 
 def bio_encoded(toks: DataFrame, spans: DataFrame, key: str = "doc_id", partial: Column | None = None) -> DataFrame:
@@ -350,8 +388,6 @@ def word_starts(toks: DataFrame, key: str = "doc_id", by_script: bool = False) -
     After a gap, at punctuation and after it; with ``by_script`` also at every token of a script without spaces and
     where the script changes.
     """
-    from spanweave.functions.text import script_of
-
     order = Window.partitionBy(key).orderBy("i")
     head, tail = F.substring("tok", 1, 1), F.substring("tok", -1, 1)
     rows = toks.withColumn("pe", F.lag("e").over(order)).withColumn("pt", F.lag(tail).over(order))

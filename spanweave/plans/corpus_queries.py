@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import text as X
 from spanweave.functions import values as V
+from spanweave.functions.offsets import matches
 from spanweave.operators import corpus as K
 from spanweave.operators import routing as R
 from spanweave.plans.registry import fixture, query, values
@@ -115,12 +116,12 @@ def seeded_sample(spark, sf_dir):
 SELECT share, kind, id FROM n JOIN p ON rank <= total - n UNION ALL SELECT share, kind, id FROM n JOIN f ON rank <= n"""
 )
 def nested_pilot(spark, sf_dir):
-    """Sets of one size in which frames replace 0, 10, 25 and 40 per cent."""
-    from pyspark.sql import Window
+    """Sets of one size in which frames replace 0, 10, 25 and 40 per cent; ranks follow 60 bits of the seeded md5."""
 
     def ranked(name: str, key: str, seed: str, kind: str):
         rows = table(spark, sf_dir, name).select(F.col(key).alias("id"))
-        return rows.withColumn("rank", F.row_number().over(Window.orderBy(K.seeded(seed, "id"), "id"))).withColumn("kind", F.lit(kind))
+        rows = rows.withColumn("k", F.conv(F.substring(K.seeded(seed, "id"), 1, 15), 16, 10).cast("long"))
+        return K.prefix(rows, F.lit(1), "k", "rank").select("id", (F.col("rank") + 1).alias("rank"), F.lit(kind).alias("kind"))
 
     sets = K.nested_sets(ranked("supplier", "s_suppkey", "p", "public"), ranked("part", "p_partkey", "f", "frame"), [0, 10, 25, 40])
     return sets.select("share", "kind", "id")
@@ -168,8 +169,6 @@ FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0"""
 )
 def span_doc_mix(spark, sf_dir):
     """Documents joined in pairs, the second's spans moved."""
-    from spanweave.functions.offsets import matches
-
     found = F.flatten(F.array(*(matches(F.col("text"), p, k) for k, p in _SPANS.items())))
     rows = docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("odd"), "text", found.alias("spans"))
     rows = rows.withColumn("own", F.size("spans"))
@@ -252,39 +251,36 @@ def latin_filter(spark, sf_dir):
 _BLOCKS = """blocks AS (SELECT source, string_agg(text, CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) || ' ' || chr(10) || chr(10) || chr(10) WHEN 2 THEN '  ' || chr(160) || chr(9) ELSE chr(13) END ORDER BY doc_id) AS text FROM documents GROUP BY source)"""
 
 
-def _blocks(spark, sf_dir):
-    """Documents of a source in one text, with mixed separators."""
+def _mixed(spark, sf_dir):
+    """Documents whose line breaks and commas became separators of several kinds."""
     k = F.col("doc_id") % 4
-    sep = F.when(k == 0, "\n\n").when(k == 1, "\n \n\n\n").when(k == 2, "   \t").otherwise("\r")
-    piece = F.struct("doc_id", "text", sep.alias("sep"))
-    grouped = docs(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    joined = F.array_join(F.transform("p", lambda p, i: F.concat(F.when(i == 0, F.lit("")).otherwise(p["sep"]), p["text"])), "")
-    return grouped.select("source", joined.alias("text"))
+    sep = F.when(k == 0, "\n\n").when(k == 1, "\n \n\n\n").when(k == 2, "  \u00a0\t").otherwise("\r")
+    return docs(spark, sf_dir).select("doc_id", F.replace(F.replace(F.col("text"), F.lit("\n"), sep), F.lit(", "), sep).alias("text"))
 
 
-_BLOCKS = """blocks AS (SELECT source, string_agg(CASE WHEN k = 1 THEN '' ELSE CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) || ' ' || chr(10) || chr(10) || chr(10) WHEN 2 THEN '  ' || chr(160) || chr(9) ELSE chr(13) END END || text, '' ORDER BY doc_id) AS text
- FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) GROUP BY source)"""
+_MIXED = """mixed AS (SELECT doc_id, replace(replace(text, chr(10), sep), ', ', sep) AS text FROM (SELECT doc_id, text,
+ CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) || ' ' || chr(10) || chr(10) || chr(10) WHEN 2 THEN '  ' || chr(160) || chr(9) ELSE chr(13) END AS sep FROM documents))"""
 _NORM = r"""regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \t' || chr(160) || ']+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
 
 
-@query(f"WITH {_BLOCKS} SELECT source, md5(t) AS text_md5, length(t) AS n FROM (SELECT source, {_NORM} AS t FROM blocks)")
+@query(f"WITH {_MIXED} SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM (SELECT doc_id, {_NORM} AS t FROM mixed)")
 def norm_ws(spark, sf_dir):
-    """White space normalised over long mixed texts."""
-    rows = _blocks(spark, sf_dir).select("source", X.norm_ws(F.col("text")).alias("t"))
-    return rows.select("source", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("long").alias("n"))
+    """White space normalised in every document."""
+    rows = _mixed(spark, sf_dir).select("doc_id", X.norm_ws(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("long").alias("n"))
 
 
 @query(
-    f"""WITH {_BLOCKS}, n AS (SELECT source, {_NORM} AS text FROM blocks), p AS (SELECT source, text, string_split(text, chr(10) || chr(10)) AS l FROM n),
- f AS (SELECT source, text, list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': 0::BIGINT, 'w': ''}}, list_transform(l, lambda w: {{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': 0::BIGINT, 'w': w}})), lambda a, x:
-   CASE WHEN a.size + length(x.w) > 20000 AND len(a.open) > 0 THEN {{'done': list_append(a.done, array_to_string(a.open, chr(10) || chr(10))), 'open': [substr(x.w, 1, 20000)], 'size': length(x.w) + 2, 'w': ''}}
-        ELSE {{'done': a.done, 'open': list_append(a.open, substr(x.w, 1, 20000)), 'size': a.size + length(x.w) + 2, 'w': ''}} END) AS a FROM p)
-SELECT source, i, md5(parts[i + 1]) AS part_md5 FROM (SELECT source, parts, unnest(range(0, len(parts)))::INTEGER AS i FROM (SELECT source, CASE WHEN length(text) <= 20000 THEN [text] ELSE list_append(a.done, array_to_string(a.open, chr(10) || chr(10))) END AS parts FROM f))"""
+    f"""WITH {_MIXED}, n AS (SELECT doc_id, {_NORM} AS text FROM mixed), p AS (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS l FROM n),
+ f AS (SELECT doc_id, text, list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': 0::BIGINT, 'w': ''}}, list_transform(l, lambda w: {{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': 0::BIGINT, 'w': w}})), lambda a, x:
+   CASE WHEN a.size + length(x.w) > 2000 AND len(a.open) > 0 THEN {{'done': list_append(a.done, array_to_string(a.open, chr(10) || chr(10))), 'open': [substr(x.w, 1, 2000)], 'size': length(x.w) + 2, 'w': ''}}
+        ELSE {{'done': a.done, 'open': list_append(a.open, substr(x.w, 1, 2000)), 'size': a.size + length(x.w) + 2, 'w': ''}} END) AS a FROM p)
+SELECT doc_id, i, md5(parts[i + 1]) AS part_md5 FROM (SELECT doc_id, parts, unnest(range(0, len(parts)))::INTEGER AS i FROM (SELECT doc_id, CASE WHEN length(text) <= 2000 THEN [text] ELSE list_append(a.done, array_to_string(a.open, chr(10) || chr(10))) END AS parts FROM f))"""
 )
 def split_long_chunks(spark, sf_dir):
-    """Long texts in greedy parts of whole paragraphs."""
-    rows = _blocks(spark, sf_dir).select("source", F.posexplode(X.split_long(X.norm_ws(F.col("text")))).alias("i", "part"))
-    return rows.select("source", "i", F.md5(F.col("part").cast("binary")).alias("part_md5"))
+    """Texts beyond 2,000 characters in greedy parts of whole paragraphs."""
+    rows = _mixed(spark, sf_dir).select("doc_id", F.posexplode(X.split_long(X.norm_ws(F.col("text")), 2000)).alias("i", "part"))
+    return rows.select("doc_id", "i", F.md5(F.col("part").cast("binary")).alias("part_md5"))
 
 
 SCRIPTS = [(1, "これは日本語です"), (2, "한국어 문장입니다"), (3, "यह हिन्दी है"), (4, "هذا نص عربي"), (5, "นี่คือภาษาไทย"), (6, "这是中文"), (7, "plain English"), (8, "1234 5678"), (9, "Привет мир"), (10, "the 張 one"), (11, "カ and many more latin letters than kana in this line of text"), (12, None)]
@@ -373,12 +369,22 @@ def native_digits(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.native_digits(F.col("c_custkey").cast("string"), "०१२३४५६७८९").alias("shown"))
 
 
-_TOKENS = [(1, "Sinabi|ni|Juan|Dela|Cruz|.", "Sinabi ni Juan Dela Cruz."), (2, "(|see|p.|4|)|,|ok|?", "(see p. 4), ok?"), (3, "one", "one")]
+_TOKENS = [
+    (1, "Sinabi|ni|Juan|Dela|Cruz|.", "O|O|B-PER|I-PER|I-PER|O"), (2, "(|see|p.|4|)|,|ok|?", "O|O|O|O|O|O|B-X|O"), (3, "one", "I-X"), (4, "「|東京|」|、|大阪|。", "O|B-LOC|O|O|B-LOC|O"),
+    (5, "a||b| |c|d", "B-X|O|I-X|I-X|I-X|B-X"), (6, "（|x|）", "O|O|O"), (7, "«|x|»", "O|B-Y|I-Z"),
+]
+_SAID = [
+    (1, "Sinabi ni Juan Dela Cruz.", "10-24:PER"), (2, "(see p. 4), ok?", "12-14:X"), (3, "one", "0-3:X"), (4, "「東京」、 大阪。", "1-3:LOC,6-8:LOC"), (5, "a b   c d", "0-7:X,8-9:X"), (6, "（x）", ""), (7, "« x »", "2-3:Y,4-5:Z"),
+]
 
 
-@query(f"SELECT id, text FROM {values([(i, w) for i, _, w in _TOKENS], 'id, text')}")
+@query(f"SELECT id, text, spans FROM {values(_SAID, 'id, text, spans')}")
 def detokenize(spark, sf_dir):
-    return fixture(spark, _TOKENS, "id int, toks string, want string").select("id", X.detokenized(F.split("toks", r"\|")).alias("text"))
+    """Tagged tokens as text with spans; the other side states the expected rows."""
+    rows = fixture(spark, _TOKENS, "id int, toks string, tags string")
+    rows = rows.select("id", X.detokenized(F.split("toks", r"\|"), F.split("tags", r"\|")).alias("d"))
+    said = F.transform("d.spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["label"]))
+    return rows.select("id", "d.text", F.array_join(said, ",").alias("spans"))
 
 
 _TEMPLATES = [(1, "Dear {PERSON:k1},  your  A/C {ACCOUNT} of 12 May\n2024", "dear {person}, your a/c {account} of # may #"), (2, "{A} {A:2}", "{a} {a}")]

@@ -193,7 +193,9 @@ def timing_summary(spark, sf_dir):
 
 PATHS = [
     ("cpu_SPAN-v5data_int8_sample.json", "v5/runs/SPAN-v5data"), ("A-v5data_merge-avg_ml_real.txt", "v5/runs/A-v5data"), ("pilot2_f25_ml_real.json", "v5/pilots/pilot2_f25"), ("sweep_S64_3e-4_val.json", "v5/sweeps/sweep_S64_3e-4"),
-    ("v5_postproc.json", "v5/summary"), ("ml_train_coverage.txt", "v4/train_set"), ("B64_ml_real.json", "v4/B64"), ("v2.1_test.txt", "english/v2.1"), ("notes.md", "other"),
+    ("v5_postproc.json", "v5/summary"), ("ml_train_coverage.txt", "v4/train_set"), ("B64_ml_real.json", "v4/B64"), ("v2.1_test.txt", "english/v2.1"), ("notes.md", "misc"),
+    ("gpu_latency", "v5/latency/gpu_latency"), ("test_metrics_v3.json", "english/misc"), ("latency_A_B.jsonl", "v4/latency"), ("router_eval.txt", "v4/router"), ("difficulty_ml.json", "v5/train_set"),
+    ("ml_train_v5_coverage.txt", "v5/train_set"), ("dhsweep_a_b_c_val.json", "v5/sweeps/dhsweep_a_b_c"), ("v5.3_ml_real.txt", "v5/runs/v5.3"), ("X-v5data-ema_val.json", "v5/runs/X-v5data-ema"), ("v4_summary.txt", "misc"), ("A-pilot_x.json", "v4/A-pilot"),
 ]
 
 

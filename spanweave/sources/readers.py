@@ -90,11 +90,16 @@ def frames(rows: DataFrame, by: str = "path") -> DataFrame:
 
 
 def mails(rows: DataFrame, candidates: tuple[str, ...] = ("body", "text", "content", "message"), subject: str | None = "subject") -> DataFrame:
-    """``text``: the first of some columns that exists and is not null, cleaned; the subject, if there, on a line before."""
-    there = [c for c in candidates if c in rows.columns]
-    body = clean_email(F.coalesce(*(F.col(c) for c in there))) if there else F.lit(None).cast("string")
+    """``text``: the first of some columns that exists, cleaned, after a line with the subject if there is one.
+
+    A null body counts as empty. Without any of the columns a ``ValueError`` names them.
+    """
+    there = next((c for c in candidates if c in rows.columns), None)
+    if there is None:
+        raise ValueError(f"a mail table has one of the columns {', '.join(candidates)}")
+    body = clean_email(F.coalesce(F.col(there), F.lit("")))
     if subject and subject in rows.columns:
-        body = F.concat(F.when(F.coalesce(F.col(subject), F.lit("")) != "", F.concat(F.col(subject), F.lit("\n"))).otherwise(F.lit("")), body)
+        body = F.concat(F.when(F.coalesce(F.col(subject), F.lit("")) != "", F.concat(F.lit("Subject: "), F.col(subject), F.lit("\n"))).otherwise(F.lit("")), body)
     return rows.withColumn("text", norm_ws(body))
 
 

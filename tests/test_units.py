@@ -110,8 +110,11 @@ def test_files(spark, tmp_path):
 
 
 def test_mails(spark):
-    rows = spark.createDataFrame([("s", None, "b\n> q"), (None, "x", "y")], "subject string, body string, content string")
-    assert [r.text for r in R.mails(rows).collect()] == ["s\nb", "x"]
+    rows = spark.createDataFrame([("s", None, "b\n> q"), (None, "x", "y"), ("", "a", None)], "subject string, body string, content string")
+    assert [r.text for r in R.mails(rows).collect()] == ["Subject: s", "x", "a"]
+    assert [r.text for r in R.mails(rows.drop("body")).collect()] == ["Subject: s\nb", "y", ""]
+    with pytest.raises(ValueError):
+        R.mails(rows.select("subject"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
