@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanweave.functions import values as V
+from spanweave.functions.text import cleaned_parts, is_latin
 
 #: White space as Python's ``\\s`` has it; the whole text's end.
 _S = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -93,6 +94,18 @@ def address_lines(tokens: Column, tags: Column, country: Column) -> Column:
     return F.when(~has("category") & ~has("near") & street_level, F.array_compact(made))
 
 
+#: Fixed pattern of what a register writes where it has nothing to say.
+_JUNK = r"(?i)\[REDACTED\]|(?<=,)[\s\p{Z}]*-1[\s\p{Z}]*(?=,)|\bUnclassified\b"
+
+
+def indian_parts(raw: Column) -> Column:
+    """Parts of an Indian address as written, each once (case ignored); null unless it has three to eight, is Latin and has a PIN."""
+    text = F.regexp_replace(F.regexp_replace(raw, _JUNK, ""), rf"{_S}+", " ")
+    parts = F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^[ ,]+|[ ,]+\z", ""))
+    kept = cleaned_parts(parts)
+    return F.when(F.size(kept).between(3, 8) & is_latin(text) & text.rlike(r"\p{Nd}{6}"), kept)
+
+
 ZH_STREET = r"[0-9０-９]|[路街道巷弄号號室楼樓栋棟层層幢座村镇鎮乡鄉]|大厦|大廈|小区|小區|花园|花園"
 
 

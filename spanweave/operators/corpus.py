@@ -322,3 +322,11 @@ def fragments_packed(rows: DataFrame, group: str, order: str, gap: str = "\n\n")
 
     moved = F.flatten(scanned(F.col("f"), start, lambda s, f: F.struct((s["at"] + F.length(f["text"]) + len(gap)).alias("at")), emit, kind))
     return grouped.select(group, F.array_join(F.transform("f", lambda f: f["text"]), gap).alias("text"), moved.alias("spans"))
+
+
+def with_defaults(rows: DataFrame, table: DataFrame, on: str, defaults: dict[str, object]) -> DataFrame:
+    """``rows`` with the columns of ``table`` by ``on``, and a default where a row has no entry or the entry is null."""
+    (key,) = fresh(rows, "key")
+    entries = table.select(F.col(on).alias(key), *(F.col(c).alias(f"{key}_{c}") for c in defaults))
+    both = rows.join(entries, rows[on] == entries[key], "left")
+    return both.select(*(rows[c] for c in rows.columns), *(F.coalesce(F.col(f"{key}_{c}"), F.lit(v)).alias(c) for c, v in defaults.items()))

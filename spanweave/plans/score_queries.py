@@ -145,8 +145,8 @@ _PVI = "-log2(greatest(prior, 1e-12)) + log2(greatest(p_{}, 1e-12))"
 
 
 @query(
-    f"""WITH m AS ({_MENTIONS}), q AS (SELECT *, count(*) OVER (PARTITION BY label) / count(*) OVER () AS prior FROM m), v AS (SELECT *, {_PVI.format('e')} AS pvi_e, {_PVI.format('c')} AS pvi_c FROM q), c AS (SELECT *, (pvi_e + pvi_c) / 2 AS ceim FROM v)
-SELECT label, lang, source, count(*) AS n, round(avg(pvi_e), 6) AS pvi_e, round(avg(pvi_c), 6) AS pvi_c, round(avg(ceim), 6) AS ceim, avg((ceim < 0)::INTEGER) AS low, avg((abs(ceim) < 0.5)::INTEGER) AS near_zero, avg((ceim > 2)::INTEGER) AS high
+    f"""WITH m AS ({_MENTIONS}), q AS (SELECT *, count(*) OVER (PARTITION BY label) / count(*) OVER () AS prior FROM m), v AS (SELECT *, {_PVI.format('e')} AS pvi_e, {_PVI.format('c')} AS pvi_c FROM q), c AS (SELECT *, pvi_e - pvi_c AS ceim FROM v)
+SELECT label, lang, source, count(*) AS n, round(avg(pvi_e), 6) AS pvi_e, round(avg(pvi_c), 6) AS pvi_c, round(avg(ceim), 6) AS ceim, avg((ceim < -0.5)::INTEGER) AS low, avg((abs(ceim) <= 0.5)::INTEGER) AS near_zero, avg((ceim > 0.5)::INTEGER) AS high
 FROM c GROUP BY GROUPING SETS ((), (label), (lang), (lang, label), (source))"""
 )
 def ceim_summary(spark, sf_dir):

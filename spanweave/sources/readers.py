@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.functions.text import clean_email, norm_ws
+from spanweave.functions.native import address_lines
+from spanweave.functions.text import SPACE, clean_email, detokenized, is_latin, norm_ws
+from spanweave.operators.corpus import capped
 from spanweave.schema import LATENCY
 
 
@@ -103,6 +105,101 @@ def mails(rows: DataFrame, candidates: tuple[str, ...] = ("body", "text", "conte
     return rows.withColumn("text", norm_ws(body))
 
 
+def tagged_arrays(rows: DataFrame, source: str, lang: str, tokens: str = "tokens", tags: str = "tags", names: list[str] | None = None, joiner: str = " ", key: str = "id") -> DataFrame:
+    """``id, source, lang, text, spans`` of rows with token and tag arrays (tags as text, or as numbers into ``names``).
+
+    Rows whose text is blank go. Languages without spaces take an empty ``joiner``.
+    """
+    said = F.col(tags)
+    if names is not None:
+        table = F.array(*map(F.lit, names))
+        said = F.transform(tags, lambda t: F.get(table, t.cast("int")))
+    made = rows.select(F.concat_ws("-", F.lit(source), F.col(key).cast("string")).alias("id"), detokenized(F.col(tokens), said, joiner).alias("d"))
+    made = made.select("id", F.lit(source).alias("source"), F.lit(lang).alias("lang"), "d.text", "d.spans")
+    return made.where(F.col("text").rlike(rf"[^{SPACE}]"))
+
+
+def span_rows(rows: DataFrame, source: str, lang: str, spans: str, start: str = "start", end: str = "end", label: str = "label", key: str = "id", text: str = "text") -> DataFrame:
+    """``id, source, lang, text, spans`` of rows whose span structs name their fields otherwise (``a.b`` and ``a[0]`` reach inside).
+
+    Null span arrays are empty.
+    """
+
+    def field(s: Column, path: str) -> Column:
+        for step in path.replace("]", "").replace("[", ".").split("."):
+            s = s[int(step)] if step.isdigit() else s[step]
+        return s
+
+    renamed = F.transform(spans, lambda s: F.struct(field(s, start).cast("int").alias("start"), field(s, end).cast("int").alias("end"), field(s, label).alias("label")))
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    return rows.select(F.concat_ws("-", F.lit(source), F.col(key).cast("string")).alias("id"), F.lit(source).alias("source"), F.lit(lang).alias("lang"), F.col(text).alias("text"), F.coalesce(renamed, none).alias("spans"))
+
+
+def held_out_split(rows: DataFrame, key: str = "id", seed: str = "0", tenths: int = 1) -> DataFrame:
+    """``rows`` with ``split``: ``validation`` for so many tenths of the keys by their seeded md5, else ``train``."""
+    digit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 10
+    return rows.withColumn("split", F.when(digit < tenths, "validation").otherwise("train"))
+
+
+def answers(rows: DataFrame, question: str = "input", answer: str = "output") -> DataFrame:
+    """``text``: a question and its answer on two lines, each without white space at its ends; nulls count as empty."""
+    strip = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return rows.select(F.concat(strip(question), F.lit("\n"), strip(answer)).alias("text"))
+
+
+def passages(rows: DataFrame, doc: str, number: str, text: str, order: str) -> DataFrame:
+    """``doc, number, text``: each passage once; of repeats the last in ``order`` counts. The text begins with the number."""
+    last = rows.groupBy(doc, number).agg(F.max_by(text, order).alias("text"))
+    return last.select(doc, number, F.concat_ws(" ", F.col(number).cast("string"), "text").alias("text"))
+
+
+def unique_texts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``text``: every different text of some columns, once; nulls go."""
+    return rows.select(F.explode(F.array(*columns)).alias("text")).where("text IS NOT NULL").distinct()
+
+
+def grouped_texts(rows: DataFrame, by: list[str], order: str, text: str = "text", joiner: str = "\n", head: Column | None = None) -> DataFrame:
+    """``by, text``: the texts of a group in order, joined, after a headline of the group if given (articles, statements of a year)."""
+    piece = F.struct(F.col(order).alias("k"), F.col(text).alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), joiner)
+    found = rows.groupBy(*by).agg(joined.alias("text"))
+    return found if head is None else found.withColumn("text", F.concat(head, F.lit("\n"), "text"))
+
+
+def country_addresses(rows: DataFrame, countries: list[str], most: int, source: str, order: str = "pos") -> DataFrame:
+    """``country, source, pos, lines`` of tagged address tokens ``country, tokens, tags, pos``: Latin street-level ones, at most so many a country."""
+    latin = rows.where(F.col("country").isin(*countries)).where(is_latin(F.array_join("tokens", " ")))
+    found = latin.select("country", F.lit(source).alias("source"), F.col(order).alias("pos"), address_lines(F.col("tokens"), F.col("tags"), F.col("country")).alias("lines"))
+    return capped(found.where(F.size("lines") > 0), ["country"], ["pos"], most)
+
+
+def configuration(spark: SparkSession, entries: dict) -> DataFrame:
+    """``path, value``: the leaves of a nested configuration, values as JSON; a mapping under ``<<`` gives defaults."""
+    import json
+
+    def leaves(node, path: str):
+        if isinstance(node, dict):
+            base = node.get("<<", {})
+            for part in [base] if isinstance(base, dict) else base:
+                node = {**part, **node}
+            for k, v in node.items():
+                if k != "<<":
+                    yield from leaves(v, f"{path}.{k}" if path else str(k))
+        else:
+            yield path, json.dumps(node, ensure_ascii=False)
+
+    return spark.createDataFrame(list(leaves(entries, "")), "path string, value string")
+
+
+def write_packed(seqs: DataFrame, path: str, meta: dict) -> None:
+    """Packed sequences as Parquet, and beside them one JSON line of settings and totals."""
+    import json
+
+    seqs.write.parquet(f"{path}/sequences")
+    said = {**meta, "sequences": seqs.sparkSession.read.parquet(f"{path}/sequences").count()}
+    seqs.sparkSession.createDataFrame([(json.dumps(said, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
 def headed(rows: DataFrame, pattern: str, text: str = "text", look: int = 5000, head: int = 1500) -> DataFrame:
     """Rows whose normalised beginning matches a pattern."""
     return rows.where(F.substring(norm_ws(F.substring(text, 1, look)), 1, head).rlike(pattern))
