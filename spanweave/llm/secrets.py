@@ -30,6 +30,8 @@ from spanweave.llm.common import map_slices, picked
 KINDS = ("assign", "access", "hex", "crf")
 #: The base rules: fixed patterns. Letters of ``assign`` match in either case, ASCII only.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+#: What every match of ``assign`` begins with, in small letters; texts without any are not searched.
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LEAST_ASSIGN, _LEAST_ACCESS = 8, 16
@@ -38,14 +40,16 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 #: Runs of letters, digits and joining marks, with ``=`` only where it pads their end; any other mark alone.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?|[^\sA-Za-z0-9+/_.-]")
 DIM = 1 << 14
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 #: No valid path goes from outside to inside.
 _NEVER = -1e4
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base rules, in code points, ordered by start and kind."""
-    found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= _LEAST_ASSIGN]
+    low = text.lower()
+    named = any(name in low for name in _NAMES)
+    found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= _LEAST_ASSIGN] if named else []
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= _LEAST_ACCESS]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
@@ -106,12 +110,24 @@ def _file_slot(odd: int, words: int) -> int:
     return _slot(f"file:{min(5, 20 * odd // max(1, words))}")
 
 
+class _Numbers(dict):
+    """The number of each word's form, learnt at first sight."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = self.learn(word)
+        return k
+
+
 class Crf:
     def __init__(self, weights: np.ndarray, moves: np.ndarray, lexicon: frozenset[str]):
         """weights: DIM by 3; moves: 3 by 3, from tag to tag; lexicon: the words that have weights of their own."""
         self.weights, self.moves, self.lexicon = weights, moves, lexicon
         real = moves[moves > _NEVER / 2]
         self.margin = float(3 * (real.max() - real.min())) + 1e-6
+        self.plain = float(2 * (real.max() - moves[OUT, OUT])) + 1e-6
         self.clear()
 
     def __getstate__(self):
@@ -122,54 +138,66 @@ class Crf:
 
     def clear(self) -> None:
         """Forget cached words: number of each word, number of each form, and the forms' scores."""
-        self.number: dict[str, int] = {}
+        self.number = _Numbers(self.learn)
         self.form: dict[str, int] = {}
-        self.parts = np.zeros((256, 4, 3))
-        self.odd = np.zeros(256, bool)
+        #: Scores by place (itself, one before, two before, one after), tag and form.
+        self.parts = np.zeros((4, 3, 256))
+        self.odd = np.zeros(256, np.int64)
 
     def learn(self, word: str) -> int:
         form = word if word.lower() in self.lexicon else _form(word)
         k = self.form.get(form)
         if k is None:
             k = self.form[form] = len(self.form)
-            if k == len(self.parts):
-                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+            if k == len(self.odd):
+                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)], axis=2)
                 self.odd = np.concatenate([self.odd, np.zeros_like(self.odd)])
-            self.parts[k] = [self.weights[list(s)].sum(axis=0) for s in _slots(word, self.lexicon)]
+            self.parts[:, :, k] = [self.weights[list(s)].sum(axis=0) for s in _slots(word, self.lexicon)]
             self.odd[k] = _odd(word)
-        self.number[word] = k
         return k
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of the three tags at every token."""
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Scores of the three tags (rows) at every token."""
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        get, learn = self.number.get, self.learn
-        place = np.fromiter((learn(w) if (k := get(w)) is None else k for w in words), np.int64, len(words))
-        own, before, second, after = (self.parts[:, k] for k in range(4))
-        out = own[place] + self.weights[_file_slot(int(self.odd[place].sum()), len(words))]
-        out[1:] += before[place[:-1]]
-        out[2:] += second[place[:-2]]
-        out[:-1] += after[place[1:]]
+        place = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        file = self.weights[_file_slot(int(self.odd.take(place).sum()), len(words))]
+        out = np.empty((3, len(words)))
+        for tag, row in enumerate(out):
+            own, before, second, after = self.parts[:, tag]
+            own.take(place, out=row)
+            row += file[tag]
+            row[1:] += before.take(place[:-1])
+            row[2:] += second.take(place[:-2])
+            row[:-1] += after.take(place[1:])
         return out
 
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of the three tags (columns) at every token."""
+        return self._scores(words).T
+
     def tag(self, words: list[str]) -> list[tuple[int, int]]:
-        """(first, last) token of each span on the best path."""
+        """(first, last) token of each span on the best path.
+
+        A stretch of doubt is all outside, too, if each of its tokens prefers that by more than two transitions: a run
+        of n other tags has at most n + 1 transitions to gain from.
+        """
         if not words:
             return []
-        scores = self.emissions(words)
-        sure = scores[:, OUT] - scores[:, 1:].max(axis=1)
-        sure[:-1] -= np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0)
-        sure = sure > self.margin
-        doubt = np.flatnonzero(~sure)
-        found, at = [], 0
-        while at < len(doubt):
-            upto = at + 1
-            while upto < len(doubt) and doubt[upto] == doubt[upto - 1] + 1:
-                upto += 1
-            a, b = int(doubt[at]), int(doubt[upto - 1]) + 1
-            found += [(a + i, a + j) for i, j in self._path(scores[a:b], a > 0, b < len(words))]
-            at = upto
+        scores = self._scores(words)
+        out, begin, inside = scores
+        own = out - np.maximum(begin, inside)
+        sure = own.copy()
+        sure[:-1] -= np.maximum(inside[1:] - begin[1:], 0)
+        doubt = np.flatnonzero(sure <= self.margin)
+        if not len(doubt):
+            return []
+        first = np.concatenate([[0], np.flatnonzero(np.diff(doubt) > 1) + 1])
+        last = np.concatenate([first[1:] - 1, [len(doubt) - 1]])
+        open_ = np.flatnonzero(np.minimum.reduceat(own[doubt], first) <= self.plain)
+        found = []
+        for a, b in zip(doubt[first[open_]].tolist(), (doubt[last[open_]] + 1).tolist()):
+            found += [(a + i, a + j) for i, j in self._path(scores[:, a:b].T, a > 0, b < len(words))]
         return found
 
     def _path(self, scores: np.ndarray, left: bool, right: bool) -> list[tuple[int, int]]:
