@@ -176,11 +176,11 @@ def near_groups(docs: DataFrame, text_col: str = "text", words: int = WORDS, per
     count = shared.count()
     begun = stored(_candidates(shared.withColumn("root", F.col("key")), count, percent, False), "pairs")
     links = stored(_verified(begun, texts, words, percent), "links")
-    roots = stored(components(links), "roots").withColumnRenamed("node", "key")
+    roots = components(links).withColumnRenamed("node", "key")
     rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = stored(_candidates(rooted, count, percent, True).join(begun, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(rest, texts, words, percent))
-    roots = stored(components(links), "roots").withColumnRenamed("node", "key")
+    roots = components(links).withColumnRenamed("node", "key")
     return prints.select("row", "key").join(roots, "key", "left").select("row", F.coalesce("root", "key").alias("group"))
 
 

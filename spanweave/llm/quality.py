@@ -253,21 +253,20 @@ def shrunk(total: Column, n: Column, prior: Column, weight: float) -> Column:
 def _posteriors(rows: DataFrame, rates: DataFrame, host: str, path: str, names: dict[str, str]) -> DataFrame:
     """``rows`` with the posterior of each target in the column of its evidence."""
     groups = rates.count()
-    keyed = rates.select(F.col("host").alias("__site_host__"), F.col("path").alias("__site_path__"), *(F.col(f"{k}_rate").alias(f"__site_{k}_rate__") for k in TARGETS))
+    site = {c: unused(rows, f"site_{c}") for c in rates.columns}
+    keyed = rates.select(*(F.col(c).alias(new) for c, new in site.items()))
     if groups <= BROADCAST_GROUPS:
         keyed = F.broadcast(keyed)
-    both = rows.join(keyed, F.col(host).eqNullSafe(F.col("__site_host__")) & F.col(path).eqNullSafe(F.col("__site_path__")), "left")
+    both = rows.join(keyed, F.col(f"`{host}`").eqNullSafe(F.col(site["host"])) & F.col(f"`{path}`").eqNullSafe(F.col(site["path"])), "left")
     for k in TARGETS:
-        both = both.withColumn(names[k], 1 / (1 + F.exp(-(F.col(names[k]) + _logit(F.coalesce(F.col(f"__site_{k}_rate__"), F.lit(0.5)))))))
-    return both.drop("__site_host__", "__site_path__", *(f"__site_{k}_rate__" for k in TARGETS))
+        both = both.withColumn(names[k], 1 / (1 + F.exp(-(F.col(names[k]) + _logit(F.coalesce(F.col(site[f"{k}_rate"]), F.lit(0.5)))))))
+    return both.drop(*site.values())
 
 
-def _known(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host: str, path: str):
-    models = train(docs, labels, id_col, text_col)
-    rows = picked(docs, doc_id=id_col, text=text_col, host=host, path=path)
-    names = {k: f"{k}_evidence" for k in TARGETS}
-    evidence = stored(with_evidence(rows, models, names).drop("text"), "evidence")
-    return models, evidence, stored(site_rates(evidence, "host", "path", {k: m.base for k, m in models.items()}), "rates")
+def _rates(evidence: DataFrame, models: dict[str, Linear], host: str, path: str, names: dict[str, str]) -> DataFrame:
+    """The shrunk rates of all sites, from rows with evidence."""
+    rows = picked(evidence, host=host, path=path, **{f"{k}_evidence": names[k] for k in TARGETS})
+    return stored(site_rates(rows, "host", "path", {k: m.base for k, m in models.items()}), "rates")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
@@ -277,16 +276,24 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     judged as empty ones; labels with nulls are not used; without labels of both kinds a target's evidence is 0;
     repeated rows are judged alike; extra columns are not read.
     """
-    _, evidence, rates = _known(docs, labels, id_col, text_col, host, path)
+    models = train(docs, labels, id_col, text_col)
     names = {k: f"{k}_evidence" for k in TARGETS}
-    judged = _posteriors(evidence, rates, "host", "path", names)
+    rows = picked(docs, doc_id=id_col, text=text_col, host=host, path=path)
+    evidence = stored(with_evidence(rows, models, names).drop("text"), "evidence")
+    judged = _posteriors(evidence, _rates(evidence, models, "host", "path", names), "host", "path", names)
     low, toxic = (F.col(names[k]) for k in TARGETS)
     return judged.select("doc_id", low.alias("low_posterior"), toxic.alias("toxic_posterior"), ((low <= THRESHOLD) & (toxic <= THRESHOLD)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs``, all columns, without the rows that the classifier rejects. The text is not shuffled."""
-    models, _, rates = _known(docs, labels, id_col, text_col, host, path)
-    names = {k: unused(docs, f"{k}_evidence") for k in TARGETS}
-    judged = _posteriors(with_evidence(docs, models, names, text_col), rates, host, path, names)
-    return judged.where(F.greatest(*(F.col(names[k]) for k in TARGETS)) <= THRESHOLD).select(*docs.columns)
+    """``docs``, all columns, without the rows that the classifier rejects; rows as in :func:`classify`.
+
+    The rows are written once with their evidence, so every text is scored once, and the text is not shuffled.
+    """
+    models = train(docs, labels, id_col, text_col)
+    names = {}
+    for k in TARGETS:
+        names[k] = unused(docs, f"{k}_evidence")
+    evidence = stored(with_evidence(docs, models, names, text_col), "evidence")
+    judged = _posteriors(evidence, _rates(evidence, models, host, path, names), host, path, names)
+    return judged.where(F.greatest(*(F.col(names[k]) for k in TARGETS)) <= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -282,14 +282,48 @@ def links(points: DataFrame, radius: int = 4, projections: int | None = None) ->
     return dealt.groupBy("task").applyInArrow(search, "u long, v long")
 
 
+#: Links that one task merges at once before they are shuffled.
+MERGED_AT_ONCE = 1 << 20
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The same components with fewer links: each task's blocks of links become stars around their least nodes."""
+    schema = pa.schema({"u": pa.int64(), "v": pa.int64()})
+
+    def stars(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+        half = len(place) // 2
+        label = _merge(np.arange(len(nodes)), place[:half], place[half:])
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], schema=schema)
+
+    def run(batches):
+        u, v, held = [], [], 0
+        for batch in batches:
+            u.append(batch.column(0).to_numpy())
+            v.append(batch.column(1).to_numpy())
+            held += batch.num_rows
+            if held >= MERGED_AT_ONCE:
+                yield stars(u, v)
+                u, v, held = [], [], 0
+        if held:
+            yield stars(u, v)
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges`` (longs u > v): root is the least node that links reach.
 
-    Large-star and small-star passes until nothing moves, each written to the shared folder. Only the linked
-    nodes take part.
+    Large-star and small-star passes until nothing moves, each written to the shared folder. Before each, every task
+    merges the links that it holds, so few passes are left. Only the linked nodes take part.
     """
-    edges = stored(edges.distinct(), "links")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    def kept(links: DataFrame):
+        held = stored(_contracted(links).distinct(), "links")
+        return held, held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    edges, state = kept(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -300,8 +334,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = pairs.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v"))
         )
-        edges = stored(moved.where("u > v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = kept(moved.where("u > v"))
         if now == state:
             break
         state = now
