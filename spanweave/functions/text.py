@@ -181,8 +181,8 @@ def zh_variant(text: Column, simple: str, traditional: str) -> Column:
     if len(simple) != len(traditional):
         raise ValueError("both strings need a character for each form")
     size = F.length(text)
-    old = size - F.length(F.translate(text, F.lit(traditional), F.lit("")))
-    new = size - F.length(F.translate(text, F.lit(simple), F.lit("")))
+    old = size - F.length(F.translate(text, traditional, ""))
+    new = size - F.length(F.translate(text, simple, ""))
     return F.when(old > new, "zh-Hant").otherwise("zh-Hans")
 
 

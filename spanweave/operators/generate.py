@@ -126,7 +126,7 @@ def lookalike_records(spark: SparkSession, n: int, seed: str = "look") -> DataFr
     return rows.select("id", "m.text", F.array().cast(_EMPTY_SPANS).alias("spans"), F.col("m.spans").alias("negs"))
 
 
-def grid_plan(factors: dict[str, list[str]], least: int, most: int = 100_000) -> list[dict[str, str]]:
+def grid_plan(factors: dict[str, list[str]], least: int) -> list[dict[str, str]]:
     """Rows of factor values such that every pair of values of two factors occurs ``least`` times.
 
     Greedy: each row starts from the pair covered least so far and adds the values whose pairs are covered least.
@@ -135,7 +135,7 @@ def grid_plan(factors: dict[str, list[str]], least: int, most: int = 100_000) ->
     names = list(factors)
     seen = {(a, x, b, y): 0 for a, b in combinations(names, 2) for x in factors[a] for y in factors[b]}
     plan: list[dict[str, str]] = []
-    while seen and min(seen.values()) < least and len(plan) < most:
+    while seen and min(seen.values()) < least:
         a, x, b, y = min(seen, key=lambda c: (seen[c], c))
         row = {a: x, b: y}
         for name in names:

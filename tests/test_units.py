@@ -83,9 +83,10 @@ def test_empty_tables(spark):
     assert C.pareto(spans, "score", "start").collect() == []
 
 
-def test_prefix_sum_equals_a_loop(spark):
+def test_prefix_sum_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANGE_ROWS", 20)
     rows = [(i * 7 % 101, i % 13) for i in range(101)]
-    got = K.prefix_sum(spark.createDataFrame(rows, "k int, n int"), "n", "k", "before", parts=5).collect()
+    got = K.prefix_sum(spark.createDataFrame(rows, "k int, n int"), "n", "k", "before").collect()
     total, want = 0, {}
     for k, n in sorted(rows):
         want[k] = total
@@ -153,14 +154,196 @@ def test_partial_masks(spark):
     assert tags == {"": ["O"] * 3, "all": [None] * 3, "digits": ["O", None, "O"], "letters": [None, "O", None]}
 
 
-def test_entry_works_without_the_llm_part(tmp_path):
+ENTRY = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+
+
+def _entry(tmp_path, code, *more, ignore=()):
     import os
     import shutil
     import subprocess
     import sys
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(os.path.join(here, "spanweave"), tmp_path / "spanweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    shutil.copytree(os.path.join(here, "spanweave"), tmp_path / "spanweave", ignore=shutil.ignore_patterns("__pycache__", *ignore))
+    for name in ("__spark_entry__.py", *more):
+        shutil.copy(os.path.join(here, name), tmp_path)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 90, done.stderr
+
+
+def test_entry_works_without_the_llm_part(tmp_path):
+    _entry(tmp_path, ENTRY, ignore=("llm",))
+
+
+def test_entry_works_without_an_optional_library(tmp_path):
+    """Where a library of the training-data part is missing, the other queries stay."""
+    _entry(tmp_path, "import sys; sys.modules['regex'] = None; sys.modules['public_tokenizers'] = None; " + ENTRY)
+
+
+# -- offsets and prefixes ----------------------------------------------------------------------------------------
+
+
+def test_matches_equal_another_engine(spark):
+    import random
+    import re
+
+    from spanweave.functions.offsets import matches
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab1 😀é\n", k=rng.randint(0, 400))) for _ in range(60)] + ["", "a", "1" * 700, "a1" * 600]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: [(s.start, s.end, s.value) for s in r.m] for r in rows.select("i", matches(F.col("t"), "[0-9]+|a", "X").alias("m")).collect()}
+    assert got == {i: [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+|a", t)] for i, t in enumerate(texts)}
+
+
+def test_matches_are_linear(spark):
+    import time
+
+    from spanweave.functions.offsets import matches
+
+    def took(n):
+        df = spark.range(1).select(F.repeat(F.lit("ab 12 "), n).alias("t")).select(F.size(matches(F.col("t"), "[0-9]+")).alias("n"))
+        began = time.time()
+        assert df.first().n == n
+        return time.time() - began
+
+    took(100)
+    assert took(20_000) < 6 and took(80_000) < 20
+
+
+@pytest.mark.parametrize("how", ["sum", "max"])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_prefix(spark, monkeypatch, how, by):
+    """Running sums and maxima over many ranges, an outlier, ties of groups, a null order."""
+    import random
+
+    monkeypatch.setattr(K, "RANGE_ROWS", 16)
+    rng = random.Random(7)
+    orders = rng.sample(range(1000), 150) + [10**15, -(10**15), None]
+    rows = [(rng.choice("xyz"), o, rng.randint(0, 9), k) for k, o in enumerate(orders)]
+    df = spark.createDataFrame(rows, "g string, o long, v int, part int")
+    got = {r.part: r.upto for r in K.prefix(df, "v", "o", "upto", by, how).collect()}
+    for g, o, v, k in rows:
+        before = [x[2] for x in rows if (not by or x[0] == g) and (x[1] if x[1] is not None else float("-inf")) < (o if o is not None else float("-inf"))]
+        assert got[k] == (sum(before) if how == "sum" else max(before, default=None))
+    assert K.prefix(df.limit(0), "v", "o", "upto", by, how).collect() == []
+
+
+def test_containing(spark):
+    docs = [(1, "the quick brown fox jumps"), (2, "Quick brown fox"), (3, None), (4, ""), (5, "a b\n\nc d"), (6, "xfoxy")]
+    items = [(1, "quick brown fox"), (2, "fox"), (3, "b\n\nc"), (4, None), (5, ""), (6, "brown fox jumps over"), (7, "e quick brown fox j")]
+    got = K.containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted((d, i) for d, t in docs for i, p in items if t and p and p in t)
+
+
+def test_allocated_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(11)
+    for _ in range(12):
+        n = rng.randint(1, 6)
+        cap, room = [rng.randint(0, 40) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]
+        share = [min(c, r) for c, r in zip(cap, room)]
+        short = sum(cap) - sum(share)
+        while short > 0 and any(r > s for s, r in zip(share, room)):
+            open_ = [k for k in range(n) if room[k] > share[k]]
+            each = max(1, short // len(open_))
+            for k in open_:
+                more = min(each, room[k] - share[k], short)
+                share[k] += more
+                short -= more
+        df = spark.createDataFrame([(f"s{k}", cap[k], room[k], k) for k in range(n)], "source string, cap int, available int, pos int")
+        assert {r.source: r.n for r in K.allocated(df).collect()} == {f"s{k}": share[k] for k in range(n)}
+
+
+def test_mixed_moves_all_arrays(spark):
+    kind = "k int, text string, spans array<struct<start:int,end:int,label:string>>, negs array<struct<start:int,end:int,label:string>>"
+    a, b = spark.createDataFrame([(1, "ab", [(0, 1, "X")], [])], kind), spark.createDataFrame([(1, "cd", [(1, 2, "Y")], [(0, 1, "n")])], kind)
+    r = K.mixed(a, b, "k", moved=("spans", "negs")).first()
+    assert r.text == "ab\n\ncd" and [tuple(s) for s in r.spans] == [(0, 1, "X"), (5, 6, "Y")] and [tuple(s) for s in r.negs] == [(4, 5, "n")]
+
+
+def test_text_helpers(spark):
+    assert one(spark, X.zh_variant(F.lit("國语語"), "国语", "國語")) == "zh-Hant"
+    assert one(spark, X.zh_variant(F.lit("国語语"), "国语", "國語")) == "zh-Hans"
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end")))
+    assert one(spark, X.capitalised(F.lit("élan vital"), F.slice(spans, 1, 0))) == "Élan vital"
+    assert one(spark, X.capitalised(F.lit("élan"), spans)) == "élan"
+    assert [one(spark, X.in_sentence(F.lit(c))) for c in ("Date of birth", "DOB", "A note")] == ["date of birth", "DOB", "a note"]
+
+
+# -- cleaning ----------------------------------------------------------------------------------------------------
+
+TARGETS = {"name": "PERSON", "first": "PERSON", "street_address": "ADDRESS", "city": "ADDRESS", "state": "ADDRESS", "postcode": "ADDRESS", "date": "DATE_CUE", "dob": "DOB", "mail": "EMAIL"}
+
+
+def _cleaned(spark, text, spans, **more):
+    from spanweave.operators.cleaning import cleaned
+
+    kind = "text string, spans array<struct<start:int,end:int,label:string>>"
+    r = spark.createDataFrame([(text, spans)], kind).select(cleaned(F.col("text"), F.col("spans"), TARGETS, {"amount": "money"}, **more).alias("c")).first().c
+    said = lambda part: [(text[s.start : s.end], s.label) for s in part]
+    return said(r.spans), said(r.negs), r.stats.asDict()
+
+
+def _at(text, *parts):
+    out, upto = [], 0
+    for value, label in parts:
+        upto = text.index(value, upto)
+        out.append((upto, upto + len(value), label))
+        upto += len(value)
+    return out
+
+
+def test_cleaning_rules(spark):
+    text = "DOB: 10/02/1965. Payment received 03/04/2023.\nborn\n12/12/2000"
+    spans, negs, stats = _cleaned(spark, text, _at(text, ("10/02/1965", "date"), ("03/04/2023", "date"), ("12/12/2000", "date")))
+    assert spans == [("10/02/1965", "DOB")] and (stats["date_cue_dob"], stats["date_cue_o"]) == (1, 2)
+    text = "John Smith lives at 12 Main St,\nSpringfield, IL 62701"
+    spans, _, stats = _cleaned(spark, text, _at(text, ("John", "first"), ("Smith", "name"), ("12 Main St", "street_address"), ("Springfield", "city"), ("IL", "state"), ("62701", "postcode")))
+    assert spans == [("John Smith", "PERSON"), ("12 Main St,\nSpringfield, IL 62701", "ADDRESS")] and stats["merged"] == 4
+    text = "expanded into France last year.\nCity: Boston\nTel: 555 0100\n12 Main St, Springfield"
+    spans, negs, stats = _cleaned(spark, text, _at(text, ("France", "city"), ("Boston", "city"), ("12 Main St", "street_address"), ("Springfield", "city")))
+    assert spans == [("Boston", "ADDRESS"), ("12 Main St, Springfield", "ADDRESS")] and negs == [("France", "place")] and stats["address_bare_place_to_O"] == 1
+    text = "Send it to 0567 Drake Road, Manchester, M12 4BE, UK. Thanks"
+    spans, _, stats = _cleaned(spark, text, _at(text, ("0567 Drake Road", "street_address")), street_tails=True)
+    assert spans == [("0567 Drake Road", "ADDRESS"), (", Manchester, M12 4BE, UK", "IGNORE")] and stats["address_tail_ignored"] == 1
+    assert _cleaned(spark, text, _at(text, ("0567 Drake Road", "street_address")))[0] == [("0567 Drake Road", "ADDRESS")]
+    text = "x [Redacted] \u00a0 Ann\u2003 and 5 USD  "
+    given = _at(text, ("[Redacted]", "dob"), ("\u00a0 Ann\u2003", "name"), ("5 USD", "amount"), ("  ", "name"))
+    spans, negs, stats = _cleaned(spark, text, [*given, (-1, 3, "name"), (2, 900, "mail"), (5, 5, "mail"), (0, 1, "other")])
+    assert spans == [("[Redacted]", "IGNORE"), ("Ann", "PERSON")] and negs == [("5 USD", "money")]
+    assert (stats["invalid"], stats["dob_placeholder"]) == (4, 1)
+    text = "abcdefghijkl"
+    spans, _, stats = _cleaned(spark, text, [(0, 6, "name"), (4, 9, "mail"), (8, 12, "name"), (8, 12, "mail")])
+    assert spans == [("abcdef", "PERSON"), ("ijkl", "PERSON")] and stats["overlap_dropped"] == 2
+    assert _cleaned(spark, "abc", [])[0] == [] and _cleaned(spark, "", None)[2]["invalid"] == 0
+
+
+def test_normalized(spark):
+    from spanweave.operators.cleaning import normalized
+
+    rows = spark.createDataFrame(
+        [("a", 1, "en", "Ann here", [(0, 3, "name")]), ("a", 2, "fr", "Ann ici", [(0, 3, "name")]), ("a", 3, "en", " \u00a0", []), ("a", 4, "en", None, None), ("b", None, "en", "x", None)],
+        "source string, id int, lang string, text string, spans array<struct<start:int,end:int,label:string>>",
+    )
+    got = normalized(rows, TARGETS, language=lambda r: r.lang == "en", tail_sources=("a",)).collect()
+    assert sorted((r.id, len(r.spans)) for r in got) == [("a-1", 1), ("b", 0)]
+
+
+def test_cross_fit_keeps_documents_apart(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spans = D.rules(docs, keep=("doc_id", "lang", "source"))
+    mentions = spans.select("doc_id", "label", F.col("value").alias("entity"), F.lit("x").alias("context"))
+    got = L.cross_fitted(mentions, rounds=5).collect()
+    assert len(got) == mentions.count() and all(0 <= r.p_e <= 1 and 0 <= r.p_c <= 1 for r in got)
+    assert sum(r.p_e for r in got) / len(got) > 0.6
+
+
+def test_configuration_and_sinks(spark, tmp_path):
+    base = {"a": 1, "b": {"c": [1, 2]}}
+    got = {r.path: r.value for r in R.configuration(spark, {"x": {"<<": base, "a": 2}, "y": None}).collect()}
+    assert got == {"x.a": "2", "x.b.c": "[1, 2]", "y": "null"}
+    R.write_packed(spark.createDataFrame([(0, [0, 5, 1])], "seq_id long, ids array<int>"), str(tmp_path / "p"), {"body": 1})
+    assert spark.read.text(str(tmp_path / "p" / "meta")).first().value == '{"body": 1, "sequences": 1}'
+    assert spark.read.parquet(str(tmp_path / "p" / "sequences")).count() == 1
