@@ -7,13 +7,16 @@ text. A hit is verified from the piece upward through a binary tree of its item'
 have n - 1 edits, and an occurrence within the budget passes every node from some unchanged piece to the root.
 Myers' bit-parallel distance decides at each node, so most chance hits end after a few characters.
 
-Scale: the documents are never shuffled. Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text,
-checked before anything is sent; a larger benchmark takes more passes, one for each block.
+Scale: the documents are never shuffled. Items go to the tasks in blocks of about ``BLOCK_BYTES`` of text, checked
+before anything is sent; what a task builds of a block is some hundred bytes for each character of it (a block takes
+under 300 MB), as bit vectors are made only for nodes that are verified and a bounded number is kept. A larger
+benchmark takes more passes, one for each block.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from spanweave.llm.common import map_slices, picked, struct_of, unused
 
 MAX_ERROR_RATE = 0.1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+#: Nodes whose bit vectors a task keeps.
+KEPT_NODES = 1 << 14
 
 _built: dict[str, Matcher] = {}
 
@@ -71,32 +76,26 @@ class Pattern:
         return best
 
 
-def tree(item: str, budget: int) -> list[list[tuple[int, Pattern]]]:
-    """For each piece, the (offset, pattern) of the nodes above it, smallest first and the whole item last."""
-    cuts = [at for at, _ in pieces(item, budget)] + [len(item)]
-    above: list[list[tuple[int, Pattern]]] = [[] for _ in range(budget + 1)]
-
-    def grow(a: int, b: int) -> None:
+def nodes(count: int, k: int) -> list[tuple[int, int]]:
+    """The nodes (first piece, piece after the last) above piece ``k`` of ``count``, smallest first and all pieces last."""
+    a, b, above = 0, count, [(0, count)]
+    while b - a > 2:
+        middle = (a + b) // 2
+        a, b = (a, middle) if k < middle else (middle, b)
         if b - a > 1:
-            grow(a, (a + b) // 2)
-            grow((a + b) // 2, b)
-        if b - a > 1 or budget == 0:
-            node = (cuts[a], Pattern(item[cuts[a] : cuts[b]], b - a - 1))
-            for k in range(a, b):
-                above[k].append(node)
-
-    grow(0, budget + 1)
-    return above
+            above.append((a, b))
+    return above[::-1]
 
 
 class Matcher:
     """The automaton and patterns of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.patterns: list[Pattern] = []
+        self.items: list[str] = []
+        self.budgets: list[int] = []
         self.ids: list[list[int]] = []
         known: dict[str, int] = {}
-        hits: dict[str, list[tuple[int, int, list[tuple[int, Pattern]]]]] = {}
+        hits: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             item = normal(raw)
             if not item:
@@ -104,19 +103,27 @@ class Matcher:
             if item in known:
                 self.ids[known[item]].append(item_id)
                 continue
-            budget = int(len(item) * rate)
-            number = known[item] = len(self.patterns)
-            above = tree(item, budget)
-            self.patterns.append(above[0][-1][1])
+            number = known[item] = len(self.items)
+            self.items.append(item)
+            self.budgets.append(int(len(item) * rate))
             self.ids.append([item_id])
-            for (at, piece), nodes in zip(pieces(item, budget), above):
-                hits.setdefault(piece, []).append((number, at, nodes))
+            for k, (_, piece) in enumerate(pieces(item, self.budgets[-1])):
+                hits.setdefault(piece, []).append((number, k))
         self.automaton = ahocorasick.Automaton()
         for piece, where in hits.items():
             self.automaton.add_word(piece, (len(piece), where))
         if hits:
             self.automaton.make_automaton()
         self.empty = not hits
+        self.node = lru_cache(KEPT_NODES)(self._node)
+        self.above = lru_cache(KEPT_NODES)(nodes)
+
+    def _cut(self, number: int, k: int) -> int:
+        return len(self.items[number]) * k // (self.budgets[number] + 1)
+
+    def _node(self, number: int, a: int, b: int) -> Pattern:
+        """The pattern of some neighbouring pieces of an item."""
+        return Pattern(self.items[number][self._cut(number, a) : self._cut(number, b)], b - a - 1)
 
     def search(self, text: str | None) -> list[tuple[int, int]]:
         """(item number, distance) of every item within its budget, in item order."""
@@ -126,14 +133,16 @@ class Matcher:
         best: dict[int, int] = {}
         for end, (size, where) in self.automaton.iter(text):
             begin = end - size + 1
-            for number, at, nodes in where:
+            for number, k in where:
                 if best.get(number) == 0:
                     continue
-                if text.startswith(self.patterns[number].item, max(0, begin - at)) and begin >= at:
+                at = self._cut(number, k)
+                if begin >= at and text.startswith(self.items[number], begin - at):
                     best[number] = 0
                     continue
-                for offset, p in nodes:
-                    start = begin - at + offset
+                for a, b in self.above(self.budgets[number] + 1, k):
+                    p = self.node(number, a, b)
+                    start = begin - at + self._cut(number, a)
                     found = p.distance(text[max(0, start - p.budget) : start + p.size + p.budget])
                     if found > p.budget:
                         break
@@ -152,12 +161,12 @@ def _matcher(block, rate: float) -> Matcher:
 
 
 class Blocks:
-    """Broadcast blocks of the items: each at most BLOCK_BYTES of text, or one longer item."""
+    """Broadcast blocks of the items, dealt by hash: about BLOCK_BYTES of text each, or one longer item."""
 
     def __init__(self, items: DataFrame, id_col: str, text_col: str):
         rows = picked(items, item_id=id_col, text=text_col).where("text IS NOT NULL")
         size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-        self.count = max(1, -(-2 * size // BLOCK_BYTES))
+        self.count = max(1, -(-size // BLOCK_BYTES))
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(self.count)))
 
     def __iter__(self):
@@ -194,7 +203,7 @@ def contamination(
                 found = []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for number, distance in matcher.search(text):
-                        budget = matcher.patterns[number].budget
+                        budget = matcher.budgets[number]
                         found += [(key, item, distance, budget) for item in matcher.ids[number]]
                 return list(zip(*found)) if found else None
 

@@ -68,11 +68,11 @@ class Network:
         return scores / scores.sum(axis=2, keepdims=True), both
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Mean label probabilities over all bytes of each text (zeros for an empty one)."""
+        """Mean label probabilities over all bytes of each text (zeros for an empty one); the last window is filled with blanks, as in training."""
         sizes = np.array([len(t) for t in texts], np.int64)
         rows = -(-sizes // STEPS)
         owner = np.repeat(np.arange(len(texts)), rows)
-        grid = np.zeros((len(owner), STEPS), np.uint8)
+        grid = np.full((len(owner), STEPS), 32, np.uint8)
         seen = np.full(len(owner), STEPS, np.int64)
         last = np.cumsum(rows)
         for k, t in enumerate(texts):

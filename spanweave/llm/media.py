@@ -33,6 +33,10 @@ HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: A shard is closed when it reaches this size.
 SHARD_BYTES = 256 << 20
+#: Stored bytes that one task reads back.
+READ_BYTES = 16 << 20
+#: Names that Hadoop gives to file systems which Arrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -90,7 +94,8 @@ class Files:
     """Files below one folder, by the file system that its address names."""
 
     def __init__(self, folder: str):
-        self.system, self.root = fs.FileSystem.from_uri(folder)
+        scheme, mark, rest = folder.partition("://")
+        self.system, self.root = fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
     def write(self, name: str):
         self.system.create_dir(self.root, recursive=True)
@@ -231,4 +236,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store the payloads below the shared folder, then read headers and payloads back; one row for each row of ``docs``."""
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     index = store(docs, folder, id_col, text_col)
-    return with_payload_columns(with_metadata(index, folder), folder).withColumnRenamed("length", "media_bytes")
+    # The index is small, so its own partitions would read many shards each: dealt by shard, a task reads about READ_BYTES.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = index.repartition(max(1, -(-total // READ_BYTES)), "shard")
+    return with_payload_columns(with_metadata(dealt, folder), folder).withColumnRenamed("length", "media_bytes")

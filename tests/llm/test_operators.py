@@ -247,6 +247,56 @@ def test_windows_of_equal_linear_hash(spark):
         substrings.drop_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def plain_png(data: bytes):
+    """Width, height and samples by the format's own rules, apart from the module's reader."""
+    import struct
+    import zlib
+
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        assert struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] == zlib.crc32(kind + body)
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + size
+    width, height, depth, colour, packing, filters, lace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    assert (depth, colour, packing, filters, lace) == (8, 0, 0, 0, 0) and b"IEND" in parts
+    raw = zlib.decompress(parts[b"IDAT"])
+    lines = [raw[k : k + width + 1] for k in range(0, len(raw), width + 1)]
+    assert len(lines) == height and all(line[0] == 0 for line in lines)
+    return width, height, b"".join(line[1:] for line in lines)
+
+
+def test_shards_are_read_by_tarfile(spark, docs, rows, tmp_path):
+    """Shards are tar files of PNG images for any reader; the feature follows from the samples."""
+    import statistics
+    import tarfile
+
+    folder = f"file://{tmp_path}/m"
+    index = media.store(docs, folder)
+    found = {}
+    for path in (tmp_path / "m").iterdir():
+        with tarfile.open(path) as tar:
+            for member in tar.getmembers():
+                found[path.name, member.offset_data] = (member.name, member.size, tar.extractfile(member).read())
+    got = media.with_payload_columns(media.with_metadata(index, folder), folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        name, size, data = found[r.shard, r.offset]
+        width, height, samples = plain_png(data)
+        assert (r.length, r.width, r.height) == (size, width, height) and r.digest == hashlib.sha256(samples).hexdigest() and r.digest in name
+        assert r.media_sha256 == hashlib.sha256(data).hexdigest()
+        mean, std, _ = (part.partition("=")[2] for part in r.feature.split(";"))
+        assert abs(float(mean) - statistics.fmean(samples)) < 1e-3 and abs(float(std) - statistics.pstdev(samples)) < 1e-3
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, t in rows:
+        if i in by_id and sum(k == i for k, _ in rows) == 1:
+            raw = (t or "").encode()
+            payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+            assert by_id[i].digest == hashlib.sha256(payload).hexdigest() and by_id[i].n_bytes == len(raw)
+
+
 # -- byte-level BPE ----------------------------------------------------------------------------------------------
 
 
@@ -582,3 +632,123 @@ def test_query_runs(spark, sf_dir, name):
         assert got.count() == n.select("conv_id").distinct().count() + 1
     else:
         assert got.count() == n.count()
+
+
+# -- plain versions of the models --------------------------------------------------------------------------------
+
+
+def test_network_by_loops():
+    """Every byte's probabilities, from the gate equations written out one unit at a time."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h, labels = 3, ["a", "b", "c"]
+    net = language.Network(
+        labels, *(rng.normal(0, 0.7, s).astype(np.float32) for s in ((2, 256, 3 * h), (2, h, 3 * h), (2 * h, 3), (3,)))
+    )
+    text = b"ab\xffz a"
+    p, _ = net.probabilities(np.frombuffer(text, np.uint8).reshape(-1, 1))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    states = []
+    for d in (0, 1):
+        w, u, now, found = net.inputs[d].tolist(), net.state[d].tolist(), [0.0] * h, {}
+        for t in range(len(text)) if d == 0 else reversed(range(len(text))):
+            x = w[text[t]]
+            z = [sig(x[k] + sum(now[j] * u[j][k] for j in range(h))) for k in range(h)]
+            r = [sig(x[h + k] + sum(now[j] * u[j][h + k] for j in range(h))) for k in range(h)]
+            n = [math.tanh(x[2 * h + k] + sum(r[j] * now[j] * u[j][2 * h + k] for j in range(h))) for k in range(h)]
+            now = [n[k] + z[k] * (now[k] - n[k]) for k in range(h)]
+            found[t] = now
+        states.append(found)
+    for t in range(len(text)):
+        both = states[0][t] + states[1][t]
+        scores = [math.exp(sum(both[j] * float(net.out[j, k]) for j in range(2 * h)) + float(net.bias[k])) for k in range(3)]
+        assert all(abs(float(p[t, 0, k]) - scores[k] / sum(scores)) < 1e-4 for k in range(3))
+    whole = net.probabilities(np.frombuffer(text.ljust(language.STEPS), np.uint8).reshape(-1, 1))[0]
+    assert np.allclose(net.documents([text, b""]), [whole[: len(text), 0].mean(axis=0), [0, 0, 0]], atol=1e-5)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "①", "12 _", "", None, "٣"])
+def test_no_letter_is_undetermined(spark, text):
+    import numpy as np
+
+    net = language.Network(["en"], *(np.zeros(s, np.float32) for s in ((2, 256, 3), (2, 1, 3), (2, 1), (1,))))
+    assert [tuple(r) for r in language.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).select("lang_pred", "score").collect()] == [("und", 0.0)]
+    assert language.identify(spark.createDataFrame([(1, "é")], "doc_id long, text string"), net).first().lang_pred == "en"
+
+
+def test_posteriors_by_loops(spark, sf_dir):
+    """Rates of hosts and paths, their shrinkage and every document's posterior, recomputed from the evidence."""
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    models = quality.train(docs, labels)
+    names = {k: f"{k}_evidence" for k in quality.TARGETS}
+    rows = quality.with_evidence(docs, models, names).collect()
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(rows)
+    clip = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    for k in quality.TARGETS:
+        chance = [1 / (1 + math.exp(-(r[names[k]] + models[k].base))) for r in rows]
+        hosts, paths = {}, {}
+        for r, c in zip(rows, chance):
+            for table, key in ((hosts, r.source), (paths, (r.source, r.lang))):
+                n, s = table.get(key, (0, 0.0))
+                table[key] = (n + 1, s + c)
+        rate = clip(sum(chance) / len(rows))
+
+        def strength(spread, groups):
+            within = rate * (1 - rate)
+            return min(max(within / max((spread - groups * within) / len(rows), 1e-6), 10.0), 1e5)
+
+        weight = strength(sum(n * (s / n - rate) ** 2 for n, s in hosts.values()), len(hosts))
+        host_rate = {h: clip((s + weight * rate) / (n + weight)) for h, (n, s) in hosts.items()}
+        weight = strength(sum(n * (s / n - host_rate[h]) ** 2 for (h, _), (n, s) in paths.items()), len(paths))
+        path_rate = {p: clip((s + weight * host_rate[p[0]]) / (n + weight)) for p, (n, s) in paths.items()}
+        for r in rows:
+            q = path_rate[r.source, r.lang]
+            want = 1 / (1 + math.exp(-(r[names[k]] + math.log(q / (1 - q)))))
+            assert abs(got[r.doc_id][f"{k}_posterior"] - want) < 1e-6
+
+
+def test_quality_ranks_held_out_documents(spark):
+    """Trained on one half of the labels, the posterior of the other half ranks them: area under the curve."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 4 = 0")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(docs.select("doc_id"), "doc_id")
+    held = {r.doc_id: r for r in labels.where("doc_id % 8 = 4").collect()}
+    got = {r.doc_id: r for r in quality.classify(docs, labels.where("doc_id % 8 = 0")).collect()}
+
+    def area(score, positive):
+        ranked = sorted(held, key=score)
+        hits, below, total = sum(map(positive, ranked)), 0, 0
+        for i in ranked:
+            if positive(i):
+                total += below
+            else:
+                below += 1
+        return total / max(1, hits * below)
+
+    assert area(lambda i: got[i].low_posterior, lambda i: held[i].quality == 0) > 0.85
+    assert area(lambda i: got[i].toxic_posterior, lambda i: held[i].toxic == 1) > 0.85
+
+
+def test_a_block_of_items_stays_small():
+    """What a task builds of a full block of benchmark text is bounded."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import random, resource, sys\nfrom spanweave.llm import decontaminate as D\nrng = random.Random(1)\n"
+        "items = [(k, ' '.join(''.join(rng.choices('abcdefghijklmnopqrstuvwxyz', k=rng.randint(2, 9))) for _ in range(60))) for k in range(D.BLOCK_BYTES // 400)]\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nm = D.Matcher(items, 0.1)\n"
+        "assert dict(m.search('x ' + items[7][1] + ' y')) == {7: 0}\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=here)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 400
