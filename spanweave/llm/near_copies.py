@@ -18,10 +18,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import map_slices, picked, stored, unused
+from spanweave.llm.common import map_slices, stored, unused
 from spanweave.llm.simhash import SEED, components
 
 WORDS = 5
@@ -31,6 +31,8 @@ SAMPLE_ROWS, FREQUENT = 5_000, 50_000
 #: Words of a parity sketch; rows that one task groups.
 SKETCH = 4
 SHARD_ROWS = 1_000_000
+#: Rows of a digest each that may be broadcast (some 100 MB once hashed); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -61,10 +63,10 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return map_slices(rows, "key long, shingles array<long>", make)
 
 
-def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample have, ascending, and in how many."""
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample of ``text`` have, ascending, and in how many."""
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
-    sample = picked(docs.sample(share, SEED), text=text_col).select(F.lit(0).cast("long").alias("key"), "text")
+    sample = docs.sample(share, SEED).select(F.lit(0).cast("long").alias("key"), "text")
     counted = _sets(sample, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
     found = counted.orderBy(F.desc("c"), "s").limit(FREQUENT).collect()
     s = np.array([r.s for r in found], np.int64).view(np.uint64)
@@ -72,9 +74,9 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
     return s[order], np.array([r.c for r in found], np.int64)[order]
 
 
-def _printed(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """``row, key, n, sketch, prefix`` of every ``row, text``: equal sets have equal keys."""
-    often, counts = _frequent(docs, text_col, words)
+def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``digest, key, n, sketch, prefix`` of every ``digest, text``: equal sets have equal keys."""
+    often, counts = _frequent(docs, words)
 
     def one(text: str | None):
         s = shingles(text, words)
@@ -97,7 +99,7 @@ def _printed(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFr
 
         return work
 
-    return map_slices(picked(docs, row="row", text=text_col), "row long, key long, n int, sketch binary, prefix array<long>", make)
+    return map_slices(docs.select("digest", "text"), "digest binary, key long, n int, sketch binary, prefix array<long>", make)
 
 
 def _shards(rows: DataFrame, count: int):
@@ -151,10 +153,20 @@ def _candidates(rows: DataFrame, count: int, percent: int, all_pairs: bool) -> D
     return _shards(rows, count).applyInArrow(search, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``u, v`` (u > v) of the pairs whose sets are as similar as wanted."""
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join: broadcast if they are few, else by shuffle; the joined rows are the same."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``u, v`` (u > v) of the pairs whose sets are as similar as wanted.
+
+    ``points`` name a text's digest for every key, so only the texts of these pairs are read again.
+    """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = stored(_sets(texts.join(keys, "key", "left_semi"), words), "sets")
+    wanted = stored(points.join(keys, "key", "left_semi").select("digest", "key"), "keys")
+    found = texts.join(_few(wanted), "digest").select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
+    sets = stored(_sets(found, words), "sets")
     a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
@@ -162,38 +174,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
-def near_groups(docs: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``row, group``: one number for all rows that a chain of similar texts joins; ``docs`` has a column ``row``.
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``digest, group``: one number for all texts that a chain of similar texts joins, of ``digest, text``.
 
-    ``docs`` is read several times and must give the same rows each time. Null texts count as empty.
+    ``digest`` names a text; every different one is once in the result. Null texts count as empty.
     """
-    prints = stored(_printed(docs, text_col, words, percent), "shingles")
-    first = Window.partitionBy("key").orderBy("row")
-    points = prints.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
+    prints = stored(_printed(docs, words, percent), "shingles")
+    points = prints.groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     points = stored(points, "sets")
-    texts = picked(docs, row="row", text=text_col).join(points.select("row", "key"), "row").select("key", "text")
     shared = stored(_repeated(points), "shared").join(points.select("key", "n", "sketch"), "key")
     count = shared.count()
     begun = stored(_candidates(shared.withColumn("root", F.col("key")), count, percent, False), "pairs")
-    links = stored(_verified(begun, texts, words, percent), "links")
+    links = stored(_verified(begun, docs, points, words, percent), "links")
     roots = components(links).withColumnRenamed("node", "key")
     rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = stored(_candidates(rooted, count, percent, True).join(begun, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(rest, texts, words, percent))
+    links = links.unionByName(_verified(rest, docs, points, words, percent))
     roots = components(links).withColumnRenamed("node", "key")
-    return prints.select("row", "key").join(roots, "key", "left").select("row", F.coalesce("root", "key").alias("group"))
+    return prints.select("digest", "key").distinct().join(roots, "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with only the row of smallest id of each group of near copies; all columns stay.
 
-    Of repeated rows with that id one stays; a null id is last.
+    Of repeated rows with that id one stays; a null id is last. ``docs`` is read several times and must have the same
+    rows each time, in any order. Texts are read where they are: what is joined are digests, and the rows that go.
     """
-    row = unused(docs, "row")
     columns = docs.columns
-    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    key = held.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("hash"))
-    groups = near_groups(key, "text", words, percent)
-    order = F.struct(F.col("id").isNull(), "id", F.xxhash64("text"), "hash", "row")
-    kept = key.select("row", order.alias("order")).join(groups, "row").groupBy("group").agg(F.min("order").alias("order"))
-    return held.join(kept.select(F.col("order.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    digest = F.unhex(F.md5(text.cast("binary")))
+    row = F.unhex(F.md5(F.concat_ws("|", F.hex(digest), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("string")).cast("binary")))
+    groups = near_groups(docs.select(digest.alias("digest"), text.alias("text")), words, percent)
+    narrow = docs.select(digest.alias("digest"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), row.alias("row"))
+    rows = narrow.groupBy("digest", "id", "hash", "row").agg(F.count("*").alias("copies")).join(groups, "digest")
+    order = F.struct(F.col("id").isNull(), "id", "hash", "row")
+    first = rows.groupBy("group").agg(F.min(order).alias("first"))
+    judged = rows.join(first, "group").select("row", "copies", (F.col("row") == F.col("first.row")).alias("stays"))
+    judged = stored(judged, "judged")
+    mark = unused(docs, "row")
+    given = docs.withColumn(mark, row)
+    gone = judged.where("NOT stays OR copies > 1").select(F.col("row").alias(mark))
+    repeated = judged.where("stays AND copies > 1").select(F.col("row").alias(mark))
+    once = given.join(_few(gone), mark, "left_anti")
+    again = given.join(_few(repeated), mark, "left_semi").dropDuplicates([mark])
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in columns])
