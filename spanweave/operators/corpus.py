@@ -330,3 +330,20 @@ def with_defaults(rows: DataFrame, table: DataFrame, on: str, defaults: dict[str
     entries = table.select(F.col(on).alias(key), *(F.col(c).alias(f"{key}_{c}") for c in defaults))
     both = rows.join(entries, rows[on] == entries[key], "left")
     return both.select(*(rows[c] for c in rows.columns), *(F.coalesce(F.col(f"{key}_{c}"), F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
+def shares(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """``group, kind, n, share``: rows of each kind in every group, and their share of it."""
+    counts = rows.groupBy(group, kind).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
+
+
+def value_pools(rows: DataFrame, group: str, value: str, path: str | None = None) -> DataFrame:
+    """``group, value``: the different values of every group, a row each; with ``path`` written there once and read from then on."""
+    spark = rows.sparkSession
+    if path is None:
+        return rows.select(group, value).distinct()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        rows.select(group, value).distinct().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

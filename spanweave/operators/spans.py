@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -396,3 +398,37 @@ def word_starts(toks: DataFrame, key: str = "doc_id", by_script: bool = False) -
     if by_script:
         new = new | script_of(head).isin("han", "kana", "thai") | (script_of(head) != script_of(F.col("pt")))
     return rows.withColumn("first", F.coalesce(new, F.lit(True))).drop("pe", "pt")
+
+
+def encoded_windows(text: Column, spans: Column, body: int = 382, stride: int = 96, pattern: str = TOKEN, first: Callable[[Column], Column] | None = None, label_all: bool = False) -> Column:
+    """Array of ``win, lo, hi, tags`` of a text with spans: its tokens in sliding windows, a null tag at both ends for the special tokens.
+
+    ``first`` takes the tokens to an array that says which begin a word (all of them by default). Tokens that go on
+    with a word have no tag, or with ``label_all`` the inside tag of it. A window that starts inside a span begins it.
+    """
+
+    def tags(toks: Column) -> Column:
+        own = bio_tags(toks, spans)
+        if first is None:
+            return own
+        begins = first(toks)
+
+        def carried(found: Column) -> Column:
+            word = scanned(F.arrays_zip(found.alias("tag"), begins.alias("first")), F.lit(None).cast("string"), lambda s, x: F.when(x["first"], x["tag"]).otherwise(s), lambda s, x: F.when(x["first"], x["tag"]).otherwise(F.when(s == OUTSIDE, s).otherwise(F.concat(F.lit("I-"), F.substring(s, 3, 1 << 30)))), "string")
+            return word if label_all else F.zip_with(word, begins, lambda t, b: F.when(b, t))
+
+        return bound(own, carried)
+
+    def cut(found: Column) -> Column:
+        n, step = F.size(found), max(1, body - stride)
+        last = F.greatest(F.lit(0), F.ceil((n - body) / F.lit(step))).cast("int")
+        edge = F.array(F.lit(None).cast("string"))
+
+        def window(w: Column) -> Column:
+            part_ = F.slice(found, w * step + 1, F.lit(body))
+            begun = F.transform(part_, lambda t, i: F.when((i == F.array_position(F.transform(part_, lambda x: x.isNotNull()), F.lit(True)) - 1) & t.startswith("I-"), F.concat(F.lit("B-"), F.substring(t, 3, 1 << 30))).otherwise(t))
+            return F.struct(w.alias("win"), (w * step).alias("lo"), F.least(w * step + body, n).alias("hi"), F.concat(edge, begun, edge).alias("tags"))
+
+        return F.transform(F.sequence(F.lit(0), last), window)
+
+    return bound(matches(text, pattern), lambda toks: bound(tags(toks), cut))

@@ -15,7 +15,7 @@ from spanweave.operators import scoring as C
 from spanweave.operators import spans as S
 from spanweave.plans.registry import query
 from spanweave.plans.score_queries import _GOLD, _OVER, _PRF, _BOTH
-from spanweave.plans.span_queries import docs, found_sql
+from spanweave.plans.span_queries import GOLD_TOKENS, TOKENS_SQL, docs, found_sql
 from spanweave.session import table
 
 _COLS = "doc_id, lang, source"
@@ -152,6 +152,25 @@ def window_span_scores(spark, sf_dir):
     return E.window_scores(rows.drop("n"), windows, scores)
 
 
+@query(
+    f"""WITH {TOKENS_SQL}, {GOLD_TOKENS}, c AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id), w AS (SELECT doc_id, n, unnest(range(0, greatest(0, ceil((n - 100) / 60.0))::INTEGER + 1))::INTEGER AS win FROM c),
+ t AS (SELECT w.doc_id, w.win, w.win * 60 AS lo, least(w.win * 60 + 100, n) AS hi, CASE WHEN t.i = w.win * 60 AND g.tag LIKE 'I-%' THEN 'B-' || substr(g.tag, 3) ELSE coalesce(g.tag, 'O') END AS tag FROM w JOIN toks t ON t.doc_id = w.doc_id AND t.i >= w.win * 60 AND t.i < w.win * 60 + 100 LEFT JOIN tagged g ON g.doc_id = t.doc_id AND g.i = t.i)
+SELECT doc_id, win, lo::INTEGER AS lo, hi::INTEGER AS hi, (count(*) + 2)::INTEGER AS n, (count(*) FILTER (tag LIKE 'B-%'))::INTEGER AS begins, (count(*) FILTER (tag LIKE 'I-%'))::INTEGER AS insides FROM t GROUP BY ALL"""
+)
+def encoded_windows(spark, sf_dir):
+    """Tokens of every document tagged and cut into windows of a hundred, without a shuffle."""
+    spans = F.flatten(F.array(*(matches(F.col("text"), p, k) for k, p in D.PATTERNS.items())))
+    rows = docs(spark, sf_dir).where(F.col("text").rlike(S.TOKEN)).select("doc_id", F.explode(S.encoded_windows(F.col("text"), spans, 100, 40)).alias("w"))
+    tags = lambda kind: F.size(F.filter("w.tags", lambda t: t.startswith(kind)))
+    return rows.select("doc_id", "w.win", "w.lo", "w.hi", F.size("w.tags").alias("n"), tags("B-").alias("begins"), tags("I-").alias("insides"))
+
+
+@query(f"WITH f AS ({found_sql(D.PATTERNS, 'doc_id, source')}), c AS (SELECT source, label, count(*) AS n FROM f GROUP BY ALL) SELECT source, label, n, n / sum(n) OVER (PARTITION BY source) AS share FROM c")
+def kind_shares(spark, sf_dir):
+    """Share of each kind of span in every source."""
+    return K.shares(D.rules(docs(spark, sf_dir), keep=("doc_id", "source")), "source", "label")
+
+
 # -- cleaning ----------------------------------------------------------------------------------------------------
 
 #: Raw labels of the queries below and what finds them.

@@ -347,3 +347,21 @@ def test_configuration_and_sinks(spark, tmp_path):
     R.write_packed(spark.createDataFrame([(0, [0, 5, 1])], "seq_id long, ids array<int>"), str(tmp_path / "p"), {"body": 1})
     assert spark.read.text(str(tmp_path / "p" / "meta")).first().value == '{"body": 1, "sequences": 1}'
     assert spark.read.parquet(str(tmp_path / "p" / "sequences")).count() == 1
+
+
+def test_value_pools_are_kept(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None)], "g string, v string")
+    path = f"file://{tmp_path}/pool"
+    assert sorted(map(tuple, K.value_pools(rows, "g", "v", path).collect())) == [("a", "x"), ("b", None)]
+    assert K.value_pools(rows.limit(0), "g", "v", path).count() == 2
+
+
+@pytest.mark.parametrize("label_all", [False, True])
+def test_encoded_windows_of_word_pieces(spark, label_all):
+    """Pieces of words: the first takes the tag, the others none or the inside tag; nulls stand at both ends."""
+    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("X").alias("label")), F.struct(F.lit(5).alias("start"), F.lit(7).alias("end"), F.lit("IGNORE").alias("label")))
+    first = lambda toks: F.transform(toks, lambda t: (t["start"] == 0) | (F.substring(F.lit("abcd efgh"), t["start"], 1) == " "))
+    made = S.encoded_windows(F.lit("abcd efgh"), spans, 3, 1, "[a-z]{2}", first, label_all)
+    got = [(w.lo, w.hi, w.tags) for w in one(spark, made)]
+    inner = "I-X" if label_all else None
+    assert got == [(0, 3, [None, "B-X", inner, None, None]), (2, 4, [None, None, None, None])]
