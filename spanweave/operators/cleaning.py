@@ -132,6 +132,13 @@ def cleaned(
     return bound(F.transform(given, read), with_rows)
 
 
+def is_english(lang: Column, source: Column | None = None, always: tuple[str, ...] = ()) -> Column:
+    """Whether a row's language is ``en`` or begins with ``english``, whatever its case; rows of some sources always are."""
+    named = F.lower(F.regexp_replace(F.coalesce(lang, F.lit("")), rf"^[{SPACE}]+|[{SPACE}]+\z", ""))
+    found = (named == "en") | named.startswith("english")
+    return found if source is None else found | F.coalesce(source.isin(*always), F.lit(False))
+
+
 def has_label(spans: Column, label: str) -> Column:
     """Whether any span has a label."""
     return F.exists(spans, lambda s: s["label"] == label)

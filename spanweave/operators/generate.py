@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import indian_grouping, native_digits
-from spanweave.functions.values import ordinal, rendered_pattern
+from spanweave.functions.values import ordinal, rendered_pattern, weighted_choice
 
 _EMPTY_SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -173,3 +173,94 @@ def local_date(d: Column, lang: Column) -> Column:
 def local_amount(n: Column, lang: Column) -> Column:
     """A whole amount grouped as a language groups it."""
     return F.when(lang == "hi", indian_grouping(n)).when(lang.isin("de", "id", "vi"), F.replace(F.format_number(n, 0), F.lit(","), F.lit("."))).otherwise(F.format_number(n, 0))
+
+
+#: Currency marks by language: a code and a sign; languages that group by dots.
+CURRENCIES = {
+    "en": ("USD", "$"), "zh-Hans": ("CNY", "¥"), "zh-Hant": ("TWD", "NT$"), "ja": ("JPY", "¥"), "ko": ("KRW", "₩"), "hi": ("INR", "₹"),
+    "ar": ("AED", "د.إ"), "th": ("THB", "฿"), "vi": ("VND", "₫"), "ms": ("MYR", "RM"), "id": ("IDR", "Rp"), "tl": ("PHP", "₱"),
+}
+DOTTED = ("id", "vi")
+#: Made-up companies: name, code, exchange, suffix; and institutions: name, jurisdiction, patterns of accounts, weight.
+COMPANIES = [("Alder Marine", "ALDR", "XSES", ".SI"), ("Birch Foods", "7411", "XTKS", ".T"), ("Cedar Optics", "CDO", "XNAS", ""), ("Dune Rail", "0912", "XHKG", ".HK")]
+INSTITUTIONS = [("Harbour Bank", "SG", ["###-#####-#", "##########"], 3.0), ("Lotus Bank", "VN", ["##############"], 1.0), ("Crane Trust", "JP", ["#######", "###-#######"], 2.0)]
+COUNTRY_CODES = ["SG", "HK", "GB", "US", "CH", "MY", "IN"]
+
+
+def _one(options: list[str], seed: str, key: Column, place: str) -> Column:
+    return F.get(F.array(*map(F.lit, options)), draw(seed, key, place, len(options)))
+
+
+def _seed(seed: str, key: Column, place: str) -> Column:
+    return F.concat_ws("|", F.lit(seed), key.cast("string"), F.lit(place))
+
+
+def amount_value(seed: str, key: Column, lang: Column) -> Column:
+    """An amount of three to eight digits in a language's currency, after its code or sign."""
+    sizes = [(100, 9_900), (10_000, 990_000), (1_000_000, 99_000_000)]
+    n = F.get(F.array(*(draw(seed, key, f"amount{k}", span) + low for k, (low, span) in enumerate(sizes))), draw(seed, key, "size", len(sizes)))
+    shown = F.format_number(n, 0)
+    shown = F.when(lang.isin(*DOTTED), F.replace(shown, F.lit(","), F.lit("."))).otherwise(shown)
+    table = lambda k: F.coalesce(*(F.when(lang == name, F.lit(marks[k])) for name, marks in CURRENCIES.items()), F.lit(CURRENCIES["en"][k]))
+    return F.when(draw(seed, key, "form", 2) == 0, F.concat(table(0), F.lit(" "), shown)).otherwise(F.concat(table(1), shown))
+
+
+def isin_value(seed: str, key: Column) -> Column:
+    """A securities number: country, nine letters or digits, a digit."""
+    return F.concat(_one(COUNTRY_CODES, seed, key, "isin"), rendered_pattern("XXXXXXXXX#", _seed(seed, key, "isin")))
+
+
+def bank_code(seed: str, key: Column) -> Column:
+    """A bank identifier: four letters, country, place, and at times a branch."""
+    place = F.when(draw(seed, key, "branch", 2) == 0, rendered_pattern("AX", _seed(seed, key, "place"))).otherwise(rendered_pattern("AXXXX", _seed(seed, key, "place")))
+    return F.concat(rendered_pattern("AAAA", _seed(seed, key, "bank")), _one(COUNTRY_CODES, seed, key, "bank"), place)
+
+
+def account_value(seed: str, key: Column, place: str, institution: Column) -> Column:
+    """An account number by one of an institution's patterns."""
+    out = None
+    for k, (_, _, patterns, _) in enumerate(INSTITUTIONS):
+        value = F.get(F.array(*(rendered_pattern(p, _seed(seed, key, f"{place}|{k}")) for p in patterns)), draw(seed, key, f"{place}|pattern", len(patterns)))
+        out = F.when(institution == k, value) if out is None else out.when(institution == k, value)
+    return out
+
+
+def institution_of(seed: str, key: Column, jurisdiction: str | None = None) -> Column:
+    """The number of an institution drawn by weight; those of a jurisdiction count threefold."""
+    weights = [w * (3 if j == jurisdiction else 1) for _, j, _, w in INSTITUTIONS]
+    return weighted_choice([str(k) for k in range(len(weights))], weights, draw(seed, key, "institution", 10_000) / F.lit(10_000.0)).cast("int")
+
+
+def reference_value(seed: str, key: Column) -> Column:
+    """A reference number with as many digits as an account has."""
+    digits = F.regexp_replace(account_value(seed, key, "ref", institution_of(seed, key)), "[^0-9]", "")
+    return F.concat(_one(["TT", "REF-", "", "TXN", "INV-"], seed, key, "ref"), digits)
+
+
+def ticker_value(seed: str, key: Column) -> Column:
+    """A listed company: exchange and code, code and suffix, name with both, a code of letters alone, or the name."""
+    form, out = draw(seed, key, "ticker", 5), None
+    pick = draw(seed, key, "company", len(COMPANIES))
+    for k, (name, code, exchange, suffix) in enumerate(COMPANIES):
+        forms = [f"{exchange}: {code}", f"{code}{suffix}" if suffix else name, f"{name} ({exchange}: {code})", name if code.isdigit() else code, name]
+        value = F.get(F.array(*map(F.lit, forms)), form)
+        out = F.when(pick == k, value) if out is None else out.when(pick == k, value)
+    return out
+
+
+def account_phrase(seed: str, key: Column, most: int = 3, jurisdiction: str | None = None) -> Column:
+    """Struct ``text, spans``: a cue, one to ``most`` accounts of one institution, and its name at times."""
+    institution = institution_of(seed, key, jurisdiction)
+    many = draw(seed, key, "many", most) + 1
+    cue = F.when(many == 1, _one(["account", "A/C no."], seed, key, "cue")).otherwise(_one(["accounts", "A/C nos."], seed, key, "cue"))
+    name = F.get(F.array(*(F.lit(n) for n, *_ in INSTITUTIONS)), institution)
+    named = draw(seed, key, "named", 10) < 4
+    parts = [F.array(_part(F.concat(cue, F.lit(" "))))]
+    for k in range(most):
+        link = F.when(many == k + 1, F.lit(" and ")).otherwise(F.lit(", "))
+        value = _part(account_value(seed, key, f"account{k}", institution), "ACCOUNT")
+        own = F.array(value) if k == 0 else F.array(_part(link), value)
+        parts.append(F.when(many > k, own).otherwise(F.slice(own, F.lit(1), F.lit(0))))
+    tail = F.array(_part(" ("), _part(name, "BUSINESS"), _part(")"))
+    parts.append(F.when(named, tail).otherwise(F.slice(tail, F.lit(1), F.lit(0))))
+    return joined(F.concat(*parts))

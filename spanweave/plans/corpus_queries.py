@@ -8,6 +8,7 @@ from spanweave.functions import text as X
 from spanweave.functions import values as V
 from spanweave.functions.offsets import matches
 from spanweave.operators import corpus as K
+from spanweave.operators.cleaning import is_english
 from spanweave.operators import routing as R
 from spanweave.plans.registry import fixture, query, values
 from spanweave.plans.span_queries import docs, found_sql
@@ -230,8 +231,7 @@ def label_map_join(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE source = 'src3' OR lower(trim(lang)) = 'en' OR lower(trim(lang)) LIKE 'english%'")
 def language_filter(spark, sf_dir):
-    lang = F.lower(F.trim("lang"))
-    return docs(spark, sf_dir).where((F.col("source") == "src3") | (lang == "en") | lang.startswith("english")).select("doc_id")
+    return docs(spark, sf_dir).where(is_english(F.col("lang"), F.col("source"), ("src3",))).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) >= 200 AND regexp_matches(text, '[^ \\t\\r\\n]')")

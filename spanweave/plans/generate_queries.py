@@ -100,3 +100,65 @@ def frame_spans_exact(spark, sf_dir):
         fits = fits | ((F.col("s.label") == label) & part(F.col("text"), F.col("s.start"), F.col("s.end")).isin(pool))
     wrong = spans.where(~fits).agg(F.count("*").alias("n"))
     return made.agg(F.count("*").alias("docs")).withColumn("wrong", wrong.scalar())
+
+
+def _draw(place: str, n: int, key: str = "c_custkey") -> str:
+    return f"(('0x' || substr(md5('s|' || {key} || '|{place}'), 1, 8))::BIGINT % {n})"
+
+
+def _pattern(pattern: str, place: str, key: str = "c_custkey") -> str:
+    pools = {"#": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "X": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+    cells = [
+        f"substr('{pools[c]}', (('0x' || substr(md5('s|' || {key} || '|{place}|{k}'), 1, 6))::BIGINT % {len(pools[c])} + 1)::BIGINT, 1)" if c in pools else f"'{c}'" for k, c in enumerate(pattern)
+    ]
+    return "(" + " || ".join(cells) + ")"
+
+
+_LANGS = list(G.CURRENCIES)
+_SHOWN = "format('{:,}', CASE " + _draw("size", 3) + " WHEN 0 THEN " + _draw("amount0", 9_900) + " + 100 WHEN 1 THEN " + _draw("amount1", 990_000) + " + 10000 ELSE " + _draw("amount2", 99_000_000) + " + 1000000 END)"
+_MARK = lambda k: "CASE c_custkey % 12 " + " ".join(f"WHEN {i} THEN '{G.CURRENCIES[n][k]}'" for i, n in enumerate(_LANGS)) + " END"
+_WEIGHTS = [w for *_, w in G.INSTITUTIONS]
+_INSTITUTION = "CASE " + " ".join(f"WHEN {_draw('institution', 10_000)} / 10000.0 < {sum(_WEIGHTS[: k + 1]) / sum(_WEIGHTS)} THEN {k}" for k in range(len(_WEIGHTS) - 1)) + f" ELSE {len(_WEIGHTS) - 1} END"
+
+
+def _account(place: str) -> str:
+    whens = " ".join(f"WHEN {k} THEN {_list_of([_pattern(p, f'{place}|{k}') for p in patterns])}[{_draw(f'{place}|pattern', len(patterns))} + 1]" for k, (_, _, patterns, _) in enumerate(G.INSTITUTIONS))
+    return f"CASE {_INSTITUTION} {whens} END"
+
+
+def _list_of(cells) -> str:
+    return "[" + ", ".join(cells) + "]"
+
+
+_TICKERS = "CASE " + _draw("company", len(G.COMPANIES)) + " " + " ".join(
+    f"WHEN {k} THEN {_list([f'{x}: {c}', c + s if s else n, f'{n} ({x}: {c})', n if c.isdigit() else c, n])}[{_draw('ticker', 5)} + 1]" for k, (n, c, x, s) in enumerate(G.COMPANIES)
+) + " END"
+
+
+@query(
+    f"""WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 12 IN ({', '.join(str(_LANGS.index(n)) for n in G.DOTTED)}) THEN replace({_SHOWN}, ',', '.') ELSE {_SHOWN} END AS shown FROM customer)
+SELECT c_custkey, CASE {_draw('form', 2)} WHEN 0 THEN {_MARK(0)} || ' ' || shown ELSE {_MARK(1)} || shown END AS amount, {_list(G.COUNTRY_CODES)}[{_draw('isin', 7)} + 1] || {_pattern('XXXXXXXXX#', 'isin')} AS isin,
+ {_pattern('AAAA', 'bank')} || {_list(G.COUNTRY_CODES)}[{_draw('bank', 7)} + 1] || CASE {_draw('branch', 2)} WHEN 0 THEN {_pattern('AX', 'place')} ELSE {_pattern('AXXXX', 'place')} END AS code,
+ {_list(['TT', 'REF-', '', 'TXN', 'INV-'])}[{_draw('ref', 5)} + 1] || regexp_replace({_account('ref')}, '[^0-9]', '', 'g') AS ref, {_TICKERS} AS ticker FROM v"""
+)
+def slot_values(spark, sf_dir):
+    """Amounts, securities, bank codes, references and listed companies drawn for every customer."""
+    key = F.col("c_custkey")
+    lang = F.get(F.array(*map(F.lit, _LANGS)), (key % 12).cast("int"))
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", G.amount_value("s", key, lang).alias("amount"), G.isin_value("s", key).alias("isin"), G.bank_code("s", key).alias("code"), G.reference_value("s", key).alias("ref"), G.ticker_value("s", key).alias("ticker"))
+
+
+_CUE = f"CASE WHEN many = 1 THEN {_list(['account', 'A/C no.'])}[{_draw('cue', 2)} + 1] ELSE {_list(['accounts', 'A/C nos.'])}[{_draw('cue', 2)} + 1] END"
+
+
+@query(
+    f"""WITH v AS (SELECT c_custkey, {_draw('many', 3)} + 1 AS many, {_account('account0')} AS a0, {_account('account1')} AS a1, {_account('account2')} AS a2, {_draw('named', 10)} < 4 AS named, {_list([n for n, *_ in G.INSTITUTIONS])}[{_INSTITUTION} + 1] AS name FROM customer)
+SELECT c_custkey, {_CUE} || ' ' || a0 || CASE WHEN many > 1 THEN CASE WHEN many = 2 THEN ' and ' ELSE ', ' END || a1 ELSE '' END || CASE WHEN many > 2 THEN ' and ' || a2 ELSE '' END || CASE WHEN named THEN ' (' || name || ')' ELSE '' END AS text,
+ a0 || CASE WHEN many > 1 THEN '|' || a1 ELSE '' END || CASE WHEN many > 2 THEN '|' || a2 ELSE '' END || CASE WHEN named THEN '|' || name ELSE '' END AS marked FROM v"""
+)
+def account_phrases(spark, sf_dir):
+    """Phrases with accounts of one institution; the spans' texts are read back by their offsets."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", G.account_phrase("s", F.col("c_custkey")).alias("m")).select("c_custkey", "m.text", "m.spans")
+    marked = F.array_join(F.transform("spans", lambda s: part(F.col("text"), s["start"], s["end"])), "|")
+    return made.select("c_custkey", "text", marked.alias("marked"))

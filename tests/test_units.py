@@ -365,3 +365,24 @@ def test_encoded_windows_of_word_pieces(spark, label_all):
     got = [(w.lo, w.hi, w.tags) for w in one(spark, made)]
     inner = "I-X" if label_all else None
     assert got == [(0, 3, [None, "B-X", inner, None, None]), (2, 4, [None, None, None, None])]
+
+
+def test_split_and_addresses(spark, tmp_path):
+    spark.createDataFrame([("train", 1), ("test", 2), (None, 3)], "split string, k int").write.parquet(str(tmp_path / "t"))
+    assert [r.k for r in R.READERS.read("parquet_split", spark, path=str(tmp_path / "t"), split="test").collect()] == [2]
+    parts = F.array(*map(F.lit, ["1 Elm St,", "Rome", "", "Italy"]))
+    assert one(spark, X.joined_address(parts, ", ")) == "1 Elm St, Rome, Italy"
+
+
+def test_per_source_caps(spark):
+    rows = [(k, "abc"[k % 3], 10) for k in range(30)]
+    got = K.budgeted(spark.createDataFrame(rows, "k int, g string, n int"), "n", "k", "g", {"a": 20, "b": 50}, 140)
+    want, own, total = [], {}, 0
+    for k, g, n in rows:
+        if total >= 140:
+            break
+        if own.get(g, 0) >= {"a": 20, "b": 50}.get(g, 10**9):
+            continue
+        own[g], total = own.get(g, 0) + n, total + n
+        want.append(k)
+    assert sorted(r.k for r in got.collect()) == want
