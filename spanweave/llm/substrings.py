@@ -144,9 +144,12 @@ def _digests(table: pa.Table, start: np.ndarray, size: int) -> tuple[np.ndarray,
     joined[np.arange(len(kept)) + before] = data[kept]
     ends = np.flatnonzero(last[kept]) + np.arange(int(last.sum())) + 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    view, digest = memoryview(joined.tobytes()), hashlib.blake2b
-    spans = zip(begins[start].tolist(), ends[start + size - 1].tolist())
-    raw = np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in spans]), ">u8").reshape(-1, 2)
+    view, digest, out = memoryview(joined), hashlib.blake2b, []
+    for at in range(0, len(start), 1 << 15):
+        own = start[at : at + (1 << 15)]
+        spans = zip(begins[own].tolist(), ends[own + size - 1].tolist())
+        out.append(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in spans]))
+    raw = np.frombuffer(b"".join(out), ">u8").reshape(-1, 2)
     return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
 
 
