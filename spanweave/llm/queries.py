@@ -32,6 +32,18 @@ FROM placed GROUP BY conv_id
 """
 
 
+_OP4 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+ v AS (SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM w WHERE len(l) >= 13)),
+ f AS (SELECT words, min(doc_id) AS first FROM v GROUP BY words),
+ later AS (SELECT v.doc_id, v.i FROM v JOIN f ON v.words = f.words WHERE f.first < v.doc_id),
+ gone AS (SELECT DISTINCT doc_id, i + o AS at FROM later, (SELECT unnest(range(0, 13)) AS o)),
+ p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS at, unnest(l) AS word FROM w),
+ kept AS (SELECT p.doc_id, count(g.at) AS n_removed, string_agg(word, ' ' ORDER BY p.at) FILTER (g.at IS NULL) AS kept FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.at = p.at GROUP BY p.doc_id)
+SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -122,4 +134,4 @@ QUERIES = {
         op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_chat": _OP7}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_chat": _OP7}

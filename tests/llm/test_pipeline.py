@@ -1,6 +1,7 @@
 """The pipeline's stages: columns, decisions that take effect, odd rows, and SQL of the chat query."""
 
 import duckdb
+import pytest
 
 import corpus_pipeline
 from spanweave.llm import queries, secrets
@@ -30,11 +31,13 @@ def test_empty(spark, sf_dir):
         assert rows.collect() == []
 
 
-def test_chat_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    mine = queries.op7_chat(spark, sf_dir)
-    got = con.sql(queries.ORACLE_SQL["op7_chat"])
+    for table in ("conversations", "documents"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    mine = queries.QUERIES[name](spark, sf_dir)
+    got = con.sql(queries.ORACLE_SQL[name])
     order = sorted(mine.columns)
     assert sorted(got.columns) == order
     theirs = sorted(tuple(r) for r in got.select(*[duckdb.ColumnExpression(c) for c in order]).fetchall())
