@@ -31,6 +31,8 @@ SAMPLE_ROWS, FREQUENT = 5_000, 50_000
 #: Words of a parity sketch; rows that one task groups.
 SKETCH = 4
 SHARD_ROWS = 1_000_000
+#: Shingles of the sets that one task compares.
+SHARD_SHINGLES = 4_000_000
 #: Rows of a digest each that may be broadcast (some 100 MB once hashed); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -161,17 +163,54 @@ def _few(rows: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u, v`` (u > v) of the pairs whose sets are as similar as wanted.
 
-    ``points`` name a text's digest for every key, so only the texts of these pairs are read again.
+    ``points`` name a text's digest for every key, so only the texts of these pairs are read again. Sets that pairs
+    join travel together, once each, however many pairs they have.
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = stored(points.join(keys, "key", "left_semi").select("digest", "key"), "keys")
     found = texts.join(_few(wanted), "digest").select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-    sets = stored(_sets(found, words), "sets")
-    a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
+    sets = _sets(found, words)
+    named = stored(components(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "candidates")
+    sized = points.select("key", "n").join(named, F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("n"))
+    sized = stored(sized.withColumn("big", F.col("n") > SHARD_SHINGLES), "sized")
+    total = sized.where("NOT big").agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-total // SHARD_SHINGLES))
+    places = stored(named.join(sized, "root").select(F.col("node").alias("place"), "big", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("shard")), "places")
+    mine = places.select(F.col("place").alias("of"), F.col("big").alias("large"), F.col("shard").alias("part"))
+    dealt = pairs.join(mine, F.col("a") == F.col("of")).select("a", "b", "large", "part")
+    placed = sets.join(places, F.col("key") == F.col("place")).select("key", "shingles", "big", "shard")
+    small = placed.where("NOT big").drop("big").groupBy("shard").cogroup(dealt.where("NOT large").drop("large").groupBy("part"))
+    links = small.applyInArrow(_compared(percent), "u long, v long")
+    if sized.where("big").isEmpty():
+        return links
+    # Candidates that hang together in more sets than a task should hold meet pair by pair.
+    large = stored(placed.where("big").select("key", "shingles"), "sets")
+    a, b = (large.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    found = pairs.join(a, "a").join(b, "b").where(both * 100 >= either * percent)
-    return found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    close = dealt.where("large").select("a", "b").join(a, "a").join(b, "b").where(both * 100 >= either * percent)
+    return links.unionByName(close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
+def _compared(percent: int):
+    """Of the sets of a shard, the links among its pairs."""
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        column = sets.column("shingles").combine_chunks()
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        keys = sets.column("key").to_pylist()
+        own = {k: values[a:b] for k, a, b in zip(keys, [0, *ends.tolist()], ends.tolist())}
+        found = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            x, y = own[a], own[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * 100 >= (len(x) + len(y) - both) * percent:
+                found.append((max(a, b), min(a, b)))
+        u, v = zip(*found) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

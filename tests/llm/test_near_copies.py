@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from spanweave.llm import near_copies
 
@@ -57,7 +59,11 @@ def wanted(rows):
     return sorted({g for g in group})
 
 
-def test_stage_keeps_one_of_each_group(spark):
+@pytest.mark.parametrize("most", [near_copies.SHARD_SHINGLES, 300])
+def test_stage_keeps_one_of_each_group(spark, monkeypatch, most):
+    """With all candidates in shards, and with the larger ones met pair by pair."""
+    monkeypatch.setattr(near_copies, "SHARD_SHINGLES", most)
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", near_copies.BROADCAST_ROWS if most > 300 else 0)
     rows = planted()
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
