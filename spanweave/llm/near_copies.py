@@ -1,6 +1,8 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles, and their components.
+"""Near copies by SimHash and the exact Jaccard similarity of five-word shingles, and their components.
 
-A text is the set of its shingles' 64-bit hashes. Sets are put in one global order, rare shingles first. Two sets
+A text is the set of its shingles' 64-bit hashes. The vantage-point trees of the SimHash operator find the sets whose
+fingerprints are within ``RADIUS`` bits, which are most of the close copies; similar sets further apart are found
+exactly as follows. Sets are put in one global order, rare shingles first. Two sets
 of similarity ``percent`` or more share a shingle within their first ``n - ceil(percent * n) + 1``, so grouping
 these prefixes by shingle finds every pair; sizes, places and parity sketches then rule out pairs by bounds that
 hold for all of them, and what is left is verified on the whole sets. No pair at the limit or above is lost, and
@@ -22,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import map_slices, stored, unused
-from spanweave.llm.simhash import SEED, components
+from spanweave.llm.simhash import SEED, components, links, simhash
 
 WORDS = 5
 PERCENT = 80
+RADIUS = 4
 #: Sampled documents and frequent shingles kept, for the order only.
 SAMPLE_ROWS, FREQUENT = 5_000, 50_000
 #: Words of a parity sketch; rows that one task groups.
@@ -50,6 +53,23 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(tokens) - words + 1))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """The parity of a set's hashes in each cell of a table of four to eight cells a hash, a power of two."""
+    bits = max(64, 1 << max(0, 4 * len(s) - 1).bit_length())
+    cells = np.bincount(((s >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At least so many hashes are in one of two sets only: the cells whose parities differ, the larger table folded."""
+    a, b = (np.frombuffer(z, np.uint64) for z in (x, y))
+    while len(a) != len(b):
+        long = a if len(a) > len(b) else b
+        folded = long[: len(long) // 2] ^ long[len(long) // 2 :]
+        a, b = (folded, b) if len(a) > len(b) else (a, folded)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
@@ -77,7 +97,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``digest, key, n, sketch, prefix`` of every ``digest, text``: equal sets have equal keys."""
+    """``digest, key, n, fp, sketch, fine, prefix`` of every ``digest, text``: equal sets have equal keys; ``fp`` is the SimHash of the set."""
     often, counts = _frequent(docs, words)
 
     def one(text: str | None):
@@ -90,18 +110,19 @@ def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             weight = np.where(often[at] == s, counts[at], 0)
         kept = len(s) + -len(s) * percent // 100 + 1 if len(s) else 0
-        return key, len(s), sketch, s[np.lexsort((s, weight))[:kept]]
+        return key, len(s), simhash(s), sketch, parities(s), s[np.lexsort((s, weight))[:kept]]
 
     def make():
         def work(batch: pa.RecordBatch):
             if not batch.num_rows:
                 return None
-            key, n, sketch, prefix = zip(*map(one, batch.column(1).to_pylist()))
-            return [batch.column(0), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), _lists(list(prefix))]
+            key, n, fp, sketch, fine, prefix = zip(*map(one, batch.column(1).to_pylist()))
+            key, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (key, fp))
+            return [batch.column(0), key, pa.array(n, pa.int32()), fp, pa.array(sketch, pa.binary()), pa.array(fine, pa.binary()), _lists(list(prefix))]
 
         return work
 
-    return map_slices(docs.select("digest", "text"), "digest binary, key long, n int, sketch binary, prefix array<long>", make)
+    return map_slices(docs.select("digest", "text"), "digest binary, key long, n int, fp long, sketch binary, fine binary, prefix array<long>", make)
 
 
 def _shards(rows: DataFrame, count: int):
@@ -155,11 +176,40 @@ def _candidates(rows: DataFrame, count: int, percent: int, all_pairs: bool) -> D
     return _shards(rows, count).applyInArrow(search, "a long, b long").distinct()
 
 
+def _neighbours(points: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets that join those of one fingerprint, and the fingerprints that the vantage-point trees link."""
+    first = points.groupBy("fp").agg(F.min("key").alias("first"))
+    same = points.select("fp", "key").join(first, "fp").where("key <> first").select(F.least("key", "first").alias("a"), F.greatest("key", "first").alias("b"))
+    found = links(first.select("fp"), RADIUS)
+    u, v = (first.select(F.col("fp").alias(f"fp_{k}"), F.col("first").alias(f"first_{k}")) for k in "uv")
+    near = found.join(u, F.col("u") == F.col("fp_u")).join(v, F.col("v") == F.col("fp_v"))
+    return same.unionByName(near.select(F.least("first_u", "first_v").alias("a"), F.greatest("first_u", "first_v").alias("b")))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """``rows`` for a join: broadcast if they are few, else by shuffle; the joined rows are the same."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _closer(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities of all their hashes do not rule out; few others are left."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    fine = prints.select("key", "n", "fine").join(keys, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    a, b = (fine.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"fine_{k}")) for k in "ab")
+
+    def make():
+        def work(batch: pa.RecordBatch):
+            a, b, n_a, fine_a, n_b, fine_b = (c.to_pylist() for c in batch.columns)
+            total = [x + y for x, y in zip(n_a, n_b)]
+            kept = [k for k, t in enumerate(total) if least_difference(fine_a[k], fine_b[k]) <= t - 2 * -(-percent * t // (100 + percent))]
+            return [[a[k] for k in kept], [b[k] for k in kept]] if kept else None
+
+        return work
+
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
+    return stored(map_slices(both, "a long, b long", make), "closer")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u, v`` (u > v) of the pairs whose sets are as similar as wanted.
 
@@ -169,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int,
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = stored(points.join(keys, "key", "left_semi").select("digest", "key"), "keys")
     found = texts.join(_few(wanted), "digest").select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-    sets = _sets(found, words)
+    sets = stored(_sets(found, words), "sets")
     named = stored(components(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "candidates")
     sized = points.select("key", "n").join(named, F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("n"))
     sized = stored(sized.withColumn("big", F.col("n") > SHARD_SHINGLES), "sized")
@@ -180,16 +230,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int,
     dealt = pairs.join(mine, F.col("a") == F.col("of")).select("a", "b", "large", "part")
     placed = sets.join(places, F.col("key") == F.col("place")).select("key", "shingles", "big", "shard")
     small = placed.where("NOT big").drop("big").groupBy("shard").cogroup(dealt.where("NOT large").drop("large").groupBy("part"))
-    links = small.applyInArrow(_compared(percent), "u long, v long")
+    found = small.applyInArrow(_compared(percent), "u long, v long")
     if sized.where("big").isEmpty():
-        return links
+        return found
     # Candidates that hang together in more sets than a task should hold meet pair by pair.
-    large = stored(placed.where("big").select("key", "shingles"), "sets")
+    large = placed.where("big").select("key", "shingles")
     a, b = (large.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     close = dealt.where("large").select("a", "b").join(a, "a").join(b, "b").where(both * 100 >= either * percent)
-    return links.unionByName(close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    return found.unionByName(close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
 
 def _compared(percent: int):
@@ -219,17 +269,18 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     ``digest`` names a text; every different one is once in the result. Null texts count as empty.
     """
     prints = stored(_printed(docs, words, percent), "shingles")
-    points = prints.groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    points = prints.groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     points = stored(points, "sets")
     shared = stored(_repeated(points), "shared").join(points.select("key", "n", "sketch"), "key")
     count = shared.count()
-    begun = stored(_candidates(shared.withColumn("root", F.col("key")), count, percent, False), "pairs")
-    links = stored(_verified(begun, docs, points, words, percent), "links")
-    roots = components(links).withColumnRenamed("node", "key")
+    begun = _candidates(shared.withColumn("root", F.col("key")), count, percent, False)
+    begun = stored(begun.unionByName(_neighbours(points)).distinct(), "pairs")
+    close = stored(_verified(_closer(begun, prints, percent), docs, points, words, percent), "links")
+    roots = components(close).withColumnRenamed("node", "key")
     rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = stored(_candidates(rooted, count, percent, True).join(begun, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(rest, docs, points, words, percent))
-    roots = components(links).withColumnRenamed("node", "key")
+    close = close.unionByName(_verified(_closer(rest, prints, percent), docs, points, words, percent))
+    roots = components(close).withColumnRenamed("node", "key")
     return prints.select("digest", "key").distinct().join(roots, "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
 
 

@@ -60,11 +60,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
         pieces = (whole[(ends[i - 1] + i if i else 0) : ends[i + words - 1] + i + words - 1] for i in spans)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(p, SEED) for p in pieces), np.uint64, size)
+    return simhash(hashes)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have; 0 for none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, size, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > size, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", words: int = 4) -> DataFrame:

@@ -76,3 +76,17 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     assert sorted(((r.doc_id, r.text.lower()) for r in near_copies.keep_first(docs).collect()), key=repr) == [(3, "z"), (7, "a b c d e f"), (None, "x y")]
     assert near_copies.keep_first(docs.limit(0)).collect() == []
+
+
+def test_parities_bound_the_difference():
+    """Never more than the hashes that two sets do not share, whatever their sizes, and close to it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 0), (0, 5), (10, 3000), (400, 400), (1000, 1300)):
+        for shared in (0, min(n, m) // 2, min(n, m)):
+            pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+            apart = len(np.setxor1d(x, y))
+            least = near_copies.least_difference(near_copies.parities(x), near_copies.parities(y))
+            assert least <= apart and (min(n, m) < 400 or least > 0.6 * apart - 10)

@@ -28,3 +28,18 @@ def test_copies_do_not_crowd_out(spark, monkeypatch):
     texts, _ = language.sample(docs, "doc_id", "text", "lang", 300, **how)
     usable = docs.where(~language.held_out("doc_id")).select("doc_id").distinct().count()
     assert len(texts) == usable == len(set(texts))
+
+
+def test_keep_good_keeps_clashing_columns(spark):
+    """Columns named like the operator's own stay as they are; ties, nulls and repeated rows are judged alike."""
+    from spanweave.llm import quality
+
+    words = ["plain", "words", "about", "rivers", "and", "stones"]
+    rows = [(k, " ".join(words[k % 3 :] * 5), None if k % 4 == 0 else "s", "en", k / 2, f"h{k}", None) for k in range(12)] * 2 + [(None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, low_evidence double, site_host string, site_low_rate int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    left = [tuple(r) for r in kept.collect()]
+    assert all(r in rows for r in left) and all(left.count(r) == rows.count(r) for r in left)
+    assert quality.keep_good(docs.limit(0), labels).collect() == []
