@@ -23,7 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more), that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more), that of the smallest id.
+
+    SimHash fingerprints and their trees find the closest; those further apart are found by their rarest shingles.
+    """
     return keep_first(docs)
 
 
