@@ -33,9 +33,9 @@ RADIUS = 4
 SAMPLE_ROWS, FREQUENT = 5_000, 50_000
 #: Words of a parity sketch; rows that one task groups.
 SKETCH = 4
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 200_000
 #: Shingles of the sets that one task compares.
-SHARD_SHINGLES = 4_000_000
+SHARD_SHINGLES = 1_500_000
 #: Rows of a digest each that may be broadcast (some 100 MB once hashed); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -153,7 +153,8 @@ def _candidates(rows: DataFrame, count: int, percent: int, all_pairs: bool) -> D
         order = np.lexsort((key, s))
         s, key, root = s[order], key[order], root[order]
         n, at = (table.column(c).to_numpy().astype(np.int64)[order] for c in ("n", "at"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)[order]
+        held = table.column("sketch").combine_chunks().cast(pa.binary(8 * SKETCH))
+        sketch = np.frombuffer(held.buffers()[1], np.uint64)[held.offset * SKETCH :][: len(order) * SKETCH].reshape(-1, SKETCH)[order]
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
         out = [np.empty((0, 2), np.int64)]
         held = 0
