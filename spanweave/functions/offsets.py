@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that one inner fold of :func:`scanned` appends to.
-BLOCK = 256
+BLOCK = 64
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,6 +40,24 @@ def scanned(items: Column, start: Column, step: Callable[[Column, Column], Colum
     return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, begun, block, lambda acc: acc["out"]))).otherwise(none)
 
 
+def running(sizes: Column) -> Column:
+    """The sum of an array of whole numbers up to every element, that element included; folded in blocks as :func:`scanned`."""
+    none = F.array().cast("array<int>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x
+        return F.struct(F.concat(acc["out"], F.array(at)).alias("out"), at.alias("at"))
+
+    def block(acc: Column, k: Column) -> Column:
+        part = F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK))
+        done = F.aggregate(part, F.struct(none.alias("out"), acc["at"].alias("at")), one)
+        return bound(done, lambda d: F.struct(F.concat(acc["out"], F.array(d["out"])).alias("out"), d["at"].alias("at")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(BLOCK)).cast("int"))
+    begun = F.struct(F.array().cast("array<array<int>>").alias("out"), F.lit(0).alias("at"))
+    return F.when(F.size(sizes) > 0, F.flatten(F.aggregate(blocks, begun, block, lambda acc: acc["out"]))).otherwise(none)
+
+
 _SPAN = "struct<start:int,end:int,label:string,value:string>"
 
 
@@ -50,13 +68,13 @@ def matches(text: Column, pattern: str, label: str | None = None) -> Column:
     """
 
     def located(hits: Column) -> Column:
-        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("value")))
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        sizes = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit))
 
-        def emit(at: Column, p: Column) -> Column:
-            start = at + p["gap"]
-            return F.struct(start.alias("start"), (start + p["size"]).alias("end"), F.lit(label).alias("label"), p["value"].alias("value"))
+        def spans(ends: Column) -> Column:
+            return F.zip_with(hits, ends, lambda hit, end: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), F.lit(label).cast("string").alias("label"), hit.alias("value")))
 
-        found = bound(pairs, lambda p: scanned(p, F.lit(0), lambda at, x: at + x["gap"] + x["size"], emit, _SPAN))
+        found = bound(bound(sizes, running), spans).cast(f"array<{_SPAN}>")
         return F.when(F.size(hits) > 0, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
     return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
