@@ -78,16 +78,20 @@ def cleaned(
 
     def read(s: Column) -> Column:
         value = part(text, s["start"], s["end"])
-        target = F.try_element_at(targets, s["label"])
-        date = F.coalesce(target == DATE_CUE, F.lit(False))
-        born = date & F.coalesce(birth_cue(text, s["start"], s["end"]), F.lit(False))
-        target = F.when(born, F.lit("DOB")).when(~date, target)
+        mapped = F.try_element_at(targets, s["label"])
         inside = F.coalesce((s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= size), F.lit(False))
-        filled = inside & value.rlike(rf"[^{SPACE}]")
-        placeholder = F.coalesce((target == "DOB") & filled & ~value.rlike(r"\p{Nd}"), F.lit(False))
+        date = F.coalesce(mapped == DATE_CUE, F.lit(False))
+        born = date & F.coalesce(birth_cue(text, s["start"], s["end"]), F.lit(False))
+        known = F.struct(mapped.alias("mapped"), value.alias("value"), inside.alias("inside"), date.alias("date"), born.alias("born"))
+        return bound(known, lambda k: judged_raw(s, k))
+
+    def judged_raw(s: Column, k: Column) -> Column:
+        target = F.when(k["born"], F.lit("DOB")).when(~k["date"], k["mapped"])
+        filled = k["inside"] & k["value"].rlike(rf"[^{SPACE}]")
+        placeholder = F.coalesce((target == "DOB") & filled & ~k["value"].rlike(r"\p{Nd}"), F.lit(False))
         return F.struct(
-            date.alias("date"), born.alias("born"), inside.alias("inside"), filled.alias("filled"), placeholder.alias("placeholder"),
-            s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("raw"), value.alias("value"),
+            k["date"].alias("date"), k["born"].alias("born"), k["inside"].alias("inside"), filled.alias("filled"), placeholder.alias("placeholder"),
+            s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("raw"), k["value"].alias("value"),
             F.when(placeholder, F.lit(IGNORE)).otherwise(target).alias("target"), F.when(target.isNull(), F.try_element_at(groups, s["label"])).alias("group"),
         )
 
@@ -104,20 +108,26 @@ def cleaned(
         def tail(m: Column, i: Column) -> Column:
             after = F.length(F.regexp_extract(part(text, m["end"], size), STREET_TAIL, 0))
             until = F.coalesce(F.get(joined, i + 1)["start"], size)
-            street = (m["label"] == "ADDRESS") & (m["raw"] == F.array(F.lit("street_address"))) & ~bare(m)
+            street = (m["label"] == "ADDRESS") & (m["raw"] == F.array(F.lit("street_address")))
             on = street_tails if isinstance(street_tails, Column) else F.lit(street_tails)
             return F.when(on & street & (after > 0) & (m["end"] + after <= until), _plain(m["end"], m["end"] + after, F.lit(IGNORE)))
 
-        own = F.transform(joined, lambda m, i: F.array(F.when(~bare(m), _plain(m["start"], m["end"], m["label"])), tail(m, i)))
-        found = F.filter(F.flatten(own), lambda s: s.isNotNull())
-        places = F.transform(F.filter(joined, bare), lambda m: _plain(m["start"], m["end"], F.lit("place")))
+        def judged(m: Column, i: Column) -> Column:
+            return bound(bare(m), lambda place: F.struct(_plain(m["start"], m["end"], m["label"]).alias("span"), place.alias("place"), F.when(~place, tail(m, i)).alias("tail")))
+
+        return bound(F.transform(joined, judged), lambda j: summed(rows, whole, kept, joined, j))
+
+    def summed(rows: Column, whole: Column, kept: Column, joined: Column, judged: Column) -> Column:
+        own = F.flatten(F.transform(judged, lambda j: F.array(F.when(~j["place"], j["span"]), j["tail"])))
+        found = F.filter(own, lambda s: s.isNotNull())
+        places = F.transform(F.filter(judged, lambda j: j["place"]), lambda j: _plain(j["span"]["start"], j["span"]["end"], F.lit("place")))
         negs = F.transform(F.filter(rows, lambda r: r["group"].isNotNull() & r["inside"]), lambda r: _plain(r["start"], r["end"], r["group"]))
         count = lambda test: F.size(F.filter(rows, test))
         stats = F.struct(
             count(lambda r: r["born"]).alias("date_cue_dob"), count(lambda r: r["date"] & ~r["born"]).alias("date_cue_o"),
             count(lambda r: r["target"].isNotNull() & ~r["filled"]).alias("invalid"), count(lambda r: r["placeholder"]).alias("dob_placeholder"),
             (F.size(whole) - F.size(kept)).alias("overlap_dropped"), (F.size(kept) - F.size(joined)).alias("merged"),
-            F.size(places).alias("address_bare_place_to_O"), (F.size(found) - F.size(joined) + F.size(places)).alias("address_tail_ignored"),
+            F.size(places).alias("address_bare_place_to_O"), F.size(F.filter(judged, lambda j: j["tail"].isNotNull())).alias("address_tail_ignored"),
         )
         return F.struct(found.alias("spans"), F.concat(negs, places).alias("negs"), stats.alias("stats"))
 

@@ -425,9 +425,13 @@ def encoded_windows(text: Column, spans: Column, body: int = 382, stride: int =
         edge = F.array(F.lit(None).cast("string"))
 
         def window(w: Column) -> Column:
-            part_ = F.slice(found, w * step + 1, F.lit(body))
-            begun = F.transform(part_, lambda t, i: F.when((i == F.array_position(F.transform(part_, lambda x: x.isNotNull()), F.lit(True)) - 1) & t.startswith("I-"), F.concat(F.lit("B-"), F.substring(t, 3, 1 << 30))).otherwise(t))
-            return F.struct(w.alias("win"), (w * step).alias("lo"), F.least(w * step + body, n).alias("hi"), F.concat(edge, begun, edge).alias("tags"))
+            def begun(part_: Column) -> Column:
+                first = F.array_position(F.transform(part_, lambda t: t.isNotNull()), F.lit(True)).cast("int")
+                forced = lambda t: F.when(t.startswith("I-"), F.concat(F.lit("B-"), F.substring(t, 3, 1 << 30))).otherwise(t)
+                return bound(first, lambda k: F.when(k > 0, F.concat(F.slice(part_, F.lit(1), k - 1), F.array(forced(F.get(part_, k - 1))), F.slice(part_, k + 1, F.size(part_)))).otherwise(part_))
+
+            tags_ = F.concat(edge, bound(F.slice(found, w * step + 1, F.lit(body)), begun), edge)
+            return F.struct(w.alias("win"), (w * step).alias("lo"), F.least(w * step + body, n).alias("hi"), tags_.alias("tags"))
 
         return F.transform(F.sequence(F.lit(0), last), window)
 
