@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from spanweave.llm.common import picked, splitter
+from spanweave.llm.common import picked, release, splitter
 
 BUCKETS = 1 << 16
 #: Characters of text in a chunk; bytes of text for each bucket of words; words folded in one row; bytes of a long word.
-CHUNK_CHARS, BUCKET_BYTES, FOLD_WORDS, LONG = 16 << 20, 16 << 20, 2_000, 256
+CHUNK_CHARS, BUCKET_BYTES, FOLD_WORDS, LONG = 12 << 20, 16 << 20, 2_000, 256
 _UNKNOWN = 2**31 - 1
 _RANKS, _TOKENS = "__bpe_ranks__", "__bpe_tokens__"
 
@@ -259,6 +259,8 @@ def _numbered(rows: DataFrame, pattern: str, buckets: int) -> DataFrame:
                         known, keys, sizes, numbers, chars, count = _Numbers(), [], [], [], 0, count + 1
         if keys:
             yield from out()
+        known, keys, sizes, numbers = _Numbers(), [], [], []
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -354,7 +356,10 @@ def _assembled(rows: DataFrame, codec: Codec, schema: str, prepare: Callable, fi
             upto = np.cumsum(_unpacked(sizes, len(keys)), dtype=np.int64).tolist()
             for key, a, b in zip(keys, [0, *upto], upto):
                 made.append((key, *finish(held, numbers[a:b].tolist())))
-        return _columns(made, arrow)
+        held = ids = None
+        out = _columns(made, arrow)
+        release()
+        return out
 
     return numbered.groupBy("at").cogroup(answers.groupBy("at")).applyInArrow(run, schema)
 

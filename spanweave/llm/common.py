@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -53,6 +54,15 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: workers are reused, and what one stage held would stay beside the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_slices(
     df: DataFrame,
     schema: T.StructType | str,
@@ -76,6 +86,8 @@ def map_slices(
                         [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)],
                         schema=arrow,
                     )
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
 

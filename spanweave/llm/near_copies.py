@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import map_slices, stored, unused
+from spanweave.llm.common import map_slices, release, stored, unused
 from spanweave.llm.simhash import SEED, components, links, simhash
 
 WORDS = 5
@@ -135,6 +135,7 @@ def _repeated(points: DataFrame) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         _, back, count = np.unique(table.column("s").to_numpy(), return_inverse=True, return_counts=True)
+        release()
         return table.select(["s", "at", "key"]).filter(pa.array(count[back] > 1))
 
     rows = points.select("key", F.posexplode("prefix").alias("at", "s"))
@@ -172,6 +173,8 @@ def _candidates(rows: DataFrame, count: int, percent: int, all_pairs: bool) -> D
             if held > 1 << 20:
                 out, held = [np.unique(np.concatenate(out), axis=0)], 0
         pairs = np.unique(np.concatenate(out), axis=0)
+        out = []
+        release()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return _shards(rows, count).applyInArrow(search, "a long, b long").distinct()
@@ -259,6 +262,8 @@ def _compared(percent: int):
             if both * 100 >= (len(x) + len(y) - both) * percent:
                 found.append((max(a, b), min(a, b)))
         u, v = zip(*found) if found else ((), ())
+        own = values = None
+        release()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run

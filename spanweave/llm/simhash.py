@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import map_slices, picked, stored, struct_of, unused
+from spanweave.llm.common import map_slices, picked, release, stored, struct_of, unused
 
 SEED = 42
 BITS = 64
@@ -281,6 +281,7 @@ def links(points: DataFrame, radius: int = 4, projections: int | None = None) ->
         place = np.unique(np.stack([shard, cut.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
         u, v = _forest(place, part, fp, home, radius, bound, trees)
         u, v = u.view(np.int64), v.view(np.int64)
+        release()
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("shard", "cut"), F.lit(tasks)))
