@@ -125,9 +125,10 @@ def test_simhash(docs, rows):
     assert got == sorted(((i, p, least.get(roots[p])) for i, p in prints), key=repr)
 
 
-@pytest.mark.parametrize("projections", [2, 3, 5, 1])
-def test_links_lose_none(spark, projections):
-    """Clusters, chains and single points: the components of spanning links are those of all pairs."""
+@pytest.mark.parametrize("projections, most", [(2, 1 << 32), (3, 1 << 32), (3, 50), (5, 1 << 32), (1, 1 << 32), (1, 2000)])
+def test_links_lose_none(spark, monkeypatch, projections, most):
+    """Clusters, chains and single points: the components of spanning links are those of all pairs, split shards or not."""
+    monkeypatch.setattr(simhash, "SHARD_PAIRS", most)
     rng = random.Random(projections)
     points = {rng.getrandbits(64) for _ in range(300)}
     for seed in list(points)[:12]:
