@@ -44,6 +44,31 @@ SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 """
 
 
+#: CRC-32 byte by byte, by a table made from its polynomial.
+_OP12 = r"""
+WITH f AS (
+  SELECT 0 AS kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), g AS (
+  SELECT kind, doc_id, array_to_string(w[i:i + k], ' ') AS gram, count(*) AS n
+  FROM (SELECT kind, doc_id, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM f, (VALUES (0), (1), (2)) v(k)) GROUP BY ALL
+), crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t), h AS (SELECT gram, hex(encode(gram)) AS x FROM (SELECT DISTINCT gram FROM g)
+), step AS (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket FROM h, crc
+), counted AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM g JOIN step USING (gram) GROUP BY bucket
+), gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counted
+), weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN step USING (gram) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY doc_id
+), scored AS (
+  SELECT f.doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || f.doc_id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM f LEFT JOIN weighed USING (doc_id) WHERE kind = 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) FILTER (fit) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -128,10 +153,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw toward the benchmark's texts."""
+    from spanweave.llm.resample import importance
+
+    found = importance(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash,
+        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash, op12_resampling,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_chat": _OP7}
+ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_chat": _OP7, "op12_resampling": _OP12}
