@@ -161,10 +161,17 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the components of all of them, whitened."""
+    from spanweave.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash, op12_resampling,
+        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash, op12_resampling, op13_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_chat": _OP7, "op12_resampling": _OP12}
