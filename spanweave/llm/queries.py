@@ -153,6 +153,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: by the fixed rules, and what the field adds."""
+    from spanweave.llm.personal import scan
+
+    return scan(_read(spark, sf_dir, "documents")).drop("found")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document in a draw toward the benchmark's texts."""
     from spanweave.llm.resample import importance
@@ -171,7 +178,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash, op12_resampling, op13_whitening,
+        op1_decontamination, op2_media, op3_quality, op4_substring_dedup, op5_byte_bpe, op6_language, op7_chat, op8_token_counts, op9_secrets, op10_simhash, op11_personal, op12_resampling, op13_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op4_substring_dedup": _OP4, "op7_chat": _OP7, "op12_resampling": _OP12}
