@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators import intervals as I
 from spanweave.operators import scoring as C
 
 KEY = C.KEY
+#: Words in a bin of windows.
+WORDS = 256
 
 
 def hits(gold: DataFrame, pred: DataFrame, swaps: dict[str, str] | None = None) -> DataFrame:
     """Gold rows with ``found`` (a prediction of its label overlaps it), ``exact`` (same bounds and label), ``any_``
     (any prediction overlaps) and ``swap`` (not found, but one of its label's counterpart overlaps)."""
     g = gold.withColumn("gid", F.monotonically_increasing_id()) if "gid" not in gold.columns else gold
-    over = (F.col(f"g.{KEY}") == F.col(f"p.{KEY}")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end"))
-    both = g.alias("g").join(pred.select(KEY, "start", "end", "label").alias("p"), over, "left")
+    both = I.beside(g, pred.select(KEY, "start", "end", "label"), KEY)
     same = F.col("p.label") == F.col("g.label")
     exact = same & (F.col("p.start") == F.col("g.start")) & (F.col("p.end") == F.col("g.end"))
     partner = F.lit(None).cast("string")
@@ -144,8 +146,11 @@ def window_scores(spans: DataFrame, windows: DataFrame, scores: DataFrame) -> Da
 
     Candidates ``doc_id, first, last, label`` in word numbers, windows ``doc_id, win, lo, hi`` (end exclusive), scores
     by candidate and window; a pair that a window cannot score has none there, and a candidate without any is dropped.
+    A candidate meets the windows over the bin of words in which it begins.
     """
-    inside = (F.col("s.doc_id") == F.col("w.doc_id")) & (F.col("w.lo") <= F.col("s.first")) & (F.col("s.last") < F.col("w.hi"))
-    held = spans.alias("s").join(windows.alias("w"), inside).select("s.doc_id", "s.first", "s.last", "s.label", "w.win")
+    word = I.binned(spans.withColumn("__next__", F.col("first") + 1), "first", "__next__", WORDS).alias("s")
+    wide = I.binned(windows, "lo", "hi", WORDS).alias("w")
+    inside = (F.col("s.doc_id") == F.col("w.doc_id")) & (F.col(f"s.{I.BIN}") == F.col(f"w.{I.BIN}")) & (F.col("w.lo") <= F.col("s.first")) & (F.col("s.last") < F.col("w.hi"))
+    held = word.join(wide, inside).select("s.doc_id", "s.first", "s.last", "s.label", "w.win")
     both = held.join(scores, ["doc_id", "first", "last", "label", "win"]).where("score IS NOT NULL")
     return both.groupBy("doc_id", "first", "last", "label").agg(F.avg("score").alias("score"), F.count("*").alias("votes"))

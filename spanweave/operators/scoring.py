@@ -1,7 +1,7 @@
 """Span scoring: matches of predictions with gold, counted at several levels at once.
 
 Rows of both sides are ``doc_id, start, end, label`` and any columns that levels group by; predictions may have
-``score``. Interval joins are equi-joins on the document with a range residual, so they hash by document.
+``score``. Interval joins go by bins of positions (``intervals``), so they hash by document and bin.
 """
 
 from __future__ import annotations
@@ -10,22 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.labels import IGNORE
+from spanweave.operators import intervals as I
 
 KEY = "doc_id"
 
 
-def _overlaps(a: str, b: str) -> Column:
-    return (F.col(f"{a}.{KEY}") == F.col(f"{b}.{KEY}")) & (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{b}.start") < F.col(f"{a}.end"))
-
-
 def clear_of(pred: DataFrame, zones: DataFrame) -> DataFrame:
     """Predictions that overlap no zone (gold labelled IGNORE)."""
-    return pred.alias("p").join(zones.alias("z"), _overlaps("p", "z"), "left_anti")
+    return I.without_overlap(pred, zones, KEY).select(*pred.columns)
 
 
 def covered(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Gold spans that any prediction overlaps."""
-    return gold.alias("g").join(pred.alias("p"), _overlaps("g", "p"), "left_semi")
+    return I.with_overlap(gold, pred, KEY).select(*gold.columns)
 
 
 def strict_counts(gold: DataFrame, pred: DataFrame, levels: list[str]) -> DataFrame:
@@ -83,18 +80,16 @@ def levelled(counts: DataFrame, sets: list[list[str]], names: list[str]) -> Data
 
 def best_overlap(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Every gold row with ``pred_label`` of the prediction that overlaps it most, null if none; ties to the earlier."""
-    g = gold.withColumn("gid", F.struct(KEY, "start", "end", "label"))
-    joined = g.alias("g").join(pred.alias("p"), _overlaps("g", "p"), "left")
+    joined = I.beside(gold, pred, KEY)
     size = F.least("g.end", "p.end") - F.greatest("g.start", "p.start")
-    key = F.struct(size, -F.col("p.start"), -F.col("p.end"))
-    kept = [c for c in gold.columns]
-    return joined.groupBy(*(F.col(f"g.{c}").alias(c) for c in kept)).agg(F.max_by("p.label", key).alias("pred_label"))
+    key = F.when(F.col("p.start").isNotNull(), F.struct(size, -F.col("p.start"), -F.col("p.end")))
+    return joined.groupBy(*(F.col(f"g.{c}").alias(c) for c in gold.columns)).agg(F.max_by("p.label", key).alias("pred_label"))
 
 
 def first_overlap(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Every gold row with ``pred_label`` of the first prediction (by start, end) that overlaps it, null if none."""
-    joined = gold.alias("g").join(pred.alias("p"), _overlaps("g", "p"), "left")
-    return joined.groupBy(*(F.col(f"g.{c}").alias(c) for c in gold.columns)).agg(F.min_by("p.label", F.struct("p.start", "p.end")).alias("pred_label"))
+    joined = I.beside(gold, pred, KEY)
+    return joined.groupBy(*(F.col(f"g.{c}").alias(c) for c in gold.columns)).agg(F.min_by("p.label", F.when(F.col("p.start").isNotNull(), F.struct("p.start", "p.end"))).alias("pred_label"))
 
 
 def confusion(gold: DataFrame, pred: DataFrame, levels: list[str]) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.functions.offsets import bound, matches, part, scanned
 from spanweave.functions.text import SPACE, script_of
 from spanweave.labels import IGNORE, NUMERIC, OUTSIDE, PLACE_ONLY
+from spanweave.operators import intervals as I
 
 
 _SPAN = "struct<start:int,end:int,label:string>"
@@ -49,15 +55,66 @@ def kept_longer(ordered: Column, kind: str) -> Column:
     return F.coalesce(F.filter(out, lambda s: s.isNotNull()), F.array().cast(f"array<{kind}>"))
 
 
-def greedy(spans: Column) -> Column:
-    """Non-overlapping spans by falling score; ties by label, start, end. Element type: ``start, end, label, score``."""
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct((-s["score"]).alias("k"), s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))))
+_SCORED = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("label", T.StringType()).add("score", T.DoubleType()))
+
+
+class _Disjoint:
+    """Disjoint intervals in order, in lists of bounded length, so that one more costs a search and a short move."""
+
+    MOST = 2_000
+
+    def __init__(self) -> None:
+        self.blocks: list[list[tuple[int, int]]] = [[]]
+        self.heads: list[tuple[int, int]] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Adds an interval unless it overlaps one that is there; the last that begins before its end is the only one to ask."""
+        k = max(bisect_left(self.heads, (end, -1)) - 1, 0)
+        at = bisect_left(self.blocks[k], (end, -1))
+        if at and self.blocks[k][at - 1][1] > start:
+            return False
+        k = max(bisect_left(self.heads, (start, end)) - 1, 0)
+        block = self.blocks[k]
+        insort(block, (start, end))
+        if len(block) > self.MOST:
+            half = len(block) // 2
+            self.blocks[k : k + 1] = [block[:half], block[half:]]
+            self.heads[k : k + 1] = [block[0], block[half]]
+        elif not self.heads:
+            self.heads = [block[0]]
+        else:
+            self.heads[k] = block[0]
+        return True
+
+
+@F.arrow_udf(_SCORED)
+def _greedy(column: pa.Array) -> pa.Array:
+    flat = column.flatten()
+    start, end, label, score = (flat.field(name) for name in ("start", "end", "label", "score"))
+    starts, ends = start.to_pylist(), end.to_pylist()
+    low = pa.array(pc.fill_null(score, -math.inf)).to_pylist()
+    labels = label.to_pylist()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    taken, offsets, at = [], [0], 0
+    for size in sizes:
+        kept = _Disjoint()
+        order = sorted(range(at, at + size), key=lambda k: (-low[k], labels[k] is None, labels[k] or "", starts[k], ends[k]))
+        taken += [k for k in order if kept.add(starts[k], ends[k])]
+        offsets.append(len(taken))
+        at += size
+    rows = flat.take(pa.array(taken, pa.int64()))
+    fields = [rows.field(name).cast(kind) for name, kind in (("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("score", pa.float64()))]
+    found = pa.StructArray.from_arrays(fields, ["start", "end", "label", "score"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, mask=column.is_null())
 
-    def take(kept: Column, s: Column) -> Column:
-        clash = F.exists(kept, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
 
-    return F.transform(F.aggregate(keyed, F.slice(keyed, F.lit(1), F.lit(0)), take), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), (-s["k"]).alias("score")))
+def greedy(spans: Column) -> Column:
+    """Non-overlapping spans by falling score; ties by label, start, end. Element type: ``start, end, label, score``.
+
+    The kept spans of a text are disjoint, so a sorted structure answers whether another fits by one search; a fold
+    of Spark's own would compare each with all that are kept, or copy them. A null score comes last.
+    """
+    return _greedy(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["label"].alias("label"), s["score"].cast("double").alias("score"))))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -226,7 +283,7 @@ def merged_addresses(spans: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 #: An address field named just before a span, on its line (fixed words).
-ADDRESS_CUE = r"(?i)(?:address|addr\.?|city|town|state|province|country|county|post ?code|zip|residen[a-z]*|located at|domicile)[^A-Za-z0-9_]{0,3}$"
+ADDRESS_CUE = r"(?i)(?:address|addr\.?|city|town|state|province|country|county|post ?code|zip|residen[\p{L}\p{M}\p{N}_]*|located at|domicile)[^\p{L}\p{M}\p{N}_]{0,3}\z"
 STREET_TAIL = r"^,[^\n.;|()]{1,80}"
 
 
@@ -303,10 +360,9 @@ def bio_encoded(toks: DataFrame, spans: DataFrame, key: str = "doc_id", partial:
     mask, spans labelled ``O`` are outside, and ``partial`` (all, digits, letters) masks outside tokens of a source
     that is annotated only in part.
     """
-    hit = toks.alias("t").join(
-        spans.alias("g"), (F.col(f"t.{key}") == F.col(f"g.{key}")) & (F.col("g.start") < F.col("t.e")) & (F.col("t.s") < F.col("g.end")), "left"
-    )
-    first = hit.groupBy(F.col(f"t.{key}").alias(key), F.col("t.i").alias("i"), F.col("t.tok").alias("tok")).agg(F.min(F.struct("g.start", "g.end", "g.label")).alias("g"))
+    left = I.binned(toks, "s", "e", outer=True).alias("t")
+    hit = left.join(I.binned(spans).alias("g"), I.meets("t", "g", key, bounds=("s", "e")), "left")
+    first = hit.groupBy(F.col(f"t.{key}").alias(key), F.col("t.i").alias("i"), F.col("t.tok").alias("tok")).agg(F.min(F.when(F.col("g.start").isNotNull(), F.struct("g.start", "g.end", "g.label"))).alias("g"))
     before = F.lag("g").over(Window.partitionBy(key).orderBy("i"))
     label = F.col("g.label")
     masked_out = F.lit(False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import values as V
 from spanweave.functions.offsets import matches, part
 from spanweave.operators import detect as D
+from spanweave.operators import intervals as I
 from spanweave.operators import spans as S
 from spanweave.plans.registry import fixture, query, values
 from spanweave.session import table
@@ -263,12 +264,27 @@ FROM spans s JOIN toks t ON s.doc_id = t.doc_id AND t.e - length(t.tok) < s."end
 )
 def span_score(spark, sf_dir):
     """A span's score as the mean confidence of the tokens in it."""
-    spans = D.rules(docs(spark, sf_dir)).drop("value").alias("s")
-    toks = S.tokens(docs(spark, sf_dir)).withColumn("p", D.stable_score(F.col("doc_id"), F.col("i"))).alias("t")
-    both = spans.join(toks, (F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("t.s") < F.col("s.end")) & (F.col("s.start") < F.col("t.e")))
+    spans = I.binned(D.rules(docs(spark, sf_dir)).drop("value")).alias("s")
+    toks = I.binned(S.tokens(docs(spark, sf_dir)).withColumn("p", D.stable_score(F.col("doc_id"), F.col("i"))), "s", "e").alias("t")
+    both = spans.join(toks, I.meets("s", "t", "doc_id", others=("s", "e")))
     return both.groupBy("s.doc_id", "s.start", "s.end", "s.label").agg(F.avg("p").alias("score"), F.count("*").alias("tokens"))
 
 
+#: Runs of letters, up to whole lines of them, which overlap the capitalised words.
+RUNS = {"RUN": "[A-Za-z][A-Za-z ]*[A-Za-z]"}
+
+
+@query(
+    f"""WITH a AS ({found_sql(RUNS)}), b AS ({found_sql({**CAPITALS, **BROAD})})
+SELECT a.doc_id, a."start", a."end", b."start" AS other_start, b."end" AS other_end, b.label AS other_label
+FROM a JOIN b ON a.doc_id = b.doc_id AND a."start" < b."end" AND b."start" < a."end\""""
+)
+def binned_overlap(spark, sf_dir):
+    """All overlapping pairs of two detections over every text, by bins of positions."""
+    pairs = I.overlapping(D.rules(docs(spark, sf_dir), RUNS), D.rules(docs(spark, sf_dir), {**CAPITALS, **BROAD}))
+    return pairs.select("doc_id", "left.start", "left.end", F.col("right.start").alias("other_start"), F.col("right.end").alias("other_end"), F.col("right.label").alias("other_label"))
+
+
 @query(
     f"""WITH spans AS ({found_sql(BROAD)}), x AS (SELECT s.*, d.text, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM spans s JOIN documents d USING (doc_id))
 SELECT why, count(*) AS n FROM (SELECT CASE WHEN "start" < 0 OR "start" >= "end" OR "end" > length(text) THEN 'bounds' WHEN regexp_matches(value, '^\\s|\\s$') THEN 'edge' WHEN "start" < until THEN 'overlap' END AS why FROM x) WHERE why IS NOT NULL GROUP BY why"""
@@ -282,23 +298,40 @@ def span_violations(spark, sf_dir):
 PLACES = [
     (1, "expanded into France last year.", 14, 20, "ADDRESS", "country"), (2, "City: Boston", 6, 12, "ADDRESS", "city"), (3, "12 Main St, Springfield", 0, 23, "ADDRESS", "street_address,city"),
     (4, "located at Lyon", 11, 15, "ADDRESS", "city"), (5, "Zip" + chr(10) + "Rome", 4, 8, "ADDRESS", "city"),
+    (6, "city名Rome", 5, 9, "ADDRESS", "city"), (7, "City：Rome", 5, 9, "ADDRESS", "city"), (8, "résidenéé Lyon", 10, 14, "ADDRESS", "city"), (9, "residencé Lyon", 10, 14, "ADDRESS", "city"),
 ]
+#: The cue as the other engine reads it, written out; its classes of letters, marks and numbers are Unicode's.
+_CUE = r"(?i)(?:address|addr\.?|city|town|state|province|country|county|post ?code|zip|residen[\p{L}\p{M}\p{N}_]*|located at|domicile)[^\p{L}\p{M}\p{N}_]{0,3}$"
 
 
 @query(
     f"""SELECT id, label = 'ADDRESS' AND len(list_filter(string_split(raw, ','), lambda r: r NOT IN ('city', 'state', 'county', 'country', 'CITY'))) = 0
- AND NOT regexp_matches(string_split(substr(text, greatest(a - 40, 0) + 1, a - greatest(a - 40, 0)), chr(10))[-1], '{S.ADDRESS_CUE}') AS place FROM {values(PLACES, 'id, text, a, b, label, raw')}"""
+ AND NOT regexp_matches(string_split(substr(text, greatest(a - 40, 0) + 1, a - greatest(a - 40, 0)), chr(10))[-1], '{_CUE}') AS place FROM {values(PLACES, 'id, text, a, b, label, raw')}"""
 )
 def bare_places(spark, sf_dir):
     rows = fixture(spark, PLACES, "id int, text string, start int, end int, label string, raws string").withColumn("raw", F.split("raws", ","))
     return S.bare_places(rows).select("id", "place")
 
 
+#: Lines of the documents' table with a cue, a mark and a word of the text, so that the rule meets all its letters.
+_CUED = r"""cued AS (SELECT doc_id, lang, 'x' || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'City' WHEN 1 THEN 'residencé' WHEN 2 THEN 'post code' WHEN 3 THEN 'located at' WHEN 4 THEN 'visited' ELSE 'State' END
+    || substr(text, 7, 1 + CAST(doc_id % 4 AS INTEGER)) AS lead FROM documents WHERE length(text) > 20)"""
+
+
+@query(f"""WITH {_CUED} SELECT lang, NOT regexp_matches(string_split(substr(lead, greatest(length(lead) - 40, 0) + 1), chr(10))[-1], '{_CUE}') AS place, count(*) AS n FROM cued GROUP BY ALL""")
+def cued_places(spark, sf_dir):
+    """City names after a cue and some characters of every text: bare places or not, by language."""
+    word = F.element_at(F.array(*map(F.lit, ("City", "residencé", "post code", "located at", "visited", "State"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    lead = F.concat(F.lit("x\n"), word, F.substring(F.col("text"), F.lit(7), (F.col("doc_id") % 4 + 1).cast("int")))
+    rows = docs(spark, sf_dir).where(F.length("text") > 20).select("lang", F.concat(lead, F.lit("Rome")).alias("text"), F.length(lead).alias("start"), F.lit("ADDRESS").alias("label"), F.array(F.lit("city")).alias("raw"))
+    return S.bare_places(rows).groupBy("lang", "place").agg(F.count("*").alias("n"))
+
+
 TAILS = [(1, "Send it to 0567 Drake Road, Manchester, M12 4BE, UK. Thanks", 11, 26, "ADDRESS", "street_address"), (2, "at 5 Elm St, Jo", 3, 11, "ADDRESS", "street_address"), (2, "at 5 Elm St, Jo", 13, 15, "PERSON", "name"), (3, "5 Elm St, Rome", 0, 8, "ADDRESS", "city")]
 
 
 @query(
-    f"""WITH t AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a), length(text)) AS nxt, regexp_extract(substr(text, b + 1), '{S.STREET_TAIL}') AS tail FROM {values(TAILS, 'id, text, a, b, label, raw')})
+    f"""WITH t AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a), length(text)) AS nxt, regexp_extract(substr(text, b + 1), '^,[^\n.;|()]{{1,80}}') AS tail FROM {values(TAILS, 'id, text, a, b, label, raw')})
 SELECT id, b AS "start", CAST(b + length(tail) AS INTEGER) AS "end", 'IGNORE' AS label FROM t WHERE label = 'ADDRESS' AND raw = 'street_address' AND tail <> '' AND b + length(tail) <= nxt"""
 )
 def street_tails(spark, sf_dir):
