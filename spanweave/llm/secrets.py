@@ -39,6 +39,8 @@ _LEAST_ASSIGN, _LEAST_ACCESS = 8, 16
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Runs of letters, digits and joining marks, with ``=`` only where it pads their end; any other mark alone.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?|[^\sA-Za-z0-9+/_.-]")
+#: Parts of names that secrets have.
+_HINT = re.compile("pass|pwd|secret|token|cred|auth|key", re.I)
 DIM = 1 << 14
 CACHE_WORDS = 200_000
 #: No valid path goes from outside to inside.
@@ -79,6 +81,7 @@ def _shape(word: str) -> list[str]:
     digits, upper, lower = (sum(map(f, word)) for f in (str.isdigit, str.isupper, str.islower))
     kinds = (digits > 0) + (upper > 0) + (lower > 0)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:]))
+    longest = max(map(len, re.split(r"[/._-]+", word)))
     squeezed = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in word))
     return [
         "bias",
@@ -90,14 +93,24 @@ def _shape(word: str) -> list[str]:
         f"digit_share={0 if not n else round(4 * digits / n)}",
         f"shape={squeezed[:8]}",
         f"sep={sum(map(word.count, '+/_=.-')) > 0}:{n > 12}",
+        f"path={word[:2] == '//'}:{min(word.count('/'), 3)}:{min(word.count('.'), 2)}",
+        f"pieces={min(longest.bit_length(), 6)}:{kinds}",
     ]
 
 
+def _hint(word: str) -> str:
+    """The last part of a name that secrets' names have, wherever it stands in the word, and how the word goes on."""
+    found = None
+    for found in _HINT.finditer(word):
+        pass
+    return f"{found[0].lower()}:{'end' if found.end() == len(word) else 'mid'}:{'_' in word or word.isupper()}" if found else "none"
+
+
 def _slots(word: str, lexicon: frozenset[str]) -> tuple[tuple[int, ...], ...]:
-    """Feature slots of a token itself, and as the neighbour one before, two before, and one after."""
+    """Feature slots of a token itself, and as the neighbour one, two and three before, and one after."""
     w = word.lower() if word.lower() in lexicon else "<other>"
     own = tuple(_slot(f"0:{f}") for f in (*_shape(word), f"w={w}"))
-    near = [tuple(_slot(f"{k}:{f}") for f in (f"w={w}", f"len={min(len(word).bit_length(), 6)}")) for k in (-1, -2, 1)]
+    near = [tuple(_slot(f"{k}:{f}") for f in (f"w={w}", f"hint={_hint(word)}", f"len={min(len(word).bit_length(), 6)}")) for k in (-1, -2, -3, 1)]
     return own, *near
 
 
@@ -140,12 +153,12 @@ class Crf:
         """Forget cached words: number of each word, number of each form, and the forms' scores."""
         self.number = _Numbers(self.learn)
         self.form: dict[str, int] = {}
-        #: Scores by place (itself, one before, two before, one after), tag and form.
-        self.parts = np.zeros((4, 3, 256))
+        #: Scores by place (itself, one to three before, one after), tag and form.
+        self.parts = np.zeros((5, 3, 256))
         self.odd = np.zeros(256, np.int64)
 
     def learn(self, word: str) -> int:
-        form = word if word.lower() in self.lexicon else _form(word)
+        form = word if word.lower() in self.lexicon or _HINT.search(word) else _form(word)
         k = self.form.get(form)
         if k is None:
             k = self.form[form] = len(self.form)
@@ -164,11 +177,12 @@ class Crf:
         file = self.weights[_file_slot(int(self.odd.take(place).sum()), len(words))]
         out = np.empty((3, len(words)))
         for tag, row in enumerate(out):
-            own, before, second, after = self.parts[:, tag]
+            own, before, second, third, after = self.parts[:, tag]
             own.take(place, out=row)
             row += file[tag]
             row[1:] += before.take(place[:-1])
             row[2:] += second.take(place[:-2])
+            row[3:] += third.take(place[:-3])
             row[:-1] += after.take(place[1:])
         return out
 
@@ -264,12 +278,29 @@ def lines(seed: int, count: int) -> list[tuple[list[str], list[int]]]:
                 out += [f"{word().lower()}.{rng.randint(0, 99):02d}", "@", tail]
         return out
 
+    def mixed(n: int) -> str:
+        return "".join(rng.choices(sets["mixed"][:62], k=n))
+
+    def path() -> str:
+        """Addresses of pages and files, with names of all kinds in them."""
+        parts = [rng.choice([word().lower(), mixed(rng.choice([8, 11, 20, 24])), str(rng.randint(1, 10**6)), f"{word()}-{word()}-{word()}".lower(), "files", "docs", "src"]) for _ in range(rng.randint(1, 4))]
+        host = rng.choice([f"//{word().lower()}.{rng.choice(['com', 'org', 'io'])}/", f"//www.{word().lower()}.net/{word().lower()}/", "/usr/", "/home/", "src/", "./"])
+        return host + "/".join(parts) + rng.choice(["", "", ".html", ".py", ".txt"])
+
+    def name() -> str:
+        """A name that ends as secrets' names do, with something before it."""
+        end = rng.choice(["pass", "password", "pwd", "secret", "token", "key", "cred", "credentials", "auth_token", "access_key", "secret_key"])
+        style = rng.choice([str.lower, str.upper, str.lower, str.title])
+        return style(f"{word()}{rng.choice('_-_')}{end}" if rng.random() < 0.8 else end)
+
     def secret() -> str:
         kind = rng.choice(list(sets))
+        if rng.random() < 0.2:
+            return rng.choice([f"{word().lower()[:3]}_{mixed(rng.choice([20, 32, 36]))}", f"{mixed(20)}.{mixed(30)}.{mixed(22)}", f"{mixed(13)}/{mixed(7)}/{mixed(18)}", f"{mixed(11)}+{mixed(10)}/{mixed(9)}"])
         return "".join(rng.choices(sets[kind], k=rng.choice([16, 20, 24, 32, 40, 48, 64])))
 
     def plain() -> str:
-        return rng.choice([word().lower(), str(rng.randint(0, 10**6)), f"{word()}_{word()}".lower(), f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", f"{word()}/{word()}".lower(), f"2{rng.randint(100, 999)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"])
+        return rng.choice([word().lower(), path(), path(), f"{word()}_{word()}_{word()}".lower(), rng.choice(["true", "false", "none", "null", "12", "4096"]), f"{mixed(8)}-{mixed(4)}-{mixed(4)}-{mixed(4)}-{mixed(12)}".lower(), str(rng.randint(0, 10**6)), f"{word()}_{word()}".lower(), f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}", f"{word()}/{word()}".lower(), f"2{rng.randint(100, 999)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"])
 
     made = []
     for _ in range(count):
@@ -277,9 +308,14 @@ def lines(seed: int, count: int) -> list[tuple[list[str], list[int]]]:
         tags = [OUT] * len(words)
         if rng.random() < 0.6:
             hot = rng.random() < 0.6
-            lead = [rng.choice(keys if hot or rng.random() < 0.3 else plain_keys), rng.choice([":", "=", "is"])]
+            said = (name() if rng.random() < 0.5 else rng.choice(keys)) if hot or rng.random() < 0.4 else rng.choice(plain_keys)
+            # What goes on after such a part names something else: its length, its path.
+            said = said + rng.choice(["_length", "_path", "s_count", "_type", "_url", "board"]) if not hot and rng.random() < 0.3 else said
+            lead = [said, rng.choice([":", "=", "is"])] if not hot or rng.random() < 0.9 else [rng.choice(["Bearer", "bearer", "token", "key"])]
             quote = [rng.choice(['"', "'"])] if rng.random() < 0.4 else []
             value = [secret()] if hot else [plain()]
+            if hot and _HINT.search(said) and re.search("(?i)pass|pwd", said) and rng.random() < 0.5:
+                value = [rng.choice([f"{word().lower()}{rng.randint(1, 99)}{word().lower()}{rng.randint(1, 99)}", f"{word().capitalize()}{rng.randint(100, 9999)}"]).ljust(8, "x")]
             marks = [BEGIN] if hot else [OUT]
             if hot and rng.random() < 0.15:
                 value, marks = [*value, "|" if rng.random() < 0.5 else "$", secret()], [BEGIN, INSIDE, INSIDE]
@@ -287,12 +323,19 @@ def lines(seed: int, count: int) -> list[tuple[list[str], list[int]]]:
             mark = [OUT] * len(lead + quote) + marks + [OUT] * len(quote)
             at = rng.randint(0, len(words))
             words[at:at], tags[at:at] = piece, mark
+        if rng.random() < 0.5:
+            words, tags = ([], []) if rng.random() < 0.3 else (words, tags)
+            piece = rng.choice([["https", ":", path()], ["http", ":", path()], ["see", "https", ":", path()], ["url", ":", "https", ":", path()], [path()], ["commit", mixed(7).lower()], ["from", f"{word()}.{word()}.{word()}".lower()]])
+            at = rng.randint(0, len(words))
+            while tags[at : at + 1] == [INSIDE] or tags[max(at - 1, 0) : at] == [BEGIN]:
+                at = rng.randint(0, len(words))
+            words[at:at], tags[at:at] = piece, [OUT] * len(piece)
         made.append((words, tags))
     return made
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 7, count: int = 600, rounds: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Crf:
+def trained(seed: int = 7, count: int = 1_200, rounds: int = 6, rate: float = 0.5, decay: float = 1e-4) -> Crf:
     """Fit the field on generated lines: AdaGrad steps on the negative conditional log-likelihood, one line each."""
     weights, moves = np.zeros((DIM, 3)), np.zeros((3, 3))
     moves[OUT, INSIDE] = _NEVER
@@ -312,7 +355,8 @@ def trained(seed: int = 7, count: int = 600, rounds: int = 6, rate: float = 0.5,
                 row = [*slots[i][0], file]
                 row += slots[i - 1][1] if i else ()
                 row += slots[i - 2][2] if i > 1 else ()
-                row += slots[i + 1][3] if i + 1 < n else ()
+                row += slots[i - 3][3] if i > 2 else ()
+                row += slots[i + 1][4] if i + 1 < n else ()
                 rows.append(row)
             score = np.stack([weights[r].sum(axis=0) for r in rows])
             ahead, behind = np.empty((n, 3)), np.zeros((n, 3))

@@ -417,6 +417,33 @@ def test_base_spans():
     assert secrets.base_spans(LEAKS) == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2]))) and len(want) >= 5
 
 
+#: Names that are no words of the field's lexicon, values of shapes that its own lines do not spell, and lines without any.
+NAMED = ["aws_secret_access_key = {}", "DB_PASS='{}'", "stripe_webhook_secret: {}", "GITHUB_TOKEN={}", "azure-storage-key = \"{}\"", "RABBITMQ_PWD: {}", "jwtSigningKey = {}", "root_passwd := '{}'", "x-vault-token: {}", "SENTRY_AUTH={}"]
+HARMLESS = [
+    "https://example.com/files/AbC123xYz987QwErTyUiOp", "see http://docs.site.org/api/token/intro/4fGh2KqLm9 for more", "the passage of the key author", "keyboard_layout = qwerty_international",
+    "/usr/lib/python3.11/site-packages/numpy/core/multiarray.py", "max_tokens = 4096", "public_key_path = /etc/ssh/keys/id_rsa.pub", "request 550e8400-e29b-41d4-a716-446655440000 done", "version v2.14.3-rc1 of 2024-10-12",
+    "https://cdn.shop.io/img/9f8A7b6C5d4E3f2A1b/large.html", "primary_key = customer_order_id", "commit 4f2a9c1 by author on main",
+]
+
+
+def test_secrets_under_names_outside_the_lexicon():
+    rng, model = random.Random(31), secrets.trained()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    assert not {n.split("{")[0].strip(" =:'\"").lower() for n in NAMED} & model.lexicon
+    right = found = wanted = 0
+    for k in range(400):
+        secret = "".join(rng.choices(letters, k=rng.choice([20, 26, 32, 40])))
+        secret = f"{secret[:9]}/{secret[9:17]}{rng.choice('+/-_')}{secret[17:]}" if k % 3 == 0 else secret
+        head = f"{sentence(rng, 3)} {NAMED[k % len(NAMED)].split('{')[0]}"
+        text = f"{head}{secret}{NAMED[k % len(NAMED)].split('}')[1]} {sentence(rng, 4)}"
+        spans = secrets.all_spans(model, text)[1]
+        hit = any(a <= len(head) and len(head) + len(secret) <= b for a, b, _ in spans)
+        right, found, wanted = right + hit, found + max(1, len(spans)) - (not spans), wanted + 1
+    assert right / wanted >= 0.9 and right / found >= 0.9
+    assert [x for t in HARMLESS for x in secrets.all_spans(model, t)[1]] == []
+    assert [x for t in HARMLESS for x in secrets.all_spans(model, f"{sentence(rng, 6)} {t} {sentence(rng, 6)}")[1]] == []
+
+
 def test_crf_finds_held_out_secrets():
     model, found, extra, wanted = secrets.trained(), 0, 0, 0
     for words, tags in secrets.lines(99, 400):
