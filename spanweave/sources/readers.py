@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from spanweave.functions.native import address_lines
 from spanweave.functions.text import SPACE, clean_email, detokenized, is_latin, norm_ws
 from spanweave.operators.corpus import capped
 from spanweave.schema import LATENCY
+from spanweave.sources.numbering import cut_after, file_lines, held, running_total
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -38,20 +39,15 @@ def prefix(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, no, line``: text lines with their number, counted within each file.
-
-    A file is read whole, so that numbers do not depend on how it is split.
-    """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("no", "line"))
+    """``path, no, line``: text lines with their number, counted within each file; files are read by splits."""
+    return file_lines(spark, path)
 
 
 def tagged_sentences(rows: DataFrame, by: str = "path") -> DataFrame:
     """``by, sentence, tokens, tags`` from lines ``token<TAB>tag`` with blank lines between sentences."""
-    order = Window.partitionBy(by).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("blank", (F.trim("line") == "").cast("int")).withColumn("sentence", F.sum("blank").over(order))
+    marked = running_total(rows, by, (F.trim("line") == "").cast("int"), "sentence")
     cells = F.split("line", "\t")
-    marked = marked.where("blank = 0").select(by, "sentence", F.struct("no", F.get(cells, F.lit(0)).alias("tok"), F.element_at(cells, -1).alias("tag")).alias("w"))
+    marked = marked.where("trim(line) <> ''").select(by, "sentence", F.struct("no", F.get(cells, F.lit(0)).alias("tok"), F.element_at(cells, -1).alias("tag")).alias("w"))
     grouped = marked.groupBy(by, "sentence").agg(F.array_sort(F.collect_list("w")).alias("w"))
     return grouped.select(by, "sentence", F.transform("w", lambda w: w["tok"]).alias("tokens"), F.transform("w", lambda w: w["tag"]).alias("tags"))
 
@@ -59,22 +55,11 @@ def tagged_sentences(rows: DataFrame, by: str = "path") -> DataFrame:
 def word_rows(rows: DataFrame, by: str = "path", least: int = 4) -> DataFrame:
     """``by, sentence, tokens, tags`` from one word a row: cut after final punctuation once a sentence has ``least`` words.
 
-    Whether a row cuts depends on the cut before it, so each document is folded; documents stay apart.
+    Sentences are numbered by :func:`numbering.cut_after`, so a long document is cut by many tasks; documents stay apart.
     """
-    word = F.struct("no", "tok", "tag")
-    grouped = rows.groupBy(by).agg(F.array_sort(F.collect_list(word)).alias("w"))
-    kind = "array<struct<no:int,tok:string,tag:string>>"
-    none = F.array().cast(kind)
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("open"))
-
-    def step(acc: Column, w: Column) -> Column:
-        opened = F.concat(acc["open"], F.array(F.struct(w["no"].cast("int").alias("no"), w["tok"].alias("tok"), w["tag"].alias("tag"))))
-        cut = w["tok"].isin(".", "!", "?", "؟") & (F.size(opened) >= least)
-        return F.struct(F.when(cut, F.concat(acc["done"], F.array(opened))).otherwise(acc["done"]).alias("done"), F.when(cut, none).otherwise(opened).alias("open"))
-
-    parts = F.aggregate("w", start, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    found = grouped.select(by, F.posexplode(parts).alias("sentence", "w"))
-    return found.select(by, "sentence", F.transform("w", lambda w: w["tok"]).alias("tokens"), F.transform("w", lambda w: w["tag"]).alias("tags"))
+    numbered = cut_after(rows, by, F.col("tok").isin(".", "!", "?", "؟"), least, "sentence")
+    grouped = numbered.groupBy(by, "sentence").agg(F.array_sort(F.collect_list(F.struct("no", "tok", "tag"))).alias("w"))
+    return grouped.select(by, "sentence", F.transform("w", lambda w: w["tok"]).alias("tokens"), F.transform("w", lambda w: w["tag"]).alias("tags"))
 
 
 def frames(rows: DataFrame, by: str = "path") -> DataFrame:
@@ -82,12 +67,9 @@ def frames(rows: DataFrame, by: str = "path") -> DataFrame:
 
     ``by, no, lang, cs, register, slice, template``; a written ``\\n`` in a template is a line break.
     """
-    order = Window.partitionBy(by).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows
-    for name, mark in (("lang", "#lang:"), ("cs", "#cs:"), ("register", "## register:"), ("slice", "## slice:")):
-        value = F.when(F.col("line").startswith(mark), F.trim(F.substring("line", len(mark) + 1, 1000)))
-        out = out.withColumn(name, F.last(value, ignorenulls=True).over(order))
-    kept = out.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    marks = {"lang": "#lang:", "cs": "#cs:", "register": "## register:", "slice": "## slice:"}
+    said = {n: F.when(F.col("line").startswith(m), F.trim(F.substring("line", len(m) + 1, 1000))) for n, m in marks.items()}
+    kept = held(rows, by, said).where(~F.col("line").startswith("#") & (F.trim("line") != ""))
     return kept.select(by, "no", "lang", "cs", "register", "slice", F.replace("line", F.lit("\\n"), F.lit("\n")).alias("template"))
 
 
