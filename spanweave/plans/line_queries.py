@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from spanweave.plans.registry import query
 from spanweave.plans.span_queries import docs
 from spanweave.session import shared_path
+from spanweave.operators import corpus as K
 from spanweave.sources import readers as R
+from spanweave.sources import staged as X
+from spanweave.sources import typed as Y
 
 #: A text of the table as lines: split at blanks and breaks, empty ones kept.
 _SPLIT = "regexp_split_to_array(coalesce(text, ''), '[ \\n]')"
@@ -73,3 +76,50 @@ def framed_turns(spark, sf_dir):
     back = found.join(rows.select("conv_id", "no", "turn"), ["conv_id", "no"])
     text = F.substring("template", 2, 1 << 30)
     return back.select("conv_id", "turn", F.col("lang").alias("role"), text.alias("text")).where("text <> ''")
+
+
+@query("SELECT doc_id, md5(text) AS said, lang, n_chars FROM documents")
+def xz_json_lines(spark, sf_dir):
+    """All documents written as JSON lines by xz, one file a task, and read back by their schema."""
+    path = shared_path(spark, "xz")
+    X.write_xz_jsonl(docs(spark, sf_dir), path)
+    found = Y.checked(X.xz_lines(spark, path), "doc_id long, text string, lang string, source string, n_chars long", ("doc_id",))
+    return found.good.select("doc_id", F.md5(F.col("text").cast("binary")).alias("said"), "lang", "n_chars")
+
+
+#: What is planted by the id: a line that is cut, a number as text, a missing field, an array; others are whole.
+_PLANTED = """CASE o_orderkey % 7 WHEN 1 THEN 'no JSON object' WHEN 2 THEN 'cust is no bigint' WHEN 3 THEN 'key is missing' WHEN 4 THEN 'no JSON object' ELSE 'good' END"""
+
+
+@query(f"SELECT {_PLANTED} AS reason, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def quarantined_lines(spark, sf_dir):
+    """Orders as lines of a split, some of them spoilt: the rows that pass and the reasons of those that do not."""
+    root, o = shared_path(spark, "typed"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    whole = F.concat(F.lit('{"key":'), key, F.lit(',"cust":'), cust, F.lit(',"tag":"'), key, F.lit('"}'))
+    kind = F.col("o_orderkey") % 7
+    line = F.when(kind == 1, F.concat(F.lit('{"tag":"'), key, F.lit('","key'))).when(kind == 2, F.concat(F.lit('{"key":'), key, F.lit(',"cust":"many","tag":"'), key, F.lit('"}')))
+    line = line.when(kind == 3, F.concat(F.lit('{"cust":'), cust, F.lit(',"tag":"'), key, F.lit('"}'))).when(kind == 4, F.concat(F.lit('["tag":"'), key, F.lit('"]'))).otherwise(whole)
+    o.select(F.explode(F.array(line, F.lit(" "))).alias("value")).write.text(f"{root}/train")
+    found = Y.loaded(spark, root, "train", "key long, cust long, tag string", ("key",))
+    good = found.good.select(F.lit("good").alias("reason"), F.col("key"))
+    bad = found.rejected.select("reason", F.regexp_extract("line", '"tag":"([0-9]+)', 1).cast("long").alias("key"))
+    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+_IDS = "array_agg(l_orderkey * 8 + l_linenumber ORDER BY l_orderkey, l_linenumber)"
+
+
+@query(
+    f"""WITH l AS (SELECT {_IDS} AS ids FROM lineitem), c AS (SELECT unnest(range(0, len(ids) // 16)) AS k, ids FROM l)
+SELECT list_sum(ids[k * 16 + 1:k * 16 + 16])::BIGINT AS total, ids[k * 16 + 1] AS first, ids[k * 16 + 16] AS last FROM c"""
+)
+def array_shards(spark, sf_dir):
+    """Sequences of sixteen numbers, packed end to end, written as array shards with one meta file and read back."""
+    path = shared_path(spark, "arrays")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    packed = K.packed_ids(items.select("at", F.array("at").alias("ids")), "ids", "at", 32, 0, 0)
+    # A separator follows each number; the array keeps the numbers alone.
+    X.write_arrays(packed.select(F.filter("ids", lambda i: i != 0).cast("array<int>").alias("ids")), path, meta={"body": 32}, rows=500)
+    ids = F.col("ids")
+    return X.arrays(spark, path).select(F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get(ids, F.lit(0)).alias("first"), F.element_at(ids, -1).alias("last"))

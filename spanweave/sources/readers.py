@@ -13,6 +13,8 @@ from spanweave.functions.text import SPACE, clean_email, detokenized, is_latin,
 from spanweave.operators.corpus import capped
 from spanweave.schema import LATENCY
 from spanweave.sources.numbering import cut_after, file_lines, held, running_total
+from spanweave.sources.staged import arrays, xz_lines
+from spanweave.sources.typed import leaves, loaded, read_configuration
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -155,22 +157,10 @@ def country_addresses(rows: DataFrame, countries: list[str], most: int, source:
     return capped(found.where(F.size("lines") > 0), ["country"], ["pos"], most)
 
 
-def configuration(spark: SparkSession, entries: dict) -> DataFrame:
-    """``path, value``: the leaves of a nested configuration, values as JSON; a mapping under ``<<`` gives defaults."""
-    import json
-
-    def leaves(node, path: str):
-        if isinstance(node, dict):
-            base = node.get("<<", {})
-            for part in [base] if isinstance(base, dict) else base:
-                node = {**part, **node}
-            for k, v in node.items():
-                if k != "<<":
-                    yield from leaves(v, f"{path}.{k}" if path else str(k))
-        else:
-            yield path, json.dumps(node, ensure_ascii=False)
-
-    return spark.createDataFrame(list(leaves(entries, "")), "path string, value string")
+def configuration(spark: SparkSession, entries: dict | str) -> DataFrame:
+    """``path, value``: the leaves of a nested configuration (or of the JSON file of that path), values as JSON; mappings
+    under ``<<`` give defaults."""
+    return leaves(spark, read_configuration(spark, entries) if isinstance(entries, str) else entries)
 
 
 def write_packed(seqs: DataFrame, path: str, meta: dict) -> None:
@@ -231,3 +221,6 @@ READERS.add("lines", lines)
 READERS.add("conll", lambda spark, path: tagged_sentences(lines(spark, path)))
 READERS.add("frames", lambda spark, path: frames(lines(spark, path)))
 READERS.add("latency", latency)
+READERS.add("xz_lines", xz_lines)
+READERS.add("arrays", arrays)
+READERS.add("typed_split", loaded)
