@@ -282,32 +282,33 @@ def packed_ids(docs: DataFrame, ids: str, order: str, body: int, first: int, sep
 
 
 def allocated(sources: DataFrame, name: str = "source", cap: str = "cap", available: str = "available", order: str = "pos") -> DataFrame:
-    """``name, n``: each source's share; what small sources lack of their caps is spread over the others, in rounds.
+    """``name, n``: each source's share; what small sources lack of their caps is spread evenly over those with room.
 
-    A round gives every source with room an equal share of what is missing, at least one, in order. Each round but
-    the last fills a source or ends it, so rounds are no more than sources and two. The table has a row a source.
+    Equal shares, round after round, raise every source with room to one common level of additions: the highest whole
+    level whose additions do not exceed what is missing. It is found from running sums over the different rooms, in
+    ranges; what then remains is less than the sources still open, and the first of them in ``order`` (ties by name)
+    get one more each. Nulls count as 0. No task or driver gets a row for each source.
     """
-    cell = F.struct(F.col(order).alias("pos"), F.col(name).alias("name"), F.col(cap).cast("long").alias("cap"), F.col(available).cast("long").alias("room"))
-    all_ = sources.agg(F.array_sort(F.collect_list(cell)).alias("s"))
-    kind = "array<struct<name:string,n:bigint,room:bigint>>"
-    start = F.transform("s", lambda x: F.struct(x["name"].cast("string").alias("name"), F.least(x["cap"], x["room"]).alias("n"), (x["room"] - F.least(x["cap"], x["room"])).alias("room"))).cast(kind)
-    short = F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x["cap"] - F.least(x["cap"], x["room"]))
-
-    def round_(acc: Column, _: Column) -> Column:
-        open_ = F.size(F.filter(acc["s"], lambda x: x["room"] > 0))
-        share = F.greatest(F.floor(acc["short"] / F.greatest(open_, F.lit(1))), F.lit(1)).cast("long")
-
-        def give(a: Column, x: Column) -> Column:
-            add = F.least(share, x["room"], a["short"])
-            one = F.struct(x["name"].alias("name"), (x["n"] + add).alias("n"), (x["room"] - add).alias("room"))
-            return F.struct(F.concat(a["s"], F.array(one)).cast(kind).alias("s"), (a["short"] - add).alias("short"))
-
-        empty = F.struct(F.array().cast(kind).alias("s"), acc["short"].alias("short"))
-        return F.aggregate(acc["s"], empty, give)
-
-    rounds = F.sequence(F.lit(1), F.size("s") + 2)
-    done = F.aggregate(rounds, F.struct(start.alias("s"), short.alias("short")), round_, lambda a: a["s"])
-    return all_.select(F.explode(done).alias("x")).select(F.col("x.name").alias(name), F.col("x.n").alias("n"))
+    n, room, c, s, below, less, rank = fresh(sources, "n", "room", "c", "s", "below", "less", "rank")
+    limit, there = (F.coalesce(F.col(x).cast("long"), F.lit(0)) for x in (cap, available))
+    rows = sources.select(F.col(name).alias("name"), F.col(order).alias("order"), limit.alias("cap"), F.least(limit, there).alias(n), (there - F.least(limit, there)).alias(room))
+    short, open_, all_ = rows.agg(F.coalesce(F.sum(F.col("cap") - F.col(n)), F.lit(0)), F.count_if(F.col(room) > 0), F.coalesce(F.sum(room), F.lit(0))).first()
+    level, rest = 0, 0
+    if short >= all_:
+        level = rows.agg(F.coalesce(F.max(room), F.lit(0))).first()[0]
+    elif short > 0:
+        rooms = rows.where(F.col(room) > 0).groupBy(room).agg(F.count("*").alias(c), F.sum(room).alias(s))
+        upto = prefix(prefix(rooms, c, room, below), s, room, less).withColumn(c, F.col(c) + F.col(below)).withColumn(s, F.col(s) + F.col(less))
+        full, given = upto.where(F.col(s) + (open_ - F.col(c)) * F.col(room) <= short).agg(F.coalesce(F.max(c), F.lit(0)), F.coalesce(F.max(s), F.lit(0))).first()
+        level, rest = divmod(short - given, open_ - full)
+    rows = rows.withColumn(n, F.col(n) + F.least(F.col(room), F.lit(level)))
+    if rest:
+        still = rows.where(F.col(room) > level)
+        places = prefix(still.groupBy("order").agg(F.count("*").alias(c)), c, "order", below).where(F.col(below) < rest).select(F.col("order").alias(rank), below)
+        tied = F.row_number().over(Window.partitionBy("order").orderBy("name"))
+        more = still.join(places, F.col("order").eqNullSafe(F.col(rank))).withColumn(rank, tied + F.col(below)).where(F.col(rank) <= rest)
+        rows = rows.select("name", n).unionByName(more.select("name", F.lit(1).cast("long").alias(n))).groupBy("name").agg(F.sum(n).alias(n))
+    return rows.select(F.col("name").alias(name), F.col(n).cast("long").alias("n"))
 
 
 def fragments_packed(rows: DataFrame, group: str, order: str, gap: str = "\n\n") -> DataFrame:

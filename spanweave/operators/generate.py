@@ -6,8 +6,6 @@ are independent: generation is one map over keys, however many.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,30 +124,30 @@ def lookalike_records(spark: SparkSession, n: int, seed: str = "look") -> DataFr
     return rows.select("id", "m.text", F.array().cast(_EMPTY_SPANS).alias("spans"), F.col("m.spans").alias("negs"))
 
 
-def grid_plan(factors: dict[str, list[str]], least: int) -> list[dict[str, str]]:
-    """Rows of factor values such that every pair of values of two factors occurs ``least`` times.
+def _prime_from(n: int) -> int:
+    while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def grid_plan(spark: SparkSession, factors: dict[str, list[str]], least: int) -> DataFrame:
+    """``row`` and a column for each factor: rows of values such that every pair of values of two factors occurs ``least``
+    times at least.
 
-    Greedy: each row starts from the pair covered least so far and adds the values whose pairs are covered least.
-    The plan is a small table of the driver; rows are rendered apart.
+    The rows are an orthogonal array over a prime p not below the most values of a factor and the factors less one: row
+    number p a + b has the level a k + b (mod p) in column k, and a in column p, so two columns have each pair of levels
+    once. Levels beyond a factor's values are folded onto them, from another value on in each round. A row follows from
+    its number alone: no state, no loop, any number of tasks.
     """
-    names = list(factors)
-    seen = {(a, x, b, y): 0 for a, b in combinations(names, 2) for x in factors[a] for y in factors[b]}
-    plan: list[dict[str, str]] = []
-    while seen and min(seen.values()) < least:
-        a, x, b, y = min(seen, key=lambda c: (seen[c], c))
-        row = {a: x, b: y}
-        for name in names:
-            if name not in row:
-                row[name] = min(factors[name], key=lambda v: (sum(seen[c] for c in _pairs({**row, name: v}, names)), v))
-        for cell in _pairs(row, names):
-            seen[cell] += 1
-        plan.append({n: row[n] for n in names})
-    return plan
-
-
-def _pairs(row: dict[str, str], names: list[str]) -> list[tuple[str, str, str, str]]:
-    own = [n for n in names if n in row]
-    return [(a, row[a], b, row[b]) for a, b in combinations(own, 2)]
+    if not factors or any(not v for v in factors.values()):
+        raise ValueError("every factor needs a value")
+    p = _prime_from(max(max(map(len, factors.values())), len(factors) - 1))
+    n = F.col("row")
+    turn, a, b = F.floor(n / (p * p)), F.floor(n / p) % p, n % p
+    rows = spark.range(least * p * p).withColumnRenamed("id", "row")
+    levels = {name: a if k == p else (a * k + b) % p for k, name in enumerate(factors)}
+    # In each round the levels are moved by one, so that folding doubles others.
+    return rows.select("row", *(F.get(F.array(*map(F.lit, factors[name])), ((level + turn) % p % len(factors[name])).cast("int")).alias(name) for name, level in levels.items()))
 
 
 def local_date(d: Column, lang: Column) -> Column:

@@ -237,7 +237,13 @@ def type_filter(spark, sf_dir):
 # -- shares, packing, fragments ----------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH c AS (SELECT source, count(*) AS available, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS pos FROM documents GROUP BY source),
+ b AS (SELECT *, 30 + 2 * pos AS cap, least(30 + 2 * pos, available) AS n, available - least(30 + 2 * pos, available) AS room FROM c), t AS (SELECT sum(cap - n)::BIGINT AS short, max(room) AS most FROM b),
+ l AS (SELECT level FROM (SELECT level, sum(least(room, level)) AS used FROM b, (SELECT unnest(range(0, most + 1)) AS level FROM t) GROUP BY level), t WHERE used <= short ORDER BY level DESC LIMIT 1),
+ o AS (SELECT *, row_number() OVER (ORDER BY pos, source) AS k FROM b, l WHERE room > level), r AS (SELECT short - (SELECT sum(least(room, level)) FROM b, l) AS rest FROM t)
+SELECT b.source, (b.n + least(b.room, l.level) + coalesce(CASE WHEN o.k <= r.rest THEN 1 END, 0))::BIGINT AS n FROM b CROSS JOIN l CROSS JOIN r LEFT JOIN o ON o.source = b.source"""
+)
 def allocated_shares(spark, sf_dir):
     """Rows of each source up to a cap of 30 to 70, what small sources lack spread over the others."""
     counts = docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("available"))

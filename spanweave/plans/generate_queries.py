@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.offsets import part
 from spanweave.operators import generate as G
 from spanweave.operators.corpus import pair_coverage
+from spanweave.operators.grammar import composed
 from spanweave.operators.spans import violations
 from spanweave.plans.registry import fixture, query, values
 from spanweave.session import table
@@ -66,10 +67,70 @@ FACTORS = {"label": ["PERSON", "ADDRESS", "ACCOUNT"], "ctx": ["form", "prose", "
 def grid_plan_covers(spark, sf_dir):
     """A covering plan in which every pair of factor values occurs at least three times."""
     names = list(FACTORS)
-    plan = spark.createDataFrame([tuple(r[n] for n in names) for r in G.grid_plan(FACTORS, 3)], ", ".join(f"{n} string" for n in names))
+    plan = G.grid_plan(spark, FACTORS, 3)
     return pair_coverage(plan, names).agg(F.count("*").alias("pairs"), F.sum("cells").alias("cells"), (F.min("least") >= 3).alias("covered"))
 
 
+_PART = {"p_brand": 25, "p_type": 6, "p_size": 50}
+_LISTS = ", ".join(f"(SELECT list(DISTINCT {c}::VARCHAR ORDER BY {c}::VARCHAR) FROM part) AS {c}s" for c in _PART)
+
+
+@query(
+    f"""WITH v AS (SELECT {_LISTS}), p AS (SELECT *, (SELECT min(q) FROM range(2, 1000) t(q) WHERE q >= greatest(len(p_brands), len(p_types), len(p_sizes)) AND NOT EXISTS (SELECT 1 FROM range(2, 1000) u(d) WHERE d < q AND q % d = 0)) AS p FROM v),
+ l AS (SELECT *, unnest(range(0, 2 * p * p)) AS n FROM p), r AS (SELECT *, n // (p * p) AS t, n // p % p AS a, n % p AS b FROM l),
+ plan AS (SELECT p_brands[(b + t) % p % len(p_brands) + 1] AS p_brand, p_types[(a + b + t) % p % len(p_types) + 1] AS p_type, p_sizes[(2 * a + b + t) % p % len(p_sizes) + 1] AS p_size FROM r),
+ pairs AS (SELECT 'brand/type' AS pair, p_brand AS x, p_type AS y, count(*) AS n FROM plan GROUP BY ALL UNION ALL SELECT 'brand/size', p_brand, p_size, count(*) FROM plan GROUP BY ALL UNION ALL SELECT 'type/size', p_type, p_size, count(*) FROM plan GROUP BY ALL),
+ wanted AS (SELECT 'brand/type' AS pair, p_brand AS x, p_type AS y, count(*) AS parts FROM part GROUP BY ALL UNION ALL SELECT 'brand/size', p_brand, p_size::VARCHAR, count(*) FROM part GROUP BY ALL UNION ALL SELECT 'type/size', p_type, p_size::VARCHAR, count(*) FROM part GROUP BY ALL)
+SELECT pair, x, y, parts, coalesce(n, 0) AS planned, coalesce(n, 0) >= 2 AS enough FROM wanted LEFT JOIN pairs USING (pair, x, y)"""
+)
+def covering_plan(spark, sf_dir):
+    """A plan over all values of three columns of parts: how often each pair of values that a part has is planned."""
+    part = table(spark, sf_dir, "part").select(*(F.col(c).cast("string").alias(c) for c in _PART))
+    values_ = {c: [r[0] for r in part.select(c).distinct().orderBy(c).collect()] for c in _PART}  # a row for each value of a factor
+    plan = G.grid_plan(spark, values_, 2)
+
+    def pairs(rows, name):
+        out = None
+        for a, b in (("p_brand", "p_type"), ("p_brand", "p_size"), ("p_type", "p_size")):
+            one = rows.groupBy(F.lit(f"{a[2:]}/{b[2:]}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias(name))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    found = pairs(part, "parts").join(pairs(plan, "planned"), ["pair", "x", "y"], "left").na.fill(0, ["planned"])
+    return found.withColumn("enough", F.col("planned") >= 2)
+
+
+#: A grammar of three levels over the customers' columns.
+GRAMMAR = {
+    "DOC": ["{HEAD}. {BODY}", "{BODY} ({HEAD})"],
+    "HEAD": ["Holder {@c_name=PERSON}", "{@c_name=PERSON} hält es"],
+    "BODY": ["balance {AMOUNT=AMOUNT}", "{AMOUNT=AMOUNT} due in {@c_mktsegment=SEGMENT}", "nothing due"],
+    "AMOUNT": ["USD {@balance=NUMBER}", "{@balance=NUMBER} dollars"],
+}
+
+
+def _drawn(place: str, n: int) -> str:
+    return f"('0x' || substr(md5('g|' || c_custkey || '|' || {place}), 1, 8))::BIGINT % {n}"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey, c_name, c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) AS balance FROM customer),
+ d AS (SELECT *, {_drawn("'0'", 2)} AS doc FROM c),
+ p AS (SELECT *, CASE doc WHEN 0 THEN '0.0' ELSE '0.2' END AS head_at, CASE doc WHEN 0 THEN '0.2' ELSE '0.0' END AS body_at FROM d),
+ q AS (SELECT *, {_drawn("head_at", 2)} AS head, {_drawn("body_at", 3)} AS body FROM p),
+ a AS (SELECT *, CASE WHEN {_drawn("body_at || CASE body WHEN 0 THEN '.2' ELSE '.1' END", 2)} = 0 THEN 'USD ' || balance ELSE balance || ' dollars' END AS amount FROM q),
+ s AS (SELECT *, CASE head WHEN 0 THEN 'Holder ' || c_name ELSE c_name || ' hält es' END AS head_said, CASE body WHEN 0 THEN 'balance ' || amount WHEN 1 THEN amount || ' due in ' || c_mktsegment ELSE 'nothing due' END AS body_said FROM a),
+ t AS (SELECT *, CASE doc WHEN 0 THEN head_said || '. ' || body_said ELSE body_said || ' (' || head_said || ')' END AS text FROM s),
+ v AS (SELECT c_custkey, text, 'PERSON' AS label, c_name AS value FROM t UNION ALL SELECT c_custkey, text, 'AMOUNT', amount FROM t WHERE body < 2 UNION ALL SELECT c_custkey, text, 'NUMBER', balance FROM t WHERE body < 2 UNION ALL SELECT c_custkey, text, 'SEGMENT', c_mktsegment FROM t WHERE body = 1)
+SELECT c_custkey, md5(text) AS said, label, CAST(strpos(text, value) - 1 AS INTEGER) AS "start", CAST(strpos(text, value) - 1 + length(value) AS INTEGER) AS "end" FROM v"""
+)
+def grammar_spans(spark, sf_dir):
+    """A document of a nested grammar for every customer: the places of its spans, nested ones too."""
+    rows = table(spark, sf_dir, "customer").withColumn("balance", F.col("c_acctbal").cast("decimal(12,2)"))
+    made = composed(rows, GRAMMAR, "DOC", "g", "c_custkey")
+    return made.select("c_custkey", F.md5(F.col("text").cast("binary")).alias("said"), F.explode("spans").alias("s")).select("c_custkey", "said", "s.label", "s.start", "s.end")
+
+
 _DATES = [("th", "12/05/2530"), ("zh-Hant", "民國76年5月12日"), ("zh-Hans", "1987年5月12日"), ("ko", "1987년 5월 12일"), ("hi", "१२/०५/१९८७"), ("ar", "١٢/٠٥/١٩٨٧"), ("vi", "ngày 12 tháng 5 năm 1987"), ("en", "12th May 1987"), ("ms", "1987-05-12")]
 
 

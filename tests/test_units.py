@@ -240,8 +240,8 @@ def test_allocated_equals_the_loop(spark):
     import random
 
     rng = random.Random(11)
-    for _ in range(12):
-        n = rng.randint(1, 6)
+    for turn in range(16):
+        n = rng.randint(1, 6) if turn % 2 else rng.randint(8, 40)
         cap, room = [rng.randint(0, 40) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]
         share = [min(c, r) for c, r in zip(cap, room)]
         short = sum(cap) - sum(share)
