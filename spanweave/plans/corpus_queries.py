@@ -522,6 +522,43 @@ def event_counts(spark, sf_dir):
     return counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+_GRAMS = """w AS (SELECT doc_id, ' ' || unnest(regexp_extract_all(lower(text), '[^ \t\n\x0B\f\r]+')) || ' ' AS w FROM documents),
+ n AS (SELECT doc_id, w, unnest(range(1, least(4, length(w)) + 1)) AS n FROM w), g AS (SELECT doc_id, substr(w, i, n) AS gram FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM n)),
+ c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {_GRAMS} SELECT gram, count(*) AS df, sum(n)::BIGINT AS total FROM c GROUP BY gram HAVING count(*) >= 3 ORDER BY total DESC, gram LIMIT 300000")
+def gram_vocabulary(spark, sf_dir):
+    """Character n-grams of all texts with their document frequencies: those in three documents or more, the most frequent."""
+    return R.vocabulary(R.gram_counts(docs(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_GRAMS}, v AS (SELECT gram, count(*) AS df FROM c GROUP BY gram HAVING count(*) >= 3), t AS (SELECT count(*) AS docs FROM documents WHERE text IS NOT NULL),
+ x AS (SELECT doc_id, (1 + ln(n)) * (ln((1.0 + docs) / (1.0 + df)) + 1) AS w FROM c JOIN v USING (gram), t), y AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x)
+SELECT doc_id, count(*) AS grams, round(sum(w), 6) AS total, round(max(w), 6) AS most FROM y GROUP BY doc_id"""
+)
+def gram_weights(spark, sf_dir):
+    """Sublinear, inverse-frequency weights of every document's grams, of unit length."""
+    rows = docs(spark, sf_dir)
+    counts = R.gram_counts(rows)
+    words = R.vocabulary(counts).withColumn("place", F.lit(0))
+    found = R.weighed_grams(counts, words, rows.where("text IS NOT NULL").count())
+    return found.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("most"))
+
+
+@query(
+    """WITH s AS (SELECT lang, CASE ('0x' || substr(md5('route|' || doc_id), 1, 4))::INTEGER % 5 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' ELSE lang END AS routed FROM documents),
+ c AS (SELECT lang, routed, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, routed) AS k FROM c WHERE lang <> routed)
+SELECT lang, sum(n)::BIGINT AS n, sum(CASE WHEN lang = routed THEN n ELSE 0 END) / sum(n) AS accuracy, (SELECT string_agg(routed || ':' || n, ',' ORDER BY k) FROM k WHERE k.lang = c.lang AND k <= 3) AS confused FROM c GROUP BY lang"""
+)
+def saved_route_accuracy(spark, sf_dir):
+    """Accuracy and confusions of saved routes (by the md5 of the id) in every language."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("route|"), F.col("doc_id").cast("string")).cast("binary")), 1, 4), 16, 10).cast("int") % 5
+    rows = docs(spark, sf_dir).select("lang", F.when(draw == 0, "fr").when(draw == 1, "de").otherwise(F.col("lang")).alias("routed"))
+    return R.accuracy(rows).withColumn("confused", F.array_join("confused", ","))
+
+
 @query(None)
 def router_accuracy(spark, sf_dir):
     """A character n-gram classifier trained on four folds by key and scored on the fifth."""
