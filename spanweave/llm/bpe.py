@@ -34,7 +34,7 @@ from spanweave.llm.common import picked, release, splitter
 
 BUCKETS = 1 << 16
 #: Characters of text in a chunk; bytes of text for each bucket of words; words folded in one row; bytes of a long word.
-CHUNK_CHARS, BUCKET_BYTES, FOLD_WORDS, LONG = 12 << 20, 16 << 20, 2_000, 256
+CHUNK_CHARS, BUCKET_BYTES, FOLD_WORDS, LONG = 8 << 20, 16 << 20, 2_000, 256
 _UNKNOWN = 2**31 - 1
 _RANKS, _TOKENS = "__bpe_ranks__", "__bpe_tokens__"
 
