@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import functions as F
+
+from spanweave.functions.offsets import matches, part
 from spanweave.operators.predictor import Predictor, Window, predicted
+from spanweave.operators.transliterate import Transducer, restored, transliterated
 from spanweave.plans.registry import query
-from spanweave.plans.span_queries import TOKENS_SQL, docs
+from spanweave.plans.span_queries import TOKENS_SQL, docs, found_sql
 
 #: The tag of each hexadecimal digit.
 TAGS = ["O"] * 8 + ["B-X", "B-X", "I-X", "I-X", "B-Y", "I-Y", "O", None]
@@ -48,3 +52,34 @@ def _of(vote: str):
 query(_sql("{'p': p, 'w': -win}"), "predict_max")(_of("max"))
 query(_sql("{'d': least(i - lo, hi - i), 'p': p, 'w': -win}"), "predict_central")(_of("central"))
 query(_sql("avg"), "predict_avg")(_of("avg"))
+
+
+#: A small table: letters with marks, and pieces of two and three letters, the longest first as the SQL replaces them.
+LETTERS = {"sch": "ʃ", "ción": "ts", "ch": "x", "ß": "ss", "ü": "ue", "ö": "oe", "ä": "ae", "é": "e", "è": "e", "ê": "e", "ñ": "ny", "ó": "o", "í": "i", "ç": "c", "the": "ðə"}
+
+
+def _replaced(text: str) -> str:
+    for key in sorted(LETTERS, key=len, reverse=True):
+        text = f"replace({text}, '{key}', '{LETTERS[key]}')"
+    return text
+
+
+#: Words of Latin letters: no key goes over their edges.
+_WORDS = {"WORD": "[A-Za-zßüöäéèêñóíç]+"}
+
+
+@query(
+    f"""WITH spans AS ({found_sql(_WORDS, 'doc_id, text')})
+SELECT doc_id, count(*) AS n, sum(length({_replaced("substr(text, 1, s.\"start\")")}))::BIGINT AS starts, sum(length({_replaced("substr(text, 1, s.\"end\")")}))::BIGINT AS ends,
+ sum("start")::BIGINT AS old_starts, sum("end")::BIGINT AS old_ends, md5(string_agg({_replaced("value")}, '|' ORDER BY "start")) AS said FROM spans s GROUP BY doc_id"""
+)
+def moved_spans(spark, sf_dir):
+    """All words of all texts after transliteration: their new bounds, what stands there, and their old bounds again."""
+    words = F.transform(matches(F.col("text"), _WORDS["WORD"], "WORD"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+    rows = docs(spark, sf_dir).select("doc_id", "text", words.alias("spans")).where(F.size("spans") > 0)
+    made = transliterated(rows, Transducer(LETTERS))
+    total = lambda c, name: F.aggregate(c, F.lit(0).cast("long"), lambda a, s: a + s[name])
+    said = F.md5(F.array_join(F.transform("spans", lambda s: part(F.col("text"), s["start"], s["end"])), "|").cast("binary"))
+    new = made.select("doc_id", F.size("spans").cast("long").alias("n"), total("spans", "start").alias("starts"), total("spans", "end").alias("ends"), said.alias("said"))
+    old = restored(made).select("doc_id", total("spans", "start").alias("old_starts"), total("spans", "end").alias("old_ends"))
+    return new.join(old, "doc_id")
