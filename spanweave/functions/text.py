@@ -96,8 +96,8 @@ def script_of(c: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Blocks at blank lines, each with the blank lines that follow it; together they are the text."""
-    marked = F.regexp_replace(text, r"(\n\s*\n)", "$1\u0000")
-    blocks = F.split(marked, "\u0000")
+    gap = r"\n\s*\n"
+    blocks = F.zip_with(F.split(text, gap, -1), F.regexp_extract_all(text, F.lit(gap), F.lit(0)), lambda block, blank: F.concat(block, F.coalesce(blank, F.lit(""))))
     return F.when(text == "", F.array(F.lit(""))).otherwise(F.filter(blocks, lambda b: b != ""))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.functions.offsets import scanned
+from spanweave.functions.offsets import bound, scanned
 from spanweave.functions.values import hash_digit
 
 
@@ -96,6 +96,18 @@ def budgeted(docs: DataFrame, size: str, order: str, group: str, cap: int | dict
 RANGE_ROWS, RANGES = 500_000, 2_048
 
 
+def _below(bounds: list, value: Column) -> Column:
+    """How many of the sorted ``bounds`` are below a value, by two short scans: of every n-th of them, then of the n after it."""
+    n = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[k : k + n] for k in range(0, len(bounds), n)]
+    if not groups:
+        return F.lit(0)
+    count = lambda items: F.size(F.filter(items, lambda b: b < value))
+    firsts = F.array(*(F.lit(g[0]) for g in groups))
+    held = F.array(*(F.array(*map(F.lit, g)) for g in groups))
+    return bound(count(firsts), lambda k: F.when(k > 0, (k - 1) * n + count(F.get(held, k - 1))).otherwise(0))
+
+
 def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list[str] | None = None, how: str = "sum") -> DataFrame:
     """``rows`` and ``name``: the sum (or ``max``) of ``value`` over all rows before them in ``order``, within ``by`` or over all.
 
@@ -112,7 +124,7 @@ def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list
     if parts > 1:
         steps = [k / parts for k in range(1, parts)]
         bounds = sorted(set(rows.agg(F.percentile_approx(order, steps, 100 * parts)).first()[0] or []))
-        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order)))
+        place = _below(bounds, F.col(order))
     dealt = rows.withColumn(own, value if isinstance(value, Column) else F.col(value)).withColumn(part, F.when(F.col(order).isNull(), 0).otherwise(place).cast("int"))
     fold = F.sum if how == "sum" else F.max
     inside = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

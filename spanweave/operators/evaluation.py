@@ -62,6 +62,15 @@ def grid_recall(found: DataFrame, ctx: str = "ctx", anchor: str = "bracket_ancho
     return grouped.select(level.alias("level"), F.concat_ws("|", *names).alias("key"), "n", "strict", "lenient")
 
 
+def flagged_by(negs: DataFrame, pred: DataFrame, ctx: str = "ctx") -> DataFrame:
+    """``ctx, n, flagged``: look-alikes of each context (``?`` where it is null) and of all (``ALL``), and those that any
+    prediction overlaps. Repeated look-alikes count as often as they are there."""
+    seen = negs.withColumn("__n__", F.lit(1)).groupBy(*negs.columns).agg(F.sum("__n__").alias("n"))
+    hit = I.touched(seen, pred, KEY).withColumn("hit", F.lit(True))
+    rows = seen.join(hit, [KEY, "start", "end"], "left").withColumn("ctx", F.explode(F.array(F.coalesce(F.col(ctx), F.lit("?")), F.lit("ALL"))))
+    return rows.groupBy("ctx").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("flagged"))
+
+
 def breakdown(found: DataFrame, pred: DataFrame, name: str = "set", pooled: str = "ALLSETS") -> DataFrame:
     """``set, key, f1, coverage, n``: strict F1 and covered gold of every set and of all pooled, each over all, by
     entity and by language; F1 and coverage are null where there is no gold.

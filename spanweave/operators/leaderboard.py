@@ -124,3 +124,34 @@ def marked_block(document: str, name: str, body: str) -> str:
         return f"{document.rstrip()}\n\n{begin}\n{body}\n{end}\n"
     head, _, rest = document.partition(begin)
     return f"{head}{begin}\n{body}\n{end}{rest.partition(end)[2]}"
+
+
+def _name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def organised(files: DataFrame, path: str = "path", modified: str = "modified") -> DataFrame:
+    """``path, target``: where files that lie at the top of the results belong, and, under it, those of the two latency
+    folders; others stay. Of several that belong at one place only the newest counts: ``target`` is null for the rest,
+    which it replaces. A file at the top is newer than a grouped one of its name. Summaries of latency folders are made anew, so they go nowhere.
+    """
+    parts, p = F.split(F.col(path), "/"), F.col(path)
+    latency = (F.size(parts) == 2) & F.get(parts, F.lit(0)).isin("gpu_latency", "cpu_latency")
+    target = F.when(F.size(parts) == 1, F.concat(group_of(p), F.lit("/"), p)).when(latency, F.when(_name(p) != "summary.tsv", F.concat(group_of(F.get(parts, F.lit(0))), F.lit("/"), _name(p)))).otherwise(p)
+    flat = F.size(parts) == 1
+    rows = files.withColumn("target", target).withColumn("__flat__", flat | latency)
+    newest = Window.partitionBy("target").orderBy(F.desc("__flat__"), F.desc(modified), path)
+    first = F.row_number().over(newest) == 1
+    return rows.where("target IS NOT NULL").select(path, F.when(first, F.col("target")).alias("target"))
+
+
+def located(wanted: DataFrame, files: DataFrame, name: str = "rel", path: str = "path") -> DataFrame:
+    """``rel, path``: the file that a short relative name means: at the top, else in its group's folder, else the first
+    anywhere that ends so; the name itself where there is none."""
+    ask, there = wanted.select(F.col(name).alias("rel")).distinct(), files.select(F.col(path).alias("path")).distinct()
+    head, rest = F.substring_index("rel", "/", 1), F.expr("substring(rel, instr(rel, '/') + 1)")
+    grouped = F.when(F.col("rel").contains("/"), F.concat(group_of(head), F.lit("/"), rest)).otherwise(F.concat(group_of(F.col("rel")), F.lit("/"), "rel"))
+    both = ask.withColumn("grouped", grouped).join(there, _name(ask.rel) == _name(there.path), "left").where(F.col("path").isNull() | (F.col("path") == F.col("rel")) | (F.col("path") == F.col("grouped")) | F.col("path").endswith(F.col("rel")))
+    rank = F.when(F.col("path") == F.col("rel"), 0).when(F.col("path") == F.col("grouped"), 1).otherwise(2)
+    best = both.groupBy("rel").agg(F.min_by("path", F.when(F.col("path").isNotNull(), F.struct(rank, "path"))).alias("path"))
+    return ask.join(best, "rel", "left").select("rel", F.coalesce("path", "rel").alias("path"))

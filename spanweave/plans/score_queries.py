@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import values as V
 from spanweave.operators import detect as D
 from spanweave.operators import leaderboard as L
+from spanweave.operators import evaluation as E
 from spanweave.operators import scoring as C
 from spanweave.plans.registry import fixture, query, values
 from spanweave.plans.span_queries import SCORE_SQL, docs, found_sql
@@ -96,6 +97,16 @@ def lookalike_rate(spark, sf_dir):
     return found.groupBy("lang", "label").agg(F.count("*").alias("n"), F.count("pred_label").alias("flagged"), (F.count("pred_label") / F.count("*")).alias("rate"))
 
 
+@query(
+    f"""{_BOTH}, c AS (SELECT g.*, CASE WHEN g.doc_id % 7 = 0 THEN '?' ELSE lang END AS ctx, EXISTS (SELECT 1 FROM pred p WHERE {_OVER}) AS hit FROM negs g)
+SELECT coalesce(ctx, 'ALL') AS ctx, count(*) AS n, count(*) FILTER (hit) AS flagged FROM c GROUP BY GROUPING SETS ((ctx), ())"""
+)
+def lookalikes_by_context(spark, sf_dir):
+    """Look-alikes and those flagged in every context (here the language, unknown for some) and in all."""
+    negs = _negs(spark, sf_dir)
+    return E.flagged_by(negs.withColumn("ctx", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))), _pred(spark, sf_dir))
+
+
 @query(f"""{_BOTH} SELECT p.label, count(*) AS n FROM pred p WHERE NOT EXISTS (SELECT 1 FROM negs g WHERE {_OVER}) GROUP BY p.label""")
 def predictions_clear_of_ignored(spark, sf_dir):
     """Predictions that overlap no masked zone."""
