@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from spanweave.llm import personal, resample, whitening
+from spanweave.llm import personal, resample, unigram, whitening
 from spanweave.llm.queries import QUERIES
 
 EXTRA = "score long, rank int, part int, `out` string, copy string, found string, v string, n int"
@@ -280,6 +280,44 @@ def test_whitening_empty(spark):
     assert whitening.whiten(vectors(spark, [(1, None)])).columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
 
 
+# -- unigram counts of long words --------------------------------------------------------------------------------
+
+
+def test_long_pre_tokens(monkeypatch):
+    rng = random.Random(9)
+    pieces = {bytes([b]): -math.log(b + 2) for b in range(256)} | {w: -math.log(k + 258) for k, w in enumerate([b"th", b"the", b" the", b"st", b"stone", b"one", b"ones", b"aa", b"aaaa", b"aaaaaaa"])}
+    ends, longest = unigram.tails(pieces), max(map(len, pieces))
+
+    def plain(word):
+        ways = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            ways.append(max((ways[b][0] + pieces[word[b:end]], ways[b][1] - 1) for b in range(max(0, end - longest), end) if word[b:end] in pieces))
+        return -ways[-1][1]
+
+    words = ["".join(rng.choices(["the", "stones", "a", "one ", "x", "é"], k=rng.randint(0, 25))).encode() for _ in range(200)]
+    for depth in (1, 5, 16, 256):
+        monkeypatch.setattr(unigram.Trie, "DEPTH", depth)
+        trie = unigram.Trie(ends, longest)
+        assert [trie.insert(w) for w in words] == [plain(w) for w in words]
+        assert len(trie.best) <= 1 + sum(min(len(w), depth) for w in words)
+
+
+def test_a_megabyte_without_a_cut():
+    import time
+
+    pieces = {bytes([b]): -1.0 for b in range(256)} | {b"ab": -1.5, b"abab": -2.0}
+    began = time.time()
+    trie = unigram.Trie(unigram.tails(pieces), 4)
+    assert trie.insert(b"ab" * 500_000) == 250_000 and len(trie.best) == 257
+    assert time.time() - began < 15
+
+
+def test_vocabulary_without_all_bytes(spark, tmp_path):
+    (tmp_path / "v").write_text("YQ== 0\n")
+    with pytest.raises(ValueError, match="255 are missing"):
+        unigram.token_counts(documents(spark, [(1, "a")]), str(tmp_path / "v"), r"\S+")
+
+
 def test_queries_cover_their_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op11_personal", "op12_resampling"):
