@@ -334,10 +334,15 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: st
     return rows.select(key, "i", F.col("t.start").alias("s"), F.col("t.end").alias("e"), F.col("t.value").alias("tok"))
 
 
+#: Tokens that are compared with the spans over their stretch only.
+_STRETCH = 64
+
+
 def bio_tags(toks: Column, spans: Column) -> Column:
     """The tag of every token of a text, by the rule of :func:`bio_encoded`; both arrays have ``start, end``, spans a ``label``.
 
-    Without spans all tokens are outside; otherwise each token looks through the text's spans.
+    Tokens are in order. Without spans all are outside; otherwise each stretch of tokens takes the spans over it, and
+    each token of the stretch looks through those.
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
 
@@ -345,12 +350,22 @@ def bio_tags(toks: Column, spans: Column) -> Column:
         prefix = F.when(F.coalesce(before == hit, F.lit(False)), F.lit("I-")).otherwise(F.lit("B-"))
         return F.when(hit.isNull() | (hit["label"] == OUTSIDE), F.lit(OUTSIDE)).when(hit["label"] == IGNORE, F.lit(None)).otherwise(F.concat(prefix, hit["label"]))
 
-    def tagged(found: Column) -> Column:
-        hits = F.transform(toks, lambda t: F.get(F.filter(found, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), F.lit(0)))
+    def over(found: Column, start: Column, end: Column) -> Column:
+        return F.filter(found, lambda s: (s["start"] < end) & (start < s["end"]))
+
+    def tagged_by(toks: Column, found: Column) -> Column:
+        none = F.slice(found, F.lit(1), F.lit(0))
+
+        def stretch(part: Column) -> Column:
+            near = over(found, F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"])
+            return bound(near, lambda some: F.when(F.size(some) > 0, F.transform(part, lambda t: F.get(over(some, t["start"], t["end"]), F.lit(0)))).otherwise(F.transform(part, lambda t: F.get(none, F.lit(0)))))
+
+        stretches = F.sequence(F.lit(0), F.floor((F.size(toks) - 1) / _STRETCH).cast("int"))
+        hits = F.flatten(F.transform(stretches, lambda k: bound(F.slice(toks, k * _STRETCH + 1, F.lit(_STRETCH)), stretch)))
         some = bound(hits, lambda h: F.transform(h, lambda hit, i: tag(hit, F.get(h, i - 1))))
-        return F.when(F.size(found) > 0, some).otherwise(F.transform(toks, lambda t: F.lit(OUTSIDE)))
+        return F.when((F.size(found) > 0) & (F.size(toks) > 0), some).otherwise(F.transform(toks, lambda t: F.lit(OUTSIDE)))
 
-    return bound(ordered, tagged)
+    return bound(toks, lambda held: bound(ordered, lambda found: tagged_by(held, found)))
 
 
 def bio_encoded(toks: DataFrame, spans: DataFrame, key: str = "doc_id", partial: Column | None = None) -> DataFrame:

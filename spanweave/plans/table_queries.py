@@ -132,7 +132,7 @@ def split_column(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(CASE WHEN turn % 2 = 0 THEN 'Subject: ' || role || chr(10) ELSE '' END || coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS said FROM conversations)
+    r"""WITH m AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(CASE WHEN turn % 2 = 0 THEN 'Subject: ' || role || chr(10) ELSE '' END || coalesce(text, ''), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS said FROM conversations)
 SELECT role, count(*) AS n, sum(length(regexp_replace(said, '\s', '', 'g')))::BIGINT AS chars FROM m GROUP BY role"""
 )
 def subject_mails(spark, sf_dir):
@@ -142,7 +142,7 @@ def subject_mails(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT c_custkey, [c_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'No. ' || c_nationkey || ', ' END, c_mktsegment] AS l FROM customer)
+    r"""WITH p AS (SELECT c_custkey, [c_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'No. ' || c_nationkey || ', ' END, c_mktsegment] AS l FROM customer)
 SELECT c_custkey, list_reduce(list_filter(l, lambda x: x <> ''), lambda a, x: a || CASE WHEN regexp_matches(a, '[,，]\s*$') THEN ' ' ELSE '; ' END || x) AS address FROM p"""
 )
 def joined_addresses(spark, sf_dir):
