@@ -86,8 +86,8 @@ def _pooled(label: str, seed: str, key: Column) -> Column:
     return F.get(F.array(*map(F.lit, pool)), draw(seed, key, label, len(pool)))
 
 
-def form_records(spark: SparkSession, n: int, seed: str = "form", held_out: bool = False) -> DataFrame:
-    """``id, text, spans``: forms of fields on lines. Held-out forms use separators that the others never do."""
+def forms(keys: DataFrame, seed: str = "form", held_out: bool = False) -> DataFrame:
+    """``id, text, spans`` for every ``id``: forms of fields on lines. Held-out forms use separators that the others never do."""
     key, styles = F.col("id"), _STYLES[2:] if held_out else _STYLES[:2]
     style = F.get(F.array(*map(F.lit, styles)), draw(seed, key, "style", len(styles)))
     parts = []
@@ -95,11 +95,16 @@ def form_records(spark: SparkSession, n: int, seed: str = "form", held_out: bool
         line = F.array(_part(F.concat(F.lit(name), style)), _part(_pooled(label, seed, key), label), _part("\n"))
         parts.append(F.when(draw(seed, key, f"has {name}", 3) > 0, line).otherwise(F.array().cast("array<struct<value:string,label:string>>")))
     made = joined(F.flatten(F.array(*parts)))
-    return _keys(spark, n).withColumn("m", made).select("id", "m.text", "m.spans")
+    return keys.withColumn("m", made).select("id", "m.text", "m.spans")
 
 
-def address_records(spark: SparkSession, n: int, seed: str = "address") -> DataFrame:
-    """``id, text, spans``: one address in one of several layouts, street, place and postcode drawn apart."""
+def form_records(spark: SparkSession, n: int, seed: str = "form", held_out: bool = False) -> DataFrame:
+    """:func:`forms` of the first ``n`` numbers."""
+    return forms(_keys(spark, n), seed, held_out)
+
+
+def addresses(keys: DataFrame, seed: str = "address") -> DataFrame:
+    """``id, text, spans`` for every ``id``: one address in one of several layouts, street, place and postcode drawn apart."""
     key = F.col("id")
     street = F.concat(rendered_pattern("[123456789]#", F.concat(F.lit(seed), key.cast("string"))), F.lit(" "), F.get(F.array(*map(F.lit, ["Elm St", "Oak Road", "High Street", "Mill Lane"])), draw(seed, key, "street", 4)))
     place = F.get(F.array(*map(F.lit, ["Springfield", "Leeds", "Austin", "Cork"])), draw(seed, key, "place", 4))
@@ -110,20 +115,30 @@ def address_records(spark: SparkSession, n: int, seed: str = "address") -> DataF
     lead = F.get(F.array(*map(F.lit, ["Ship to: ", "Registered office\n", "I live at ", ""])), draw(seed, key, "lead", 4))
     value = F.get(F.array(*forms), draw(seed, key, "form", len(forms)))
     made = joined(F.array(_part(lead), _part(value, "ADDRESS"), _part(F.when(draw(seed, key, "end", 2) == 0, ".").otherwise("\nThank you"))))
-    return _keys(spark, n).withColumn("m", made).select("id", "m.text", "m.spans")
+    return keys.withColumn("m", made).select("id", "m.text", "m.spans")
 
 
-def lookalike_records(spark: SparkSession, n: int, seed: str = "look") -> DataFrame:
-    """``id, text, spans, negs``: codes, amounts and dates that resemble entities; all spans are negatives."""
+def address_records(spark: SparkSession, n: int, seed: str = "address") -> DataFrame:
+    """:func:`addresses` of the first ``n`` numbers."""
+    return addresses(_keys(spark, n), seed)
+
+
+def lookalikes(keys: DataFrame, seed: str = "look") -> DataFrame:
+    """``id, text, spans, negs`` for every ``id``: codes, amounts and dates that resemble entities; all spans are negatives."""
     key = F.col("id")
     k = F.concat(F.lit(f"{seed}|"), key.cast("string"))
     amount = F.concat(F.lit("USD "), F.format_number(draw(seed, key, "amount", 10**7), 0))
     kinds = [("Order no. ", rendered_pattern("AA-######", k), "code"), ("Total ", amount, "amount"), ("Due ", F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), draw(seed, key, "day", 2000)), "dd/MM/yyyy"), "date"), ("Ticket ", rendered_pattern("############", k), "code")]
     made = [joined(F.array(_part(cue), _part(value, label), _part(" noted"))) for cue, value, label in kinds]
-    rows = _keys(spark, n).withColumn("m", F.get(F.array(*made), draw(seed, key, "kind", len(made))))
+    rows = keys.withColumn("m", F.get(F.array(*made), draw(seed, key, "kind", len(made))))
     return rows.select("id", "m.text", F.array().cast(_EMPTY_SPANS).alias("spans"), F.col("m.spans").alias("negs"))
 
 
+def lookalike_records(spark: SparkSession, n: int, seed: str = "look") -> DataFrame:
+    """:func:`lookalikes` of the first ``n`` numbers."""
+    return lookalikes(_keys(spark, n), seed)
+
+
 def _prime_from(n: int) -> int:
     while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
         n += 1

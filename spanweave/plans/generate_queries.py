@@ -71,6 +71,87 @@ def grid_plan_covers(spark, sf_dir):
     return pair_coverage(plan, names).agg(F.count("*").alias("pairs"), F.sum("cells").alias("cells"), (F.min("least") >= 3).alias("covered"))
 
 
+# The same records for every customer, with SQL that makes each text anew.
+
+
+def _pick(seed: str, place: str, options: list[str]) -> str:
+    """One of some SQL expressions, by the md5 of the seed, the customer and a place."""
+    cases = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(options))
+    return f"CASE ('0x' || substr(md5('{seed}|' || c_custkey || '|{place}'), 1, 8))::BIGINT % {len(options)} {cases} END"
+
+
+def _number(seed: str, place: str, n: int) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || c_custkey || '|{place}'), 1, 8))::BIGINT % {n})"
+
+
+def _said(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _characters(sets: list[str], seed: str) -> str:
+    """Characters of a pattern, each from its set (a set of one stands as it is)."""
+    one = lambda k, x: f"'{x}'" if len(x) == 1 else f"substr('{x}', ('0x' || substr(md5({seed} || '|{k}'), 1, 6))::INTEGER % {len(x)} + 1, 1)"
+    return "(" + " || ".join(one(k, x) for k, x in enumerate(sets)) + ")"
+
+
+_D, _A = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _placed(parts: str) -> str:
+    """Places of labelled parts: ``parts`` is a query of ``c_custkey, i, value, label``."""
+    return f"""WITH parts AS ({parts}), placed AS (SELECT *, sum(length(value)) OVER (PARTITION BY c_custkey ORDER BY i) AS upto, string_agg(value, '') OVER (PARTITION BY c_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS text FROM parts)
+SELECT c_custkey, md5(text) AS said, label, CAST(upto - length(value) AS INTEGER) AS "start", CAST(upto AS INTEGER) AS "end" FROM placed WHERE label IS NOT NULL"""
+
+
+def _customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+def _spans_of(made, column="spans"):
+    return made.select(F.col("id").alias("c_custkey"), F.md5(F.col("text").cast("binary")).alias("said"), F.explode(column).alias("s")).select("c_custkey", "said", "s.label", "s.start", "s.end")
+
+
+_FIELDS_SQL = "\nUNION ALL\n".join(
+    f"""SELECT c_custkey, {3 * k} + o AS i, CASE o WHEN 0 THEN '{name}' || {_pick('form', 'style', ["': '", "' - '"])} WHEN 1 THEN {_characters([_D] * 4 + ['-'] + [_D] * 4 + ['-'] + [_D] * 4, "'form|' || c_custkey") if label == 'ACCOUNT' else _pick('form', label, [_said(v) for v in G.POOLS[label]])} ELSE chr(10) END AS value, CASE WHEN o = 1 THEN '{label}' END AS label
+ FROM customer, (VALUES (0), (1), (2)) AS v(o) WHERE {_number('form', f'has {name}', 3)} > 0"""
+    for k, (name, label) in enumerate([("Name", "PERSON"), ("Company", "BUSINESS"), ("Address", "ADDRESS"), ("E-mail", "EMAIL"), ("Phone", "PHONE"), ("Account", "ACCOUNT")])
+)
+
+
+@query(_placed(_FIELDS_SQL))
+def customer_forms(spark, sf_dir):
+    """A form for every customer: the digest of its text and the places of its spans."""
+    return _spans_of(G.forms(_customers(spark, sf_dir)))
+
+
+_STREET = _characters(["123456789", _D], "'address' || c_custkey") + " || ' ' || " + _pick("address", "street", ["'Elm St'", "'Oak Road'", "'High Street'", "'Mill Lane'"])
+_TOWN, _CODE = _pick("address", "place", ["'Springfield'", "'Leeds'", "'Austin'", "'Cork'"]), _characters([_D] * 5, "'address|code|' || c_custkey")
+
+
+@query(
+    _placed(
+        f"""SELECT c_custkey, o AS i, CASE o WHEN 0 THEN {_pick('address', 'lead', [_said('Ship to: '), _said('Registered office' + chr(10)), _said('I live at '), _said('')])}
+ WHEN 1 THEN {_pick('address', 'form', [f"{_STREET} || ', ' || {_TOWN} || ' ' || {_CODE}", f"{_STREET} || chr(10) || {_TOWN} || ', ' || {_CODE}", f"{_STREET} || ',' || chr(10) || {_TOWN} || chr(10) || {_CODE}", f"'Unit 4, ' || {_STREET} || ', ' || {_TOWN}"])}
+ ELSE {_pick('address', 'end', ["'.'", "chr(10) || 'Thank you'"])} END AS value, CASE WHEN o = 1 THEN 'ADDRESS' END AS label FROM customer, (VALUES (0), (1), (2)) AS v(o)"""
+    )
+)
+def customer_addresses(spark, sf_dir):
+    """An address in one of several layouts for every customer."""
+    return _spans_of(G.addresses(_customers(spark, sf_dir)))
+
+
+@query(
+    _placed(
+        f"""SELECT c_custkey, o AS i, CASE o WHEN 0 THEN {_pick('look', 'kind', ["'Order no. '", "'Total '", "'Due '", "'Ticket '"])}
+ WHEN 1 THEN {_pick('look', 'kind', [_characters([_A, _A, '-'] + [_D] * 6, "'look|' || c_custkey"), f"'USD ' || format('{{:,}}', {_number('look', 'amount', 10**7)})", f"strftime(DATE '2020-01-01' + {_number('look', 'day', 2000)}::INTEGER, '%d/%m/%Y')", _characters([_D] * 12, "'look|' || c_custkey")])}
+ ELSE ' noted' END AS value, CASE WHEN o = 1 THEN {_pick('look', 'kind', ["'code'", "'amount'", "'date'", "'code'"])} END AS label FROM customer, (VALUES (0), (1), (2)) AS v(o)"""
+    )
+)
+def customer_lookalikes(spark, sf_dir):
+    """A code, amount or date that resembles an entity for every customer."""
+    return _spans_of(G.lookalikes(_customers(spark, sf_dir)), "negs")
+
+
 _PART = {"p_brand": 25, "p_type": 6, "p_size": 50}
 _LISTS = ", ".join(f"(SELECT list(DISTINCT {c}::VARCHAR ORDER BY {c}::VARCHAR) FROM part) AS {c}s" for c in _PART)
 
