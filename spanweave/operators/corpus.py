@@ -360,3 +360,19 @@ def value_pools(rows: DataFrame, group: str, value: str, path: str | None = None
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         rows.select(group, value).distinct().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drawn_by_weight(rows: DataFrame, choices: DataFrame, key: str, name: str, weight: str, seed: str, out: str = "drawn") -> DataFrame:
+    """``rows`` with ``out``: one of ``choices`` for each, by whole weights and the md5 of the seed and key.
+
+    The choices are a dimension (markets, sources): their running weights are one array, in the order of their names.
+    Choices without a positive weight are never drawn; without any choice ``out`` is null.
+    """
+    some = choices.where(F.col(weight) > 0).select(F.col(name).alias("name"), F.col(weight).cast("long").alias("weight"))
+    upto = F.transform("c", lambda x, i: F.struct(x["name"].alias("name"), F.aggregate(F.slice("c", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["weight"]).alias("upto")))
+    table = some.agg(F.array_sort(F.collect_list(F.struct("name", "weight"))).alias("c")).select(upto.alias("c"))
+    (held,) = fresh(rows, "held")
+    given = rows.withColumn(held, table.scalar())
+    total = F.get(F.col(held), F.size(held) - 1)["upto"]
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % total
+    return given.withColumn(out, F.get(F.filter(held, lambda x: x["upto"] > place), F.lit(0))["name"]).drop(held)

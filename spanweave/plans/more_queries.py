@@ -8,6 +8,7 @@ from spanweave.functions import values as V
 from spanweave.operators import detect as D
 from spanweave.operators import scoring as C
 from spanweave.operators import spans as S
+from spanweave.operators import corpus as K
 from spanweave.plans.registry import fixture, query, values
 from spanweave.plans.score_queries import _BEST, _BOTH, _OVER, _gold, _pred
 from spanweave.plans.span_queries import BROAD, FOLD_SQL, docs, found_sql
@@ -118,3 +119,16 @@ def replaced_token_stats(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(
         F.count("*").alias("n"), F.avg((gold == pred).cast("int")).alias("accuracy"), F.avg(gold.cast("int")).alias("replaced"), (F.lit(2.0) * n(gold & pred) / F.nullif(n(gold) + n(pred), F.lit(0))).alias("f1")
     )
+
+
+@query(
+    f"""WITH w AS (SELECT n_name AS name, count(*) AS weight FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT IN (SELECT n FROM {values(_HELD, 'n')}) GROUP BY n_name),
+ r AS (SELECT name, sum(weight) OVER (ORDER BY name) AS upto, weight, sum(weight) OVER () AS total FROM w)
+SELECT c_custkey, name AS market FROM customer JOIN r ON ('0x' || substr(md5('market|' || c_custkey), 1, 8))::BIGINT % total >= upto - weight AND ('0x' || substr(md5('market|' || c_custkey), 1, 8))::BIGINT % total < upto"""
+)
+def weighted_markets(spark, sf_dir):
+    """A market for every customer, drawn by the number of suppliers there; held-out markets are never drawn."""
+    held = fixture(spark, _HELD, "n string")
+    nation = table(spark, sf_dir, "nation").join(held, F.col("n_name") == F.col("n"), "left_anti")
+    weights = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("weight"))
+    return K.drawn_by_weight(table(spark, sf_dir, "customer").select("c_custkey"), weights, "c_custkey", "n_name", "weight", "market", "market")

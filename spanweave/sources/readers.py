@@ -224,3 +224,20 @@ READERS.add("latency", latency)
 READERS.add("xz_lines", xz_lines)
 READERS.add("arrays", arrays)
 READERS.add("typed_split", loaded)
+
+
+def _stored(shape: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A reader of a stored table (``path``, ``format``) that a function of rows brings into shape."""
+
+    def read(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
+        return shape(spark.read.format(format).load(path), **options)
+
+    return read
+
+
+for _name, _shape in {
+    "tagged_arrays": tagged_arrays, "spans": span_rows, "mails": mails, "answers": answers, "passages": passages, "texts": unique_texts, "groups": grouped_texts,
+    "addresses": country_addresses, "headed": headed, "titled": titled, "sections": sections, "held_out": held_out_split, "prefix": prefix,
+}.items():
+    READERS.add(_name, _stored(_shape))
+READERS.add("words", lambda spark, path, least=4: word_rows(lines(spark, path).select("path", "no", F.get(F.split("line", "\t"), F.lit(0)).alias("tok"), F.element_at(F.split("line", "\t"), -1).alias("tag")).where("tok <> ''"), least=least))

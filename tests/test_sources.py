@@ -108,3 +108,14 @@ def test_configuration(spark, tmp_path):
     rows = {r.path: r.value for r in R.configuration(spark, str(tmp_path / "c.json")).collect()}
     assert rows["x.a"] == "1" and rows["x.c"] == "3" and rows["list.r.b"] == "1"
     assert {"xz_lines", "arrays", "typed_split"} <= set(R.READERS.names())
+
+
+def test_readers_by_name(spark, tmp_path):
+    spark.createDataFrame([(1, "q", " a "), (2, None, "b")], "id int, input string, output string").write.parquet(f"{tmp_path}/qa")
+    assert sorted(r.text for r in R.READERS.read("answers", spark, path=f"{tmp_path}/qa").collect()) == ["\nb", "q\na"]
+    assert R.READERS.read("held_out", spark, path=f"{tmp_path}/qa", key="id").columns == ["id", "input", "output", "split"]
+    (tmp_path / "w.txt").write_text("a\tO\nb\tB-X\n.\tO\nc\tO\n")
+    assert [r.tokens for r in R.READERS.read("words", spark, path=f"{tmp_path}/w.txt", least=2).orderBy("sentence").collect()] == [["a", "b", "."], ["c"]]
+    assert len(R.READERS.names()) >= 21
+    with pytest.raises(KeyError):
+        R.READERS.read("none", spark)
