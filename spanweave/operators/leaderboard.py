@@ -63,6 +63,28 @@ def difficulty_summary(rows: DataFrame, near: float = 0.5) -> DataFrame:
     )
 
 
+def difficulty_report(mentions: DataFrame, near: float = 0.5) -> DataFrame:
+    """:func:`difficulty_summary` of :func:`difficulty` in one pass over the mentions.
+
+    The class prior adds the same term to both informations of every mention of a label, so logarithms and counts are
+    summed by label, language and source first, and the prior's term joins those few rows.
+    """
+    log = lambda p: F.log2(F.greatest(F.col(p), F.lit(1e-12)))
+    more = log("p_e") - log("p_c")
+    cells = mentions.groupBy("label", "lang", "source").agg(
+        F.count("*").alias("n"), F.sum(log("p_e")).alias("e"), F.sum(log("p_c")).alias("c"), F.count_if(more < -near).alias("low"), F.count_if(F.abs(more) <= near).alias("near_zero"), F.count_if(more > near).alias("high")
+    )
+    counts = cells.groupBy("label").agg(F.sum("n").alias("m"))
+    prior = counts.select("label", (-F.log2(F.greatest(F.col("m") / F.sum("m").over(Window.partitionBy()), F.lit(1e-12)))).alias("bits"))
+    rows = cells.join(prior, "label").withColumn("bits", F.col("bits") * F.col("n"))
+    sets = [[], [F.col("label")], [F.col("lang")], [F.col("lang"), F.col("label")], [F.col("source")]]
+    n = F.sum("n")
+    return rows.groupingSets(sets, "label", "lang", "source").agg(
+        n.alias("n"), ((F.sum("bits") + F.sum("e")) / n).alias("pvi_e"), ((F.sum("bits") + F.sum("c")) / n).alias("pvi_c"), ((F.sum("e") - F.sum("c")) / n).alias("ceim"),
+        (F.sum("low") / n).alias("low"), (F.sum("near_zero") / n).alias("near_zero"), (F.sum("high") / n).alias("high"),
+    )
+
+
 def candidates(scores: DataFrame, sets: int) -> DataFrame:
     """``tag, strict, coverage``: means over all sets; models that lack one are left out."""
     return scores.groupBy("tag").agg(F.avg("strict").alias("strict"), F.avg("coverage").alias("coverage"), F.count_distinct("set").alias("n")).where(F.col("n") == sets).drop("n")

@@ -164,8 +164,7 @@ def ceim_summary(spark, sf_dir):
     """Difficulty of mentions at five levels."""
     spans = D.scored(docs(spark, sf_dir), keep=("doc_id", "lang", "source"))
     rows = spans.select("lang", "label", "source", F.col("score").alias("p_e"), D.stable_score(F.col("doc_id"), F.col("end"), F.col("label")).alias("p_c"))
-    out = L.difficulty_summary(L.difficulty(rows))
-    return out.withColumns({c: F.round(c, 6) for c in ("pvi_e", "pvi_c", "ceim")})
+    return L.difficulty_report(rows).withColumns({c: F.round(c, 6) for c in ("pvi_e", "pvi_c", "ceim")})
 
 
 _MODELS = "SELECT s_suppkey AS tag, s_nationkey AS grp, round(s_acctbal, 0) AS strict, CAST(s_suppkey % 37 AS DOUBLE) AS cpu FROM supplier"

@@ -47,3 +47,12 @@ def test_result_files(spark):
     }
     asked = spark.createDataFrame([("v1_a.txt",), ("v1_b.txt",), ("x/deep_1.txt",), ("none.txt",), ("deep_1.txt",)], "rel string")
     assert {r.rel: r.path for r in B.located(asked, df).collect()} == {"v1_a.txt": "v1_a.txt", "v1_b.txt": "english/v1/v1_b.txt", "x/deep_1.txt": "v5/x/deep_1.txt", "none.txt": "none.txt", "deep_1.txt": "v5/x/deep_1.txt"}
+
+
+def test_difficulty_in_one_pass(spark):
+    from spanweave.operators import leaderboard as L
+
+    rows = [(a, b, c, p / 16, q / 16) for k, (a, b, c, p, q) in enumerate((f"l{k % 3}", f"g{k % 2}", f"s{k % 5}", k * 7 % 17, k * 5 % 17) for k in range(90))]
+    df = spark.createDataFrame(rows, "label string, lang string, source string, p_e double, p_c double")
+    one, two = (sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect()), key=repr) for x in (L.difficulty_report(df), L.difficulty_summary(L.difficulty(df))))
+    assert one == two
