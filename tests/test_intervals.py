@@ -104,3 +104,41 @@ def test_greedy_takes_many_spans(spark):
     assert time.time() - began < 5
     ordered = sorted((k.start, k.end) for k in kept)
     assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:])) and len(kept) > 40_000
+
+
+def plain_tags(toks, spans):
+    out, before = [], None
+    for a, b in toks:
+        hit = next((s for s in sorted(spans) if s[0] < b and a < s[1]), None)
+        out.append("O" if hit is None or hit[2] == "O" else None if hit[2] == "IGNORE" else ("I-" if hit == before else "B-") + hit[2])
+        before = hit
+    return out
+
+
+def test_tags_of_many_tokens(spark):
+    """Stretches of tokens see the spans over them only; long, nested and empty spans, and spans over the edges of stretches."""
+    rng = random.Random(12)
+    cases = []
+    for n, many, longest in ((0, 3, 5), (1, 0, 5), (63, 9, 200), (64, 9, 20), (65, 40, 400), (300, 30, 900), (300, 200, 6)):
+        toks, at = [], 0
+        for _ in range(n):
+            at += rng.randint(0, 2)
+            toks.append((at, at + rng.randint(1, 4)))
+            at = toks[-1][1]
+        spans = [(s, s + rng.choice([0, 1, rng.randint(1, longest)]), rng.choice(["X", "Y", "O", "IGNORE"])) for s in (rng.randint(0, at + 5) for _ in range(many))]
+        cases.append((toks, spans))
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t array<struct<start:int,end:int>>, s array<struct<start:int,end:int,label:string>>")
+    got = {r.k: r.tags for r in df.select("k", S.bio_tags(F.col("t"), F.col("s")).alias("tags")).collect()}
+    assert got == {k: plain_tags(t, s) for k, (t, s) in enumerate(cases)}
+
+
+def test_tags_take_linear_time(spark):
+    def took(n):
+        toks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end")))
+        spans = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end"), F.lit("X").alias("label")))
+        began = time.time()
+        assert spark.range(1).select(F.size(S.bio_tags(toks, spans)).alias("n")).first().n == n
+        return time.time() - began
+
+    took(100)
+    assert took(20_000) < 8
