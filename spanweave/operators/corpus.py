@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.offsets import bound, scanned
+from spanweave.sources.staged import exists
 from spanweave.functions.values import hash_digit
 
 
@@ -352,14 +353,20 @@ def shares(rows: DataFrame, group: str, kind: str) -> DataFrame:
 
 
 def value_pools(rows: DataFrame, group: str, value: str, path: str | None = None) -> DataFrame:
-    """``group, value``: the different values of every group, a row each; with ``path`` written there once and read from then on."""
-    spark = rows.sparkSession
+    """``group, value``: the different values of every group, a row each; with ``path`` written there once and read from then on.
+
+    What stands at ``path`` must be a finished table of these two columns, else a ``ValueError`` says so.
+    """
+    spark, pools = rows.sparkSession, rows.select(group, value).distinct()
     if path is None:
-        return rows.select(group, value).distinct()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        rows.select(group, value).distinct().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return pools
+    if not exists(f"{path.rstrip('/')}/_SUCCESS"):
+        pools.write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path)
+    kinds = lambda df: [(f.name, f.dataType) for f in df.schema.fields]
+    if kinds(found) != kinds(pools):
+        raise ValueError(f"{path} holds {found.schema.simpleString()}, not the values of {group} and {value}")
+    return found
 
 
 def drawn_by_weight(rows: DataFrame, choices: DataFrame, key: str, name: str, weight: str, seed: str, out: str = "drawn") -> DataFrame:

@@ -30,6 +30,11 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path}")
 
 
+def exists(path: str) -> bool:
+    system, at = _opened(path)
+    return system.get_file_info(at).type != fs.FileType.NotFound
+
+
 @dataclass
 class _File(InputPartition):
     path: str

@@ -119,3 +119,16 @@ def test_readers_by_name(spark, tmp_path):
     assert len(R.READERS.names()) >= 21
     with pytest.raises(KeyError):
         R.READERS.read("none", spark)
+
+
+def test_value_pools_are_kept_and_checked(spark, tmp_path):
+    from spanweave.operators.corpus import value_pools
+
+    first = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "g string, v int")
+    later = spark.createDataFrame([("c", 3)], "g string, v int")
+    assert sorted(map(tuple, value_pools(first, "g", "v", f"{tmp_path}/pool").collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, value_pools(later, "g", "v", f"file://{tmp_path}/pool").collect())) == [("a", 1), ("b", 2)]
+    with pytest.raises(ValueError, match="not the values"):
+        value_pools(later.withColumnRenamed("v", "w"), "g", "w", f"{tmp_path}/pool")
+    (tmp_path / "broken").mkdir()
+    assert value_pools(later, "g", "v", f"{tmp_path}/broken").count() == 1
