@@ -552,7 +552,9 @@ def plain_emissions(model, words):
     file = secrets._file_slot(sum(map(secrets._odd, words)), len(words))
     rows = [[*s[0], file] for s in slots]
     for i, row in enumerate(rows):
-        row += (slots[i - 1][1] if i else ()) + (slots[i - 2][2] if i > 1 else ()) + (slots[i + 1][3] if i + 1 < len(words) else ())
+        for back in (1, 2, 3):
+            row += slots[i - back][back] if i >= back else ()
+        row += slots[i + 1][4] if i + 1 < len(words) else ()
     return np.array([model.weights[r].sum(axis=0) for r in rows])
 
 
