@@ -660,6 +660,8 @@ def test_query_runs(spark, sf_dir, name):
         assert {"doc_id", "item_id"} <= set(got.columns)
     elif name == "op7_chat":
         assert got.count() == n.select("conv_id").distinct().count() + 1
+    elif name == "op13_whitening":
+        assert got.count() == 32 * spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     else:
         assert got.count() == n.count()
 
