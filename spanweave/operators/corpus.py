@@ -93,8 +93,8 @@ def budgeted(docs: DataFrame, size: str, order: str, group: str, cap: int | dict
     return prefix(capped, size, order, whole).where(F.col(whole) < budget).drop(whole)
 
 
-#: Rows of a range that one task orders; ranges at most.
-RANGE_ROWS, RANGES = 500_000, 2_048
+#: Rows of a range that one task orders, and of one whose rows hold whole documents; ranges at most.
+RANGE_ROWS, RANGE_DOCS, RANGES = 500_000, 20_000, 2_048
 
 
 def _below(bounds: list, value: Column) -> Column:
@@ -109,18 +109,18 @@ def _below(bounds: list, value: Column) -> Column:
     return bound(count(firsts), lambda k: F.when(k > 0, (k - 1) * n + count(F.get(held, k - 1))).otherwise(0))
 
 
-def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list[str] | None = None, how: str = "sum") -> DataFrame:
+def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list[str] | None = None, how: str = "sum", most: int | None = None) -> DataFrame:
     """``rows`` and ``name``: the sum (or ``max``) of ``value`` over all rows before them in ``order``, within ``by`` or over all.
 
     No task orders a whole group: rows are dealt by ranges of ``order`` (a number) at its approximate quantiles, so
     neither an outlier nor a hot group fills one task; totals of ranges are few and give each its start. Rows of
     equal ``order`` are in one range and follow each other in no set order. Null orders come first. Sums begin at 0,
-    maxima at null.
+    maxima at null. ``most`` rows are in a range (``RANGE_ROWS``), fewer where rows are long.
     """
     by = by or []
-    at, own, base, part = fresh(rows, "at", "own", "base", "part")
+    at, own, base, part = fresh(rows.withColumn(name, F.lit(0)), "at", "own", "base", "part")
     count = rows.count()
-    parts = min(RANGES, max(1, -(-count // RANGE_ROWS)))
+    parts = min(RANGES, max(1, -(-count // (most or RANGE_ROWS))))
     place = F.lit(0)
     if parts > 1:
         steps = [k / parts for k in range(1, parts)]
@@ -138,7 +138,8 @@ def prefix(rows: DataFrame, value: str | Column, order: str, name: str, by: list
         for k, c in enumerate(by):
             same = same & out[c].eqNullSafe(F.col(f"{at}_{k}"))
         both = F.greatest(name, base) if how == "max" else F.coalesce(name, F.lit(0)) + F.coalesce(base, F.lit(0))
-        out = out.join(starts, same).withColumn(name, both)
+        # Without groups there is a start for each range, so few that they are broadcast; the rows do not move again.
+        out = out.join(starts if by else F.broadcast(starts), same).withColumn(name, both)
     elif how == "sum":
         out = out.withColumn(name, F.coalesce(name, F.lit(0)))
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(name).cast("long") if how == "sum" else F.col(name))
@@ -282,7 +283,7 @@ def packed_ids(docs: DataFrame, ids: str, order: str, body: int, first: int, sep
     Each document ends with ``sep``. The incomplete last sequence is dropped. Only the pieces of a sequence meet.
     """
     rows = docs.select(F.col(order).alias("order"), F.concat(F.col(ids), F.array(F.lit(sep))).alias("ids")).withColumn("size", F.size("ids"))
-    placed = prefix(rows, "size", "order", "at")
+    placed = prefix(rows, "size", "order", "at", most=RANGE_DOCS)
     end = F.col("at") + F.col("size")
     pieces = placed.select("at", "size", "ids", F.explode(F.sequence(F.floor(F.col("at") / body), F.floor((end - 1) / body))).alias("seq_id"))
     low = F.greatest(F.col("seq_id") * body - F.col("at"), F.lit(0))

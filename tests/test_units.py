@@ -94,6 +94,34 @@ def test_prefix_sum_equals_a_loop(spark, monkeypatch):
     assert {r.k: r.before for r in got} == want
 
 
+def test_packed_over_ranges(spark, monkeypatch):
+    """The sum's own name beside the helpers of several ranges."""
+    monkeypatch.setattr(K, "RANGE_ROWS", 4)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 3) for i in range(20)], "k int, d string, n int")
+    got = {(r.seq_id, r.domain): r.tokens for r in K.packed(docs, "n", "k", "d", 8).collect()}
+    assert got == {(s, d): 4 for s in range(10) for d in "ab"}
+
+
+def test_packed_ids_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANGE_ROWS", 4)
+    monkeypatch.setattr(K, "RANGE_DOCS", 3, raising=False)
+    docs = spark.createDataFrame([(i, [10 * i, 10 * i + 1]) for i in range(1, 12)], "k int, ids array<int>")
+    got = {r.seq_id: r.ids for r in K.packed_ids(docs, "ids", "k", 6, 0, 7).collect()}
+    flat = [x for i in range(1, 12) for x in (10 * i, 10 * i + 1, 7)]
+    assert got == {k: [0, *flat[6 * k : 6 * k + 6], 7] for k in range(5)}
+
+
+def test_array_shards_over_ranges(spark, sf_dir, monkeypatch):
+    """Ranges do not change the shards' numbers."""
+    from spanweave.plans.all_queries import QUERIES
+
+    rows = lambda: sorted(map(tuple, QUERIES["array_shards"](spark, sf_dir).collect()))
+    whole = rows()
+    monkeypatch.setattr(K, "RANGE_ROWS", 1000)
+    monkeypatch.setattr(K, "RANGE_DOCS", 1000, raising=False)
+    assert whole and rows() == whole
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "é", "spans": [{"start": 0, "end": 1, "label": "A"}]}\n\n{"id": "2"}\n')
     rows = R.READERS.read("jsonl", spark, path=str(tmp_path / "a.jsonl"), schema=DOCUMENT).collect()
