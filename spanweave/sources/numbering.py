@@ -7,6 +7,8 @@ the (few) buckets of a file, and within buckets again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,21 @@ def held(rows: DataFrame, by: str, values: dict[str, Column], no: str = "no", si
     return joined.withColumns({n: F.coalesce(F.last(n, ignorenulls=True).over(within), F.col(f"__{n}__")) for n in values}).select(*rows.columns, *values)
 
 
+def cut_arrays(items: Column, final: Callable[[Column], Column], least: int) -> Column:
+    """:func:`cut_after` within an array: its items as one array for each sentence. The items of a text in one row need no shuffle."""
+
+    def after(count: Column, item: Column) -> Column:
+        now = F.least(count + 1, F.lit(least))
+        return F.when(F.coalesce(final(item), F.lit(False)) & (now >= least), F.lit(0)).otherwise(now)
+
+    def cut(held: Column) -> Column:
+        begins = scanned(held, F.lit(0), after, lambda s, _: s == 0, "boolean")
+        starts = F.filter(F.transform(begins, lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+        return bound(starts, lambda found: F.transform(found, lambda a, k: F.slice(held, a + 1, F.coalesce(F.get(found, k + 1), F.size(held)) - a)))
+
+    return bound(items, cut)
+
+
 def cut_after(rows: DataFrame, by: str, final: Column, least: int, name: str, no: str = "no", size: int | None = None) -> DataFrame:
     """``rows`` with the number of their sentence, from 0: a row that may be ``final`` ends one that has ``least`` rows.
 

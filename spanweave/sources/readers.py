@@ -12,7 +12,7 @@ from spanweave.functions.native import address_lines
 from spanweave.functions.text import SPACE, clean_email, detokenized, is_latin, norm_ws
 from spanweave.operators.corpus import capped
 from spanweave.schema import LATENCY
-from spanweave.sources.numbering import cut_after, file_lines, held, running_total
+from spanweave.sources.numbering import cut_after, cut_arrays, file_lines, held, running_total
 from spanweave.sources.staged import arrays, xz_lines
 from spanweave.sources.typed import leaves, loaded, read_configuration
 
@@ -59,11 +59,20 @@ def word_rows(rows: DataFrame, by: str = "path", least: int = 4) -> DataFrame:
 
     Sentences are numbered by :func:`numbering.cut_after`, so a long document is cut by many tasks; documents stay apart.
     """
-    numbered = cut_after(rows, by, F.col("tok").isin(".", "!", "?", "؟"), least, "sentence")
+    numbered = cut_after(rows, by, F.col("tok").isin(*FINAL), least, "sentence")
     grouped = numbered.groupBy(by, "sentence").agg(F.array_sort(F.collect_list(F.struct("no", "tok", "tag"))).alias("w"))
     return grouped.select(by, "sentence", F.transform("w", lambda w: w["tok"]).alias("tokens"), F.transform("w", lambda w: w["tag"]).alias("tags"))
 
 
+#: Words that end a sentence.
+FINAL = (".", "!", "?", "؟")
+
+
+def word_arrays(words: Column, least: int = 4) -> Column:
+    """The words of a text as one array for each sentence, by the rule of :func:`word_rows`."""
+    return cut_arrays(words, lambda w: w.isin(*FINAL), least)
+
+
 def frames(rows: DataFrame, by: str = "path") -> DataFrame:
     """Sentence frames from lines: directives hold for the lines after them; comments and blank lines go.
 
