@@ -210,21 +210,46 @@ def overlap_rows(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return grouped.select(key, F.explode(resolved(F.col("spans"))).alias("s")).select(key, "s.start", "s.end", "s.label")
 
 
+def _joins(text: Column, last: dict[str, Column] | Column, span: dict[str, Column] | Column, gap: dict[str, str] | None, default: str) -> Column:
+    """Whether a span goes on with the one before it: one label, and a gap of the label's pattern."""
+    between = part(text, last["end"], span["start"])
+    fits = between.rlike(default)
+    for label, pattern in (gap if gap is not None else {"ADDRESS": r"^[\s,]*$"}).items():
+        fits = F.when(span["label"] == label, between.rlike(pattern)).otherwise(fits)
+    return F.coalesce((last["label"] == span["label"]) & (span["label"] != IGNORE) & fits, F.lit(False))
+
+
+def merged_spans(text: Column, spans: Column, gap: dict[str, str] | None = None, default: str = r"^[ \t]*$") -> Column:
+    """:func:`merged_adjacent` over the array of a text's own spans: ``start, end, label, parts``."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+
+    def islands(found: Column) -> Column:
+        breaks = F.transform(found, lambda s, i: F.when(~_joins(text, F.get(found, i - 1), s, gap, default), i))
+
+        def cut(starts: Column) -> Column:
+            def one(a: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(starts, k + 1), F.size(found)) - a
+                inside = F.slice(found, a + 1, n)
+                return F.struct(F.get(found, a)["start"].alias("start"), F.array_max(F.transform(inside, lambda s: s["end"])).alias("end"), F.get(found, a)["label"].alias("label"), n.cast("long").alias("parts"))
+
+            return F.transform(starts, one)
+
+        return bound(F.filter(breaks, lambda i: i.isNotNull()), cut)
+
+    return bound(ordered, islands)
+
+
 def merged_adjacent(spans: DataFrame, key: str = "doc_id", text: str = "text", gap: dict[str, str] | None = None, default: str = r"^[ \t]*$") -> DataFrame:
     """Neighbouring spans of one label become one where the text between them matches the label's gap pattern.
 
     Rows ``key, text, start, end, label`` hold disjoint spans; IGNORE never merges. Islands are numbered by a running
-    sum of breaks. Adds ``parts``, the number of spans merged.
+    sum of breaks. Adds ``parts``, the number of spans merged. Each row carries its text: where spans are found in the
+    text's own row, :func:`merged_spans` needs no shuffle.
     """
-    gap = gap if gap is not None else {"ADDRESS": r"^[\s,]*$"}
     order = Window.partitionBy(key).orderBy("start", "end")
-    last_end, last_label = F.lag("end").over(order), F.lag("label").over(order)
-    between = part(F.col(text), last_end, F.col("start"))
-    fits = between.rlike(default)
-    for label, pattern in gap.items():
-        fits = F.when(F.col("label") == label, between.rlike(pattern)).otherwise(fits)
-    joins = (last_label == F.col("label")) & (F.col("label") != IGNORE) & fits
-    rows = spans.withColumn("break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
+    last = {c: F.lag(c).over(order) for c in ("end", "label")}
+    joins = _joins(F.col(text), last, {c: F.col(c) for c in ("start", "label")}, gap, default)
+    rows = spans.withColumn("break", F.when(joins, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label"), F.count("*").alias("parts")).drop("island")
 
