@@ -8,9 +8,10 @@ these prefixes by shingle finds every pair; sizes, places and parity sketches th
 hold for all of them, and what is left is verified on the whole sets. No pair at the limit or above is lost, and
 none below it is linked. Frequencies of shingles are estimated on a sample; any order gives the same links.
 
-Scale: equal sets collapse first. Within a shingle's group every set is at first compared with one of them alone,
-so a large group of copies gives linearly many pairs; all pairs are compared only between the components that
-this leaves. Texts are hashed once. Nothing is collected but the frequent shingles of the sample.
+Scale: equal sets collapse first. Within a shingle's group every set is at first paired with the first few alone that
+no bound parts it from, so a large group of copies gives linearly many pairs, also where its first set is no copy of
+the others; then so again, in another order, with sets of other components. All pairs are compared only between the
+components that this leaves. Texts are hashed once. Nothing is collected but the frequent shingles of the sample.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm.common import map_slices, release, stored, unused
-from spanweave.llm.simhash import SEED, components, links, simhash
+from spanweave.llm.simhash import BITS, SEED, components, links, simhash
 
 WORDS = 5
 PERCENT = 80
 RADIUS = 4
 #: Sampled documents and frequent shingles kept, for the order only.
 SAMPLE_ROWS, FREQUENT = 5_000, 50_000
-#: Words of a parity sketch; rows that one task groups.
-SKETCH = 4
+#: Least words of a parity sketch; rows that one task groups.
+SKETCH = 16
 SHARD_ROWS = 200_000
+#: Sets of a group that a set is compared with before components are known.
+LEADERS = 3
+#: An odd factor that puts keys in another order.
+TURN = 0x9E3779B97F4A7C15
 #: Shingles of the sets that one task compares.
 SHARD_SHINGLES = 1_500_000
 #: Rows of a digest each that may be broadcast (some 100 MB once hashed); more are joined by shuffle.
@@ -53,9 +58,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(tokens) - words + 1))
 
 
-def parities(s: np.ndarray) -> bytes:
-    """The parity of a set's hashes in each cell of a table of four to eight cells a hash, a power of two."""
-    bits = max(64, 1 << max(0, 4 * len(s) - 1).bit_length())
+def parities(s: np.ndarray, bits: int | None = None) -> bytes:
+    """The parity of a set's hashes in each cell of a table, a power of two, by default of four to eight cells a hash."""
+    bits = bits or max(64, 1 << max(0, 4 * len(s) - 1).bit_length())
     cells = np.bincount(((s >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
@@ -70,6 +75,47 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def sketched(s: np.ndarray) -> bytes:
+    """:func:`parities` in fewer cells, half a cell to one a hash: enough to tell sets of any size apart that share little."""
+    return parities(s, max(64 * SKETCH, 1 << max(0, len(s).bit_length() - 1)))
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Parities, one row each, in a smaller table."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+class _Sketches:
+    """Sketches of a task's sets, by width, so that one is compared with many at once."""
+
+    def __init__(self, column: pa.Array):
+        words = column.buffers()[2]
+        held = np.frombuffer(words, np.uint8) if words else np.empty(0, np.uint8)
+        starts = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        self.width = np.diff(starts) // 8
+        self.place = np.zeros(len(column), np.int64)
+        self.rows = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.rows[w] = np.concatenate([held[starts[k] : starts[k + 1]] for k in at]).view(np.uint64).reshape(-1, w)
+
+    def apart(self, one: int, others: np.ndarray) -> np.ndarray:
+        """At least so many hashes are in ``one`` set only or in each of the ``others`` only."""
+        out = np.zeros(len(others), np.int64)
+        width = self.width[others]
+        w = int(self.width[one])
+        mine = self.rows[w][self.place[one]][None]
+        for v in np.unique(width).tolist():
+            at = np.flatnonzero(width == v)
+            least = min(v, w)
+            out[at] = np.bitwise_count(_folded(self.rows[v][self.place[others[at]]], least) ^ _folded(mine, least)).sum(axis=1)
+        return out
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)
@@ -103,14 +149,12 @@ def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def one(text: str | None):
         s = shingles(text, words)
         key = xxhash.xxh64_intdigest(s.tobytes(), SEED)
-        bits = np.bincount((s >> np.uint64(8)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-        sketch = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
         weight = np.zeros(len(s), np.int64)
         if len(often):
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             weight = np.where(often[at] == s, counts[at], 0)
         kept = len(s) + -len(s) * percent // 100 + 1 if len(s) else 0
-        return key, len(s), simhash(s), sketch, parities(s), s[np.lexsort((s, weight))[:kept]]
+        return key, len(s), simhash(s), sketched(s), parities(s), s[np.lexsort((s, weight))[:kept]]
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -125,9 +169,8 @@ def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_slices(docs.select("digest", "text"), "digest binary, key long, n int, fp long, sketch binary, fine binary, prefix array<long>", make)
 
 
-def _shards(rows: DataFrame, count: int):
-    tasks = max(1, -(-count // SHARD_ROWS))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(tasks))).groupBy("shard")
+def _sharded(rows: DataFrame, count: int) -> DataFrame:
+    return rows.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(max(1, -(-count // SHARD_ROWS)))))
 
 
 def _repeated(points: DataFrame) -> DataFrame:
@@ -140,44 +183,59 @@ def _repeated(points: DataFrame) -> DataFrame:
 
     rows = points.select("key", F.posexplode("prefix").alias("at", "s"))
     count = points.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    return _shards(rows, count).applyInArrow(search, "s long, at int, key long")
+    return _sharded(rows, count).groupBy("shard").applyInArrow(search, "s long, at int, key long")
+
 
+def _placed(shared: DataFrame, points: DataFrame, count: int) -> DataFrame:
+    """``shard, key, n, sketch, places``: a set goes to a shard once, with all its shared shingles there, so its sketch may be long."""
+    rows = _sharded(shared.join(points.select("key", "n", "sketch"), "key"), count)
+    return rows.groupBy("shard", "key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.collect_list(F.struct("s", "at")).alias("places"))
 
-def _candidates(rows: DataFrame, count: int, percent: int, all_pairs: bool) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a prefix shingle and that no bound rules out.
 
-    Each set with the first of its group, or all pairs of different roots.
+def _candidates(rows: DataFrame, percent: int, all_pairs: bool, turn: int = 0) -> DataFrame:
+    """Distinct pairs ``a, b`` that share a prefix shingle and that no bound rules out, of :func:`_placed` rows with a ``root``.
+
+    Each set with the first ``LEADERS`` of its group and of another root that it may be similar to, or all
+    pairs of different roots. Another ``turn`` has another order within the groups.
     """
 
     def search(table: pa.Table) -> pa.Table:
-        s, key, root = (table.column(c).to_numpy() for c in ("s", "key", "root"))
-        order = np.lexsort((key, s))
-        s, key, root = s[order], key[order], root[order]
-        n, at = (table.column(c).to_numpy().astype(np.int64)[order] for c in ("n", "at"))
-        held = table.column("sketch").combine_chunks().cast(pa.binary(8 * SKETCH))
-        sketch = np.frombuffer(held.buffers()[1], np.uint64)[held.offset * SKETCH :][: len(order) * SKETCH].reshape(-1, SKETCH)[order]
+        key, n, root = (table.column(c).to_numpy() for c in ("key", "n", "root"))
+        n = n.astype(np.int64)
+        sketches = _Sketches(table.column("sketch").combine_chunks())
+        places = table.column("places").combine_chunks()
+        of = np.repeat(np.arange(len(key)), places.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        s, at = (places.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("s", "at"))
+        order = np.lexsort(((key.view(np.uint64) * np.uint64(TURN**turn % (1 << BITS)))[of], s))
+        s, of = s[order], of[order]
+        left = n[of] - at.astype(np.int64)[order]
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
         out = [np.empty((0, 2), np.int64)]
         held = 0
         for a, b in zip(cuts[:-1], cuts[1:]):
-            for i in range(a, b - 1 if all_pairs else a + 1):
-                j = np.arange(i + 1, b)
-                if all_pairs:
-                    j = j[root[j] != root[i]]
-                low, total = np.minimum(n[j], n[i]), n[j] + n[i]
-                need = -(-percent * total // (100 + percent))
-                j = j[(100 * low >= percent * np.maximum(n[j], n[i])) & (np.minimum(n[j] - at[j], n[i] - at[i]) >= need) & (np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= total - 2 * need)]
+            met = np.zeros(b - a, np.int64)
+            for i in range(a, b - 1):
+                if not all_pairs and met[i - a] >= LEADERS:
+                    continue
+                mine, j = of[i], np.arange(i + 1, b)
+                j = j[(root[of[j]] != root[mine]) & (all_pairs | (met[j - a] < LEADERS))]
+                other = n[of[j]]
+                need = -(-percent * (other + n[mine]) // (100 + percent))
+                fits = (100 * np.minimum(other, n[mine]) >= percent * np.maximum(other, n[mine])) & (np.minimum(left[j], left[i]) >= need)
+                j, most = j[fits], (other + n[mine] - 2 * need)[fits]
+                j = j[sketches.apart(mine, of[j]) <= most]
+                met[j - a] += 1
                 if len(j):
-                    out.append(np.stack([np.full(len(j), key[i]), key[j]], axis=1))
+                    out.append(np.stack([np.minimum(key[mine], key[of[j]]), np.maximum(key[mine], key[of[j]])], axis=1))
                     held += len(j)
             if held > 1 << 20:
                 out, held = [np.unique(np.concatenate(out), axis=0)], 0
         pairs = np.unique(np.concatenate(out), axis=0)
-        out = []
+        out = sketches = None
         release()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return _shards(rows, count).applyInArrow(search, "a long, b long").distinct()
+    return rows.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def _neighbours(points: DataFrame) -> DataFrame:
@@ -196,7 +254,7 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def _closer(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the parities of all their hashes do not rule out; few others are left."""
+    """``a, b, n_a, n_b``: the pairs that the parities of all their hashes do not rule out, with the sizes of their sets; few others are left."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     fine = prints.select("key", "n", "fine").join(keys, "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
     a, b = (fine.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("fine").alias(f"fine_{k}")) for k in "ab")
@@ -206,44 +264,32 @@ def _closer(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
             a, b, n_a, fine_a, n_b, fine_b = (c.to_pylist() for c in batch.columns)
             total = [x + y for x, y in zip(n_a, n_b)]
             kept = [k for k, t in enumerate(total) if least_difference(fine_a[k], fine_b[k]) <= t - 2 * -(-percent * t // (100 + percent))]
-            return [[a[k] for k in kept], [b[k] for k in kept]] if kept else None
+            return [[c[k] for k in kept] for c in (a, b, n_a, n_b)] if kept else None
 
         return work
 
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "fine_a", "n_b", "fine_b")
-    return stored(map_slices(both, "a long, b long", make), "closer")
+    return stored(map_slices(both, "a long, b long, n_a int, n_b int", make), "closer")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u, v`` (u > v) of the pairs whose sets are as similar as wanted.
 
-    ``points`` name a text's digest for every key, so only the texts of these pairs are read again. Sets that pairs
-    join travel together, once each, however many pairs they have.
+    ``points`` name a text's digest for every key, so only the texts of these pairs are read again. Pairs are dealt by
+    their first set, so a set travels once to each shard of its pairs; the partners of one are split where they are too
+    many for a task.
     """
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = stored(points.join(keys, "key", "left_semi").select("digest", "key"), "keys")
     found = texts.join(_few(wanted), "digest").select("key", "text").groupBy("key").agg(F.first("text").alias("text"))
-    sets = stored(_sets(found, words), "sets")
-    named = stored(components(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "candidates")
-    sized = points.select("key", "n").join(named, F.col("key") == F.col("node")).groupBy("root").agg(F.sum("n").alias("n"))
-    sized = stored(sized.withColumn("big", F.col("n") > SHARD_SHINGLES), "sized")
-    total = sized.where("NOT big").agg(F.sum("n")).first()[0] or 0
+    total = pairs.agg(F.sum(F.col("n_a").cast("long") + F.col("n_b"))).first()[0] or 0
     tasks = max(1, -(-total // SHARD_SHINGLES))
-    places = stored(named.join(sized, "root").select(F.col("node").alias("place"), "big", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("shard")), "places")
-    mine = places.select(F.col("place").alias("of"), F.col("big").alias("large"), F.col("shard").alias("part"))
-    dealt = pairs.join(mine, F.col("a") == F.col("of")).select("a", "b", "large", "part")
-    placed = sets.join(places, F.col("key") == F.col("place")).select("key", "shingles", "big", "shard")
-    small = placed.where("NOT big").drop("big").groupBy("shard").cogroup(dealt.where("NOT large").drop("large").groupBy("part"))
-    found = small.applyInArrow(_compared(percent), "u long, v long")
-    if sized.where("big").isEmpty():
-        return found
-    # Candidates that hang together in more sets than a task should hold meet pair by pair.
-    large = placed.where("big").select("key", "shingles")
-    a, b = (large.select(F.col("key").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    either = F.size("set_a") + F.size("set_b") - both
-    close = dealt.where("large").select("a", "b").join(a, "a").join(b, "b").where(both * 100 >= either * percent)
-    return found.unionByName(close.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    split = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / SHARD_SHINGLES).cast("int").alias("cut")).where("cut > 1")
+    dealt = pairs.join(split, "a", "left").select("a", "b", F.pmod(F.hash("b"), F.coalesce("cut", F.lit(1))).alias("cut"))
+    dealt = stored(dealt.select("a", "b", F.pmod(F.xxhash64("a", "cut"), F.lit(tasks)).alias("shard")), "dealt")
+    places = dealt.select(F.col("a").alias("key"), "shard").unionByName(dealt.select(F.col("b").alias("key"), "shard")).distinct()
+    placed = _sets(found, words).join(places, "key")
+    return placed.groupBy("shard").cogroup(dealt.withColumnRenamed("shard", "part").groupBy("part")).applyInArrow(_compared(percent), "u long, v long")
 
 
 def _compared(percent: int):
@@ -277,15 +323,17 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     prints = stored(_printed(docs, words, percent), "shingles")
     points = prints.groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     points = stored(points, "sets")
-    shared = stored(_repeated(points), "shared").join(points.select("key", "n", "sketch"), "key")
-    count = shared.count()
-    begun = _candidates(shared.withColumn("root", F.col("key")), count, percent, False)
-    begun = stored(begun.unionByName(_neighbours(points)).distinct(), "pairs")
-    close = stored(_verified(_closer(begun, prints, percent), docs, points, words, percent), "links")
-    roots = components(close).withColumnRenamed("node", "key")
-    rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rest = stored(_candidates(rooted, count, percent, True).join(begun, ["a", "b"], "left_anti"), "pairs")
-    close = close.unionByName(_verified(_closer(rest, prints, percent), docs, points, words, percent))
+    shared = stored(_repeated(points), "shared")
+    shared = _placed(shared, points, shared.count())
+    begun = _candidates(shared.withColumn("root", F.col("key")), percent, False)
+    tried = stored(begun.unionByName(_neighbours(points)).distinct(), "pairs")
+    close = stored(_verified(_closer(tried, prints, percent), docs, points, words, percent), "links")
+    for turn, all_pairs in ((1, False), (0, True)):
+        roots = components(close).withColumnRenamed("node", "key")
+        rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rest = stored(_candidates(rooted, percent, all_pairs, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        close = close.unionByName(stored(_verified(_closer(rest, prints, percent), docs, points, words, percent), "links"))
+        tried = tried.unionByName(rest)
     roots = components(close).withColumnRenamed("node", "key")
     return prints.select("digest", "key").distinct().join(roots, "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
 

@@ -90,3 +90,36 @@ def test_parities_bound_the_difference():
             apart = len(np.setxor1d(x, y))
             least = near_copies.least_difference(near_copies.parities(x), near_copies.parities(y))
             assert least <= apart and (min(n, m) < 400 or least > 0.6 * apart - 10)
+
+
+def test_pairs_of_a_large_group_follow_its_size(spark, monkeypatch):
+    """Copies that are similar to their source but hardly to one another: few of their pairs are looked at."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(200):
+        copy = list(base)
+        for at in rng.sample(range(10, 140), 2):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    seen, closer = [], near_copies._closer
+    monkeypatch.setattr(near_copies, "_closer", lambda pairs, *rest: seen.append(pairs.count()) or closer(pairs, *rest))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert [r.doc_id for r in near_copies.keep_first(docs).collect()] == wanted(list(enumerate(texts))) == [0]
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_sketches_bound_the_difference():
+    """One set against many of other widths: never more than the hashes that two sets do not share."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.unique(pool[a:b]) for a, b in ((0, 0), (0, 50), (40, 90), (0, 3000), (10, 3000), (5, 2000), (0, 9000), (5000, 8000))]
+    found = near_copies._Sketches(pa.array([near_copies.sketched(x) for x in sets], pa.binary()))
+    for i, x in enumerate(sets):
+        least = found.apart(i, np.arange(len(sets)))
+        assert all(d <= len(np.setxor1d(x, y)) for d, y in zip(least.tolist(), sets)) and least[i] == 0
+    assert found.apart(3, np.array([7])) > 6000 // 9
