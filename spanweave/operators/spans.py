@@ -425,6 +425,42 @@ def bio_decoded(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.where("label IS NOT NULL").groupBy(key, "island", "label").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("island")
 
 
+def bio_spans(toks: Column, tags: Column) -> Column:
+    """:func:`bio_decoded` of the arrays of a text's own tokens, in order, and their tags: ``start, end, label``, without a shuffle."""
+    named = lambda tag: F.when(tag != OUTSIDE, F.substring(tag, 3, 1000))
+    rows = F.filter(F.zip_with(toks, tags, lambda t, tag: F.struct(t["start"].alias("start"), t["end"].alias("end"), tag.alias("tag"))), lambda r: r["tag"].isNotNull() & (r["start"] < r["end"]))
+
+    def hit(held: Column, r: Column, i: Column) -> Column:
+        goes_on = r["tag"].startswith("I-") & F.coalesce(named(F.get(held, i - 1)["tag"]) == named(r["tag"]), F.lit(False))
+        return F.when(r["tag"] != OUTSIDE, F.struct(r["start"].alias("start"), r["end"].alias("end"), named(r["tag"]).alias("label"), goes_on.alias("goes_on")))
+
+    def cut(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda h, i: F.when(~h["goes_on"], i)), lambda i: i.isNotNull())
+
+        def one(begun: Column, a: Column, k: Column) -> Column:
+            inside = F.slice(found, a + 1, F.coalesce(F.get(begun, k + 1), F.size(found)) - a)
+            return F.struct(F.get(found, a)["start"].alias("start"), F.array_max(F.transform(inside, lambda h: h["end"])).alias("end"), F.get(found, a)["label"].alias("label"))
+
+        return bound(starts, lambda begun: F.transform(begun, lambda a, k: one(begun, a, k)))
+
+    hits = bound(rows, lambda held: F.filter(F.transform(held, lambda r, i: hit(held, r, i)), lambda h: h.isNotNull()))
+    return bound(hits, cut)
+
+
+def continued_tags(items: Column) -> Column:
+    """:func:`continued` of the array of a text's own tokens (``first, tag``), in order: the filled tags, without a shuffle."""
+    none = F.lit(None).cast("string")
+
+    def head(state: Column, x: Column) -> Column:
+        return F.when(x["first"], none).otherwise(state)
+
+    def filled(state: Column, x: Column) -> Column:
+        own = head(state, x)
+        return F.when(own.isNull(), x["tag"]).when(own == OUTSIDE, F.lit(OUTSIDE)).otherwise(F.concat(F.lit("I-"), F.substring(own, 3, 1000)))
+
+    return bound(items, lambda held: scanned(held, none, lambda s, x: F.coalesce(head(s, x), x["tag"]), filled, "string"))
+
+
 def continued(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows ``key, i, first, tag``: tokens that continue a word take its first token's tag, as inside; null heads stay null.
 
@@ -487,13 +523,27 @@ def word_starts(toks: DataFrame, key: str = "doc_id", by_script: bool = False) -
     where the script changes.
     """
     order = Window.partitionBy(key).orderBy("i")
-    head, tail = F.substring("tok", 1, 1), F.substring("tok", -1, 1)
-    rows = toks.withColumn("pe", F.lag("e").over(order)).withColumn("pt", F.lag(tail).over(order))
-    word = r"[\p{L}\p{N}]"
-    new = F.col("pe").isNull() | (F.col("s") > F.col("pe")) | ~head.rlike(word) | ~F.col("pt").rlike(word)
+    rows = toks.withColumn("pe", F.lag("e").over(order)).withColumn("pt", F.lag(F.substring("tok", -1, 1)).over(order))
+    return rows.withColumn("first", _begins(F.col("tok"), F.col("s"), F.col("pe"), F.col("pt"), by_script)).drop("pe", "pt")
+
+
+def _begins(tok: Column, start: Column, end: Column, tail: Column, by_script: bool) -> Column:
+    """Whether a token begins a word, after one that ended at ``end`` with the letter ``tail``."""
+    head, word = F.substring(tok, 1, 1), r"[\p{L}\p{N}]"
+    new = end.isNull() | (start > end) | ~head.rlike(word) | ~tail.rlike(word)
     if by_script:
-        new = new | script_of(head).isin("han", "kana", "thai") | (script_of(head) != script_of(F.col("pt")))
-    return rows.withColumn("first", F.coalesce(new, F.lit(True))).drop("pe", "pt")
+        new = new | script_of(head).isin("han", "kana", "thai") | (script_of(head) != script_of(tail))
+    return F.coalesce(new, F.lit(True))
+
+
+def word_begins(toks: Column, by_script: bool = False) -> Column:
+    """:func:`word_starts` of the array of a text's own tokens (``start, end, value``), in order: a boolean for each, without a shuffle."""
+
+    def one(held: Column, t: Column, i: Column) -> Column:
+        last = F.get(held, i - 1)
+        return _begins(t["value"], t["start"], last["end"], F.substring(last["value"], -1, 1), by_script)
+
+    return bound(toks, lambda held: F.transform(held, lambda t, i: one(held, t, i)))
 
 
 def encoded_windows(text: Column, spans: Column, body: int = 382, stride: int = 96, pattern: str = TOKEN, first: Callable[[Column], Column] | None = None, label_all: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import text as X
 from spanweave.functions import values as V
-from spanweave.functions.offsets import matches
+from spanweave.functions.offsets import bound, matches
 from spanweave.operators import detect as D
 from spanweave.operators import leaderboard as B
 from spanweave.operators import spans as S
@@ -16,11 +16,6 @@ from spanweave.session import shared_path, table
 from spanweave.sources import readers as R
 
 
-def _digit(*parts):
-    """The first hexadecimal digits of the md5 of some columns."""
-    return F.md5(F.concat_ws("|", *(F.col(p).cast("string") for p in parts)).cast("binary"))
-
-
 _TAG = "CASE WHEN h[1] IN ('8', '9') THEN 'B-X' WHEN h[1] IN ('a', 'b') THEN 'I-X' WHEN h[1] = 'c' THEN 'B-Y' WHEN h[1] = 'd' THEN 'I-Y' WHEN h[1] > '3' AND h[1] < '8' THEN 'O' END"
 
 
@@ -33,13 +28,19 @@ FROM (SELECT doc_id, i, CASE WHEN head_at IS NULL OR i < head_at THEN NULL WHEN
 )
 def filled_words(spark, sf_dir):
     """Tokens of every text in words drawn by md5: what goes on with a word takes its head's tag."""
-    toks = S.tokens(docs(spark, sf_dir)).select("doc_id", "i").withColumn("h", _digit("doc_id", "i"))
-    head = F.substring("h", 1, 1)
-    tag = F.when(head.isin("8", "9"), "B-X").when(head.isin("a", "b"), "I-X").when(head == "c", "B-Y").when(head == "d", "I-Y").when((head > "3") & (head < "8"), "O")
-    rows = toks.select("doc_id", "i", ((F.col("i") == 0) | (F.substring("h", 2, 1) < "5")).alias("first"), tag.alias("tag"))
-    found = S.continued(rows).groupBy("doc_id")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("filled", F.lit("-")).alias("t")))), lambda x: x["t"]), "|")
-    return found.agg(F.count("filled").alias("tagged"), F.count_if(F.col("filled").startswith("I-")).alias("inside"), F.md5(said.cast("binary")).alias("said"))
+
+    def drawn(h, i):
+        head = F.substring(h, 1, 1)
+        tag = F.when(head.isin("8", "9"), "B-X").when(head.isin("a", "b"), "I-X").when(head == "c", "B-Y").when(head == "d", "I-Y").when((head > "3") & (head < "8"), "O")
+        return F.struct(((i == 0) | (F.substring(h, 2, 1) < "5")).alias("first"), tag.alias("tag"))
+
+    # A filter on the tokens would find them twice.
+    toks = F.regexp_extract_all("text", F.lit(S.TOKEN), F.lit(0))
+    items = F.transform(toks, lambda t, i: bound(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), i.cast("string")).cast("binary")), lambda h: drawn(h, i)))
+    rows = docs(spark, sf_dir).where(F.col("text").rlike(S.TOKEN)).select("doc_id", S.continued_tags(items).alias("filled"))
+    number = lambda test: F.size(F.filter("filled", test)).cast("long")
+    said = F.array_join(F.transform("filled", lambda t: F.coalesce(t, F.lit("-"))), "|")
+    return rows.select("doc_id", number(lambda t: t.isNotNull()).alias("tagged"), number(lambda t: t.startswith("I-")).alias("inside"), F.md5(said.cast("binary")).alias("said"))
 
 
 #: Runs of letters, runs of digits, and other marks: tokens with and without gaps.
@@ -53,8 +54,11 @@ FROM (SELECT *, pe IS NULL OR s > pe OR NOT regexp_matches(tok[1], '[\\p{{L}}\\p
 )
 def text_word_starts(spark, sf_dir):
     """Pieces of every text that begin a word: after a gap, at marks and after them."""
-    found = S.word_starts(S.tokens(docs(spark, sf_dir), pattern=_PIECES)).where("first IS NOT NULL")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("words"), F.sum(F.when(F.col("first"), F.col("s")).otherwise(0)).alias("places"))
+    # A filter on the pieces would find them twice.
+    rows = docs(spark, sf_dir).where(F.col("text").rlike(_PIECES)).select("doc_id", matches(F.col("text"), _PIECES).alias("toks"))
+    at = F.zip_with("toks", S.word_begins(F.col("toks")), lambda t, first: F.when(first, t["start"]))
+    rows = rows.select("doc_id", F.size("toks").cast("long").alias("n"), F.filter(at, lambda s: s.isNotNull()).alias("at"))
+    return rows.select("doc_id", "n", F.size("at").cast("long").alias("words"), F.aggregate("at", F.lit(0).cast("long"), lambda a, s: a + s).alias("places"))
 
 
 @query(f"""SELECT doc_id, label, "start", "end" FROM ({found_sql(D.PATTERNS)})""")
