@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.offsets import matches
 from spanweave.operators import spans as S
 from spanweave.plans.all_queries import QUERIES
+from spanweave.sources import readers as R
 
 TEXTS = ["", "  ", "Ab1, c\tdé (東京 タワー)ไทย x", "a" * 3, "12:30 . . b-c", " ".join(f"w{i}" for i in range(200))]
 
@@ -40,7 +41,15 @@ def test_arrays_give_what_rows_give(spark):
         same(begins, S.word_starts(apart, by_script=by_script).select("doc_id", "i", "first"))
 
 
-@pytest.mark.parametrize("name", ["text_word_starts", "bio_decode", "filled_words"])
+def test_sentence_arrays_equal_rows(spark):
+    texts = [["", "a\tO", "b\tB-X", "", " ", "c\tO"], [""], ["x"], ["", ""], [f"w{i}\tO" if i % 7 else "" for i in range(100)]]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, lines array<string>")
+    rows = held.select("doc_id", F.posexplode("lines").alias("no", "line"))
+    found = held.select("doc_id", F.explode(R.sentence_arrays(F.col("lines"))).alias("s")).select("doc_id", "s.sentence", "s.tokens", "s.tags")
+    same(found, R.tagged_sentences(rows, "doc_id"))
+
+
+@pytest.mark.parametrize("name", ["text_word_starts", "bio_decode", "filled_words", "tagged_lines"])
 def test_no_shuffle(spark, sf_dir, name, capsys):
     QUERIES[name](spark, sf_dir).explain()
     assert "Exchange" not in capsys.readouterr().out
