@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanweave.functions.offsets import bound, scanned
+from spanweave.functions.offsets import bound
 
 #: White space of every script, inside a character class.
 SPACE = r"\s\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -75,6 +79,17 @@ def script_lang(counts: Column) -> Column:
     return out.otherwise("latin")
 
 
+def block_lang(text: Column) -> Column:
+    """:func:`script_lang` of a text; one whose letters are all of ASCII is not counted script by script."""
+
+    def of(letters: Column) -> Column:
+        counts = {k: F.length(letters) - F.length(F.regexp_replace(letters, f"[{r}]", "")) for k, r in SCRIPTS.items()}
+        told = script_lang({**counts, "letters": F.length(letters)})
+        return F.when(letters == "", F.lit(None).cast("string")).when(~letters.rlike("[^A-Za-z]"), F.lit("latin")).otherwise(told)
+
+    return bound(F.regexp_replace(text, r"[^\p{L}]", ""), of)
+
+
 def is_latin(text: Column) -> Column:
     """Whether more than 95 % of the letters are ASCII; false without letters."""
     ascii_, all_ = F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
@@ -130,47 +145,51 @@ def detokenized(tokens: Column, tags: Column | None = None, joiner: str = " ") -
     """
     tags = F.transform(tokens, lambda t: F.lit("O")) if tags is None else tags
     pairs = F.filter(F.arrays_zip(tokens.alias("tok"), tags.alias("tag")), lambda p: p["tok"] != "")
-    step_kind = "struct<sep:string,tok:string,start:int,end:int,label:string,goes_on:boolean>"
-    start = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("open"))
-
-    def sep(s: Column, p: Column) -> Column:
-        glued = s["prev"].isNull() | (F.instr(F.lit(_CLOSERS), F.substring(p["tok"], 1, 1)) > 0) | (F.instr(F.lit(_OPENERS), F.substring(s["prev"], -1, 1)) > 0)
-        return F.when(glued, F.lit("")).otherwise(F.lit(joiner))
-
     blank = lambda p: ~p["tok"].rlike(rf"[^{SPACE}]")
-    kind = lambda p: F.when(p["tag"].rlike("^[BI]-") & ~blank(p), F.substring(p["tag"], 3, 1 << 30))
-
-    def step(s: Column, p: Column) -> Column:
-        kept = blank(p) & p["tag"].startswith("I-")
-        return F.struct(p["tok"].alias("prev"), (s["at"] + F.length(sep(s, p)) + F.length(p["tok"])).alias("at"), F.when(kept, s["open"]).otherwise(kind(p)).alias("open"))
-
-    def emit(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(sep(s, p))
-        on = F.coalesce(p["tag"].startswith("I-") & (s["open"] == kind(p)), F.lit(False))
-        return F.struct(sep(s, p).alias("sep"), p["tok"].alias("tok"), begin.alias("start"), (begin + F.length(p["tok"])).alias("end"), kind(p).alias("label"), on.alias("goes_on"))
-
-    def whole(parts: Column) -> Column:
-        said = F.array_join(F.transform(parts, lambda x: F.concat(x["sep"], x["tok"])), "")
-        return F.struct(said.alias("text"), _joined(F.filter(parts, lambda x: x["label"].isNotNull())).alias("spans"))
-
-    return bound(pairs, lambda p: bound(scanned(p, start, step, emit, step_kind), whole))
-
-
-def _joined(parts: Column) -> Column:
-    """Spans from labelled pieces: one begins where a piece does not go on."""
-    kind = "struct<start:int,end:int,label:string>"
-    last = F.lit(None).cast("struct<sep:string,tok:string,start:int,end:int,label:string,goes_on:boolean>")
-
-    def step(s: Column, p: Column) -> Column:
-        begin = F.when(p["goes_on"], s["start"]).otherwise(p["start"])
-        return F.struct(begin.alias("start"), p["end"].alias("end"), p["label"].alias("label")).cast(kind)
-
-    def emit(s: Column, p: Column) -> Column:
-        return F.when(s.isNotNull() & (p.isNull() | ~p["goes_on"]), s)
 
-    closed = F.concat(parts, F.array(last))
-    out = bound(closed, lambda c: scanned(c, F.lit(None).cast(kind), lambda s, p: F.when(p.isNull(), s).otherwise(step(s, p)), emit, kind))
-    return F.filter(out, lambda s: s.isNotNull())
+    def piece(p: Column) -> Column:
+        named, inside = p["tag"].rlike("^[BI]-"), F.coalesce(p["tag"].startswith("I-"), F.lit(False))
+        return F.struct(
+            p["tok"].alias("tok"), (F.instr(F.lit(_CLOSERS), F.substring(p["tok"], 1, 1)) > 0).alias("closes"), (F.instr(F.lit(_OPENERS), F.substring(p["tok"], -1, 1)) > 0).alias("opens"),
+            F.when(named & ~blank(p), F.substring(p["tag"], 3, 1 << 30)).alias("label"), inside.alias("inside"), (inside & blank(p)).alias("open"),
+        )
+
+    none = F.array().cast("array<struct<tok:string,closes:boolean,opens:boolean,label:string,inside:boolean,open:boolean>>")
+    return _told(F.coalesce(F.transform(pairs, piece), none), F.lit(joiner))
+
+
+_SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("label", T.StringType()))
+
+
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("spans", _SPANS))
+def _told(pieces: pa.Array, joiner: pa.Array) -> pa.Array:
+    """Texts of tokens and their spans: a running sum over a whole batch, and runs of labelled tokens that go on."""
+    sizes = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+    flat = pieces.flatten()
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    tok, label = flat.field("tok"), flat.field("label")
+    closes, opens, inside, kept = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("closes", "opens", "inside", "open"))
+    begins = np.zeros(len(flat), bool)
+    begins[rows[:-1][sizes > 0]] = True
+    glued = begins | closes | np.concatenate([[True], opens])[:-1].astype(bool)
+    said = pc.binary_join_element_wise(pc.if_else(pa.array(glued), "", joiner.take(pa.array(row))), tok, "")
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), said), "")
+    upto = np.concatenate([[0], np.cumsum(pc.utf8_length(said).to_numpy(zero_copy_only=False).astype(np.int64))])
+    end = upto[1:] - upto[rows[:-1]][row]
+    start = end - pc.utf8_length(tok).to_numpy(zero_copy_only=False)
+    code = pc.fill_null(label.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    # The last piece before each that does not merely keep a span open says which is open.
+    place = np.arange(len(code))
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(kept, -1, place))])[:-1] if len(code) else place
+    known = np.maximum(last, 0)
+    on = inside & (code >= 0) & (last >= 0) & (row[known] == row) & (code[known] == code)
+    named = np.flatnonzero(code >= 0)
+    first = np.flatnonzero(~on[named])
+    begin, close = named[first], named[np.append(first[1:], len(named)) - 1]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=len(sizes)))])
+    spans = pa.StructArray.from_arrays([pa.array(start[begin], pa.int32()), pa.array(end[close], pa.int32()), label.take(pa.array(begin))], ["start", "end", "label"])
+    return pa.StructArray.from_arrays([text, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)], ["text", "spans"])
 
 
 def zh_variant(text: Column, simple: str, traditional: str) -> Column:

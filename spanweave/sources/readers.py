@@ -124,9 +124,13 @@ def tagged_arrays(rows: DataFrame, source: str, lang: str, tokens: str = "tokens
     if names is not None:
         table = F.array(*map(F.lit, names))
         said = F.transform(tags, lambda t: F.get(table, t.cast("int")))
-    made = rows.select(F.concat_ws("-", F.lit(source), F.col(key).cast("string")).alias("id"), detokenized(F.col(tokens), said, joiner).alias("d"))
+    seen = rf"[^{SPACE}]"
+    # A filter on the text would build it twice; a blank joiner leaves it to the tokens whether the text is blank.
+    plain = not joiner.strip()
+    given = rows.where(F.exists(tokens, lambda t: t.rlike(seen))) if plain else rows
+    made = given.select(F.concat_ws("-", F.lit(source), F.col(key).cast("string")).alias("id"), detokenized(F.col(tokens), said, joiner).alias("d"))
     made = made.select("id", F.lit(source).alias("source"), F.lit(lang).alias("lang"), "d.text", "d.spans")
-    return made.where(F.col("text").rlike(rf"[^{SPACE}]"))
+    return made if plain else made.where(F.col("text").rlike(seen))
 
 
 def span_rows(rows: DataFrame, source: str, lang: str, spans: str, start: str = "start", end: str = "end", label: str = "label", key: str = "id", text: str = "text") -> DataFrame:
