@@ -70,10 +70,11 @@ def route_segments(spark, sf_dir):
     """Sentences of documents as blocks, some in another script: routed and joined."""
     from spanweave.operators.routing import routed_segments
 
-    rows = docs(spark, sf_dir)
+    # A filter on the text that is made would make it twice.
+    rows = docs(spark, sf_dir).where("text <> ''")
     blocks = F.filter(X.segments(F.regexp_replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), "([.!?])", "$1\n\n")), lambda b: b != "")
     turned = F.transform(blocks, lambda b, i: F.when((F.col("doc_id") % 3 != 0) & (i % 2 == 0), F.translate(b, _LATIN, ALPHABETS[3])).otherwise(b))
-    return routed_segments(rows.select("doc_id", F.array_join(turned, "").alias("text")).where("text <> ''"))
+    return routed_segments(rows.select("doc_id", F.array_join(turned, "").alias("text")))
 
 
 _NUMBERS = r"\([0-9]+\)[.,;:]*|[0-9]+[.,;:]*"
