@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.functions.offsets import bound, matches, part, scanned
+from spanweave.functions.offsets import batch_matches, bound, matches, part, scanned, upto
 from spanweave.functions.text import SPACE, script_of
 from spanweave.labels import IGNORE, NUMERIC, OUTSIDE, PLACE_ONLY
 from spanweave.operators import intervals as I
@@ -40,7 +40,29 @@ def resolved(spans: Column) -> Column:
 
 
 def kept_longer(ordered: Column, kind: str) -> Column:
-    """The fold of :func:`resolved` over spans in order; ``kind`` is their type, with ``start`` and ``end``."""
+    """The fold of :func:`resolved` over spans in order; ``kind`` is their type, with ``start`` and ``end``.
+
+    Spans are cut where one begins after all ends before it: only a run of several needs the fold.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def runs(held: Column, ends: Column) -> Column:
+        starts = F.filter(F.transform(held, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+
+        def one(begun: Column, a: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(begun, k + 1), F.size(held)) - a
+            return F.when(n == 1, F.slice(held, a + 1, n)).otherwise(_run_kept(F.slice(held, a + 1, n), kind))
+
+        return bound(starts, lambda begun: F.when(F.size(begun) == F.size(held), held).otherwise(F.flatten(F.transform(begun, lambda a, k: one(begun, a, k)))))
+
+    def cut(held: Column) -> Column:
+        return bound(upto(F.transform(held, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda ends: runs(held, ends))
+
+    return bound(F.coalesce(ordered, none), lambda held: F.when(F.size(held) > 0, cut(held)).otherwise(none))
+
+
+def _run_kept(ordered: Column, kind: str) -> Column:
+    """The fold over one run of spans."""
     none = F.lit(None).cast(kind)
 
     def clear(kept: Column, s: Column) -> Column:
@@ -355,7 +377,7 @@ TOKEN = r"[^ \t\r\n]+"
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN) -> DataFrame:
     """``key, i, s, e, tok``: matches of ``pattern`` with offsets, numbered from 0; found within the row, without a shuffle."""
-    rows = docs.select(key, F.posexplode(matches(F.col(text), pattern)).alias("i", "t"))
+    rows = docs.select(key, F.posexplode(batch_matches(F.col(text), pattern)).alias("i", "t"))
     return rows.select(key, "i", F.col("t.start").alias("s"), F.col("t.end").alias("e"), F.col("t.value").alias("tok"))
 
 
@@ -507,6 +529,22 @@ def voted(votes: DataFrame, keys: list[str], how: str = "max") -> DataFrame:
     return votes.groupBy(*keys).agg(F.max_by(F.struct("tag", "p"), key).alias("b")).select(*keys, "b.tag", "b.p")
 
 
+def voted_in_row(votes: Column, how: str = "max") -> Column:
+    """:func:`voted` of the array of one token's own votes (``win, lo, hi, i, tag, p``): its ``tag, p``, without a shuffle."""
+    if how == "avg":
+
+        def mean(tag: Column) -> Column:
+            own = F.filter(votes, lambda v: v["tag"].eqNullSafe(tag))
+            total = F.aggregate(own, F.lit(0.0), lambda a, v: a + v["p"])
+            return F.struct((total / F.size(own)).alias("p"), tag.alias("tag"))
+
+        best = F.array_max(F.transform(F.array_distinct(F.transform(votes, lambda v: v["tag"])), mean))
+    else:
+        depth = (lambda v: (F.least(v["i"] - v["lo"], v["hi"] - v["i"]),)) if how == "central" else (lambda v: ())
+        best = F.array_max(F.transform(votes, lambda v: F.struct(*depth(v), v["p"].alias("p"), (-v["win"]).alias("win"), v["tag"].alias("tag"))))
+    return bound(best, lambda b: F.struct(b["tag"].alias("tag"), b["p"].alias("p")))
+
+
 def edited_offsets(edits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows ``key, start, end, new`` of disjoint edits with ``new_start, new_end`` after all of them: old offsets plus earlier changes of length."""
     order = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
