@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions import values as V
-from spanweave.functions.offsets import bound, part, scanned
+from spanweave.functions.offsets import bound, part
 from spanweave.functions.text import SPACE
 from spanweave.labels import DATE_CUE, IGNORE, PLACE_ONLY
 from spanweave.operators.spans import ADDRESS_CUE, STREET_TAIL, kept_longer, line_before
@@ -40,7 +40,6 @@ def _plain(start: Column, end: Column, label: Column) -> Column:
 
 def merged(text: Column, spans: Column) -> Column:
     """Disjoint spans ``start, end, label, raw`` in order, neighbours of one label joined where the gap allows; their raw labels add up."""
-    closing = F.lit(None).cast(_RAW)
 
     def joins(p: Column, s: Column) -> Column:
         gap = part(text, p["end"], s["start"])
@@ -49,13 +48,20 @@ def merged(text: Column, spans: Column) -> Column:
             fits = F.when(s["label"] == label, gap.rlike(pattern)).otherwise(fits)
         return F.coalesce((s["label"] == p["label"]) & (s["label"] != IGNORE) & fits, F.lit(False))
 
-    def step(p: Column, s: Column) -> Column:
-        grown = F.struct(p["start"].alias("start"), s["end"].alias("end"), p["label"].alias("label"), F.array_union(p["raw"], s["raw"]).alias("raw")).cast(_RAW)
-        return F.when(joins(p, s), grown).otherwise(s)
+    def cut(held: Column) -> Column:
+        # What is joined so far ends where its last span does and has its label, so neighbours alone decide.
+        starts = F.filter(F.transform(held, lambda s, i: F.when((i == 0) | ~joins(F.get(held, i - 1), s), i)), lambda i: i.isNotNull())
 
-    items = F.concat(spans, F.array(closing))
-    out = bound(items, lambda i: scanned(i, closing, step, lambda p, s: F.when(p.isNotNull() & ~joins(p, s), p), _RAW))
-    return F.filter(out, lambda s: s.isNotNull())
+        def one(begun: Column, a: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(begun, k + 1), F.size(held)) - a
+            own = F.slice(held, a + 1, n)
+            first = F.get(held, a)
+            whole = F.struct(first["start"].alias("start"), F.get(held, a + n - 1)["end"].alias("end"), first["label"].alias("label"), F.array_distinct(F.flatten(F.transform(own, lambda s: s["raw"]))).alias("raw"))
+            return F.when(n == 1, first).otherwise(whole.cast(_RAW))
+
+        return bound(starts, lambda begun: F.transform(begun, lambda a, k: one(begun, a, k)))
+
+    return bound(spans, cut)
 
 
 def cleaned(
