@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.functions.offsets import bound
 from spanweave.functions.text import indian_grouping, native_digits
 from spanweave.functions.values import ordinal, rendered_pattern, weighted_choice
 
@@ -233,7 +234,11 @@ def account_value(seed: str, key: Column, place: str, institution: Column) -> Co
     """An account number by one of an institution's patterns."""
     out = None
     for k, (_, _, patterns, _) in enumerate(INSTITUTIONS):
-        value = F.get(F.array(*(rendered_pattern(p, _seed(seed, key, f"{place}|{k}")) for p in patterns)), draw(seed, key, f"{place}|pattern", len(patterns)))
+        # Only the pattern that is drawn is rendered.
+        pick, value = draw(seed, key, f"{place}|pattern", len(patterns)), None
+        for i, p in enumerate(patterns):
+            made = rendered_pattern(p, _seed(seed, key, f"{place}|{k}"))
+            value = F.when(pick == i, made) if value is None else value.when(pick == i, made)
         out = F.when(institution == k, value) if out is None else out.when(institution == k, value)
     return out
 
@@ -263,17 +268,21 @@ def ticker_value(seed: str, key: Column) -> Column:
 
 def account_phrase(seed: str, key: Column, most: int = 3, jurisdiction: str | None = None) -> Column:
     """Struct ``text, spans``: a cue, one to ``most`` accounts of one institution, and its name at times."""
-    institution = institution_of(seed, key, jurisdiction)
-    many = draw(seed, key, "many", most) + 1
+    known = F.struct(institution_of(seed, key, jurisdiction).alias("institution"), (draw(seed, key, "many", most) + 1).alias("many"))
+    return bound(known, lambda k: _phrase(seed, key, most, k["institution"], k["many"]))
+
+
+def _phrase(seed: str, key: Column, most: int, institution: Column, many: Column) -> Column:
     cue = F.when(many == 1, _one(["account", "A/C no."], seed, key, "cue")).otherwise(_one(["accounts", "A/C nos."], seed, key, "cue"))
     name = F.get(F.array(*(F.lit(n) for n, *_ in INSTITUTIONS)), institution)
     named = draw(seed, key, "named", 10) < 4
+    none = F.array().cast("array<struct<value:string,label:string>>")
     parts = [F.array(_part(F.concat(cue, F.lit(" "))))]
     for k in range(most):
         link = F.when(many == k + 1, F.lit(" and ")).otherwise(F.lit(", "))
         value = _part(account_value(seed, key, f"account{k}", institution), "ACCOUNT")
         own = F.array(value) if k == 0 else F.array(_part(link), value)
-        parts.append(F.when(many > k, own).otherwise(F.slice(own, F.lit(1), F.lit(0))))
+        parts.append(F.when(many > k, own).otherwise(none))
     tail = F.array(_part(" ("), _part(name, "BUSINESS"), _part(")"))
-    parts.append(F.when(named, tail).otherwise(F.slice(tail, F.lit(1), F.lit(0))))
+    parts.append(F.when(named, tail).otherwise(none))
     return joined(F.concat(*parts))
