@@ -35,6 +35,8 @@ SAMPLE_ROWS, FREQUENT = 5_000, 50_000
 #: Least words of a parity sketch; rows that one task groups.
 SKETCH = 16
 SHARD_ROWS = 200_000
+#: Rows of a task in the rounds after the first, which have few rows left and more pairs for each.
+ROUND_ROWS = 25_000
 #: Sets of a group that a set is compared with before components are known.
 LEADERS = 3
 #: An odd factor that puts keys in another order.
@@ -169,8 +171,8 @@ def _printed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return map_slices(docs.select("digest", "text"), "digest binary, key long, n int, fp long, sketch binary, fine binary, prefix array<long>", make)
 
 
-def _sharded(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(max(1, -(-count // SHARD_ROWS)))))
+def _sharded(rows: DataFrame, count: int, most: int | None = None) -> DataFrame:
+    return rows.withColumn("shard", F.pmod(F.xxhash64("s"), F.lit(max(1, -(-count // (most or SHARD_ROWS))))))
 
 
 def _repeated(points: DataFrame) -> DataFrame:
@@ -186,14 +188,35 @@ def _repeated(points: DataFrame) -> DataFrame:
     return _sharded(rows, count).groupBy("shard").applyInArrow(search, "s long, at int, key long")
 
 
-def _placed(shared: DataFrame, points: DataFrame, count: int) -> DataFrame:
-    """``shard, key, n, sketch, places``: a set goes to a shard once, with all its shared shingles there, so its sketch may be long."""
-    rows = _sharded(shared.join(points.select("key", "n", "sketch"), "key"), count)
-    return rows.groupBy("shard", "key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.collect_list(F.struct("s", "at")).alias("places"))
+def _parted(shared: DataFrame, roots: DataFrame, count: int) -> DataFrame:
+    """``s, at, key, root`` of the ``count`` rows ``s, at, key`` whose shingle is in sets of several components.
+
+    Roots are joined to shingles, one row each, so the join grows with the shingles and not with the shards; groups
+    within one component have no pair to find and take no sketch along.
+    """
+
+    def search(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        _, group = np.unique(table.column("s").to_numpy(), return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        many = np.minimum.reduceat(root[order], starts) != np.maximum.reduceat(root[order], starts)
+        release()
+        return table.select(["s", "at", "key", "root"]).filter(pa.array(many[group]))
+
+    rooted = shared.select("s", "at", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return _sharded(rooted, count).groupBy("shard").applyInArrow(search, "s long, at int, key long, root long")
+
+
+def _placed(shared: DataFrame, points: DataFrame, count: int, most: int | None = None) -> DataFrame:
+    """``shard, key, n, sketch, root, places`` of ``s, at, key, root``: a set goes to a shard once, with all its shared shingles there, so its sketch may be long."""
+    rows = _sharded(shared.join(points.select("key", "n", "sketch"), "key"), count, most)
+    firsts = (F.first(c).alias(c) for c in ("n", "sketch", "root"))
+    return rows.groupBy("shard", "key").agg(*firsts, F.collect_list(F.struct("s", "at")).alias("places"))
 
 
 def _candidates(rows: DataFrame, percent: int, all_pairs: bool, turn: int = 0) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a prefix shingle and that no bound rules out, of :func:`_placed` rows with a ``root``.
+    """Distinct pairs ``a, b`` that share a prefix shingle and that no bound rules out, of :func:`_placed` rows.
 
     Each set with the first ``LEADERS`` of its group and of another root that it may be similar to, or all
     pairs of different roots. Another ``turn`` has another order within the groups.
@@ -324,17 +347,24 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     points = prints.groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     points = stored(points, "sets")
     shared = stored(_repeated(points), "shared")
-    shared = _placed(shared, points, shared.count())
-    begun = _candidates(shared.withColumn("root", F.col("key")), percent, False)
+    count = shared.count()
+    begun = _candidates(_placed(shared.withColumn("root", F.col("key")), points, count), percent, False)
     tried = stored(begun.unionByName(_neighbours(points)).distinct(), "pairs")
     close = stored(_verified(_closer(tried, prints, percent), docs, points, words, percent), "links")
+    roots = components(close).withColumnRenamed("node", "key")
     for turn, all_pairs in ((1, False), (0, True)):
-        roots = components(close).withColumnRenamed("node", "key")
-        rooted = shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rest = stored(_candidates(rooted, percent, all_pairs, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        close = close.unionByName(stored(_verified(_closer(rest, prints, percent), docs, points, words, percent), "links"))
+        # A shingle of one component stays one of one component, so the next round goes on with what this one keeps.
+        shared = stored(_parted(shared, roots, count), "shared")
+        count = shared.count()
+        if not count:
+            break
+        rest = stored(_candidates(_placed(shared, points, count, ROUND_ROWS), percent, all_pairs, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        closer = _closer(rest, prints, percent)
         tried = tried.unionByName(rest)
-    roots = components(close).withColumnRenamed("node", "key")
+        # Rounds without new pairs leave the components as they are.
+        if not closer.isEmpty():
+            close = close.unionByName(stored(_verified(closer, docs, points, words, percent), "links"))
+            roots = components(close).withColumnRenamed("node", "key")
     return prints.select("digest", "key").distinct().join(roots, "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
 
 

@@ -110,6 +110,18 @@ def test_pairs_of_a_large_group_follow_its_size(spark, monkeypatch):
     assert sum(seen) < 10 * len(texts)
 
 
+def test_rounds_go_on_with_shingles_of_several_components(spark, monkeypatch):
+    """Once a group of copies is one component, no later round joins or places its shingles again."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(120)]
+    texts = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(10, 110, 5)]
+    seen, candidates = [], near_copies._candidates
+    monkeypatch.setattr(near_copies, "_candidates", lambda rows, *rest: seen.append(rows.count()) or candidates(rows, *rest))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert [r.doc_id for r in near_copies.keep_first(docs).collect()] == [0]
+    assert seen[0] >= len(texts) and sum(seen[1:]) == 0
+
+
 def test_sketches_bound_the_difference():
     """One set against many of other widths: never more than the hashes that two sets do not share."""
     import numpy as np
