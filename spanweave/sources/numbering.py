@@ -7,8 +7,10 @@ the (few) buckets of a file, and within buckets again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,65 @@ BUCKET = 1 << 14
 _B, _PAST = "__bucket__", "__past__"
 
 
+def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``path, split, at, line`` of text files, and ``path, split, shift``: what makes ``at`` the number in the file."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.when(F.col("value").contains("\r"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")).alias("line"))
+    sizes = rows.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, sizes.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, no, line``: text lines with their number in their file, from 0; a carriage return before a break goes.
 
     A file is read by splits. Rows keep their order within a split, so a line's number is its place in the split plus
     the lines of the splits before it; how a file is split is Spark's own choice and the same in both reads of a query.
+    What is known of the splits, a row each, is broadcast; the lines are not shuffled.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    sizes = rows.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    rows, starts = _split_lines(spark, path)
+    return rows.join(F.broadcast(starts), ["path", "split"]).select("path", (F.col("at") + F.col("shift")).alias("no"), "line")
+
+
+def headed_lines(spark: SparkSession, path: str, head: Column) -> DataFrame:
+    """``path, head_no, head, no, lines``: the lines below each ``line`` that is a head, numbered as in :func:`file_lines`.
+
+    They come in pieces, arrays of consecutive lines of which the first has number ``no``; a head may have several, also
+    empty ones, and lines above a file's first head have a null head. Lines are in order within a split, so they are cut
+    where they are read, and only the last head of each split goes to those after it: the lines are not shuffled.
+    """
+    rows, starts = _split_lines(spark, path)
+    numbered = rows.join(F.broadcast(starts), ["path", "split"]).select("path", "split", (F.col("at") + F.col("shift")).alias("no"), "line")
+    numbered = numbered.withColumn("is_head", F.coalesce(head, F.lit(False)))
+    last = numbered.where("is_head").groupBy("path", "split").agg(F.max(F.struct("no", "line")).alias("last"))
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("path", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(starts, ["path", "split"]).select("path", (F.col("at") + F.col("shift")).alias("no"), "line")
+    told = starts.select("path", "split").join(last, ["path", "split"], "left")
+    told = told.select("path", "split", F.row_number().over(Window.orderBy("path", "split")).alias("part"), F.last("last", ignorenulls=True).over(before).alias("past"))
+    # The paths, far longer than most lines, stay behind: a line takes along the number of its split.
+    short = numbered.join(F.broadcast(told.select("path", "split", "part")), ["path", "split"]).select("part", "no", "line", "is_head")
+    kind = pa.schema([("part", pa.int32()), ("head_no", pa.int64()), ("head", pa.string()), ("no", pa.int64()), ("lines", pa.list_(pa.string()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held_no, held = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, no, line = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).cast(pa.string())
+            flag = batch.column(3).to_numpy(zero_copy_only=False)
+            if split != part[0]:
+                held_no, held = None, None
+            begins = np.flatnonzero(flag | (np.diff(part, prepend=part[0] - 1) != 0))
+            own = flag[begins]
+            kept = np.concatenate([[0], np.cumsum(~flag)])[np.append(begins, len(flag))]
+            lines = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), line.filter(pa.array(~flag)))
+            heads, numbers = line.take(pa.array(begins, mask=~own)), pa.array(no[begins], mask=~own)
+            if not own[0]:
+                heads, numbers = pa.concat_arrays([pa.array([held], pa.string()), heads.slice(1)]), pa.concat_arrays([pa.array([held_no], pa.int64()), numbers.slice(1)])
+            split, held_no, held = part[-1], numbers[-1].as_py(), heads[-1].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(part[begins]), numbers, heads, pa.array(no[begins] + own), lines], schema=kind)
+
+    found = short.mapInArrow(cut, "part int, head_no long, head string, no long, lines array<string>").join(F.broadcast(told), "part")
+    return found.select("path", F.coalesce("head_no", "past.no").alias("head_no"), F.coalesce("head", "past.line").alias("head"), "no", "lines")
 
 
 def _bucketed(rows: DataFrame, no: str, size: int) -> DataFrame:

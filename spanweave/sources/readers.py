@@ -13,7 +13,7 @@ from spanweave.functions.offsets import bound
 from spanweave.functions.text import SPACE, clean_email, detokenized, is_latin, norm_ws
 from spanweave.operators.corpus import capped
 from spanweave.schema import LATENCY
-from spanweave.sources.numbering import cut_after, cut_arrays, file_lines, held, running_total
+from spanweave.sources.numbering import cut_after, cut_arrays, file_lines, headed_lines, held, running_total
 from spanweave.sources.staged import arrays, xz_lines
 from spanweave.sources.typed import leaves, loaded, read_configuration
 

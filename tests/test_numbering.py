@@ -30,6 +30,30 @@ def test_lines_of_a_file_of_many_splits(spark, tmp_path, ending):
     assert got == sorted(wanted)
 
 
+def test_lines_below_heads_of_many_splits(spark, tmp_path):
+    """Heads, also repeated and last ones, whose lines go over batches and splits; no line is shuffled."""
+    rng = random.Random(4)
+    wanted = []
+    for name in ("a.txt", "b.txt", "c.txt"):
+        said = [rng.choice(["#h é", "#h x"]) if rng.random() < {"a.txt": 0.003, "b.txt": 0.3, "c.txt": 0}[name] else "w" + "x" * rng.randint(0, 9) for _ in range(4000)]
+        (tmp_path / name).write_text("\n".join(said) + "\n")
+        head = (None, None)
+        for k, line in enumerate(said):
+            head = (k, line) if line.startswith("#") else head
+            wanted += [] if line.startswith("#") else [(name, *head, k, line)]
+    settings = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = R.headed_lines(spark, str(tmp_path), F.col("line").startswith("#"))
+        got = [(r.path.rsplit("/", 1)[1], r.head_no, r.head, r.no + i, line) for r in found.collect() for i, line in enumerate(r.lines)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
 def rows(spark, seed=2):
     rng = random.Random(seed)
     made = [(doc, no, rng.choice(["w", "w", "w", ".", "!"]), rng.choice([None, None, "x", "y"])) for doc in ("a", "b", None) for no in range(rng.randint(1, 200))]
