@@ -3,8 +3,8 @@
 A scorer takes some windows (their tokens, their number in the document and the place of their first token) and
 returns, for each token, a tag (``O``, ``B-X``, ``I-X``, or null for a token that has none) and a confidence. Windows of
 several documents share a call; a document that needs more windows than one call is scored piece by piece and stitched.
-The steps are those of ``spans.windows``, ``spans.voted`` and ``spans.bio_decoded``, but rows are never regrouped: there is no
-shuffle, and a task holds the tokens of a few documents and the windows of one call.
+The steps are those of ``spans.windows``, ``spans.voted`` and ``spans.bio_decoded``, but rows are never regrouped: texts are
+dealt to tasks once, and a task holds the tokens of a few documents and the windows of one call.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -118,6 +119,13 @@ class Predictor:
         return [(start, end, label, total / n) for start, end, label, total, n in out]
 
 
+def _listed(found: list[list[tuple[int, int, str, float]]]) -> pa.Array:
+    """The spans of every text as one array, made by columns."""
+    columns = list(zip(*(span for spans in found for span in spans))) or [()] * len(_ARROW.value_type)
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW.value_type)], fields=list(_ARROW.value_type))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), structs)
+
+
 def predicted(docs: DataFrame, predictor: Predictor, key: str = "doc_id", text: str = "text", trim: bool = True, rows: int = 64) -> DataFrame:
     """``key, start, end, label, score``: the predictor's spans of every document; trimmed ones that are empty go.
 
@@ -125,17 +133,19 @@ def predicted(docs: DataFrame, predictor: Predictor, key: str = "doc_id", text:
     are tokenised at a time.
     """
     kind = docs.schema[key].dataType
-    given = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # A file's row group is read by one task; scoring takes far longer than a shuffle of texts, so all cores take part.
+    given = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).hint("repartition")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 found = predictor.spans(part.column(1).to_pylist())
-                told = [[{"start": a, "end": b, "label": label, "score": p} for a, b, label, p in spans] for spans in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(told, _ARROW)], ["key", "text", "spans"])
+                # The texts go back only where their spans are to be trimmed.
+                yield pa.RecordBatch.from_arrays([part.column(0), *([part.column(1)] if trim else []), _listed(found)], names)
 
-    found = given.mapInArrow(run, f"key {kind.simpleString()}, text string, spans {_SPANS}")
+    names = ["key", *(["text"] if trim else []), "spans"]
+    found = given.mapInArrow(run, f"key {kind.simpleString()}, {'text string, ' if trim else ''}spans {_SPANS}")
     if not trim:
         return found.select(F.col("key").alias(key), F.inline("spans"))
     whole = found.select(F.col("key").alias(key), "text", F.explode("spans").alias("s"))

@@ -60,3 +60,13 @@ def test_scorers_that_err(spark):
         with pytest.raises(ValueError, match="answered"):
             Predictor(bad).spans(["a b"])
     assert predicted(spark.createDataFrame([], "doc_id int, text string"), Predictor(stable)).collect() == []
+
+
+def test_one_row_group_is_scored_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(i, "(Ana) Ruiz, 12. é a of " * 5) for i in range(40)], "doc_id int, text string").coalesce(1)
+        found = predicted(df, Predictor(stable, 12, 4), trim=False).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id for r in found} == set(range(40)) and len({r.task for r in found}) > 1
