@@ -186,7 +186,7 @@ def _told(pieces: pa.Array, joiner: pa.Array) -> pa.Array:
     on = inside & (code >= 0) & (last >= 0) & (row[known] == row) & (code[known] == code)
     named = np.flatnonzero(code >= 0)
     first = np.flatnonzero(~on[named])
-    begin, close = named[first], named[np.append(first[1:], len(named)) - 1]
+    begin, close = named[first], named[np.append(first, len(named))[1:] - 1]
     cuts = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=len(sizes)))])
     spans = pa.StructArray.from_arrays([pa.array(start[begin], pa.int32()), pa.array(end[close], pa.int32()), label.take(pa.array(begin))], ["start", "end", "label"])
     return pa.StructArray.from_arrays([text, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)], ["text", "spans"])

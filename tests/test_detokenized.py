@@ -37,3 +37,11 @@ def test_detokenized_against_a_loop(spark, capsys):
     # The text is made once: no filter makes it again.
     assert plan(R.tagged_arrays(df, "s", "x"), capsys).count("ArrowEvalPython [") == 1
     assert {r.id for r in R.tagged_arrays(df, "s", "x").collect()} == {f"s-{k}" for k, *_ in rows if told[k].text.strip()}
+
+
+def test_detokenized_batches_without_a_label(spark):
+    """Batches of no labelled token, of none but empty tokens, and of no token."""
+    for tokens, tags, text in ((["(", "see", ")"], ["O", "O", "O"], "(see)"), (["a", " "], [None, "B-X"], "a  "), (["", ""], ["B-X", "I-X"], ""), ([], [], ""), (None, None, "")):
+        df = spark.createDataFrame([(tokens, tags)], "tokens array<string>, tags array<string>").coalesce(1)
+        told = df.select(X.detokenized(F.col("tokens"), F.col("tags")).alias("d")).first().d
+        assert (told.text, told.spans) == (text, []), tokens
